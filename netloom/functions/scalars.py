@@ -1,6 +1,7 @@
 """Column expressions: flags, identifiers, scores, cleaning rules."""
 
 import ipaddress
+import sys
 
 import pandas as pd
 from pyspark.sql import Column
@@ -112,8 +113,8 @@ def mixed_blockable_ip(ip) -> Column:
 
 
 def finite(c) -> Column:
-    value = as_col(c)
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
+    # NaN orders above every number, so one comparison covers NaN and both infinities.
+    return F.coalesce(F.abs(as_col(c)) <= F.lit(sys.float_info.max), F.lit(False))
 
 
 def numeric(c) -> Column:

@@ -104,8 +104,8 @@ def stratified_split(df: DataFrame, label: str = LABEL, test_size: float = 0.2,
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
     lab = F.col(f"`{label}`")
-    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    h = F.xxhash64(text, F.lit(seed))
+    content = [F.col(f"`{c}`") for c in df.columns]
+    h = F.xxhash64(F.lit(seed), *content)
     rows = df.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
     sizes = rows.groupBy(lab.alias("_label"), "_b").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy("_label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,7 +118,7 @@ def stratified_split(df: DataFrame, label: str = LABEL, test_size: float = 0.2,
     split_bucket = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
     ranked = (
         joined.filter(split_bucket)
-        .withColumn("_r", F.row_number().over(Window.partitionBy("_label", "_b").orderBy("_h", text)))
+        .withColumn("_r", F.row_number().over(Window.partitionBy("_label", "_b").orderBy("_h", F.hash(*content))))
         .withColumn("is_test", F.col("_r") <= F.col("_left"))
         .drop("_r")
     )

@@ -8,7 +8,7 @@ on the order of additions.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.functions.scalars import finite, has_flag, safe_rate
+from netloom.functions.scalars import has_flag, safe_rate
 from netloom.operators.sessions import SESSION_KEY
 from netloom.schema import FEATURES, TCP_FLAG_BITS
 
@@ -25,13 +25,13 @@ def _measures() -> dict[str, Column]:
         "size_min": F.min(size),
         "size_max": F.max(size),
         "gaps": F.count(gap),
-        "gap_sum": F.coalesce(F.sum(gap), F.lit(0)),
-        "gap_sq": F.coalesce(F.sum(gap * gap), F.lit(0)),
-        "gap_min": F.coalesce(F.min(gap), F.lit(0)),
-        "gap_max": F.coalesce(F.max(gap), F.lit(0)),
-        "header": F.sum(F.coalesce("transport_header_length", F.lit(0))),
+        "gap_sum": F.sum(gap),
+        "gap_sq": F.sum(gap * gap),
+        "gap_min": F.min(gap),
+        "gap_max": F.max(gap),
+        "header": F.sum("transport_header_length"),
         "data_packets": F.sum(F.when(payload > 0, 1).otherwise(0)),
-        "payload_min": F.coalesce(F.min(F.when(payload > 0, payload)), F.lit(0)),
+        "payload_min": F.min(F.when(payload > 0, payload)),
     }
     for flag in TCP_FLAG_BITS:
         out[flag] = F.sum(has_flag("tcp_flags", flag).cast("int"))
@@ -51,6 +51,7 @@ def mean(n: str, total: str) -> Column:
 
 def to_features(measured: DataFrame) -> DataFrame:
     """Replace the measures by the 37 features, as finite doubles in canonical order."""
+    measured = measured.fillna(0, ["gap_sum", "gap_sq", "gap_min", "gap_max", "header", "payload_min", "window0"])
     n, secs = F.col("n"), (F.col("end_us") - F.col("start_us")).cast("double") / 1e6
     size_mean, size_var = mean("n", "bytes"), spread("n", "bytes", "bytes_sq")
     gap_std = F.sqrt(spread("gaps", "gap_sum", "gap_sq")) / 1e6
@@ -75,7 +76,7 @@ def to_features(measured: DataFrame) -> DataFrame:
         "flow_iat_mean": gap["mean"],
         "flow_iat_std": gap_std,
         "fwd_header_length": F.col("header"),
-        "init_win_bytes_forward": F.coalesce("window0", F.lit(0)),
+        "init_win_bytes_forward": F.col("window0"),
         "act_data_pkt_fwd": F.col("data_packets"),
         "min_seg_size_forward": F.col("payload_min"),
     }
@@ -89,8 +90,8 @@ def to_features(measured: DataFrame) -> DataFrame:
         values[f"{flag}_flag_count"] = F.col(flag)
     keep = [c for c in measured.columns if c in ("flow_id", "start_us", "start_packet", "src_ip", "dst_ip", "src_port",
                                                  "t_us", "packet_id", "is_final", "end_us", "n", "bytes")]
-    numbers = {name: values[name].cast("double") for name in FEATURES}
-    return measured.select(*keep, *[F.when(finite(v), v).otherwise(0.0).alias(k) for k, v in numbers.items()])
+    # Integer measures and guarded divisions leave nothing to sanitize.
+    return measured.select(*keep, *[values[name].cast("double").alias(name) for name in FEATURES])
 
 
 def session_measures(assigned: DataFrame) -> DataFrame:

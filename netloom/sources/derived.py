@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.scalars import ends_flow, event_id, session_id
-from netloom.schema import NORMAL
+from netloom.schema import FEATURES, LABEL, NORMAL, RAW_TO_FEATURE
 
 
 def scored_packets(packets: DataFrame) -> DataFrame:
@@ -118,3 +118,102 @@ def screening_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 4 == 0).alias("detected"),
         ((60 + i % 40).cast("double") / 100).alias("confidence"),
     )
+
+
+def packet_headers(packets: DataFrame) -> DataFrame:
+    """Decoded header columns as a dissector would hand them over, one row per event."""
+    pid, tcp = F.col("packet_id"), F.col("protocol") == 6
+    return packets.select(
+        "packet_id",
+        "t_us",
+        "src_ip",
+        "dst_ip",
+        "packet_size",
+        (pid % 31 != 0).alias("is_ip"),
+        (tcp & (pid % 37 != 0)).alias("has_tcp"),
+        (F.col("protocol") == 17).alias("has_udp"),
+        (F.col("protocol") == 1).alias("has_icmp"),
+        F.col("src_port").alias("sport"),
+        F.col("dst_port").alias("dport"),
+        F.col("tcp_flags").alias("flags"),
+        F.col("tcp_window_size").alias("window"),
+        (5 + pid % 3).alias("data_offset"),
+        F.col("payload_size").alias("transport_payload"),
+    )
+
+
+def recorded_block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored block-event table: one row per order with a known action, both spellings."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    # Order priority -> recorded action.
+    action = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.when(key % 2 == 0, "block").otherwise("blocked"))
+        .when(F.col("o_orderpriority") == "2-HIGH", "unblocked")
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.when(key % 2 == 0, "watchlist").otherwise("watchlisted"))
+    )
+    ip = F.concat(F.lit("10.0.0."), (1 + cust % 12).cast("string"))
+    ts = 1_704_067_200_000_000 + key * 173_000_000 % 2_592_000_000_000
+    return o.filter(action.isNotNull()).select(
+        F.concat(F.lit("b-"), key.cast("string")).alias("event_id"),
+        ts.alias("ts_us"),
+        ip.alias("source_ip"),
+        action.alias("action_taken"),
+        F.concat(F.lit("reason_"), (cust % 4).cast("string")).alias("reason"),
+        F.when(cust % 2 == 0, "manual").otherwise("heuristic").alias("detection_method"),
+        F.when(key % 2 == 0, F.concat(ip, F.lit(":40000-10.1.0."), (1 + cust % 3).cast("string"), F.lit(":22-6"))).alias("session_id"),
+        F.when(action.startswith("block"), ts + 2_700_000_000).alias("expires_us"),
+    )
+
+
+def raw_flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw labelled flow rows as text under the raw column names, one per event.
+
+    Every twentieth row repeats the row before it; some values and labels are unusable.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    r = F.col("event_id") - (F.col("event_id") % 20 == 1).cast("int")
+    cols = {"Flow ID": F.concat(F.lit("f"), r.cast("string"))}
+    for i, name in enumerate(RAW_TO_FEATURE):
+        cols[name] = ((i + 1) * (1 + r % (11 + i))).cast("string")
+    cols["Flow Byts/s"] = F.when(r % 50 == 0, "Infinity").when(r % 53 == 0, "NaN").otherwise(cols["Flow Byts/s"])
+    cols["Flow IAT Std"] = F.when(r % 59 == 0, "n/a").otherwise(cols["Flow IAT Std"])
+    # Raw labels in turn.
+    cols["Label"] = (
+        F.when(r % 41 == 0, " ")
+        .when(r % 5 == 0, "Benign")
+        .when(r % 5 == 1, "DDOS attack-HOIC")
+        .when(r % 5 == 2, " FTP-BruteForce")
+        .when(r % 5 == 3, "Bot")
+        .otherwise("DoS attacks-Hulk")
+    )
+    return e.select(*[v.alias(k) for k, v in cols.items()])
+
+
+def prepared_flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of prepared files, some dirty, one per event, with `day` 0..9."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    r = F.col("event_id")
+    cols = {name: ((i + 1) * (1 + r % (11 + i))).cast("string") for i, name in enumerate(FEATURES)}
+    cols["dst_port"] = F.when(r % 17 == 0, "70000").when(r % 19 == 0, "80.5").otherwise(cols["dst_port"])
+    cols["protocol"] = F.when(r % 3 == 0, "6").when(r % 3 == 1, "17").otherwise("255")
+    cols["flow_duration"] = F.when(r % 23 == 0, "inf").otherwise(cols["flow_duration"])
+    cols["packet_len_mean"] = F.when(r % 29 == 0, "-5").otherwise(cols["packet_len_mean"])
+    cols["flow_iat_mean"] = F.when(r % 31 == 0, "NaN").otherwise(cols["flow_iat_mean"])
+    cols["fin_flag_count"] = F.when(r % 2 == 0, "2.5").otherwise("3.5")
+    # Labels in turn.
+    label = (
+        F.when(r % 43 == 0, " ").when(r % 47 == 0, "NaN").when(r % 4 == 0, " Normal Traffic").when(r % 4 == 1, "DDoS")
+        .when(r % 4 == 2, "Bots").otherwise("DoS")
+    )
+    return e.select((r % 10).alias("day"), *[v.alias(k) for k, v in cols.items()], label.alias(LABEL))
+
+
+def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(actual, predicted) pairs, one per event; a few actual labels are foreign."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    r = F.col("event_id")
+    # Class of each residue.
+    actual = F.when(r % 101 == 0, "Foreign").when(r % 4 == 0, NORMAL).when(r % 4 == 1, "DDoS").when(r % 4 == 2, "DoS").otherwise("Bots")
+    shifted = F.when(r % 4 == 0, "DDoS").when(r % 4 == 1, NORMAL).when(r % 4 == 2, "DDoS").otherwise("DoS")
+    return e.select(actual.alias("actual"), F.when((r % 7 == 0) | (r % 101 == 0), shifted).otherwise(actual).alias("predicted"))

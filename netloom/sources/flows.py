@@ -1,5 +1,6 @@
 """Labelled flow files: raw CSV files and prepared daily files."""
 
+import csv
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,8 @@ def csv_files(spark: SparkSession, path: str) -> list[str]:
 
 def header(spark: SparkSession, file: str) -> list[str]:
     """Trimmed column names; reads the first line only."""
-    line = spark.read.text(file).limit(1).collect()
-    names = spark.read.option("header", True).csv(spark.sparkContext.parallelize([line[0][0]])).columns if line else []
-    return [n.strip() for n in names]
+    line = spark.read.text(file).first()
+    return [n.strip() for n in next(csv.reader([line[0]]))] if line else []
 
 
 def missing_features(columns: list[str]) -> list[str]:
