@@ -22,6 +22,7 @@ from netloom.operators import telemetry as tel
 from netloom.schema import FEATURES, LABEL, PREPARED_FILES, RAW_TO_FEATURE, SECOND
 from netloom.sources import derived, flows, sinks
 from netloom.sources.packets import EPOCH_2024_US, packets
+from netloom.streaming import queries as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -877,3 +878,57 @@ def ev_normal_fpr(spark, sf):
 def ev_report(spark, sf):
     per_class = ev.class_metrics(_confusion(spark, sf)[2])
     return ev.overall_metrics(per_class)
+
+
+# --- streams: run over the input available now -------------------------------------
+
+
+@query
+def st_sessions(spark, sf):
+    out = st.run(spark, st.stream_sessions(packets(spark, sf, streaming=True)), "st_sessions")
+    return out.select("flow_id", "start_us", "start_packet", "end_us", F.col("n").alias("packet_count"), F.col("bytes").alias("byte_count"), "reason")
+
+
+@query
+def st_sessions_simple(spark, sf):
+    return st.run(spark, st.stream_sessions_simple(packets(spark, sf, streaming=True)), "st_sessions_simple")
+
+
+@query
+def st_detect(spark, sf):
+    p = packets(spark, sf, streaming=True)
+    found = st.run(spark, st.stream_detect(p), "st_detect")
+    tries = st.run(spark, st.stream_bruteforce(p), "st_bruteforce").select("packet_id", "bruteforce")
+    return found.select("packet_id", "scan_burst", "port_sweep", "syn_only_surge").join(tries, "packet_id", "left")
+
+
+@query
+def st_block_state(spark, sf):
+    scored = derived.scored_packets(packets(spark, sf, streaming=True))
+    out = st.run(spark, st.stream_blocks(resp.ml_requests(scored)), "st_block_state")
+    return out.filter(F.col("seq") >= 0).select("ip", "at_us", "seq", "status", F.when(F.col("until_us") >= 0, F.col("until_us")).alias("until_us"))
+
+
+@query
+def st_dedup(spark, sf):
+    rows = al.backfilled(derived.ingest_events(derived.scored_packets(packets(spark, sf, streaming=True))))
+    twice = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    return st.run(spark, st.stream_dedup(twice), "st_dedup").select("event_id", "ts_us", "prediction")
+
+
+@query
+def st_telemetry(spark, sf):
+    return st.run(spark, st.stream_telemetry(packets(spark, sf, streaming=True)), "st_telemetry")
+
+
+@query
+def st_rollup(spark, sf):
+    rows = al.backfilled(derived.ingest_events(derived.scored_packets(packets(spark, sf, streaming=True))))
+    return st.run(spark, st.stream_rollup(rows), "st_rollup", st.start_upsert, key="bucket_start_us", order="ml_prediction_total")
+
+
+@query
+def st_score(spark, sf):
+    model = ml.train(_training_rows(spark, sf).drop("flow_id", "start_us"), "dt", depth=4)
+    scored = st.stream_score(st.stream_sessions(packets(spark, sf, streaming=True)), model)
+    return st.run(spark, scored.select("flow_id", "start_us", "label", "confidence"), "st_score")
