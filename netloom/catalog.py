@@ -67,9 +67,9 @@ def _alerts(spark, sf):
 
 
 def _session_rows(spark, sf):
-    assigned, summary = _sessions(spark, sf)
-    scored = derived.rule_scorer(feat.session_features(assigned))
-    return al.session_records(summary, scored)
+    p = packets(spark, sf)
+    scored = derived.rule_scorer(feat.session_features(ses.assign_sessions(p)))
+    return al.session_records(feat.summary_of_features(scored, ses.newest_time(p)))
 
 
 def _telemetry(spark, sf):

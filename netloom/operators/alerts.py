@@ -149,11 +149,13 @@ def shadow_events(scored: DataFrame, t: str = "t_us") -> DataFrame:
 
 
 def session_records(summary: DataFrame, scored: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
-    """Session table rows. `scored` adds label and confidence per session, `decisions` the
-    heuristic result of its last packet."""
+    """Session table rows. `scored` adds label and confidence per session (unless the summary
+    has them already), `decisions` the heuristic result of its last packet."""
     key = ["flow_id", "start_us", "start_packet"]
     rows = summary
-    if scored is not None:
+    if "label" in summary.columns:
+        pass
+    elif scored is not None:
         rows = rows.join(scored.select(*key, "label", "confidence"), key, "left")
     else:
         rows = rows.withColumns({"label": F.lit(None).cast("string"), "confidence": F.lit(0.0)})

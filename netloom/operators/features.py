@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.scalars import has_flag, safe_rate
-from netloom.operators.sessions import SESSION_KEY
+from netloom.operators.sessions import SESSION_KEY, close_reason
 from netloom.schema import FEATURES, TCP_FLAG_BITS
 
 DIMENSIONS = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
@@ -107,6 +107,27 @@ def session_features(assigned: DataFrame) -> DataFrame:
     return to_features(session_measures(assigned))
 
 
+def summary_of_features(scored: DataFrame, cutoff) -> DataFrame:
+    """Session summary taken from feature rows, so that both come from one aggregation."""
+    port = F.when(F.col("src_port").isNotNull(), F.col("dst_port").cast("bigint"))
+    out = scored.select(
+        *SESSION_KEY,
+        "src_ip",
+        "dst_ip",
+        "src_port",
+        port.alias("dst_port"),
+        F.col("protocol").cast("int").alias("protocol"),
+        "end_us",
+        F.col("n").alias("packet_count"),
+        F.col("bytes").alias("byte_count"),
+        (F.col("fin_flag_count") + F.col("rst_flag_count") > 0).alias("finished"),
+        (F.col("end_us") - F.col("start_us")).alias("duration_us"),
+        "label",
+        "confidence",
+    )
+    return out.withColumn("reason", close_reason(cutoff))
+
+
 def live_features(assigned: DataFrame, triggers: DataFrame) -> DataFrame:
     """One feature row per scoring point, over the session up to that packet."""
     w = Window.partitionBy(*SESSION_KEY).orderBy("t_us", "packet_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -77,20 +77,21 @@ def block_decisions(requests: DataFrame, cooldown_s: float = 60, levels: int = 1
         }
     )
     good = mixed_blockable_ip("ip")
+    # Refused addresses pass through as chains of their own; splitting them off would
+    # compute the requests a second time.
     chained = greedy_chain(
-        frame.filter(good), ["ip"], cooldown, tie="seq", resume="_resume", hold="_until", reset="unblock", levels=levels
+        frame, ["ip"], cooldown, tie="seq", resume="_resume", hold="_until", reset="unblock", levels=levels
     )
     decided = chained.withColumn(
         "status",
-        F.when(F.col("unblock"), "unblocked")
+        F.when(~good, "invalid_or_loopback_ip")
+        .when(F.col("unblock"), "unblocked")
         .when(~F.col("chosen"), "cooldown_active")
         .when(F.col("hold_before") > t, "already_blocked")
         .otherwise("blocked"),
     ).drop("chosen", "hold_before")
-    refused = frame.filter(~good).withColumn("status", F.lit("invalid_or_loopback_ip"))
     return (
-        decided.unionByName(refused)
-        .withColumn("ok", F.col("status").isin("blocked", "already_blocked", "unblocked"))
+        decided.withColumn("ok", F.col("status").isin("blocked", "already_blocked", "unblocked"))
         .withColumn("until_us", F.when(F.col("status").isin("blocked", "already_blocked"), F.col("_until")))
         .drop("_until", "_resume", "unblock")
     )

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,18 +102,27 @@ def greedy_chain(
         ]
     )
 
-    def arrays(rows: pd.DataFrame):
-        rows = rows.sort_values([t, tie], kind="stable")
-        flags = rows[reset].fillna(False).to_numpy(bool) if reset else np.zeros(len(rows), bool)
-        return rows, rows[t].to_numpy(np.int64), rows[resume].to_numpy(np.int64), flags
+    def arrays(rows: pa.Table):
+        """Rows in time order, and as numpy only the columns the chain needs."""
+        rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[(t, "ascending"), (tie, "ascending")]))
+        cols = {c: rows.column(c).to_numpy() for c in {t, resume, hold}}
+        if reset:
+            flags = rows.column(reset).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+        else:
+            flags = np.zeros(len(rows), bool)
+        return rows, cols[t], cols[resume], cols[hold], flags
+
+    def scalars(key: tuple) -> tuple:
+        return tuple(v.as_py() for v in key)
 
     def labelled(frame: pd.DataFrame, key: tuple, schema: T.StructType) -> pd.DataFrame:
         for name, value in zip(keys, key, strict=False):
             frame[name] = value
         return frame[schema.fieldNames()]
 
-    def block_table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, times, ready, flags = arrays(rows)
+    def block_table(key: tuple, rows: pa.Table) -> pa.Table:
+        key = scalars(key)
+        _, times, ready, held, flags = arrays(rows)
         ends = _ends(_successors(times, ready, flags))
         # A chain from the block before resumes within the horizon, or at a reset.
         count = int(np.searchsorted(times, key[-1] * block_us + horizon_us, side="left")) + 1
@@ -122,10 +133,9 @@ def greedy_chain(
             entries = entries[: resets[0] + 1]
             entries[-1] = NEVER
         last = ends[: len(entries)]
-        held = rows[hold].to_numpy(np.int64)
         out = pd.DataFrame({"entry_us": entries, "exit_us": ready[last], "hold_us": held[last]})
-        out = _thin(out.assign(_blk=key[-1]))
-        return labelled(out, key, table_schema)
+        out = labelled(_thin(out.assign(_blk=key[-1])), key, table_schema)
+        return pa.Table.from_pandas(out, preserve_index=False)
 
     def split(tables: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
         yield from tables.sort_values(["_blk", "entry_us"], kind="stable").groupby("_blk", sort=True)
@@ -176,13 +186,12 @@ def greedy_chain(
             .applyInPandas(walk_from, start_schema)
         )
 
-    def mark(key: tuple, rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        rows, times, ready, flags = arrays(rows)
+    def mark(key: tuple, rows: pa.Table, starts: pa.Table) -> pa.Table:
+        rows, times, ready, held, flags = arrays(rows)
         following = _successors(times, ready, flags)
-        held = rows[hold].to_numpy(np.int64)
         chosen = np.zeros(len(rows), bool)
         before = np.full(len(rows), START)
-        ready_us, hold_us = int(starts["ready_us"].iat[0]), int(starts["held_us"].iat[0])
+        ready_us, hold_us = starts.column("ready_us")[0].as_py(), starts.column("held_us")[0].as_py()
         at = int(np.searchsorted(times, ready_us, side="left"))
         resets = np.flatnonzero(flags)
         if len(resets):
@@ -192,7 +201,8 @@ def greedy_chain(
             before[at] = hold_us
             hold_us = held[at]
             at = int(following[at])
-        return rows.assign(chosen=chosen, hold_before=before)[out_schema.fieldNames()]
+        rows = rows.append_column("chosen", pa.array(chosen)).append_column("hold_before", pa.array(before))
+        return rows.select(out_schema.fieldNames())
 
     out_schema = T.StructType(
         [
@@ -201,11 +211,12 @@ def greedy_chain(
             T.StructField("hold_before", T.LongType()),
         ]
     )
-    thin = base.select(*dict.fromkeys([*keys, "_blk", t, tie, resume, hold, *([reset] if reset else [])]))
-    tables = thin.groupBy(*keys, "_blk").applyInPandas(block_table, table_schema)
+    # Both passes read whole rows, hence one and the same exchange: the rows are computed
+    # and shuffled once. Arrow hands over columns without converting the unused ones.
+    tables = base.groupBy(*keys, "_blk").applyInArrow(block_table, table_schema)
     starts = block_starts(tables, levels)
     return (
         base.groupBy(*keys, "_blk")
         .cogroup(starts.groupBy(*keys, "_blk"))
-        .applyInPandas(mark, out_schema)
+        .applyInArrow(mark, out_schema)
     )
