@@ -91,12 +91,34 @@ def test_targets(counts: DataFrame, test_size: float = 0.2) -> DataFrame:
     return counts.withColumn("test_rows", F.greatest(capped, F.lit(0)))
 
 
+def proportional_targets(counts: DataFrame, test_size: float = 0.2) -> DataFrame:
+    """Rows of each label that go to the test part when its total is fixed: ceil(size * rows).
+
+    Labels share the training part in proportion; what whole numbers leave over goes to
+    the largest remainders (label order on ties). The table has one row per label.
+    """
+    everything = Window.partitionBy()
+    n, rows = F.sum("rows").over(everything), F.col("rows")
+    n_train = n - F.ceil(n * F.lit(test_size))
+    out = counts.withColumn("_n", n).withColumn("_t", n_train.cast("bigint"))
+    out = out.withColumn("_base", F.floor(rows * F.col("_t") / F.col("_n")).cast("bigint"))
+    out = out.withColumn("_rest", rows * F.col("_t") % F.col("_n"))
+    rank = F.row_number().over(Window.orderBy(F.desc("_rest"), "label"))
+    out = out.withColumn("_rank", rank).withColumn("_need", F.col("_t") - F.sum("_base").over(everything))
+    train = F.col("_base") + (F.col("_rank") <= F.col("_need")).cast("bigint")
+    return out.select(*counts.columns, (rows - train).alias("test_rows"))
+
+
 test_targets.__test__ = False
 
 
-def stratified_split(df: DataFrame, label: str = LABEL, test_size: float = 0.2, seed: int = 42, buckets: int = 4096) -> DataFrame:
+def stratified_split(
+    df: DataFrame, label: str = LABEL, test_size: float = 0.2, seed: int = 42, buckets: int = 4096, targets=test_targets
+) -> DataFrame:
     """Add `is_test`, exactly the target number of rows per label, decided by a seeded hash.
 
+    `targets` is `test_targets` (each label rounded) or `proportional_targets` (total fixed).
+
     A label may hold most rows, so no global order per label is built: hash buckets per
     label are counted, whole buckets below the target are taken, and only the bucket in
     which the target falls is ranked. The same rows and seed give the same split.
@@ -109,11 +131,11 @@ def stratified_split(df: DataFrame, label: str = LABEL, test_size: float = 0.2,
     rows = df.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
     sizes = rows.groupBy(lab.alias("_label"), "_b").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy("_label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_label")
-    plan = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).withColumn(
-        "rows", F.sum("_n").over(whole)
+    wanted = targets(sizes.groupBy(F.col("_label").alias("label")).agg(F.sum("_n").alias("rows")), test_size)
+    plan = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(
+        wanted.withColumnRenamed("label", "_label"), "_label"
     )
-    plan = test_targets(plan, test_size).select("_label", "_b", (F.col("test_rows") - F.col("_before")).alias("_left"), "_n")
+    plan = plan.select("_label", "_b", (F.col("test_rows") - F.col("_before")).alias("_left"), "_n")
     joined = rows.join(plan, (lab == F.col("_label")) & (rows["_b"] == plan["_b"])).drop(plan["_b"])
     split_bucket = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
     ranked = (

@@ -524,9 +524,11 @@ def statements() -> dict[str, str]:
     q["src_prepared_flows"] = _sql("prep_clean", "select label, count(*) as rows from prep_clean group by label")
     q["snk_dataset"] = _sql(
         "prep_counts",
-        f"""select 'cleaned' as part, label, rows from prep_counts union all
-select 'test', label, {_TARGET.replace("0.25", "0.2")} from prep_counts union all
-select 'train', label, rows-{_TARGET.replace("0.25", "0.2")} from prep_counts""",
+        """select part, label, case part when 'cleaned' then rows when 'train' then tr else rows-tr end as rows from (
+select label, rows, rows*t//n + case when rank<=t-sum(rows*t//n) over () then 1 else 0 end as tr from (
+ select *, row_number() over (order by rows*t%n desc, label) as rank from (
+  select *, n-cast(ceil(n*cast(0.2 as double)) as bigint) as t from (select *, cast(sum(rows) over () as bigint) as n from prep_counts)))),
+(select unnest(['cleaned','train','test']) as part)""",
     )
     q["snk_upsert"] = _sql(
         "blocks",

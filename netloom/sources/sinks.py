@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.operators.dataset import label_counts, prepare, stratified_split
+from netloom.operators.dataset import label_counts, prepare, proportional_targets, stratified_split
 from netloom.schema import FEATURES, LABEL, RAW_LABEL
 from netloom.session import shared_dir
 from netloom.sources.flows import _fs, _join, csv_files, read_raw_flows
@@ -122,7 +122,7 @@ def write_dataset(
     prepared.write.mode("overwrite").option("header", True).csv(paths["cleaned"])
     schema = prepared.schema
     cleaned = spark.read.schema(schema).option("header", True).csv(paths["cleaned"])
-    split = stratified_split(cleaned, LABEL, test_size, seed)
+    split = stratified_split(cleaned, LABEL, test_size, seed, targets=proportional_targets)
     for name, part in (("train", split.filter(~F.col("is_test"))), ("test", split.filter("is_test"))):
         part.drop("is_test").write.mode("overwrite").option("header", True).csv(paths[name])
 
