@@ -399,7 +399,9 @@ def ses_predict_trigger(spark, sf):
 
 @query
 def ses_lifecycle(spark, sf):
-    assigned, summary = _sessions(spark, sf)
+    p = packets(spark, sf)
+    assigned = sinks.stored(ses.assign_sessions(p), "assigned")
+    summary = ses.session_summary(assigned, ses.newest_time(p))
     return ses.lifecycle(assigned, summary, ses.predict_triggers(assigned))
 
 
@@ -410,7 +412,7 @@ def feat_session(spark, sf):
 
 @query
 def feat_live(spark, sf):
-    a = ses.assign_sessions(packets(spark, sf))
+    a = sinks.stored(ses.assign_sessions(packets(spark, sf)), "assigned")
     return feat.live_features(a, ses.predict_triggers(a)).select("flow_id", "start_us", "packet_id", *FEATURES)
 
 
@@ -555,8 +557,9 @@ def blk_flag_packets(spark, sf):
 
 def _feed(spark, sf):
     p = packets(spark, sf)
-    decisions = det.heuristic_decisions(p)
-    decided = _decided(spark, sf)
+    decisions = sinks.stored(det.heuristic_decisions(p), "decisions")
+    requests = resp.heuristic_requests(decisions).unionByName(resp.bruteforce_requests(det.bruteforce(p)))
+    decided = sinks.stored(resp.block_decisions(requests), "decided")
     log = resp.block_log(decided, ses.newest_time(p))
     return act.activity_feed(decisions, decided, log, resp.flag_blocked_packets(p, resp.block_intervals(decided)))
 
@@ -570,7 +573,7 @@ def ip_activity_feed(spark, sf):
 
 @query
 def ip_activity(spark, sf):
-    rows = act.ip_activity(_feed(spark, sf))
+    rows = act.ip_activity(sinks.stored(_feed(spark, sf), "feed"))
     kinds = F.array_join("attack_types_used", ";")
     times = F.array_join(F.transform("action_history", lambda e: e["t_us"].cast("string")), ";")
     return rows.select(
@@ -786,9 +789,7 @@ def _training_rows(spark, sf):
     a = ses.assign_sessions(packets(spark, sf))
     labelled = derived.rule_scorer(feat.session_features(a)).select("flow_id", "start_us", *FEATURES, "label")
     # Training reads its rows many times, so they are stored once in the shared folder.
-    path = sinks.scratch(spark, "training")
-    labelled.write.parquet(path)
-    return spark.read.parquet(path)
+    return sinks.stored(labelled, "training")
 
 
 @query

@@ -18,6 +18,18 @@ def local_session(cpus: str = "8", app: str = "netloom") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return tuned(spark)
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Settings the operators rely on, for any session.
+
+    Times without zone are UTC. The JVM never compiles methods beyond 8000 bytes of
+    bytecode; with 37 features a fused stage can exceed that, and then runs several times
+    slower than the same operators unfused.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
