@@ -20,6 +20,7 @@ from netloom.operators import response as resp
 from netloom.operators import sessions as ses
 from netloom.operators import telemetry as tel
 from netloom.schema import FEATURES, LABEL, PREPARED_FILES, RAW_TO_FEATURE, SECOND
+from netloom.session import scratch, stored
 from netloom.sources import derived, flows, sinks
 from netloom.sources.packets import EPOCH_2024_US, packets
 from netloom.streaming import queries as st
@@ -49,7 +50,7 @@ def _scored(spark, sf):
 
 
 def _decided(spark, sf):
-    return resp.block_decisions(resp.packet_requests(packets(spark, sf)))
+    return resp.block_decisions(stored(resp.packet_requests(packets(spark, sf)), "requests"))
 
 
 def _ml_decided(spark, sf):
@@ -95,7 +96,7 @@ def src_packets(spark, sf):
 
 
 def _write_raw(spark, sf):
-    path = sinks.scratch(spark, "raw")
+    path = scratch(spark, "raw")
     rows = derived.raw_flow_rows(spark, sf)
     rows.toDF(*[f" {c} " if c == "Protocol" else c for c in rows.columns]).write.option("header", True).option(
         "ignoreLeadingWhiteSpace", False
@@ -110,7 +111,7 @@ def src_raw_flows(spark, sf):
 
 
 def _write_prepared(spark, sf):
-    root = sinks.scratch(spark, "prepared")
+    root = scratch(spark, "prepared")
     rows = derived.prepared_flow_rows(spark, sf)
     for day, name in enumerate(PREPARED_FILES):
         rows.filter(F.col("day") == day).drop("day").write.option("header", True).csv(f"{root}/{name}")
@@ -125,7 +126,7 @@ def src_prepared_flows(spark, sf):
 
 @query
 def snk_dataset(spark, sf):
-    out = sinks.scratch(spark, "dataset")
+    out = scratch(spark, "dataset")
     sinks.write_dataset(spark, _write_raw(spark, sf), out)
     parts = []
     for part in ("cleaned", "train", "test"):
@@ -140,7 +141,7 @@ def snk_upsert(spark, sf):
     and the same rows under first-wins keep the first."""
     rows = derived.recorded_block_events(spark, sf)
     again = rows.filter(F.col("detection_method") == "manual").withColumn("reason", F.concat(F.lit("new_"), F.col("reason")))
-    root = sinks.scratch(spark, "tables")
+    root = scratch(spark, "tables")
     for key, policy in (("block_events", "last"), ("ids_events", "first")):
         for batch in (rows, again):
             sinks.upsert(batch, f"{root}/{key}", "event_id", policy)
@@ -160,7 +161,7 @@ def snk_activity_jsonl(spark, sf):
         F.col("src_ip").alias("ip"), "t_us", F.col("packet_id").alias("tie"), F.col("reason").alias("attack_type"), F.lit("allowed").alias("action")
     )
     rows = act.ip_activity(feed)
-    path = sinks.scratch(spark, "activity")
+    path = scratch(spark, "activity")
     for _ in range(2):
         sinks.append_activity_jsonl(rows, path, keep=12)
     back = sinks.read_activity_jsonl(spark, path, rows.schema)
@@ -171,7 +172,7 @@ def snk_activity_jsonl(spark, sf):
 def snk_fanout(spark, sf):
     e = _events(spark, sf).select("event_id", "ts_us", F.col("prediction").alias("label"), F.lit("ids-events").alias("kind"))
     b = derived.recorded_block_events(spark, sf).select("event_id", "ts_us", F.col("reason").alias("label"), F.lit("block-events").alias("kind"))
-    root = sinks.scratch(spark, "fanout")
+    root = scratch(spark, "fanout")
     sinks.fan_out(e.unionByName(b), root, ["ids-events", "block-events"])
     return spark.read.parquet(root).groupBy("kind", "label").agg(F.count("*").alias("rows"), F.max("ts_us").alias("newest_us"))
 
@@ -400,7 +401,7 @@ def ses_predict_trigger(spark, sf):
 @query
 def ses_lifecycle(spark, sf):
     p = packets(spark, sf)
-    assigned = sinks.stored(ses.assign_sessions(p), "assigned")
+    assigned = stored(ses.assign_sessions(p), "assigned")
     summary = ses.session_summary(assigned, ses.newest_time(p))
     return ses.lifecycle(assigned, summary, ses.predict_triggers(assigned))
 
@@ -412,7 +413,7 @@ def feat_session(spark, sf):
 
 @query
 def feat_live(spark, sf):
-    a = sinks.stored(ses.assign_sessions(packets(spark, sf)), "assigned")
+    a = stored(ses.assign_sessions(packets(spark, sf)), "assigned")
     return feat.live_features(a, ses.predict_triggers(a)).select("flow_id", "start_us", "packet_id", *FEATURES)
 
 
@@ -557,9 +558,9 @@ def blk_flag_packets(spark, sf):
 
 def _feed(spark, sf):
     p = packets(spark, sf)
-    decisions = sinks.stored(det.heuristic_decisions(p), "decisions")
+    decisions = stored(det.heuristic_decisions(p), "decisions")
     requests = resp.heuristic_requests(decisions).unionByName(resp.bruteforce_requests(det.bruteforce(p)))
-    decided = sinks.stored(resp.block_decisions(requests), "decided")
+    decided = stored(resp.block_decisions(stored(requests, "requests")), "decided")
     log = resp.block_log(decided, ses.newest_time(p))
     return act.activity_feed(decisions, decided, log, resp.flag_blocked_packets(p, resp.block_intervals(decided)))
 
@@ -573,7 +574,7 @@ def ip_activity_feed(spark, sf):
 
 @query
 def ip_activity(spark, sf):
-    rows = act.ip_activity(sinks.stored(_feed(spark, sf), "feed"))
+    rows = act.ip_activity(stored(_feed(spark, sf), "feed"))
     kinds = F.array_join("attack_types_used", ";")
     times = F.array_join(F.transform("action_history", lambda e: e["t_us"].cast("string")), ";")
     return rows.select(
@@ -789,7 +790,7 @@ def _training_rows(spark, sf):
     a = ses.assign_sessions(packets(spark, sf))
     labelled = derived.rule_scorer(feat.session_features(a)).select("flow_id", "start_us", *FEATURES, "label")
     # Training reads its rows many times, so they are stored once in the shared folder.
-    return sinks.stored(labelled, "training")
+    return stored(labelled, "training")
 
 
 @query
@@ -844,7 +845,7 @@ def ml_score(spark, sf):
 @query
 def ml_artifact_guard(spark, sf):
     rows = _training_rows(spark, sf)
-    path = sinks.scratch(spark, "model")
+    path = scratch(spark, "model")
     ml.save_model(ml.train(rows, "dt", depth=4), path)
     return ml.score(rows.drop("label"), ml.load_model(path)).groupBy("label").agg(F.count("*").alias("rows"))
 

@@ -59,11 +59,11 @@ def packet_requests(packets: DataFrame) -> DataFrame:
     return heuristic_requests(heuristic_decisions(packets)).unionByName(bruteforce_requests(bruteforce(packets)))
 
 
-def block_decisions(requests: DataFrame, cooldown_s: float = 60, levels: int = 1) -> DataFrame:
+def block_decisions(requests: DataFrame, cooldown_s: float = 60, **chain) -> DataFrame:
     """Add `status`, `ok` and `until_us` to block requests, per address in time order.
 
-    Needs `ip`, `t_us`, `seq`, `duration_s`; a boolean column `unblock` marks manual
-    releases. A block accepted earlier refuses others for the cooldown, unless it ended
+    Needs `ip`, `t_us`, `seq` (unique), `duration_s`; a boolean column `unblock` marks manual
+    releases. The requests are read twice, so pass a stored table where they are costly. A block accepted earlier refuses others for the cooldown, unless it ended
     sooner; a request while the address is still blocked restarts its term.
     """
     cooldown = int(cooldown_s * SECOND)
@@ -77,16 +77,15 @@ def block_decisions(requests: DataFrame, cooldown_s: float = 60, levels: int = 1
         }
     )
     good = mixed_blockable_ip("ip")
-    # Refused addresses pass through as chains of their own; splitting them off would
-    # compute the requests a second time.
-    chained = greedy_chain(
-        frame, ["ip"], cooldown, tie="seq", resume="_resume", hold="_until", reset="unblock", levels=levels
-    )
-    decided = chained.withColumn(
+    # The chosen requests are few (one per address and cooldown); all others stay where they are.
+    took = greedy_chain(
+        frame.filter(good), ["ip"], cooldown, tie="seq", resume="_resume", hold="_until", reset="unblock", **chain
+    ).select("ip", "seq", "hold_before", F.lit(True).alias("chosen"))
+    decided = frame.join(took, ["ip", "seq"], "left").withColumn(
         "status",
         F.when(~good, "invalid_or_loopback_ip")
         .when(F.col("unblock"), "unblocked")
-        .when(~F.col("chosen"), "cooldown_active")
+        .when(F.col("chosen").isNull(), "cooldown_active")
         .when(F.col("hold_before") > t, "already_blocked")
         .otherwise("blocked"),
     ).drop("chosen", "hold_before")

@@ -81,7 +81,7 @@ def assign_sessions(df: DataFrame, idle_s: float = 30, max_s: float = 120, slice
         "packet_id",
         (F.col("t_us") + limit).alias("resume_us"),
     )
-    restarts = greedy_chain(over, ["flow_id", "_run_t", "_run_i"], limit).filter("chosen")
+    restarts = greedy_chain(over, ["flow_id", "_run_t", "_run_i"], limit)
     # A restart matters in its own slice and in those its session can still reach.
     reach = -(-limit // width) + 1
     near = (

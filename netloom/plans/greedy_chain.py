@@ -1,14 +1,20 @@
-"""Greedy selection along a time line, split into time blocks.
+"""Greedy selection along a time line.
 
 Several rules have the form "take the first row; then the first row at or after the
 time that row allows (`resume`); and so on": the cut of long sessions, and requests
 that are accepted only outside a cooldown. Each choice depends on the one before, yet a
-hot key must not be walked by one task. So every (key, block) first reduces to a small
-table "first candidate time -> when the chain may resume after this block". Composing
-these tables gives the state at the start of each block, after which all blocks mark
-their chosen rows independently.
+hot key must not be walked by one task.
+
+Only the first row of each key and microsecond can be chosen, so rows reduce to those
+by partial aggregation first; what is left is stored. Keys that are small enough are
+then walked directly. Otherwise every (key, block of time) reduces to a table "first
+candidate time -> when the chain may resume after this block". Composing these tables,
+`fan_in` at a time, gives the state at the start of each block, after which all blocks
+mark their chosen rows independently. No group ever holds more than one block, whose
+size the time resolution bounds, or `fan_in` tables.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.plans.slices import slice_of
+from netloom.session import stored
 
 NEVER = np.iinfo(np.int64).max
 START = np.iinfo(np.int64).min
@@ -70,18 +77,28 @@ def greedy_chain(
     hold: str | None = None,
     reset: str | None = None,
     block_us: int | None = None,
-    fan_in: int = 32,
-    levels: int = 1,
+    fan_in: int = 8,
+    rows_per_task: int = 5_000_000,
 ) -> DataFrame:
-    """Add `chosen` and `hold_before` (the `hold` value of the chosen row before) to `df`.
+    """The chosen rows: `keys`, `t`, `tie`, and `hold_before`, the `hold` value of the row
+    chosen before (the least long for the first).
 
-    `resume` of a row is at most `horizon_us` after it. A row with `reset` true is always
-    chosen. `levels` is the depth of the composition: each level lets one key span
-    `fan_in` times more blocks without a group larger than `fan_in` small tables.
+    `resume` of a row lies after it by at most `horizon_us`. A row with `reset` true is
+    always chosen and should precede others of its time. Keys with more than
+    `rows_per_task` distinct times are split into blocks of `block_us`.
     """
-    block_us = block_us or 8 * horizon_us
-    hold = hold or resume
-    base = df.withColumn("_blk", slice_of(t, block_us))
+    block_us = block_us or 4 * horizon_us
+    held = hold or resume
+    flag = [F.coalesce(F.col(reset), F.lit(False)).alias("reset")] if reset else [F.lit(False).alias("reset")]
+    first = F.min(F.struct(F.col(tie).alias("tie"), F.col(resume).alias("resume"), F.col(held).alias("hold")))
+    base = stored(
+        df.groupBy(*keys, F.col(t).alias("t"), *flag).agg(first.alias("_f"))
+        .select(*keys, "t", "reset", "_f.*", slice_of(F.col("t"), block_us).alias("_blk")),
+        "chain",
+    )
+    sizes = base.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("_blk") - F.min("_blk") + 1).alias("span"))
+    largest = sizes.agg(F.max("n").alias("n"), F.max("span").alias("span")).first()
+    out_t, out_tie = t, tie
     key_fields = [f for f in base.schema.fields if f.name in keys]
     key_fields = [next(f for f in key_fields if f.name == k) for k in keys]
     table_schema = T.StructType(
@@ -104,13 +121,9 @@ def greedy_chain(
 
     def arrays(rows: pa.Table):
         """Rows in time order, and as numpy only the columns the chain needs."""
-        rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[(t, "ascending"), (tie, "ascending")]))
-        cols = {c: rows.column(c).to_numpy() for c in {t, resume, hold}}
-        if reset:
-            flags = rows.column(reset).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-        else:
-            flags = np.zeros(len(rows), bool)
-        return rows, cols[t], cols[resume], cols[hold], flags
+        rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[("t", "ascending"), ("tie", "ascending")]))
+        times, resume, hold = (rows.column(c).to_numpy() for c in ("t", "resume", "hold"))
+        return rows, times, resume, hold, rows.column("reset").to_numpy().astype(bool)
 
     def scalars(key: tuple) -> tuple:
         return tuple(v.as_py() for v in key)
@@ -186,37 +199,34 @@ def greedy_chain(
             .applyInPandas(walk_from, start_schema)
         )
 
-    def mark(key: tuple, rows: pa.Table, starts: pa.Table) -> pa.Table:
+    def chosen_rows(rows: pa.Table, ready_us: int, hold_us: int) -> pa.Table:
         rows, times, ready, held, flags = arrays(rows)
         following = _successors(times, ready, flags)
-        chosen = np.zeros(len(rows), bool)
-        before = np.full(len(rows), START)
-        ready_us, hold_us = starts.column("ready_us")[0].as_py(), starts.column("held_us")[0].as_py()
         at = int(np.searchsorted(times, ready_us, side="left"))
         resets = np.flatnonzero(flags)
         if len(resets):
             at = min(at, int(resets[0]))
+        picked, before = [], []
         while at < len(times):
-            chosen[at] = True
-            before[at] = hold_us
-            hold_us = held[at]
+            picked.append(at)
+            before.append(hold_us)
+            hold_us = int(held[at])
             at = int(following[at])
-        rows = rows.append_column("chosen", pa.array(chosen)).append_column("hold_before", pa.array(before))
-        return rows.select(out_schema.fieldNames())
+        out = rows.take(pa.array(picked, pa.int64())).append_column("hold_before", pa.array(before, pa.int64()))
+        return out.select(out_schema.fieldNames())
 
-    out_schema = T.StructType(
-        [
-            *df.schema.fields,
-            T.StructField("chosen", T.BooleanType()),
-            T.StructField("hold_before", T.LongType()),
-        ]
-    )
-    # Both passes read whole rows, hence one and the same exchange: the rows are computed
-    # and shuffled once. Arrow hands over columns without converting the unused ones.
-    tables = base.groupBy(*keys, "_blk").applyInArrow(block_table, table_schema)
-    starts = block_starts(tables, levels)
-    return (
-        base.groupBy(*keys, "_blk")
-        .cogroup(starts.groupBy(*keys, "_blk"))
-        .applyInArrow(mark, out_schema)
-    )
+    def mark(key: tuple, rows: pa.Table, starts: pa.Table) -> pa.Table:
+        return chosen_rows(rows, starts.column("ready_us")[0].as_py(), starts.column("held_us")[0].as_py())
+
+    def mark_key(rows: pa.Table) -> pa.Table:
+        return chosen_rows(rows, START, START)
+
+    out_schema = T.StructType([*key_fields, *[T.StructField(c, T.LongType()) for c in ("t", "tie", "hold_before")]])
+    if (largest["n"] or 0) <= rows_per_task:
+        out = base.groupBy(*keys).applyInArrow(mark_key, out_schema)
+    else:
+        tables = base.groupBy(*keys, "_blk").applyInArrow(block_table, table_schema)
+        levels = max(0, math.ceil(math.log(largest["span"], fan_in)) - 1)
+        starts = block_starts(tables, levels)
+        out = base.groupBy(*keys, "_blk").cogroup(starts.groupBy(*keys, "_blk")).applyInArrow(mark, out_schema)
+    return out.withColumnsRenamed({"t": out_t, "tie": out_tie})

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from netloom.operators.dataset import label_counts, prepare, proportional_targets, stratified_split
 from netloom.schema import FEATURES, LABEL, RAW_LABEL
-from netloom.session import shared_dir
 from netloom.sources.flows import _fs, _join, csv_files, read_raw_flows
 
 # Key column and policy of each stored table.
@@ -157,22 +156,6 @@ def write_dataset(
     return meta
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    return _join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once to the shared folder and read back.
-
-    For results with several consumers: it cuts the lineage, so that nothing upstream is
-    computed twice and a lost executor costs a re-read.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def newest(df: DataFrame, n: int = 1000, t: str = "t_us", tie: str = "packet_id") -> DataFrame:
     """Ring buffer: the last n rows."""
     return df.orderBy(F.desc(t), F.desc(tie)).limit(n)

@@ -11,7 +11,8 @@ from netloom.functions.scalars import session_id
 from netloom.operators.features import to_features
 from netloom.operators.ml import score
 from netloom.schema import LOGIN_PORTS, NORMAL
-from netloom.sources.sinks import read_table, scratch, upsert
+from netloom.session import scratch
+from netloom.sources.sinks import read_table, upsert
 from netloom.streaming.state import (
     BLOCK_OUT,
     BRUTE_OUT,
