@@ -294,7 +294,7 @@ def flt_finite_rows(spark, sf):
 
 @query
 def cln_raw(spark, sf):
-    return ds.clean_raw(derived.raw_flow_rows(spark, sf)).select(F.col("Flow ID").alias("flow"), F.col("Label").alias("label"))
+    return ds.clean_raw(_raw_stored(spark, sf)).select(F.col("Flow ID").alias("flow"), F.col("Label").alias("label"))
 
 
 @query
@@ -762,14 +762,22 @@ def chk_shadow_pairs(spark, sf):
 # --- data sets and models --------------------------------------------------------
 
 
+def _raw_stored(spark, sf):
+    return stored(derived.raw_flow_rows(spark, sf), "raw")
+
+
+def _prepared_stored(spark, sf):
+    return stored(ds.prepare(_raw_stored(spark, sf)).withColumnRenamed(LABEL, "label"), "prepared")
+
+
 @query
 def ds_prepare(spark, sf):
-    return ds.prepare(derived.raw_flow_rows(spark, sf)).withColumnRenamed(LABEL, "label")
+    return ds.prepare(_raw_stored(spark, sf)).withColumnRenamed(LABEL, "label")
 
 
 @query
 def ds_label_counts(spark, sf):
-    raw = derived.raw_flow_rows(spark, sf)
+    raw = _raw_stored(spark, sf)
     before = ds.label_counts(raw.withColumn("Label", F.trim("Label")), "Label").select("label", F.col("rows").alias("raw_rows"))
     after = ds.label_counts(ds.clean_raw(raw), "Label").select("label", F.col("rows").alias("clean_rows"))
     return before.join(after, "label", "left").fillna(0, ["clean_rows"])
@@ -777,13 +785,13 @@ def ds_label_counts(spark, sf):
 
 @query
 def ds_test_targets(spark, sf):
-    return ds.test_targets(ds.label_counts(ds.prepare(derived.raw_flow_rows(spark, sf))), 0.25)
+    return ds.test_targets(ds.label_counts(_prepared_stored(spark, sf), "label"), 0.25)
 
 
 @query
 def ds_split(spark, sf):
-    split = ds.stratified_split(ds.prepare(derived.raw_flow_rows(spark, sf)), test_size=0.25)
-    return split.groupBy(F.col(f"`{LABEL}`").alias("label"), "is_test").agg(F.count("*").alias("rows"))
+    split = ds.stratified_split(_prepared_stored(spark, sf), "label", test_size=0.25)
+    return split.groupBy("label", "is_test").agg(F.count("*").alias("rows"))
 
 
 def _training_rows(spark, sf):

@@ -1,5 +1,6 @@
 """Spark session settings used by the tests, the benchmark and local runs."""
 
+import functools
 import tempfile
 import uuid
 
@@ -34,13 +35,19 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The folder the cluster names for shared files; a temporary one only in local mode."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_dir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
