@@ -331,14 +331,14 @@ def qry_logs(spark, sf):
 
 @query
 def qry_list_alerts(spark, sf):
-    return dash.list_rows(_alerts(spark, sf), "last_seen_us", "dedup_key", limit=30, offset=5, source_ip="10.0.0.2").select(
+    return dash.list_rows(stored(_alerts(spark, sf), "alerts"), "last_seen_us", "dedup_key", limit=30, offset=5, source_ip="10.0.0.2").select(
         "dedup_key", "event_id", "prediction", "severity", "first_seen_us", "last_seen_us", "occurrence_count", "total_count"
     )
 
 
 @query
 def qry_list_threats(spark, sf):
-    return dash.list_rows(al.threats(_alerts(spark, sf)), "ts_us", "threat_id", limit=30, attack_type="Bots").select(
+    return dash.list_rows(stored(al.threats(_alerts(spark, sf)), "threats"), "ts_us", "threat_id", limit=30, attack_type="Bots").select(
         "threat_id", "ts_us", "source_ip", "attack_type", "severity", "status", "total_count"
     )
 
@@ -347,7 +347,8 @@ _SESSION_COLS = ["session_id", "start_time_us", "end_time_us", "packet_count", "
 
 
 def _session_page(spark, sf, **kw):
-    rows = _session_rows(spark, sf).withColumn("_id", F.concat_ws("@", "session_id", F.col("start_time_us").cast("string")))
+    # A page and its total read the table twice, so pages come from stored tables.
+    rows = stored(_session_rows(spark, sf), "sessions").withColumn("_id", F.concat_ws("@", "session_id", F.col("start_time_us").cast("string")))
     return dash.list_rows(rows, "start_time_us", "_id", **kw).select(*_SESSION_COLS)
 
 
@@ -647,7 +648,7 @@ def tel_exchanges(spark, sf):
 
 @query
 def tel_history(spark, sf):
-    return dash.page(_telemetry(spark, sf), [F.desc("snapshot_us")], 30, 2)
+    return dash.page(stored(_telemetry(spark, sf), "telemetry"), [F.desc("snapshot_us")], 30, 2)
 
 
 @query
@@ -707,7 +708,7 @@ def dash_model_metrics(spark, sf):
 
 @query
 def dash_incidents(spark, sf):
-    return dash.page(_alerts(spark, sf), [F.desc("last_seen_us"), F.col("dedup_key")], 30, 0).select(
+    return dash.page(stored(_alerts(spark, sf), "alerts"), [F.desc("last_seen_us"), F.col("dedup_key")], 30, 0).select(
         F.col("event_id").alias("incident_id"), "dedup_key", "prediction", "severity", "last_seen_us", "occurrence_count", "total_count"
     )
 
@@ -719,9 +720,9 @@ def dash_audit(spark, sf):
 
 def _incident(spark, sf):
     """The alert seen most recently, as an incident; times are wall-clock."""
-    alerts = _alerts(spark, sf)
+    alerts = stored(_alerts(spark, sf), "alerts")
     newest = alerts.agg(F.max_by("event_id", F.struct("last_seen_us", "dedup_key"))).scalar()
-    sessions = _session_rows(spark, sf)
+    sessions = stored(_session_rows(spark, sf), "sessions")
     p = packets(spark, sf)
     snaps = p.groupBy((F.floor(F.col("wall_us") / F.lit(3600 * SECOND)) * 3600 * SECOND).cast("bigint").alias("snapshot_us")).agg(
         F.count("*").alias("received_per_window")
@@ -734,7 +735,7 @@ def dash_incident_detail(spark, sf):
     d = _incident(spark, sf)
     return d.select(
         "event_id", "prediction", "source_ip", "session_id", "snapshot_us", "received_per_window",
-        F.size("related_sessions").cast("bigint").alias("sessions"), F.size("related_audit").cast("bigint").alias("audits"),
+        F.col("session_count").alias("sessions"), F.col("audit_count").alias("audits"),
         F.array_join(F.transform("related_audit", lambda e: e["event_id"]), ";").alias("audit_ids"),
     )
 

@@ -213,6 +213,19 @@ def nearest_snapshot(incidents: DataFrame, snapshots: DataFrame, every_us: int,
     return incidents.withColumn("snapshot_us", at).join(snapshots, "snapshot_us", "left")
 
 
+def incident_sessions(alerts: DataFrame, sessions: DataFrame, incident_id: str) -> DataFrame:
+    """All session rows of the incident's session."""
+    hit = alerts.filter(F.col("event_id") == incident_id)
+    return sessions.filter(F.col("session_id") == hit.agg(F.max("session_id")).scalar())
+
+
+def incident_audit(alerts: DataFrame, blocks: DataFrame, incident_id: str) -> DataFrame:
+    """All block events of the incident's session or source."""
+    hit = alerts.filter(F.col("event_id") == incident_id)
+    session, address = hit.agg(F.max("session_id")).scalar(), hit.agg(F.max("source_ip")).scalar()
+    return blocks.filter((F.col("session_id") == session) | (F.col("source_ip") == address))
+
+
 def incident_detail(
     alerts: DataFrame,
     sessions: DataFrame,
@@ -220,30 +233,28 @@ def incident_detail(
     snapshots: DataFrame,
     incident_id: str,
     every_us: int,
-    related: int = 100,
+    page_size: int = 100,
 ) -> DataFrame:
-    """One incident with its session rows, block events and the telemetry of its time.
+    """One incident with its telemetry, the numbers of related rows and their newest page.
 
-    Rows are pushed down to the incident's session and source before they are nested;
-    lists hold the newest `related`, as a page would.
+    A busy source has more related rows than one record should hold; `incident_sessions`
+    and `incident_audit` give them all.
     """
     hit = alerts.filter(F.col("event_id") == incident_id)
-    session = hit.agg(F.max("session_id")).scalar()
-    address = hit.agg(F.max("source_ip")).scalar()
-    rel_sessions = sessions.filter(F.col("session_id") == session)
-    rel_blocks = blocks.filter((F.col("session_id") == session) | (F.col("source_ip") == address))
-    s = (
-        rel_sessions.orderBy(F.desc("start_time_us")).limit(related)
-        .agg(F.sort_array(F.collect_list(F.struct("start_time_us", "end_time_us", "packet_count", "state")), False).alias("x"))
-    )
-    b = (
-        rel_blocks.orderBy(F.desc("ts_us"), "event_id").limit(related)
-        .agg(F.sort_array(F.collect_list(F.struct("ts_us", "event_id", "action_taken", "reason")), False).alias("x"))
-    )
-    return (
-        nearest_snapshot(hit, snapshots, every_us)
-        .withColumn("related_sessions", s.scalar())
-        .withColumn("related_audit", b.scalar())
+    ses_rows = incident_sessions(alerts, sessions, incident_id)
+    audit = incident_audit(alerts, blocks, incident_id)
+
+    def nested(df: DataFrame, order: list, cols: list[str]):
+        top = df.orderBy(*order).limit(page_size)
+        return top.agg(F.sort_array(F.collect_list(F.struct(*cols)), False)).scalar()
+
+    return nearest_snapshot(hit, snapshots, every_us).withColumns(
+        {
+            "session_count": ses_rows.agg(F.count("*")).scalar(),
+            "audit_count": audit.agg(F.count("*")).scalar(),
+            "related_sessions": nested(ses_rows, [F.desc("start_time_us")], ["start_time_us", "end_time_us", "packet_count", "state"]),
+            "related_audit": nested(audit, [F.desc("ts_us"), F.col("event_id")], ["ts_us", "event_id", "action_taken", "reason"]),
+        }
     )
 
 
@@ -255,7 +266,7 @@ def incident_report(detail: DataFrame) -> DataFrame:
         "related_audit", lambda e: F.concat(F.lit("  - "), e["action_taken"], F.lit(" "), e["reason"])
     )
     md = F.concat_ws(
-        "\n", F.lit("# Incident"), *lines, F.concat(F.lit("- sessions: "), F.size("related_sessions").cast("string")),
+        "\n", F.lit("# Incident"), *lines, F.concat(F.lit("- sessions: "), F.col("session_count").cast("string")),
         F.lit("- audit:"), F.array_join(audit, "\n"),
     )
     csv = F.concat(F.lit(",".join(fields) + "\n"), F.to_csv(F.struct(*fields)))

@@ -784,8 +784,8 @@ cast(count(*) filter (label<>'Normal Traffic' and shadow_label<>'Normal Traffic'
         "alerts session_rows blocks",
         f"""select inc.event_id, inc.prediction, inc.source_ip, inc.session_id, (inc.last_seen_us//3600000000)*3600000000 as snapshot_us,
 (select count(*) from packets where wall_us//3600000000=inc.last_seen_us//3600000000) as received_per_window,
-(select least(count(*),100) from session_rows s where s.session_id=inc.session_id) as sessions,
-(select least(count(*),100) from blocks b where b.session_id=inc.session_id or b.source_ip=inc.source_ip) as audits,
+(select count(*) from session_rows s where s.session_id=inc.session_id) as sessions,
+(select count(*) from blocks b where b.session_id=inc.session_id or b.source_ip=inc.source_ip) as audits,
 (select coalesce(string_agg(event_id,';' order by ts_us desc, event_id desc),'') from (select b.* {_RELATED} order by b.ts_us desc, b.event_id limit 100)) as audit_ids
 from {_INCIDENT} inc""".replace(_RELATED, f"from blocks b, {_INCIDENT} inc where b.session_id=inc.session_id or b.source_ip=inc.source_ip"),
     )
@@ -793,7 +793,7 @@ from {_INCIDENT} inc""".replace(_RELATED, f"from blocks b, {_INCIDENT} inc where
     q["dash_incident_report"] = _sql(
         "alerts session_rows",
         f"""select event_id, '{",".join(fields)}'||chr(10)||concat_ws(',',{",".join(fields)}) as csv,
-concat_ws(chr(10),'# Incident',{",".join(f"'- {c}: '||{c}" for c in fields)},'- sessions: '||(select least(count(*),100) from session_rows s where s.session_id=inc.session_id)) as head from {_INCIDENT} inc""",
+concat_ws(chr(10),'# Incident',{",".join(f"'- {c}: '||{c}" for c in fields)},'- sessions: '||(select count(*) from session_rows s where s.session_id=inc.session_id)) as head from {_INCIDENT} inc""",
     )
     known = "where session_id is not null and session_id not in (select flow_id from sess where reason<>'active') group by all"
     q["chk_orphans"] = _sql(
