@@ -1,6 +1,8 @@
 """Spark session settings used by the tests, the benchmark and local runs."""
 
 import functools
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,25 @@ def local_session(cpus: str = "8", app: str = "netloom") -> SparkSession:
     return tuned(spark)
 
 
+@functools.cache
+def _package() -> str:
+    """This package as a zip file; the driver serves it to the executors."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "netloom")
+    return shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here))
+
+
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        spark.sparkContext.addPyFile(_package())
+        _shipped.add(app)
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on, for any session.
 
@@ -30,6 +51,7 @@ def tuned(spark: SparkSession) -> SparkSession:
     bytecode; with 37 features a fused stage can exceed that, and then runs several times
     slower than the same operators unfused.
     """
+    _ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark

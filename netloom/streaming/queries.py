@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from netloom.operators.ml import score
 from netloom.schema import LOGIN_PORTS, NORMAL
 from netloom.session import scratch
 from netloom.sources.sinks import read_table, upsert
+from netloom.streaming import state
 from netloom.streaming.state import (
     BLOCK_OUT,
     BRUTE_OUT,
@@ -24,6 +26,10 @@ from netloom.streaming.state import (
     SessionState,
 )
 
+# The driver-side worker that starts a stateful query sees no shipped files, hence the
+# processors travel by value.
+cloudpickle.register_pickle_by_value(state)
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
