@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from netloom.llm import language_id
+from netloom.llm import language_id, ngram_join, quality
 
 REGISTRY = {
+    "op2_ngram_jaccard_join": ngram_join.op2,
+    "op7_quality_classifier": quality.op7,
     "op9_language_id": language_id.op9,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import language_id
+from netloom.llm import boosted, language_id, ngram_join, quality
 from netloom.llm.common import prepare
 
 #: A text is rejected if it has no letters or if no language has this share of them.
@@ -19,3 +19,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = language_id.identify(docs, model, spans=False)
     keep = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)
     return found.filter(keep).select(*docs.columns)
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier over all documents: those predicted 0 go. All labels may train it."""
+    prepare(spark)
+    forest = boosted.fit(*quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.score(docs, forest).filter("predicted = 1").select(*docs.columns)
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each class of near duplicates the document with the lowest id stays."""
+    prepare(spark)
+    return ngram_join.keep_first(docs)
