@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from netloom.llm import language_id, ngram_join, quality
+from netloom.llm import language_id, mixing, ngram_join, packing, quality
 
 REGISTRY = {
+    "op1_packing": packing.op1,
     "op2_ngram_jaccard_join": ngram_join.op2,
+    "op8_mixing": mixing.op8,
     "op7_quality_classifier": quality.op7,
     "op9_language_id": language_id.op9,
 }

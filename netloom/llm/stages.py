@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import boosted, language_id, ngram_join, quality
+from netloom.llm import boosted, language_id, mixing, ngram_join, packing, quality
 from netloom.llm.common import prepare
 
 #: A text is rejected if it has no letters or if no language has this share of them.
@@ -32,3 +32,17 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """N-gram Jaccard join: of each class of near duplicates the document with the lowest id stays."""
     prepare(spark)
     return ngram_join.keep_first(docs)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing by soft membership: each document stays with the probability of its rate, which is at most 1 here."""
+    prepare(spark)
+    labelled = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    membership = mixing.fit_membership(docs, labelled, list(mixing.TARGETS))
+    return mixing.mix(docs, membership, mixing.TARGETS, max_rate=1.0).filter("copies > 0").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing into sequences of at most 1024 tokens: the pieces, without their ids."""
+    prepare(spark)
+    return packing.pack(docs, packing.tokenizer_path(), keep_ids=False)
