@@ -70,21 +70,26 @@ def fit_membership(docs: DataFrame, labelled: DataFrame, domains: list[str], fea
     return Membership(domains[: model.numClasses], model, features)
 
 
-def _rate(history: list[list[float]], max_rate: float) -> Column:
-    """A document's rate after the steps so far: each takes a multiple of its posterior, and clips to the allowed range."""
-    rate = F.lit(1.0)
+def _rates(history: list[tuple[list[float], float]], max_rate: float) -> Column:
+    """A document's (rate, ahead) after the steps so far.
+
+    A step takes a multiple of the posterior from the point ahead and clips to the allowed range; the next point ahead
+    lies beyond that in the direction of the step (momentum).
+    """
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not history:
-        return rate
-    steps = F.array(*[F.array(*map(F.lit, step)) for step in history])
+        return start
+    steps = F.array(*[F.struct(F.array(*map(F.lit, move)).alias("move"), F.lit(beyond).alias("beyond")) for move, beyond in history])
 
-    def move(r, step):
-        dot = F.aggregate(F.zip_with("posterior", step, lambda p, s: p * s), F.lit(0.0), lambda a, b: a + b)
-        return F.greatest(F.lit(0.0), F.least(F.lit(max_rate), r - dot))
+    def step(at, s):
+        dot = F.aggregate(F.zip_with("posterior", s["move"], lambda p, m: p * m), F.lit(0.0), lambda x, y: x + y)
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(max_rate), at["ahead"] - dot))
+        return F.struct(rate.alias("rate"), (rate + s["beyond"] * (rate - at["rate"])).alias("ahead"))
 
-    return F.aggregate(steps, rate, move)
+    return F.aggregate(steps, start, step)
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float], domains: list[str], max_rate: float, tolerance: float = 1e-4, most: int = 60) -> Column:
+def fit_rates(scored: DataFrame, targets: dict[str, float], domains: list[str], max_rate: float, tolerance: float = 1e-5, most: int = 60) -> Column:
     """The column of rates, from (n_tokens, posterior) rows.
 
     Minimises the squared distance of expected domain tokens from their targets, each domain scaled by its own weight in
@@ -107,16 +112,20 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], domains: list[str],
     weight = 1.0 / np.maximum(np.diag(gram), 1e-9 * gram.max())
     root = np.sqrt(weight)
     step = 1.0 / np.linalg.eigvalsh(root[:, None] * gram * root).max()
-    history: list[list[float]] = []
-    totals = sums
+    history: list[tuple[list[float], float]] = []
+    ahead = before = sums
+    pace = 1.0
     for _ in range(most):
-        history.append((step * weight * (totals - goal)).tolist())
-        row = scored.agg(*[F.sum(t * p[i] * _rate(history, max_rate)).alias(f"s{i}") for i in range(k)]).first()
-        now = np.array([row[f"s{i}"] for i in range(k)])
-        if np.abs(now - totals).max() <= tolerance * goal.sum():
+        faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        history.append(((step * weight * (ahead - goal)).tolist(), (pace - 1) / faster))
+        pace = faster
+        at = scored.select("n_tokens", "posterior", _rates(history, max_rate).alias("at"))
+        row = at.agg(*[F.sum(t * p[i] * F.col(f"at.{c}")).alias(f"{c}{i}") for i in range(k) for c in ("rate", "ahead")]).first()
+        now, ahead = (np.array([row[f"{c}{i}"] for i in range(k)]) for c in ("rate", "ahead"))
+        if np.abs(now - before).max() <= tolerance * goal.sum():
             break
-        totals = now
-    return _rate(history, max_rate)
+        before = now
+    return _rates(history, max_rate)["rate"]
 
 
 def mix(docs: DataFrame, membership: Membership, targets: dict[str, float], max_rate: float = 4.0, keep_text: bool = True, seed: int = 5) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from netloom.llm import language_id, mixing, ngram_join, packing, quality
+from netloom.llm import kd_shards, language_id, mixing, ngram_join, packing, quality, url_filter
 
 REGISTRY = {
     "op1_packing": packing.op1,
     "op2_ngram_jaccard_join": ngram_join.op2,
     "op8_mixing": mixing.op8,
+    "op3_kd_shards": kd_shards.op3,
+    "op5_url_filter": url_filter.op5,
     "op7_quality_classifier": quality.op7,
     "op9_language_id": language_id.op9,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_url_filter": url_filter.SQL}
