@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netloom.llm import kd_shards, language_id, mixing, ngram_join, packing, quality, url_filter
+from netloom.llm import exact_topk, fingerprints, kd_shards, language_id, mixing, ngram_join, packing, quality, reply_trees, url_filter
 
 REGISTRY = {
     "op1_packing": packing.op1,
@@ -10,7 +10,10 @@ REGISTRY = {
     "op8_mixing": mixing.op8,
     "op3_kd_shards": kd_shards.op3,
     "op5_url_filter": url_filter.op5,
+    "op4_reply_trees": reply_trees.op4,
+    "op6_fingerprints": fingerprints.op6,
     "op7_quality_classifier": quality.op7,
+    "op10_exact_topk": exact_topk.op10,
     "op9_language_id": language_id.op9,
 }
 

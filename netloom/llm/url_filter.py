@@ -36,10 +36,10 @@ def list_rule(verdict: str, host: str, path: str) -> Rule:
 
 #: The standing list: (verdict, host, path).
 LIST = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: The standing patterns, for URLs that no rule of the list fits: advertisements, pages behind forms, and doubles of pages.
+#: The standing patterns, for URLs that no rule of the list fits: hosts named for advertisements or spam, pages behind forms, and doubles of pages.
 PATTERNS = (
     Rule(r"(?i)^ftp://", ("ftp",), "block"),
-    Rule(r"(?i)://(?:[^/?#]*[.-])?ads[.-]", ("ads",), "block"),
+    *(Rule(rf"(?i)://(?:[^/?#]*[.-])?{word}[.-]", (word,), "block") for word in ("ads", "adult", "bets", "casino", "pills", "spam")),
     Rule(r"(?i)/cgi-bin/", ("cgi", "bin"), "block"),
     Rule(r"(?i)/wp-admin/", ("wp", "admin"), "block"),
     Rule(r"(?i)/login(?:[/?#.]|$)", ("login",), "block"),
