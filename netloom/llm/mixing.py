@@ -52,22 +52,20 @@ class Membership:
 def fit_membership(docs: DataFrame, labelled: DataFrame, domains: list[str], features: int = 1 << 14, fit_rows: int = 20_000) -> Membership:
     """Multinomial regression on the words of labelled documents.
 
-    `fit_rows` bounds the labels used (the first by hash), and so the table broadcast; it concerns the fit only.
+    `fit_rows` bounds the labels used (the first by hash), and so the table broadcast; it concerns the fit only. Domains
+    without labelled documents are left out.
     """
-    chosen = labelled.filter(F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    chosen = stored(labelled.filter(F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "mixing-labels")
     empty = Membership(domains, None, features)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", empty.words().alias("__words"))
-    number = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("double") - 1
-    data = HashingTF(numFeatures=features, binary=True, inputCol="__words", outputCol="__features").transform(rows.withColumn("__label", number)).select("__label", "__features").persist()
-    try:
-        seen = sorted(int(r[0]) for r in data.select("__label").distinct().collect())
-        if len(seen) < 2:
-            order = [domains[k] for k in seen] + [d for k, d in enumerate(domains) if k not in seen]
-            return Membership(order, None, features)
-        model = LogisticRegression(family="multinomial", maxIter=25, regParam=1e-3, standardization=False, labelCol="__label", featuresCol="__features", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction").fit(data)
-    finally:
-        data.unpersist()
-    return Membership(domains[: model.numClasses], model, features)
+    seen = {r[0] for r in rows.select("domain").distinct().collect()}
+    present = [d for d in domains if d in seen]
+    if len(present) < 2:
+        return Membership([*present, *(d for d in domains if d not in seen)], None, features)
+    number = F.array_position(F.array(*map(F.lit, present)), F.col("domain")).cast("double") - 1
+    data = HashingTF(numFeatures=features, binary=True, inputCol="__words", outputCol="__features").transform(rows.withColumn("__label", number)).select("__label", "__features")
+    model = LogisticRegression(family="multinomial", maxIter=25, regParam=1e-3, standardization=False, labelCol="__label", featuresCol="__features", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction").fit(data)
+    return Membership(present, model, features)
 
 
 def _rates(history: list[tuple[list[float], float]], max_rate: float) -> Column:
@@ -109,7 +107,7 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], domains: list[str],
     share = share / share.sum()
     lead = int(share.argmax())
     goal = share * sums[lead] / share[lead]
-    weight = 1.0 / np.maximum(np.diag(gram), 1e-9 * gram.max())
+    weight = 1.0 / np.maximum(np.diag(gram), 1e-3 * gram.max())  # a domain with next to no tokens can't outweigh the others
     root = np.sqrt(weight)
     step = 1.0 / np.linalg.eigvalsh(root[:, None] * gram * root).max()
     history: list[tuple[list[float], float]] = []

@@ -307,7 +307,8 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
             yield out.filter(pa.array(same))
 
-    wanted = met.select("jk", "rep").distinct()
+    # both sides are dealt by key at every size: the nodes wanted grow with the input
+    wanted = met.select("jk", "rep").distinct().hint("shuffle_hash")
     whole = docs.select(_row_key().alias("jk"), "text").join(wanted, "jk").select("rep", "text").mapInArrow(shingle, "rep string, shingles binary").dropDuplicates(["rep"])
     tasks = met.drop("jk").join(whole, "rep").select("bucket", "lo", "hi", "own", "rep", "copies", "buckets", "shingles")
     results = stored(compare(_side_by_side(tasks), settings), "ngram-links")
