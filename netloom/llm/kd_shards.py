@@ -59,7 +59,7 @@ def _major() -> Column:
 
 
 def _minor() -> Column:
-    return F.shiftleft(F.col("text_hash").bitwiseAND(F.lit(0xFFFFFFFF)), 31) + F.col("id_hash").bitwiseAND(F.lit(0x7FFFFFFF))
+    return F.shiftleft(F.col("text_hash").bitwiseAND(F.lit(0x7FFFFFFF)), 31) + F.col("id_hash").bitwiseAND(F.lit(0x7FFFFFFF))
 
 
 def _narrow(rows: DataFrame, cuts: list[Cut], bins: int, slack: float) -> None:

@@ -7,8 +7,9 @@ partly filled bin and gaps shorter than `min_cut`.
 
 from __future__ import annotations
 
-import os
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,30 +22,49 @@ from netloom.llm.common import batches, prepare, read, texts
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Encoder:
-    """Token ids of texts, as little-endian bytes.
+#: Fixed value: how byte-level vocabularies split a text before merging.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    A token never holds a space inside, so a text can be cut before a space unless white space stands on both sides
-    of it. The ids of each stretch between cuts are remembered; only new stretches reach the tokenizer.
-    """
 
-    def __init__(self, path: str, end: int, most: int = 400_000, stretch: int = 1 << 20):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def byte_signs() -> dict[str, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if it prints, else the next of those from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(rest)}
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([end], self.dtype).tobytes()
-        self.most, self.stretch, self.known = most, stretch, {}
 
-    def _encode(self, values: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(values, add_special_tokens=False)]
+class Encoder:
+    """Token ids of texts: those of the tokenizer file, by a faster encoder over its vocabulary.
+
+    A very long text is encoded in parts. No token goes on past the start of a run of white space, so a text can be cut before
+    a space that has no white space beside it.
+    """
 
-    def _stretches(self, text: str) -> Iterator[str]:
+    def __init__(self, path: str, end: int, part: int = 1 << 20):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        model, split = given["model"], given["pre_tokenizer"]
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if model["type"] != "BPE" or split["type"] != "ByteLevel" or split["add_prefix_space"] or given["normalizer"] or merged != sorted(merged):
+            raise ValueError("a byte-level BPE vocabulary whose ids follow the order of merges is needed")
+        signs = byte_signs()
+        ranks = {bytes(map(signs.__getitem__, token)): k for token, k in model["vocab"].items()}
+        special = {t["content"]: t["id"] for t in given["added_tokens"]}
+        for name in special:
+            ranks.pop(name.encode(), None)
+        self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = tuple(special)
+        self.dtype = np.dtype("<u2" if self.encoding.n_vocab <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.end, self.part = end, part
+
+    def _parts(self, text: str) -> Iterator[str]:
         """The text in parts of bounded length, each but the first beginning with a space where a cut is safe."""
         at = 0
-        while len(text) - at > self.stretch:
-            cut = text.find(" ", at + self.stretch)
+        while len(text) - at > self.part:
+            cut = text.find(" ", at + self.part)
             while cut > 0 and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].isspace()):
                 cut = text.find(" ", cut + 1)
             if cut < 0:
@@ -53,23 +73,15 @@ class Encoder:
             at = cut
         yield text[at:]
 
-    def __call__(self, values: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        out: list[list[bytes]] = [[] for _ in values]
-        parts = [(k, s) for k, text in enumerate(values) for s in self._stretches(text)]
-        heads = self._encode([s.split(" ", 1)[0] for _, s in parts])
-        words = [s.split(" ")[1:] for _, s in parts]
-        new = [w for w in {w for ws in words for w in ws}.difference(self.known)]
-        plain = [w for w in new if w and not w[0].isspace()]
-        self.known.update(zip(plain, self._encode([f" {w}" for w in plain]), strict=True))
-        odd = {w for w in new if not w or w[0].isspace()}
-        for (k, s), head, ws in zip(parts, heads, words, strict=True):
-            if odd and not odd.isdisjoint(ws):  # white space on both sides of a space, perhaps
-                out[k] += self._encode([s])
+    def __call__(self, text: str) -> np.ndarray:
+        ids = array(self.code)
+        for part in self._parts(text):
+            if any(name in part for name in self.special):
+                ids.extend(self.encoding.encode(part, allowed_special="all"))
             else:
-                out[k] += [head, *map(self.known.__getitem__, ws)]
-        return [np.frombuffer(b"".join([*o, self.end]), self.dtype) for o in out]
+                ids.extend(self.encoding.encode_ordinary(part))
+        ids.append(self.end)
+        return np.frombuffer(ids, self.dtype)
 
 
 class Tournament:
@@ -144,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, end: int = 0, group
     def tokens(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, end)
         for batch in batches(parts, 4 << 20):
-            ids = encoder(texts(batch))
+            ids = [encoder(t) for t in texts(batch)]
             cuts = [(k, a) for k, x in enumerate(ids) for a in range(0, len(x), width)]
             rows = pa.array([k for k, _ in cuts], pa.int64())
             pieces = [ids[k][a : a + width] for k, a in cuts]
@@ -153,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, end: int = 0, group
                 names=["doc_id", "start", "doc_tokens", "piece"],
             )
 
-    wide = "<u2" if _small_vocabulary(tokenizer) else "<u4"
+    wide = Encoder(tokenizer, end).dtype
 
     def fill(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
@@ -183,12 +195,6 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, end: int = 0, group
     return dealt.groupBy("group").applyInArrow(fill, f"doc_id {doc_id}, {PIECES}" + (", ids binary" if keep_ids else ""))
 
 
-def _small_vocabulary(path: str) -> bool:
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path).get_vocab_size() <= 1 << 16
-
-
 def tokenizer_path() -> str:
     import public_tokenizers
 

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from netloom.llm import boosted, fingerprints, language_id, mixing, ngram_join, packing, quality
 from netloom.llm.common import prepare
@@ -171,8 +172,6 @@ def test_mixing_meets_targets(spark, docs, empty):
 
 
 def test_packing_equals_tokenizer(spark, docs, empty):
-    from tokenizers import Tokenizer
-
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
     got = packing.pack(docs, packing.tokenizer_path(), group_bytes=20_000).toPandas()
     want = {}
@@ -193,10 +192,11 @@ def test_packing_equals_tokenizer(spark, docs, empty):
 
 
 def test_encoder_cuts_at_spaces_only_where_safe():
-    encoder = packing.Encoder(packing.tokenizer_path(), 0, stretch=7)
-    texts = ["", " ", "  a", "a \n b", "a\n \nb", "don't  stop ,now \t x", "é  ü\u00a0 \u00a0z", "x" * 40 + " y z  w", "<|endoftext|> a <|endoftext|>"]
-    plain = [[*e.ids, 0] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in encoder(texts)] == plain == [x.tolist() for x in encoder(texts)]
+    encoder = packing.Encoder(packing.tokenizer_path(), 0, part=7)
+    texts = ["", " ", "  a", "a \n b", "a\n \nb", "don't  stop ,now \t x", "a\n\nb\n\n\nc \n", "\n a\tb\u2003 c, d.\x1c e", "é  ü\u00a0 \u00a0z", "x" * 40 + " y z  w", "<|endoftext|> a <|endoftext|>"]
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    plain = [[*e.ids, 0] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [encoder(t).tolist() for t in texts] == plain
 
 
 def test_first_fit_decreasing():
