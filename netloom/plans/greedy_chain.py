@@ -6,15 +6,14 @@ that are accepted only outside a cooldown. Each choice depends on the one before
 hot key must not be walked by one task.
 
 Only the first row of each key and microsecond can be chosen, so rows reduce to those
-by partial aggregation first; what is left is stored. Keys that are small enough are
-then walked directly. Otherwise every (key, block of time) reduces to a table "first
+by partial aggregation first. Every (key, block of time) then reduces to a table "first
 candidate time -> when the chain may resume after this block". Composing these tables,
 `fan_in` at a time, gives the state at the start of each block, after which all blocks
-mark their chosen rows independently. No group ever holds more than one block, whose
-size the time resolution bounds, or `fan_in` tables.
+mark their chosen rows independently. A group holds one block, whose size the time
+resolution bounds, or `fan_in` tables, or (at the top) one table of each
+`fan_in` ** `levels` blocks of a key. Nothing runs while the plan is built.
 """
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.plans.slices import slice_of
-from netloom.session import stored
 
 NEVER = np.iinfo(np.int64).max
 START = np.iinfo(np.int64).min
@@ -77,27 +75,21 @@ def greedy_chain(
     hold: str | None = None,
     reset: str | None = None,
     block_us: int | None = None,
-    fan_in: int = 8,
-    rows_per_task: int = 5_000_000,
+    fan_in: int = 512,
+    levels: int = 1,
 ) -> DataFrame:
     """The chosen rows: `keys`, `t`, `tie`, and `hold_before`, the `hold` value of the row
     chosen before (the least long for the first).
 
     `resume` of a row lies after it by at most `horizon_us`. A row with `reset` true is
-    always chosen and should precede others of its time. Keys with more than
-    `rows_per_task` distinct times are split into blocks of `block_us`.
+    always chosen and should precede others of its time.
     """
     block_us = block_us or 4 * horizon_us
     held = hold or resume
     flag = [F.coalesce(F.col(reset), F.lit(False)).alias("reset")] if reset else [F.lit(False).alias("reset")]
     first = F.min(F.struct(F.col(tie).alias("tie"), F.col(resume).alias("resume"), F.col(held).alias("hold")))
-    base = stored(
-        df.groupBy(*keys, F.col(t).alias("t"), *flag).agg(first.alias("_f"))
-        .select(*keys, "t", "reset", "_f.*", slice_of(F.col("t"), block_us).alias("_blk")),
-        "chain",
-    )
-    sizes = base.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("_blk") - F.min("_blk") + 1).alias("span"))
-    largest = sizes.agg(F.max("n").alias("n"), F.max("span").alias("span")).first()
+    firsts = df.groupBy(*keys, F.col(t).alias("t"), *flag).agg(first.alias("_f"))
+    base = firsts.select(*keys, "t", "reset", "_f.*", slice_of(F.col("t"), block_us).alias("_blk"))
     out_t, out_tie = t, tie
     key_fields = [f for f in base.schema.fields if f.name in keys]
     key_fields = [next(f for f in key_fields if f.name == k) for k in keys]
@@ -218,15 +210,8 @@ def greedy_chain(
     def mark(key: tuple, rows: pa.Table, starts: pa.Table) -> pa.Table:
         return chosen_rows(rows, starts.column("ready_us")[0].as_py(), starts.column("held_us")[0].as_py())
 
-    def mark_key(rows: pa.Table) -> pa.Table:
-        return chosen_rows(rows, START, START)
-
     out_schema = T.StructType([*key_fields, *[T.StructField(c, T.LongType()) for c in ("t", "tie", "hold_before")]])
-    if (largest["n"] or 0) <= rows_per_task:
-        out = base.groupBy(*keys).applyInArrow(mark_key, out_schema)
-    else:
-        tables = base.groupBy(*keys, "_blk").applyInArrow(block_table, table_schema)
-        levels = max(0, math.ceil(math.log(largest["span"], fan_in)) - 1)
-        starts = block_starts(tables, levels)
-        out = base.groupBy(*keys, "_blk").cogroup(starts.groupBy(*keys, "_blk")).applyInArrow(mark, out_schema)
+    tables = base.groupBy(*keys, "_blk").applyInArrow(block_table, table_schema)
+    starts = block_starts(tables, levels)
+    out = base.groupBy(*keys, "_blk").cogroup(starts.groupBy(*keys, "_blk")).applyInArrow(mark, out_schema)
     return out.withColumnsRenamed({"t": out_t, "tie": out_tie})
