@@ -524,8 +524,10 @@ def alr_upsert(spark, sf):
 def evt_ids(spark, sf):
     a = ses.assign_sessions(packets(spark, sf))
     scored = derived.rule_scorer(feat.session_features(a))
-    e = al.ids_events(scored, "ml_completed_flow_prediction", True)
-    return e.withColumn("session_packet_count", F.col("features.session_packet_count")).drop("features", "flow_duration")
+    closed = ses.session_summary(a, ses.newest_time(packets(spark, sf))).filter("reason <> 'active'").select("flow_id", "start_us", "start_packet")
+    e = al.ids_events(scored.join(closed, ["flow_id", "start_us", "start_packet"]), "ml_completed_flow_prediction", True)
+    forwarded = [F.col(f"features.{c}").alias(f"feature_{c}") for c in FEATURES]
+    return e.select("*", *[f"features.{c}" for c in ("session_packet_count", "session_byte_count", "is_final")], *forwarded).drop("features")
 
 
 @query
@@ -727,22 +729,21 @@ def _incident(spark, sf):
     snaps = p.groupBy((F.floor(F.col("wall_us") / F.lit(3600 * SECOND)) * 3600 * SECOND).cast("bigint").alias("snapshot_us")).agg(
         F.count("*").alias("received_per_window")
     )
-    return dash.incident_detail(alerts, sessions, _blocks(spark, sf), snaps, newest, 3600 * SECOND)
+    blocks = _blocks(spark, sf)
+    detail = dash.incident_detail(alerts, sessions, blocks, snaps, newest, 3600 * SECOND)
+    return newest, detail, dash.incident_sessions(alerts, sessions, newest), dash.incident_audit(alerts, blocks, newest)
 
 
 @query
 def dash_incident_detail(spark, sf):
-    d = _incident(spark, sf)
-    return d.select(
-        "event_id", "prediction", "source_ip", "session_id", "snapshot_us", "received_per_window",
-        F.col("session_count").alias("sessions"), F.col("audit_count").alias("audits"),
-        F.array_join(F.transform("related_audit", lambda e: e["event_id"]), ";").alias("audit_ids"),
-    )
+    newest, detail, sessions, audit = _incident(spark, sf)
+    return dash.incident_related(detail, sessions, audit, newest)
 
 
 @query
 def dash_incident_report(spark, sf):
-    return dash.incident_report(_incident(spark, sf)).select("event_id", "csv", F.substring_index("markdown", "\n- audit:", 1).alias("head"))
+    _, detail, _, audit = _incident(spark, sf)
+    return dash.incident_report(detail, audit)
 
 
 @query

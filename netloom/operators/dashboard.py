@@ -226,51 +226,49 @@ def incident_audit(alerts: DataFrame, blocks: DataFrame, incident_id: str) -> Da
     return blocks.filter((F.col("session_id") == session) | (F.col("source_ip") == address))
 
 
-def incident_detail(
-    alerts: DataFrame,
-    sessions: DataFrame,
-    blocks: DataFrame,
-    snapshots: DataFrame,
-    incident_id: str,
-    every_us: int,
-    page_size: int = 100,
-) -> DataFrame:
-    """One incident with its telemetry, the numbers of related rows and their newest page.
-
-    A busy source has more related rows than one record should hold; `incident_sessions`
-    and `incident_audit` give them all.
-    """
+def incident_detail(alerts: DataFrame, sessions: DataFrame, blocks: DataFrame, snapshots: DataFrame, incident_id: str, every_us: int) -> DataFrame:
+    """One incident with its nearest telemetry, and the numbers of its related sessions and audit rows."""
     hit = alerts.filter(F.col("event_id") == incident_id)
-    ses_rows = incident_sessions(alerts, sessions, incident_id)
-    audit = incident_audit(alerts, blocks, incident_id)
-
-    def nested(df: DataFrame, order: list, cols: list[str]):
-        top = df.orderBy(*order).limit(page_size)
-        return top.agg(F.sort_array(F.collect_list(F.struct(*cols)), False)).scalar()
-
     return nearest_snapshot(hit, snapshots, every_us).withColumns(
         {
-            "session_count": ses_rows.agg(F.count("*")).scalar(),
-            "audit_count": audit.agg(F.count("*")).scalar(),
-            "related_sessions": nested(ses_rows, [F.desc("start_time_us")], ["start_time_us", "end_time_us", "packet_count", "state"]),
-            "related_audit": nested(audit, [F.desc("ts_us"), F.col("event_id")], ["ts_us", "event_id", "action_taken", "reason"]),
+            "session_count": incident_sessions(alerts, sessions, incident_id).agg(F.count("*")).scalar(),
+            "audit_count": incident_audit(alerts, blocks, incident_id).agg(F.count("*")).scalar(),
         }
     )
 
 
-def incident_report(detail: DataFrame) -> DataFrame:
-    """The incident as markdown and CSV text."""
-    fields = ["event_id", "prediction", "severity", "source_ip", "destination_ip", "status", "occurrence_count"]
-    lines = [F.concat(F.lit(f"- {c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in fields]
-    audit = F.transform(
-        "related_audit", lambda e: F.concat(F.lit("  - "), e["action_taken"], F.lit(" "), e["reason"])
+def incident_related(detail: DataFrame, sessions: DataFrame, audit: DataFrame, incident_id: str) -> DataFrame:
+    """The incident, its sessions and its audit rows as one long table: all of them, however many."""
+    own = F.lit(incident_id).alias("incident_id")
+    return (
+        detail.select(own, F.lit("incident").alias("kind"), F.col("event_id").alias("ref"), F.col("snapshot_us").alias("at_us"), F.col("prediction").alias("detail"), F.col("received_per_window").alias("n"))
+        .unionByName(sessions.select(own, F.lit("session").alias("kind"), F.col("session_id").alias("ref"), F.col("start_time_us").alias("at_us"), F.col("state").alias("detail"), F.col("packet_count").alias("n")))
+        .unionByName(audit.select(own, F.lit("audit").alias("kind"), F.col("event_id").alias("ref"), F.col("ts_us").alias("at_us"), F.col("action_taken").alias("detail"), F.lit(None).cast("bigint").alias("n")))
     )
-    md = F.concat_ws(
-        "\n", F.lit("# Incident"), *lines, F.concat(F.lit("- sessions: "), F.col("session_count").cast("string")),
-        F.lit("- audit:"), F.array_join(audit, "\n"),
-    )
-    csv = F.concat(F.lit(",".join(fields) + "\n"), F.to_csv(F.struct(*fields)))
-    return detail.select("event_id", md.alias("markdown"), csv.alias("csv"))
+
+
+def incident_report(detail: DataFrame, audit: DataFrame) -> DataFrame:
+    """The incident as lines of markdown and CSV text.
+
+    Lines are rows, as a busy source has more audit lines than one record should hold: the text of a `part` is its
+    lines by `place`, newest first within a place, then by `ref`.
+    """
+    fields = ["event_id", "prediction", "severity", "source_ip", "destination_ip", "status", "occurrence_count"]
+    heads = [
+        F.lit("# Incident"), *[F.concat(F.lit(f"- {c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in fields],
+        F.concat(F.lit("- sessions: "), F.col("session_count").cast("string")), F.lit("- audit:"),
+    ]
+    csv = [F.lit(",".join(fields)), F.to_csv(F.struct(*fields))]
+    none = [F.lit(None).cast("bigint").alias("at_us"), F.lit(None).cast("string").alias("ref")]
+
+    def lines(part: str, texts: list) -> DataFrame:
+        return detail.select("event_id", F.lit(part).alias("part"), F.posexplode(F.array(*texts)).alias("place", "line")).select("event_id", "part", "place", *none, "line")
+
+    said = F.concat(F.lit("  - "), "action_taken", F.lit(" "), "reason")
+    incident = detail.select(F.col("event_id").alias("of"))
+    rows = audit.select(F.lit("markdown").alias("part"), F.lit(len(heads)).alias("place"), F.col("ts_us").alias("at_us"), F.col("event_id").alias("ref"), said.alias("line"))
+    each = rows.join(F.broadcast(incident)).select(F.col("of").alias("event_id"), "part", "place", "at_us", "ref", "line")  # one incident
+    return lines("csv", csv).unionByName(lines("markdown", heads)).unionByName(each)
 
 
 def orphans(sessions: DataFrame, **tables: DataFrame) -> DataFrame:
@@ -306,7 +304,9 @@ def shadow_pairs(primary: DataFrame, shadow: DataFrame, tol_us: int = SECOND, sl
     w = Window.partitionBy("session_id", "_slice").orderBy("t", "mine")
     other = F.when(~F.col("mine"), F.struct("t", "label"))
     behind = F.last(other, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(other, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # The next one is the last of a descending window, which grows with the row; an unbounded frame ahead would be scanned again for each.
+    back_w = Window.partitionBy("session_id", "_slice").orderBy(F.desc("t"), F.desc("mine"))
+    ahead = F.last(other, ignorenulls=True).over(back_w.rowsBetween(Window.unboundedPreceding, 0))
     back, fore = F.col("t") - F.col("_a.t"), F.col("_z.t") - F.col("t")
     near_back, near_fore = F.coalesce(back <= tol_us, F.lit(False)), F.coalesce(fore <= tol_us, F.lit(False))
     use_back = near_back & (~near_fore | (back <= fore))

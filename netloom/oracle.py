@@ -310,11 +310,11 @@ from cmdfold s join firsts n on n.ip=s.ip and n.rn=s.rn+1"""
 CTE["blocks"] = """
 select 'b-'||o_orderkey as event_id, 1704067200000000+o_orderkey*173000000%2592000000000 as ts_us, '10.0.0.'||(1+o_custkey%12) as source_ip,
  case o_orderpriority when '1-URGENT' then (case when o_orderkey%2=0 then 'block' else 'blocked' end) when '2-HIGH' then 'unblocked'
-  when '3-MEDIUM' then (case when o_orderkey%2=0 then 'watchlist' else 'watchlisted' end) end as action_taken,
+  when '3-MEDIUM' then (case when o_orderkey%2=0 then 'watchlist' else 'watchlisted' end) when '4-NOT SPECIFIED' then 'unwatchlisted' else 'allowed' end as action_taken,
  'reason_'||(o_custkey%4) as reason, case when o_custkey%2=0 then 'manual' else 'heuristic' end as detection_method,
  case when o_orderkey%2=0 then '10.0.0.'||(1+o_custkey%12)||':40000-10.1.0.'||(1+o_custkey%3)||':22-6' end as session_id,
  case when o_orderpriority='1-URGENT' then 1704067200000000+o_orderkey*173000000%2592000000000+2700000000 end as expires_us
-from orders where o_orderpriority in ('1-URGENT','2-HIGH','3-MEDIUM')"""
+from orders"""
 _NORM = "case action_taken when 'block' then 'blocked' when 'watchlist' then 'watchlisted' else action_taken end"
 CTE["last_block"] = f"select *, {_NORM} as st, row_number() over (partition by source_ip order by ts_us desc, event_id desc) as rn from blocks"
 CTE["control"] = """
@@ -664,12 +664,13 @@ where fin or pa is null or pf or not (pa=attack_type and pc=confidence and pb=bl
     )
     q["alr_upsert"] = _sql("alerts", "select * from alerts")
     q["evt_ids"] = _sql(
-        "ruled",
+        "ruled sess",
         f"""select '1.0' as schema_version, {event_id("flow_id", "'ml_completed_flow_prediction'", "label", "end_us")} as event_id, end_us as ts_us, src_ip as source, src_ip as source_ip,
 dst_ip as destination_ip, src_port as source_port, dport as destination_port, proto as protocol, 'primary' as model, label as prediction, label as attack_type, confidence,
 confidence as confidence_score, {SEV.format("label", "confidence")} as severity, case when label='Normal Traffic' then 'allow' else 'alert' end as action,
 case when label='Normal Traffic' then 'allow' else 'alert' end as action_taken, 'ml_completed_flow_prediction' as detection_method, flow_id as session_id, confidence as risk_score,
-n as packet_count, bytes as byte_count, label as ml_prediction, n as session_packet_count from ruled""",
+n as packet_count, bytes as byte_count, cast(round(cast(flow_duration as decimal(18,6)), 4) as double) as flow_duration, label as ml_prediction, n as session_packet_count, bytes as session_byte_count, true as is_final,
+{", ".join(f"{f} as feature_{f}" for f in FEATURES)} from ruled join (select flow_id, start_us, start_packet from sess where reason<>'active') using (flow_id, start_us, start_packet)""",
     )
     shadow_kind = "case when is_final then 'ml_completed_flow_secondary_shadow' else 'ml_live_secondary_shadow' end"
     q["evt_shadow"] = _sql(
@@ -782,18 +783,19 @@ cast(count(*) filter (label<>'Normal Traffic' and shadow_label<>'Normal Traffic'
     q["dash_audit"] = _sql("blocks", _page("event_id, ts_us, source_ip, action_taken", "blocks", "true", "ts_us desc, event_id", 30, 10))
     q["dash_incident_detail"] = _sql(
         "alerts session_rows blocks",
-        f"""select inc.event_id, inc.prediction, inc.source_ip, inc.session_id, (inc.last_seen_us//3600000000)*3600000000 as snapshot_us,
-(select count(*) from packets where wall_us//3600000000=inc.last_seen_us//3600000000) as received_per_window,
-(select count(*) from session_rows s where s.session_id=inc.session_id) as sessions,
-(select count(*) from blocks b where b.session_id=inc.session_id or b.source_ip=inc.source_ip) as audits,
-(select coalesce(string_agg(event_id,';' order by ts_us desc, event_id desc),'') from (select b.* {_RELATED} order by b.ts_us desc, b.event_id limit 100)) as audit_ids
-from {_INCIDENT} inc""".replace(_RELATED, f"from blocks b, {_INCIDENT} inc where b.session_id=inc.session_id or b.source_ip=inc.source_ip"),
+        f"""select event_id as incident_id, 'incident' as kind, event_id as ref, (last_seen_us//3600000000)*3600000000 as at_us, prediction as detail,
+ (select count(*) from packets where wall_us//3600000000=last_seen_us//3600000000) as n from {_INCIDENT}
+union all select inc.event_id, 'session', s.session_id, s.start_time_us, s.state, s.packet_count from session_rows s join {_INCIDENT} inc on s.session_id=inc.session_id
+union all select inc.event_id, 'audit', b.event_id, b.ts_us, b.action_taken, null from blocks b join {_INCIDENT} inc on b.session_id=inc.session_id or b.source_ip=inc.source_ip""",
     )
     fields = ["event_id", "prediction", "severity", "source_ip", "destination_ip", "status", "occurrence_count"]
+    heads = ["'# Incident'", *(f"'- {c}: '||coalesce(cast({c} as varchar),'')" for c in fields), "'- sessions: '||(select count(*) from session_rows s where s.session_id=inc.session_id)", "'- audit:'"]
     q["dash_incident_report"] = _sql(
-        "alerts session_rows",
-        f"""select event_id, '{",".join(fields)}'||chr(10)||concat_ws(',',{",".join(fields)}) as csv,
-concat_ws(chr(10),'# Incident',{",".join(f"'- {c}: '||{c}" for c in fields)},'- sessions: '||(select count(*) from session_rows s where s.session_id=inc.session_id)) as head from {_INCIDENT} inc""",
+        "alerts session_rows blocks",
+        f"""select event_id, 'csv' as part, i as place, cast(null as bigint) as at_us, cast(null as varchar) as ref, x as line
+ from (select event_id, unnest(['{",".join(fields)}', concat_ws(',',{",".join(fields)})]) as x, unnest([0,1]) as i from {_INCIDENT})
+union all select event_id, 'markdown', i, null, null, x from (select inc.event_id, unnest([{", ".join(heads)}]) as x, unnest(range({len(heads)})) as i from {_INCIDENT} inc)
+union all select inc.event_id, 'markdown', {len(heads)}, b.ts_us, b.event_id, '  - '||b.action_taken||' '||b.reason from blocks b join {_INCIDENT} inc on b.session_id=inc.session_id or b.source_ip=inc.source_ip""",
     )
     known = "where session_id is not null and session_id not in (select flow_id from sess where reason<>'active') group by all"
     q["chk_orphans"] = _sql(

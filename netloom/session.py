@@ -19,6 +19,7 @@ def local_session(cpus: str = "8", app: str = "netloom") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -63,11 +64,12 @@ def _local_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for shared files; a temporary one only in local mode."""
+    """The folder the cluster names for shared files; without one, a folder of this machine, which only a session whose tasks
+    all run in this process can use."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext._jsc.sc().isLocal():
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_dir()
 

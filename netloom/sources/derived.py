@@ -143,7 +143,7 @@ def packet_headers(packets: DataFrame) -> DataFrame:
 
 
 def recorded_block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored block-event table: one row per order with a known action, both spellings."""
+    """A stored block-event table: one row per order, with both spellings of actions."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     # Order priority -> recorded action.
@@ -151,10 +151,12 @@ def recorded_block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderpriority") == "1-URGENT", F.when(key % 2 == 0, "block").otherwise("blocked"))
         .when(F.col("o_orderpriority") == "2-HIGH", "unblocked")
         .when(F.col("o_orderpriority") == "3-MEDIUM", F.when(key % 2 == 0, "watchlist").otherwise("watchlisted"))
+        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "unwatchlisted")
+        .otherwise("allowed")
     )
     ip = F.concat(F.lit("10.0.0."), (1 + cust % 12).cast("string"))
     ts = 1_704_067_200_000_000 + key * 173_000_000 % 2_592_000_000_000
-    return o.filter(action.isNotNull()).select(
+    return o.select(
         F.concat(F.lit("b-"), key.cast("string")).alias("event_id"),
         ts.alias("ts_us"),
         ip.alias("source_ip"),
@@ -162,7 +164,7 @@ def recorded_block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("reason_"), (cust % 4).cast("string")).alias("reason"),
         F.when(cust % 2 == 0, "manual").otherwise("heuristic").alias("detection_method"),
         F.when(key % 2 == 0, F.concat(ip, F.lit(":40000-10.1.0."), (1 + cust % 3).cast("string"), F.lit(":22-6"))).alias("session_id"),
-        F.when(action.startswith("block"), ts + 2_700_000_000).alias("expires_us"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", ts + 2_700_000_000).alias("expires_us"),
     )
 
 
