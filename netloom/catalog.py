@@ -170,10 +170,16 @@ def snk_activity_jsonl(spark, sf):
 
 @query
 def snk_fanout(spark, sf):
-    e = _events(spark, sf).select("event_id", "ts_us", F.col("prediction").alias("label"), F.lit("ids-events").alias("kind"))
-    b = derived.recorded_block_events(spark, sf).select("event_id", "ts_us", F.col("reason").alias("label"), F.lit("block-events").alias("kind"))
+    """All five kinds of records in two batches; the second one is delivered twice."""
+    def records(df, kind, ts, label):
+        return df.select(F.col(ts).alias("ts_us"), F.col(label).alias("label"), F.lit(kind).alias("kind"))
+
+    hours = packets(spark, sf).groupBy((F.floor(F.col("wall_us") / F.lit(3600 * SECOND)) * 3600 * SECOND).cast("bigint").alias("ts_us")).agg(F.lit("snapshot").alias("label"))
+    first = [records(_events(spark, sf), "ids-events", "ts_us", "prediction"), records(_alerts(spark, sf), "alerts", "last_seen_us", "severity"), records(hours, "telemetry", "ts_us", "label")]
+    second = [records(derived.recorded_block_events(spark, sf), "block-events", "ts_us", "reason"), records(_session_rows(spark, sf), "session-updates", "start_time_us", "state")]
     root = scratch(spark, "fanout")
-    sinks.fan_out(e.unionByName(b), root, ["ids-events", "block-events"])
+    for number, parts in ((0, first), (1, second), (1, second)):
+        sinks.fan_out(reduce(DataFrame.unionByName, parts), root, ["ids-events", "block-events", "alerts", "session-updates", "telemetry"], number)
     return spark.read.parquet(root).groupBy("kind", "label").agg(F.count("*").alias("rows"), F.max("ts_us").alias("newest_us"))
 
 

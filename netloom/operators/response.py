@@ -354,7 +354,7 @@ def respond(table: DataFrame, updates: DataFrame, key: str, action_col: str, sta
     `updates` has the key, `new_action`, `new_state` (may be null) and `at_us`.
     """
     latest = updates.groupBy(key).agg(
-        F.max_by(F.struct("new_action", "new_state"), "at_us").alias("_u")
+        F.max_by(F.struct("new_action", "new_state"), F.struct("at_us", "new_action", "new_state")).alias("_u")
     )
     default = state_default if isinstance(state_default, Column) else F.lit(state_default)
     hit = F.col("_u").isNotNull()

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from netloom.schema import SECOND
 
+#: Snapshots in one block of running totals.
+BLOCK = 4096
+
 
 def _snapshot_of(t: str, every_us: int) -> Column:
     """The first snapshot at or after t: intervals are open at the start, closed at the end."""
@@ -23,9 +26,9 @@ def telemetry(
 ) -> DataFrame:
     """Totals and trailing-window counts at every snapshot. Inputs need `t_us` only.
 
-    The window is half open: an event exactly `window_s` old is out. Counts are reduced
-    to one row per snapshot interval before any ordering, so the running totals scan
-    only as many rows as there are snapshots.
+    The window is half open: an event exactly `window_s` old is out. Counts are reduced to one row per snapshot
+    interval before any ordering. Running totals add up inside blocks of snapshots, on top of the totals of the blocks
+    before, so only one row for each block is ever ordered in one task.
     """
     every = int(every_s * SECOND)
     steps = int(window_s * SECOND) // every
@@ -37,17 +40,21 @@ def telemetry(
         for n, df in zip(names, [received, dropped, predictions, shadow], strict=True)
     ]
     counts = reduce(DataFrame.unionByName, parts).groupBy("snap").agg(*[F.sum(m).alias(m) for m in names])
+    recent = counts.select(F.explode(F.sequence("snap", F.col("snap") + (steps - 1))).alias("snap"), *names).groupBy("snap").agg(*[F.sum(m).alias(f"{m}_per_window") for m in names])
     ends = counts.agg(F.min("snap").alias("a"), F.max("snap").alias("b"))
-    grid = ends.select(F.explode(F.sequence("a", "b")).alias("snap"))
-    rows = grid.join(counts, "snap", "left").fillna(0, names)
-    # One row per snapshot remains; a single ordered pass over them is enough.
-    order = Window.orderBy("snap")
-    total = order.rowsBetween(Window.unboundedPreceding, 0)
-    recent = order.rowsBetween(-(steps - 1), 0)
+    block = F.floor(F.col("snap") / F.lit(BLOCK)).cast("bigint")
+    blocks = ends.select("a", "b", F.explode(F.sequence(F.floor(F.col("a") / F.lit(BLOCK)), F.floor(F.col("b") / F.lit(BLOCK)))).alias("block"))
+    sums = counts.groupBy(block.alias("block")).agg(*[F.sum(m).alias(m) for m in names])
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.join(sums, "block", "left").select("block", "a", "b", *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"{m}_before") for m in names])
+    first, last = F.greatest("a", F.col("block") * BLOCK), F.least("b", F.col("block") * BLOCK + (BLOCK - 1))
+    grid = before.repartition("block").withColumn("snap", F.explode(F.sequence(first, last)))
+    rows = grid.join(counts, "snap", "left").join(recent, "snap", "left").fillna(0, [*names, *[f"{m}_per_window" for m in names]])
+    so_far = Window.partitionBy("block").orderBy("snap").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.select(
         (F.col("snap") * every).alias("snapshot_us"),
-        *[F.sum(m).over(total).alias(f"{m}_total") for m in names],
-        *[F.sum(m).over(recent).alias(f"{m}_per_window") for m in names],
+        *[(F.col(f"{m}_before") + F.sum(m).over(so_far)).alias(f"{m}_total") for m in names],
+        *[f"{m}_per_window" for m in names],
     )
     return out.withColumn("packet_loss_detected", F.col("dropped_per_window") > 0)
 

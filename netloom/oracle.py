@@ -542,8 +542,11 @@ select a.*, row_number() over (order by last_detected_us desc, ip) as rn from (s
  count(*) as total_attack_attempts, least(count(*),25) as history from packets group by src_ip) a, (select unnest([1,2])) b) where rn<=12""",
     )
     q["snk_fanout"] = _sql(
-        "evts blocks",
+        "evts blocks alerts session_rows packets",
         """select 'ids-events' as kind, prediction as label, count(*) as rows, max(ts_us) as newest_us from evts group by all
+union all select 'alerts', severity, count(*), max(last_seen_us) from alerts group by all
+union all select 'session-updates', state, count(*), max(start_time_us) from session_rows group by all
+union all select 'telemetry', 'snapshot', count(distinct wall_us//3600000000), (max(wall_us)//3600000000)*3600000000 from packets
 union all select 'block-events', reason, count(*), max(ts_us) from blocks group by all""",
     )
     q["buf_recent_n"] = _sql("packets", "select packet_id, t_us, src_ip, dst_ip, packet_size from packets order by t_us desc, packet_id desc limit 1000")

@@ -26,8 +26,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _row_hash(df: DataFrame):
+    """Tells rows apart that are equal in time."""
+    return F.xxhash64(*[f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")])
+
+
 def merged(current: DataFrame | None, incoming: DataFrame, key: str, policy: str, order: str) -> DataFrame:
-    """The table after writing `incoming`: one row per key, the first or the last by `order`.
+    """The table after writing `incoming`: one row per key, the first or the last by `order`; equal times go by a hash of the row.
 
     Copies of a key reduce by partial aggregation, so a key that repeats without end
     never gathers in one task.
@@ -36,29 +41,58 @@ def merged(current: DataFrame | None, incoming: DataFrame, key: str, policy: str
     if current is not None:
         rows = current.withColumn("_gen", F.lit(0)).unionByName(rows, allowMissingColumns=True)
     value = F.struct(*[c for c in rows.columns if c != "_gen"])
-    rank = F.struct("_gen", order)
+    rank = F.struct("_gen", order, _row_hash(rows))
     pick = F.min_by(value, rank) if policy == "first" else F.max_by(value, rank)
     return rows.groupBy(key).agg(pick.alias("_v")).select("_v.*")
 
 
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    """Complete pointer files of a table, the newest last."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("current-"))
+    return [n for n in names if _exists(spark, _join(_join(path, n), "_SUCCESS"))]
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    names = _pointers(spark, path)
+    return spark.read.text(_join(path, names[-1])).first()[0] if names else None
+
+
+def publish(spark: SparkSession, path: str, generation: str, keep: int = 2) -> None:
+    """Make a written generation current.
+
+    Pointers are numbered and never overwritten; readers take the highest complete one. A job that dies before its
+    pointer is complete leaves the table as it was. Generations beyond the last `keep` go.
+    """
+    names = _pointers(spark, path)
+    fs, _ = _fs(spark, path)
+    number = int(names[-1].rpartition("-")[2]) + 1 if names else 0
+    pointer = _join(path, f"current-{number:012d}")
+    spark.createDataFrame([(generation,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+    for old in [*names, pointer.rsplit("/", 1)[1]][:-keep]:
+        stale = spark.read.text(_join(path, old)).first()[0]
+        for target in (_join(path, old), stale):
+            fs.delete(_fs(spark, target)[1], True)
+
+
 def upsert(incoming: DataFrame, path: str, key: str, policy: str = "last", order: str = "ts_us") -> str:
     """Idempotent keyed write to a parquet table of generations.
 
-    A new generation is written beside the current one and then becomes current by a
-    pointer file, so that a lost executor or a retried batch leaves the table whole.
+    A new generation is written beside the current one and then published, so that a
+    lost executor or a retried batch leaves the table whole.
     """
     spark = incoming.sparkSession
-    current = read_table(spark, path)
     generation = _join(path, f"gen-{uuid.uuid4().hex}")
-    merged(current, incoming, key, policy, order).write.parquet(generation)
-    spark.createDataFrame([(generation,)], "value string").coalesce(1).write.mode("overwrite").text(_join(path, "current"))
+    merged(read_table(spark, path), incoming, key, policy, order).write.parquet(generation)
+    publish(spark, path, generation)
     return generation
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    if not _exists(spark, _join(path, "current")):
-        return None
-    return spark.read.parquet(spark.read.text(_join(path, "current")).first()[0])
+    generation = _current(spark, path)
+    return None if generation is None else spark.read.parquet(generation)
 
 
 def upsert_table(incoming: DataFrame, root: str, table: str, order: str = "ts_us") -> str:
@@ -66,31 +100,25 @@ def upsert_table(incoming: DataFrame, root: str, table: str, order: str = "ts_us
     return upsert(incoming, _join(root, table), key, policy, order)
 
 
-def fan_out(batch: DataFrame, root: str, kinds: list[str], kind: str = "kind") -> None:
-    """Write each kind of record of a (micro-)batch to its own folder in one pass."""
-    batch.filter(F.col(kind).isin(kinds)).write.mode("append").partitionBy(kind).parquet(root)
-
-
-def last_lines(df: DataFrame, n: int, t: str = "t_us", tie: str = "tie") -> DataFrame:
-    """The newest `n` rows, as a bounded log keeps them."""
-    return df.orderBy(F.desc(t), F.desc(tie)).limit(n)
+def fan_out(batch: DataFrame, root: str, kinds: list[str], batch_id: int, kind: str = "kind") -> None:
+    """Write each kind of record of a (micro-)batch to its own folder in one pass. A batch id written again replaces its rows."""
+    batch.filter(F.col(kind).isin(kinds)).write.mode("overwrite").partitionBy(kind).parquet(_join(root, f"batch={batch_id}"))
 
 
 def append_activity_jsonl(activity: DataFrame, path: str, keep: int = 50_000, t: str = "last_detected_us") -> None:
     """Append records as JSON lines and keep the newest `keep`."""
     spark = activity.sparkSession
-    names = activity.columns
     rows = activity
     generation = _join(path, f"gen-{uuid.uuid4().hex}")
-    if _exists(spark, _join(path, "current")):
-        old = spark.read.schema(activity.schema).json(spark.read.text(_join(path, "current")).first()[0])
-        rows = old.unionByName(rows)
-    rows.orderBy(F.desc(t), "ip").limit(keep).select(*names).write.json(generation)
-    spark.createDataFrame([(generation,)], "value string").coalesce(1).write.mode("overwrite").text(_join(path, "current"))
+    current = _current(spark, path)
+    if current is not None:
+        rows = spark.read.schema(activity.schema).json(current).unionByName(rows)
+    rows.orderBy(F.desc(t), "ip", _row_hash(rows)).limit(keep).select(*activity.columns).write.json(generation)
+    publish(spark, path, generation)
 
 
 def read_activity_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(spark.read.text(_join(path, "current")).first()[0])
+    return spark.read.schema(schema).json(_current(spark, path))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -157,6 +157,14 @@ def test_upsert_policies_and_bounded_log(spark, scratch):
         for batch in (a, b, b):
             sinks.upsert(batch, f"{scratch}/{table}", "event_id", policy)
         assert {r["event_id"]: r["v"] for r in sinks.read_table(spark, f"{scratch}/{table}").collect()} == want
+    # a job that dies before its pointer is complete leaves the table whole, and the next write goes on from it
+    os.makedirs(f"{scratch}/y/current-000000000099")
+    assert {r["event_id"] for r in sinks.read_table(spark, f"{scratch}/y").collect()} == {"k1", "k2", "k3"}
+    sinks.upsert(spark.createDataFrame([("k4", 1, "x")], a.schema), f"{scratch}/y", "event_id", "last")
+    assert sinks.read_table(spark, f"{scratch}/y").count() == 4 and sum(n.startswith("gen-") for n in os.listdir(f"{scratch}/y")) == 2
+    for number in (0, 1, 1):
+        sinks.fan_out(a.withColumn("kind", F.lit("ids-events")), f"{scratch}/fan", ["ids-events"], number)
+    assert spark.read.parquet(f"{scratch}/fan").count() == 4
     log = spark.createDataFrame([(f"10.0.0.{i}", i) for i in range(5)], "ip string, last_detected_us long")
     for _ in range(2):
         sinks.append_activity_jsonl(log, f"{scratch}/log", keep=3)
