@@ -924,7 +924,7 @@ def st_detect(spark, sf):
 def st_block_state(spark, sf):
     scored = derived.scored_packets(packets(spark, sf, streaming=True))
     out = st.run(spark, st.stream_blocks(resp.ml_requests(scored)), "st_block_state")
-    return out.filter(F.col("seq") >= 0).select("ip", "at_us", "seq", "status", F.when(F.col("until_us") >= 0, F.col("until_us")).alias("until_us"))
+    return out.select("ip", "at_us", "seq", "status", F.when(F.col("until_us") >= 0, F.col("until_us")).alias("until_us"))
 
 
 @query

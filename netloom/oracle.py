@@ -844,7 +844,7 @@ sum(f1*support)/sum(support) as f1_weighted, cast(sum(support) as bigint) as sup
         f"""select flow_id, start_us, start_packet, end_us, packet_count, byte_count, closed as reason from (
 select *, case when finished then 'flow_end' when end_us+30000000<=start_us+120000000 then 'idle_timeout' else 'max_duration' end as closed,
  lead(start_us) over (partition by flow_id order by start_us, start_packet) as nxt from sess)
-where finished or nxt is not null or least(end_us+30000000,start_us+120000000)<={wm}""",
+where (finished and end_us<={wm}) or nxt<={wm} or least(end_us+30000000,start_us+120000000)<={wm}""",
     )
     q["st_sessions_simple"] = _sql(
         "seqd",
@@ -853,8 +853,13 @@ select flow_id, min(t_us) as start_us, max(t_us) as end_us, count(*) as packet_c
  select *, sum(case when prev is null or t_us-prev>=30000000 then 1 else 0 end) over (partition by flow_id order by t_us, packet_id) as s from (
   select *, lag(t_us) over (partition by flow_id order by t_us, packet_id) as prev from seqd)) group by flow_id, s) where end_us+30000000<={wm}""",
     )
-    q["st_detect"] = _sql("win brute", "select w.packet_id, w.scan_burst, w.port_sweep, w.syn_only_surge, b.bruteforce from win w left join brute b using (packet_id)")
-    q["st_block_state"] = _sql("mldec", "select ip, t_us as at_us, seq, status, case when status<>'cooldown_active' then until end as until_us from mldec")
+    q["st_detect"] = _sql("win brute", f"select w.packet_id, w.scan_burst, w.port_sweep, w.syn_only_surge, b.bruteforce from win w join packets p using (packet_id) left join brute b using (packet_id) where p.t_us<={wm}")
+    q["st_block_state"] = _sql(
+        "mldec",
+        f"""select ip, t_us as at_us, seq, status, case when status<>'cooldown_active' then until end as until_us from mldec where t_us<={wm}
+union all select ip, until, -1, 'unblocked', null from (select *, lead(t_us) over (partition by ip order by t_us, seq) as nxt from mldec where status<>'cooldown_active')
+where until<={wm} and (nxt is null or nxt>=until)""",
+    )
     q["st_dedup"] = _sql("evts", "select distinct event_id, ts_us, prediction from evts")
     q["st_telemetry"] = _sql(
         "packets",

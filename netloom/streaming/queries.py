@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from netloom.functions.scalars import session_id
+from netloom.functions.scalars import mixed_blockable_ip, session_id
 from netloom.operators.features import to_features
 from netloom.operators.ml import score
 from netloom.schema import LOGIN_PORTS, NORMAL
@@ -67,7 +67,8 @@ def stream_detect(packets: DataFrame, delay: str = "10 seconds", **limits) -> Da
 
 
 def stream_bruteforce(packets: DataFrame, delay: str = "10 seconds", ports: list[int] = LOGIN_PORTS, **limits) -> DataFrame:
-    rows = with_event_time(packets.filter(F.col("dst_port").isin(ports)), delay=delay)
+    # All packets move the watermark: naming `ts` keeps the filter above it.
+    rows = with_event_time(packets, delay=delay).filter(F.when(F.col("ts").isNotNull(), F.col("dst_port").isin(ports)))
     rows = rows.select("src_ip", "dst_ip", "dst_port", "ts", "t_us", "packet_id")
     return rows.groupBy("src_ip", "dst_ip", "dst_port").transformWithStateInPandas(
         GuessState(**limits), BRUTE_OUT, "append", "EventTime"
@@ -75,9 +76,13 @@ def stream_bruteforce(packets: DataFrame, delay: str = "10 seconds", ports: list
 
 
 def stream_blocks(requests: DataFrame, delay: str = "10 seconds", cooldown_s: float = 60) -> DataFrame:
-    """Outcomes of block requests and expiries, per address. Needs ip, t_us, seq, duration_s."""
-    rows = with_event_time(requests, delay=delay).select("ip", "ts", "t_us", "seq", "duration_s")
-    return rows.groupBy("ip").transformWithStateInPandas(BlockState(cooldown_s), BLOCK_OUT, "append", "EventTime")
+    """Outcomes of block requests and expiries, per address. Needs ip, t_us, seq, duration_s; `unblock` marks manual releases."""
+    frame = requests if "unblock" in requests.columns else requests.withColumn("unblock", F.lit(False))
+    good = mixed_blockable_ip("ip")
+    rows = with_event_time(frame.filter(good), delay=delay).select("ip", "ts", "t_us", "seq", F.col("duration_s").cast("bigint").alias("duration_s"), F.coalesce("unblock", F.lit(False)).cast("bigint").alias("unblock"))
+    none = F.lit(-1).cast("bigint")
+    refused = frame.filter(~good).select("ip", F.col("t_us").alias("at_us"), "seq", F.lit("invalid_or_loopback_ip").alias("status"), none.alias("until_us"), F.lit(0).cast("bigint").alias("times_blocked"))
+    return rows.groupBy("ip").transformWithStateInPandas(BlockState(cooldown_s), BLOCK_OUT, "append", "EventTime").unionByName(refused)
 
 
 def stream_dedup(events: DataFrame, key: str = "event_id", t: str = "ts_us", delay: str = "10 seconds") -> DataFrame:

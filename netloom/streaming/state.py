@@ -21,10 +21,6 @@ def _longs(*names: str) -> list[StructField]:
     return [StructField(n, LongType()) for n in names]
 
 
-def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
-
-
 def _alarm(handle: StatefulProcessorHandle, at_us: int | None) -> None:
     """Keep exactly one timer per key (milliseconds, not before `at_us`)."""
     for old in list(handle.listTimers()):
@@ -33,6 +29,69 @@ def _alarm(handle: StatefulProcessorHandle, at_us: int | None) -> None:
         handle.registerTimer(-(-at_us // 1000))
 
 
+class InOrder(StatefulProcessor):
+    """Hands the rows of a key on in the order of event time.
+
+    Rows wait in list state until the watermark passes them, so rows that arrive late within the delay, in any file or
+    micro-batch, take their place. Subclasses name the columns they need (`t_us` and a tie-breaker first), process sorted
+    rows in `take`, and act in `due` on deadlines that the watermark has passed.
+    """
+
+    COLUMNS: list[str] = []
+    CHUNK = 50_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", StructType(_longs(*self.COLUMNS)))
+        self.setup(handle)
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def take(self, key: tuple, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def due(self, key: tuple, now_us: int) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def deadline(self) -> int | None:
+        """The next time at which `due` has something to do."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for frame in rows:
+            columns = [frame[c].astype("Int64").astype(object).where(frame[c].notna(), None) for c in self.COLUMNS]
+            self.waiting.appendList([tuple(None if v is None else int(v) for v in r) for r in zip(*columns, strict=True)])
+            least = int(frame["t_us"].min())
+            first = least if first is None else min(first, least)
+        timers = list(self.handle.listTimers())
+        at = None if first is None else -(-first // 1000)
+        if at is not None and (not timers or at < min(timers)):
+            _alarm(self.handle, first)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now_us = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, rest = [], []
+        for row in self.waiting.get():
+            (ready if row[0] <= now_us else rest).append(tuple(row))
+        if ready:
+            ready.sort(key=lambda r: r[:2])
+            for at in range(0, len(ready), self.CHUNK):
+                yield from self.take(key, pd.DataFrame(ready[at : at + self.CHUNK], columns=self.COLUMNS))
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        yield from self.due(key, now_us)
+        times = [t for t in (self.deadline(), min((r[0] for r in rest), default=None)) if t is not None]
+        _alarm(self.handle, min(times) if times else None)
+
+    def close(self) -> None:
+        pass
+
+
 # --- sessions ----------------------------------------------------------------------
 
 MEASURES = [
@@ -98,14 +157,15 @@ def _merge(old: dict[str, int], new: dict[str, int]) -> dict[str, int]:
     return out
 
 
-class SessionState(StatefulProcessor):
+class SessionState(InOrder):
     """Open session of one flow; emits a session when it ends. Key: the flow text and its parts."""
 
+    COLUMNS = ["t_us", "packet_id", "packet_size", "payload_size", "tcp_window_size", "transport_header_length", "tcp_flags"]
+
     def __init__(self, idle_s: float = 30, max_s: float = 120):
         self.idle, self.limit = int(idle_s * SECOND), int(max_s * SECOND)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def setup(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", StructType(_longs(*MEASURES)))
 
     def _row(self, key: tuple, m: dict[str, int], finished: bool, reason: str) -> dict:
@@ -124,14 +184,15 @@ class SessionState(StatefulProcessor):
                 frame[f.name] = frame[f.name].astype("Int64")
         return frame
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _sorted(rows, ["t_us", "packet_id"])
-        part = {c: frame[c].fillna(-1 if c == "tcp_window_size" else 0).to_numpy(np.int64) for c in (
-            "t_us", "packet_id", "packet_size", "payload_size", "tcp_window_size", "transport_header_length", "tcp_flags")}
+    def _current(self) -> dict[str, int] | None:
+        return dict(zip(MEASURES, self.open.get(), strict=True)) if self.open.exists() else None
+
+    def take(self, key, frame):
+        part = {c: frame[c].astype("Int64").fillna(-1 if c == "tcp_window_size" else 0).to_numpy(np.int64) for c in self.COLUMNS}
         t = part["t_us"]
         fins = np.flatnonzero(part["tcp_flags"] & 5)
         gaps = np.flatnonzero(np.diff(t) >= self.idle) + 1
-        current = dict(zip(MEASURES, self.open.get(), strict=True)) if self.open.exists() else None
+        current = self._current()
         out, at, n = [], 0, len(t)
         while at < n:
             if current is not None and (
@@ -152,21 +213,22 @@ class SessionState(StatefulProcessor):
             at = stop
         if current is None:
             self.open.clear()
-            _alarm(self.handle, None)
         else:
             self.open.update(tuple(current[k] for k in MEASURES))
-            _alarm(self.handle, min(current["end_us"] + self.idle, current["start_us"] + self.limit))
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.open.exists():
-            current = dict(zip(MEASURES, self.open.get(), strict=True))
+    def deadline(self):
+        current = self._current()
+        return None if current is None else min(current["end_us"] + self.idle, current["start_us"] + self.limit)
+
+    def due(self, key, now_us):
+        at = self.deadline()
+        if at is not None and at <= now_us:
+            current = self._current()
             self.open.clear()
             yield self._frame([self._row(key, current, False, self._expired(current))])
 
-    def close(self) -> None:
-        pass
-
 
 # --- detectors ---------------------------------------------------------------------
 
@@ -189,23 +251,23 @@ def reached(history: np.ndarray, t: np.ndarray, n: int, width: int) -> np.ndarra
     return (nth >= 0) & (line[np.maximum(nth, 0)] >= t - width)
 
 
-class DetectorState(StatefulProcessor):
+class DetectorState(InOrder):
     """Recent times of one source: the last n-1 packets and SYNs, the last time of each recent port."""
 
+    COLUMNS = ["t_us", "packet_id", "dst_port", "tcp_flags"]
+
     def __init__(self, burst=(2, 40), sweep=(5, 15), syn=(3, 20)):
         self.burst, self.sweep, self.syn = ((int(w * SECOND), n) for w, n in (burst, sweep, syn))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def setup(self, handle: StatefulProcessorHandle) -> None:
         fields = [StructField(n, ArrayType(LongType())) for n in ("times", "syns", "ports", "port_times")]
         self.recent = handle.getValueState("recent", StructType(fields))
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _sorted(rows, ["t_us", "packet_id"])
+    def take(self, key, frame):
         past = self.recent.get() if self.recent.exists() else ([], [], [], [])
         times, syns, ports, port_times = (np.array(p, np.int64) for p in past)
         t = frame["t_us"].to_numpy(np.int64)
-        flags = frame["tcp_flags"].fillna(0).to_numpy(np.int64)
+        flags = frame["tcp_flags"].astype("Int64").fillna(0).to_numpy(np.int64)
 
         burst = reached(times, t, self.burst[1], self.burst[0])
         width, n = self.syn
@@ -216,7 +278,7 @@ class DetectorState(StatefulProcessor):
 
         # Distinct ports: a port counts from a fresh sighting until it was unseen for the window.
         width, n_ports = self.sweep
-        p = np.concatenate([ports, frame["dst_port"].fillna(-1).to_numpy(np.int64)])
+        p = np.concatenate([ports, frame["dst_port"].astype("Int64").fillna(-1).to_numpy(np.int64)])
         pt = np.concatenate([port_times, t])
         real = p >= 0
         order = np.lexsort((np.arange(len(p)), p))
@@ -242,47 +304,51 @@ class DetectorState(StatefulProcessor):
                 [int(v) for v in pt[by_time]],
             )
         )
-        _alarm(self.handle, now + max(self.burst[0], self.sweep[0], self.syn[0]) + 1000)
         yield pd.DataFrame(
             {"packet_id": frame["packet_id"], "t_us": t, "src_ip": key[0], "scan_burst": burst, "port_sweep": sweep, "syn_only_surge": surge}
         )
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.recent.clear()
-        yield pd.DataFrame(columns=DETECT_OUT.fieldNames())
+    def deadline(self):
+        if not self.recent.exists():
+            return None
+        return self.recent.get()[0][-1] + max(self.burst[0], self.sweep[0], self.syn[0]) + 1000
 
-    def close(self) -> None:
-        pass
+    def due(self, key, now_us):
+        at = self.deadline()
+        if at is not None and at <= now_us:
+            self.recent.clear()
+        yield from ()
 
 
 BRUTE_OUT = StructType([*_longs("packet_id", "t_us"), StructField("bruteforce", BooleanType())])
 
 
-class GuessState(StatefulProcessor):
+class GuessState(InOrder):
     """The last n-1 tries on one service by one source."""
 
+    COLUMNS = ["t_us", "packet_id"]
+
     def __init__(self, window_s: float = 90, n: int = 25):
         self.width, self.n = int(window_s * SECOND), n
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def setup(self, handle: StatefulProcessorHandle) -> None:
         self.tries = handle.getValueState("tries", StructType([StructField("times", ArrayType(LongType()))]))
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _sorted(rows, ["t_us", "packet_id"])
+    def take(self, key, frame):
         past = np.array(self.tries.get()[0] if self.tries.exists() else [], np.int64)
         t = frame["t_us"].to_numpy(np.int64)
         hit = reached(past, t, self.n, self.width)
         self.tries.update(([int(v) for v in np.concatenate([past, t])[-(self.n - 1):]],))
-        _alarm(self.handle, int(t[-1]) + self.width + 1000)
         yield pd.DataFrame({"packet_id": frame["packet_id"], "t_us": t, "bruteforce": hit})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.tries.clear()
-        yield pd.DataFrame(columns=BRUTE_OUT.fieldNames())
+    def deadline(self):
+        return self.tries.get()[0][-1] + self.width + 1000 if self.tries.exists() else None
 
-    def close(self) -> None:
-        pass
+    def due(self, key, now_us):
+        at = self.deadline()
+        if at is not None and at <= now_us:
+            self.tries.clear()
+        yield from ()
 
 
 # --- blocks ------------------------------------------------------------------------
@@ -297,55 +363,49 @@ BLOCK_OUT = StructType(
 )
 
 
-class BlockState(StatefulProcessor):
-    """Block of one address. Emits the outcome of every request and the expiry of the block."""
+class BlockState(InOrder):
+    """Block of one address. Emits the outcome of every request and the expiry of the block (seq -1)."""
+
+    COLUMNS = ["t_us", "seq", "duration_s", "unblock"]
 
     def __init__(self, cooldown_s: float = 60):
         self.cooldown = int(cooldown_s * SECOND)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def setup(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("block", StructType(_longs("last_us", "until_us", "times")))
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _sorted(rows, ["t_us", "seq"])
-        t = frame["t_us"].to_numpy(np.int64)
-        seq = frame["seq"].to_numpy(np.int64)
-        until_of = t + np.maximum(1, frame["duration_s"].to_numpy(np.int64)) * SECOND
-        last, until, times = self.state.get() if self.state.exists() else (None, None, 0)
-        status = np.full(len(t), "cooldown_active", object)
-        until_us = np.full(len(t), -1, np.int64)
-        count = np.zeros(len(t), np.int64)
-        expiries = []
-        at = 0
-        while True:
-            ready = -1 if last is None else min(last + self.cooldown, until)
-            nxt = max(at, int(np.searchsorted(t, ready, "left")))
-            count[at:nxt] = times
-            if nxt >= len(t):
-                break
-            if until is not None and until <= t[nxt]:
-                expiries.append((int(until), times))
-                until = None
-            status[nxt] = "already_blocked" if until is not None else "blocked"
-            times += status[nxt] == "blocked"
-            last, until = int(t[nxt]), int(until_of[nxt])
-            until_us[nxt], count[nxt] = until, times
-            at = nxt + 1
-        out = pd.DataFrame({"ip": key[0], "at_us": t, "seq": seq, "status": status, "until_us": until_us, "times_blocked": count})
-        if expiries:
-            gone = pd.DataFrame(expiries, columns=["at_us", "times_blocked"])
-            out = pd.concat([out, gone.assign(ip=key[0], seq=-1, status="unblocked", until_us=-1)], ignore_index=True)
-        self.state.update((int(last), int(until), int(times)))
-        _alarm(self.handle, until)
-        yield out[BLOCK_OUT.fieldNames()]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.state.exists():
-            last, until, times = self.state.get()
+    def _get(self) -> tuple[int | None, int | None, int]:
+        return tuple(self.state.get()) if self.state.exists() else (None, None, 0)
+
+    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["at_us", "seq", "status", "until_us", "times_blocked"])
+        return frame.assign(ip=key[0])[BLOCK_OUT.fieldNames()]
+
+    def take(self, key, frame):
+        last, until, times = self._get()
+        out = []
+        for t, seq, duration, unblock in frame.itertuples(index=False):
+            if until is not None and until <= t:
+                out.append((until, -1, "unblocked", -1, times))
+                last = until = None
+            if unblock:
+                status, last, until = "unblocked", None, None
+            elif last is not None and t < last + self.cooldown:
+                status = "cooldown_active"
+            else:
+                status = "blocked" if until is None else "already_blocked"
+                times += status == "blocked"
+                last, until = int(t), int(t + max(1, duration) * SECOND)
+            out.append((int(t), int(seq), status, until if status.endswith("blocked") and not unblock else -1, times))
+        self.state.update((last, until, times))
+        yield self._frame(key, out)
+
+    def deadline(self):
+        return self._get()[1]
+
+    def due(self, key, now_us):
+        last, until, times = self._get()
+        if until is not None and until <= now_us:
             # The count of blocks outlives the block itself; the cooldown does not.
             self.state.update((None, None, times))
-            yield pd.DataFrame([{"ip": key[0], "at_us": until, "seq": -1, "status": "unblocked", "until_us": -1, "times_blocked": times}])[BLOCK_OUT.fieldNames()]
-
-    def close(self) -> None:
-        pass
+            yield self._frame(key, [(until, -1, "unblocked", -1, times)])
