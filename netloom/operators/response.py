@@ -8,6 +8,7 @@ from netloom.operators.detectors import bruteforce, heuristic_action, heuristic_
 from netloom.plans.greedy_chain import greedy_chain
 from netloom.plans.slices import slice_of, with_previous
 from netloom.schema import NORMAL, SECOND
+from netloom.session import stored
 
 # Block seconds by kind of request, and the order of kinds at one packet.
 BLOCK_SECONDS = {"heuristic": 300, "bruteforce": 600, "ml_live": 900, "ml_final": 900}
@@ -169,8 +170,10 @@ def flag_blocked_packets(packets: DataFrame, intervals: DataFrame, slice_s: floa
 def command_status(commands: DataFrame, cooldown_s: float = 60) -> DataFrame:
     """Outcome of each operator command.
 
-    The first usable delivery of an id is applied; later deliveries are acknowledged as
-    duplicates when it succeeded, and share its refusal when it did not.
+    A delivery whose id succeeded before is acknowledged as a duplicate, whatever it asks for. An id that was refused is
+    remembered by nobody: its next delivery is applied. Which deliveries are applied thus depends on what succeeded
+    before them, and that on which were applied: the first successes are found again until they no longer change. Each
+    round is right at least up to the first wrong one of the round before.
     """
     c = commands.select(
         F.trim(F.coalesce("command_id", F.lit(""))).alias("command_id"),
@@ -181,49 +184,50 @@ def command_status(commands: DataFrame, cooldown_s: float = 60) -> DataFrame:
         "seq",
     )
     known = F.col("action").isin("block", "unblock", "watchlist", "unwatchlist")
+    blank = (F.col("action") == "") | (F.col("ip") == "")
     broken = (
-        F.when((F.col("action") == "") | (F.col("ip") == ""), "invalid_command")
+        F.when(blank, "invalid_command")
         .when(~known, "unsupported_action")
         .when(F.col("action") == "unwatchlist", F.lit(None))
         .when(~mixed_blockable_ip("ip"), "invalid_or_loopback_ip")
     )
-    c = c.withColumn("_broken", broken)
-    usable = c.filter(F.col("_broken").isNull())
-    # Copies of one id reduce before the shuffle; blank ids are never copies.
-    ident = F.when(F.col("command_id") == "", F.concat(F.lit("#"), F.col("seq").cast("string"))).otherwise(
-        F.concat(F.lit("="), F.col("command_id"))
-    )
-    firsts = (
-        usable.withColumn("_ident", ident)
-        .groupBy("_ident")
-        .agg(F.min(F.struct("t_us", "seq", "action", "ip", "duration_s")).alias("f"))
-        .select("_ident", "f.*")
-    )
-    blocks = block_decisions(
-        firsts.filter(F.col("action").isin("block", "unblock")).withColumn("unblock", F.col("action") == "unblock"),
-        cooldown_s,
-    ).select("_ident", F.col("seq").alias("first_seq"), "status", "ok")
-    watches = firsts.filter(F.col("action").isin("watchlist", "unwatchlist"))
-    listed = F.coalesce(F.col("_prior") == "watchlist", F.lit(False))
-    watches = (
-        with_previous(watches, ["ip"], F.col("action"), "_prior", 3600 * SECOND, tie="seq")
-        .withColumn(
+    # Blank ids are never copies.
+    ident = F.when(F.col("command_id") != "", F.col("command_id"))
+    c = stored(c.withColumns({"_broken": broken, "_ident": ident, "_blank": blank}), "commands")
+
+    def outcomes(attempts: DataFrame) -> DataFrame:
+        blocks = block_decisions(
+            attempts.filter(F.col("action").isin("block", "unblock")).withColumn("unblock", F.col("action") == "unblock"),
+            cooldown_s,
+        ).select("_ident", "t_us", "seq", "status", "ok")
+        watches = attempts.filter(F.col("action").isin("watchlist", "unwatchlist"))
+        listed = F.coalesce(F.col("_prior") == "watchlist", F.lit(False))
+        watches = with_previous(watches, ["ip"], F.col("action"), "_prior", 3600 * SECOND, tie="seq").withColumn(
             "status",
             F.when(F.col("action") == "watchlist", "watchlisted")
             .when(listed, "unwatchlisted")
             .otherwise("not_watchlisted"),
         )
-        .select("_ident", F.col("seq").alias("first_seq"), "status", (F.col("status") != "not_watchlisted").alias("ok"))
-    )
-    outcome = blocks.unionByName(watches)
-    applied = (
-        usable.withColumn("_ident", ident)
-        .join(outcome, "_ident")
-        .withColumn("status", F.when(F.col("ok") & (F.col("seq") != F.col("first_seq")), "duplicate_command").otherwise(F.col("status")))
-    )
-    done = c.filter(F.col("_broken").isNotNull()).withColumn("status", F.col("_broken")).withColumn("ok", F.lit(False))
-    cols = ["command_id", "action", "ip", "duration_s", "t_us", "seq", "ok", "status"]
-    return done.select(*cols).unionByName(applied.select(*cols))
+        return blocks.unionByName(watches.select("_ident", "t_us", "seq", "status", (F.col("status") != "not_watchlisted").alias("ok")))
+
+    at = F.struct("t_us", "seq")
+    usable, first, before = c.filter(F.col("_broken").isNull()), None, None
+    while True:
+        attempts = usable
+        if first is not None:
+            attempts = usable.join(first, "_ident", "left").filter(F.col("_first").isNull() | (at <= F.col("_first"))).drop("_first")
+        done = stored(outcomes(attempts), "outcomes")
+        first = stored(done.filter(F.col("ok") & F.col("_ident").isNotNull()).groupBy("_ident").agg(F.min(at).alias("_first")), "first-successes")
+        now = first.agg(F.count("*"), F.sum(F.xxhash64("_ident", "_first").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+
+    again = ~F.col("_blank") & F.coalesce(at > F.col("_first"), F.lit(False))
+    status = F.when(again, "duplicate_command").otherwise(F.coalesce("_broken", "_outcome"))
+    out = c.join(first, "_ident", "left").join(done.select("seq", F.col("status").alias("_outcome"), F.col("ok").alias("_ok")), "seq", "left")
+    out = out.withColumns({"status": status, "ok": again | F.coalesce("_ok", F.lit(False))})
+    return out.select("command_id", "action", "ip", "duration_s", "t_us", "seq", "ok", "status")
 
 
 def command_block_events(statuses: DataFrame) -> DataFrame:

@@ -274,16 +274,15 @@ union all select ip, until, -1, 'unblock_action', 'unblocked' from acc where unt
 union all select src_ip, t_us, packet_id, 'blocked_ip_activity', 'blocked' from flagged"""
 
 _ACT = "case o_orderpriority when '1-URGENT' then 'block' when '2-HIGH' then 'unblock' when '3-MEDIUM' then 'watchlist' when '4-NOT SPECIFIED' then 'unwatchlist' else 'reboot' end"
-_CIP = "case when o_custkey%29=0 then '' when o_custkey%23=0 then 'not-an-ip' when o_custkey%19=0 then '127.0.0.1' else '10.0.0.'||(1+o_custkey%12) end"
+_FIRST = "(o_orderkey - case when o_orderkey%10=1 then 1 when o_orderkey%10=2 and (o_orderkey//640)%2=1 then 640 else 0 end)"
+_CIP = f"case when {_FIRST}%29=0 then '' when {_FIRST}%23=0 then 'not-an-ip' when {_FIRST}%19=0 then '127.0.0.1' else '10.0.0.'||(1+{_FIRST}%12) end"
 CTE["commands"] = f"""
-select 'c-'||(o_orderkey-case when o_orderkey%10=1 then 1 else 0 end) as command_id, o_orderkey as seq, o_orderkey*100000 as t_us, {_ACT} as action,
+select 'c-'||{_FIRST} as command_id, o_orderkey as seq, o_orderkey*100000 as t_us, {_ACT} as action,
  {_CIP} as ip, case when o_custkey%3=0 then 300+o_custkey%50 end as duration_seconds from orders"""
 CTE["cmds"] = """
-select command_id, seq, t_us, action, ip, coalesce(duration_seconds,300) as duration_s,
+select command_id, seq, t_us, action, ip, coalesce(duration_seconds,300) as duration_s, row_number() over (partition by ip order by seq) as rn,
  case when ip='' then 'invalid_command' when action='reboot' then 'unsupported_action' when action='unwatchlist' then null
   when ip in ('not-an-ip','127.0.0.1') then 'invalid_or_loopback_ip' end as broken from commands"""
-CTE["firsts"] = "select *, row_number() over (partition by ip order by seq) as rn from (select *, row_number() over (partition by command_id order by seq) as k from cmds where broken is null) where k=1"
-_B0 = "case when action in ('watchlist','unwatchlist') then null else 1 end"
 
 
 def _cmd_step(a, t, lb, un, w):
@@ -295,17 +294,19 @@ def _cmd_step(a, t, lb, un, w):
     )
 
 
-_S0 = _cmd_step("action", "t_us", "cast(null as bigint)", "cast(null as bigint)", "false")
-_S1 = _cmd_step("n.action", "n.t_us", "s.lastb", "s.until", "s.watched")
+# One command after the other, with the ids that succeeded so far: a known id first, then the command's own faults, then its outcome.
+_S1 = f"case when broken='invalid_command' then broken when list_contains(done, command_id) then 'duplicate_command' when broken is not null then broken else {_cmd_step('action', 't_us', 'lastb', 'until', 'watched')} end"
+_FAILED = "('invalid_command','unsupported_action','invalid_or_loopback_ip','cooldown_active','not_watchlisted')"
 CTE["cmdfold"] = f"""
-select seq, command_id, ip, rn, {_S0} as status, case when action='block' then t_us end as lastb,
- case when action='block' then t_us+duration_s*1000000 end as until, action='watchlist' as watched from firsts where rn=1
+select cast(0 as bigint) as seq, ip, cast(0 as bigint) as rn, '' as status, cast(null as bigint) as lastb, cast(null as bigint) as until, false as watched, cast([] as varchar[]) as done from (select distinct ip from cmds)
 union all
-select n.seq, n.command_id, n.ip, n.rn, {_S1},
- case when n.action='unblock' then null when n.action='block' and {_S1}<>'cooldown_active' then n.t_us else s.lastb end,
- case when n.action='unblock' then null when n.action='block' and {_S1}<>'cooldown_active' then n.t_us+n.duration_s*1000000 else s.until end,
- case when n.action='watchlist' then true when n.action='unwatchlist' then false else s.watched end
-from cmdfold s join firsts n on n.ip=s.ip and n.rn=s.rn+1"""
+select seq, ip, rn, status,
+ case when status='unblocked' then null when status in ('blocked','already_blocked') then t_us else lastb end,
+ case when status='unblocked' then null when status in ('blocked','already_blocked') then t_us+duration_s*1000000 else until end,
+ case status when 'watchlisted' then true when 'unwatchlisted' then false else watched end,
+ case when status in {_FAILED} or status='duplicate_command' then done else list_append(done, command_id) end
+from (select n.seq, n.ip, n.rn, n.command_id, n.t_us, n.duration_s, s.lastb, s.until, s.watched, s.done, {_S1} as status
+ from cmdfold s join cmds n on n.ip=s.ip and n.rn=s.rn+1)"""
 
 CTE["blocks"] = """
 select 'b-'||o_orderkey as event_id, 1704067200000000+o_orderkey*173000000%2592000000000 as ts_us, '10.0.0.'||(1+o_custkey%12) as source_ip,
@@ -458,8 +459,7 @@ _DEPENDS = {
     "feed": ["flagged", "heur"],
     "commands": [],
     "cmds": ["commands"],
-    "firsts": ["cmds"],
-    "cmdfold": ["firsts"],
+    "cmdfold": ["cmds"],
     "blocks": [],
     "last_block": ["blocks"],
     "control": ["last_block"],
@@ -692,9 +692,8 @@ src_port as source_port, dst_ip as destination_ip, dst_port as destination_port,
     q["blk_state"] = _sql("dec", "select ip, packet_id, kind, status, status<>'cooldown_active' as ok, case when status<>'cooldown_active' then until end as until_us from dec")
     q["blk_commands"] = _sql(
         "cmdfold",
-        """select c.command_id, c.action, c.ip, c.duration_s, c.t_us, c.seq, coalesce(f.status not in ('cooldown_active','not_watchlisted'),false) as ok,
-case when c.broken is not null then c.broken when f.status not in ('cooldown_active','not_watchlisted') and c.seq<>f.seq then 'duplicate_command' else f.status end as status
-from cmds c left join cmdfold f on c.broken is null and f.command_id=c.command_id""",
+        f"""select c.command_id, c.action, c.ip, c.duration_s, c.t_us, c.seq, f.status not in {_FAILED} as ok, f.status
+from cmds c join cmdfold f on f.ip=c.ip and f.rn=c.rn""",
     )
     q["blk_flag_packets"] = _sql("flagged", "select * from flagged")
     q["ip_activity_feed"] = _sql("feed", "select ip, attack_type, action, count(*) as entries, min(t_us) as first_us, max(t_us) as last_us from feed group by all")

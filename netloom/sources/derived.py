@@ -79,7 +79,7 @@ def ingest_events(scored: DataFrame) -> DataFrame:
 
 
 def operator_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator commands from `orders`; every tenth id is delivered again by the next order."""
+    """Operator commands from `orders`; some ids are delivered again by the next order, others a minute later."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     # Order priority -> action.
@@ -90,14 +90,15 @@ def operator_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "unwatchlist")
         .otherwise("reboot")
     )
+    first = key - F.when(key % 10 == 1, 1).when((key % 10 == 2) & (F.floor(key / 640) % 2 == 1), 640).otherwise(0)
     ip = (
-        F.when(cust % 29 == 0, "")
-        .when(cust % 23 == 0, "not-an-ip")
-        .when(cust % 19 == 0, "127.0.0.1")
-        .otherwise(F.concat(F.lit("10.0.0."), (1 + cust % 12).cast("string")))
+        F.when(first % 29 == 0, "")
+        .when(first % 23 == 0, "not-an-ip")
+        .when(first % 19 == 0, "127.0.0.1")
+        .otherwise(F.concat(F.lit("10.0.0."), (1 + first % 12).cast("string")))
     )
     return o.select(
-        F.concat(F.lit("c-"), (key - (key % 10 == 1).cast("int")).cast("string")).alias("command_id"),
+        F.concat(F.lit("c-"), first.cast("string")).alias("command_id"),
         key.alias("seq"),
         (key * 100_000).alias("t_us"),
         action.alias("action"),

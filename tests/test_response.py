@@ -72,6 +72,17 @@ def test_commands(spark):
     assert ids == {"cmd-a", "cmd-c", "cmd-d", "cmd-f", "cmd-10.0.0.2-watchlist"}
 
 
+def test_refused_commands_may_come_again(spark):
+    """Only ids that succeeded are remembered; a known id is a duplicate whatever it asks for."""
+    rows = [
+        ("z", "block", "10.0.0.1", 300, 0), ("a", "block", "10.0.0.1", 300, 30), ("a", "block", "10.0.0.1", 300, 90), ("a", "block", "10.0.0.1", 300, 200), ("a", "reboot", "10.0.0.1", 1, 201), ("a", "", "10.0.0.1", 1, 202),
+        ("b", "block", "10.0.0.1", 300, 140), ("b", "unblock", "10.0.0.1", 1, 141), ("b", "block", "10.0.0.1", 300, 160), ("c", "block", "10.0.0.1", 300, 150),
+    ]
+    df = spark.createDataFrame([(*r[:4], r[4] * S, r[4]) for r in rows], "command_id string, action string, ip_address string, duration_seconds long, t_us long, seq long")
+    got = {r["seq"]: r["status"] for r in response.command_status(df).collect()}
+    assert got == {0: "blocked", 30: "cooldown_active", 90: "already_blocked", 140: "cooldown_active", 141: "unblocked", 150: "blocked", 160: "duplicate_command", 200: "duplicate_command", 201: "duplicate_command", 202: "invalid_command"}
+
+
 def test_session_alerts_drop_repeats(spark):
     rows = [(1, "DoS", 0.9, True, False), (2, "DoS", 0.90001, True, False), (3, "DoS", 0.9, False, False), (4, "DoS", 0.9, False, True), (5, "DoS", 0.9, False, True), (6, "DoS", 0.9, False, False)]
     df = spark.createDataFrame(
