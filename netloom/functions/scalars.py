@@ -1,13 +1,9 @@
 """Column expressions: flags, identifiers, scores, cleaning rules."""
 
-import ipaddress
 import sys
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType
 
 from netloom.schema import NORMAL, TCP_FLAG_BITS
 
@@ -78,17 +74,6 @@ def session_action(state) -> Column:
     return F.when(as_col(state) == "active", "allowed").otherwise(as_col(state))
 
 
-@pandas_udf(BooleanType())
-def _blockable(ips: pd.Series) -> pd.Series:
-    def check(text):
-        try:
-            return not ipaddress.ip_address(text).is_loopback
-        except (ValueError, TypeError):
-            return False
-
-    return ips.map(check).astype(bool)
-
-
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 
@@ -97,19 +82,37 @@ def _ipv4(c: Column) -> Column:
 
 
 def blockable_ip(ip) -> Column:
-    """A parseable v4 or v6 address other than loopback.
+    """A parseable address other than loopback.
 
-    IPv4 stays in the JVM; use `mixed_blockable_ip` where v6 text may occur.
+    Only IPv4; use `mixed_blockable_ip` where v6 text may occur.
     """
     c = as_col(ip)
     return _ipv4(c) & ~c.startswith("127.")
 
 
+def _ipv6_pattern() -> str:
+    """IPv6 text: eight groups, or fewer around one `::`; the last two groups may be IPv4; a scope may follow."""
+    h, v4 = "[0-9a-f]{1,4}", rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+    forms = [f"(?:{h}:){{7}}{h}", f"(?:{h}:){{6}}{v4}"]
+    for before in range(8):
+        head = f"(?:{h}:){{{before}}}:" if before else "::"
+        after = 7 - before
+        forms.append(head + (f"(?:(?:{h}:){{0,{after - 1}}}{h})?" if after else ""))
+        if after >= 2:
+            forms.append(f"{head}(?:{h}:){{0,{after - 2}}}{v4}")
+    return f"(?i)^(?:{'|'.join(forms)})(?:%[^%/]+)?$"
+
+
+_IPV6 = _ipv6_pattern()
+#: Loopback, also as mapped IPv4; only for text that is IPv6.
+_IPV6_LOOPBACK = r"(?i)^[0:]*:(?:0{0,3}1|0\.0\.0\.1|ffff:127\.[0-9.]+|ffff:7f[0-9a-f]{2}:[0-9a-f]{1,4})(?:%.*)?$"
+
+
 def mixed_blockable_ip(ip) -> Column:
-    """As `blockable_ip`, also for IPv6 text; that check needs one Arrow batch call."""
+    """As `blockable_ip`, also for IPv6 text."""
     c = as_col(ip)
-    v6 = F.when(c.contains(":"), c)
-    return blockable_ip(c) | (c.contains(":") & _blockable(v6))
+    v6 = c.rlike(_IPV6) & ~c.rlike(_IPV6_LOOPBACK)
+    return blockable_ip(c) | F.coalesce(v6, F.lit(False))
 
 
 def finite(c) -> Column:
