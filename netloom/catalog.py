@@ -827,13 +827,18 @@ def _trained(spark, sf, **kw):
 
 
 def _model_quality(spark, sf, **kw):
+    """Rows of each label in the test part, how many of all were scored, and whether the model beats the most frequent label."""
     _, pairs = _trained(spark, sf, **kw)
-    return ev.class_metrics(ev.confusion(pairs, pairs.select(F.col("actual").alias("label"))))
+    pairs = stored(pairs, "predicted")
+    per = pairs.groupBy(F.col("actual").alias("label")).agg(F.count("*").alias("support"))
+    total = pairs.agg(F.count("*").alias("n"), F.count("predicted").alias("scored"), F.sum((F.col("actual") == F.col("predicted")).cast("bigint")).alias("hits"))
+    most = per.agg(F.max("support").alias("most"))
+    return per.join(F.broadcast(total.join(most))).select("label", "support", "scored", (F.col("hits") >= F.col("most")).alias("learned"))  # one row of totals
 
 
 @query
 def ml_train_primary(spark, sf):
-    return _model_quality(spark, sf, kind="rf", trees=20, depth=6)
+    return _model_quality(spark, sf, kind="gbt", trees=4, depth=4, rate=0.3, balanced=True)
 
 
 @query
@@ -855,15 +860,33 @@ def _two_models(spark, sf):
 def ml_score(spark, sf):
     rows, primary, secondary = _two_models(spark, sf)
     out = ml.score(rows.drop("label"), primary, secondary)
-    return out.select("flow_id", "start_us", "label", "confidence", "encoded", F.col("model_outputs.secondary.label").alias("shadow_label"))
+    p = F.col("model_outputs.primary.probabilities")
+    sums = F.abs(F.aggregate(p, F.lit(0.0), lambda a, b: a + b) - 1) < 1e-9
+    return out.select(
+        "flow_id", "start_us", sums.alias("sums_to_one"), (F.col("confidence") == F.array_max(p)).alias("confidence_is_largest"),
+        (F.array_position(p, F.col("confidence")) == F.col("encoded") + 1).alias("label_is_largest"), F.col("model_outputs.secondary.label").isNotNull().alias("shadow_scored"),
+    )
 
 
 @query
 def ml_artifact_guard(spark, sf):
+    """A saved model is accepted as it was written, and refused with another file in it or for other feature columns."""
     rows = _training_rows(spark, sf)
-    path = scratch(spark, "model")
-    ml.save_model(ml.train(rows, "dt", depth=4), path)
-    return ml.score(rows.drop("label"), ml.load_model(path)).groupBy("label").agg(F.count("*").alias("rows"))
+    model = ml.train(rows, "dt", depth=4)
+    checks = []
+    for case in ("intact", "altered_file", "other_columns"):
+        path = scratch(spark, "model")
+        ml.save_model(model, path)
+        if case == "altered_file":
+            spark.range(1).write.mode("append").parquet(f"{path}/model/metadata")
+        if case == "other_columns":
+            ml.write_manifest(spark, path, list(reversed(FEATURES)), "overwrite")
+        try:
+            scored = ml.score(rows.drop("label"), ml.load_model(path))
+            checks.append(scored.agg(F.lit(case).alias("case"), F.lit(True).alias("accepted"), F.count("label").alias("scored")))
+        except ValueError:
+            checks.append(spark.range(1).select(F.lit(case).alias("case"), F.lit(False).alias("accepted"), F.lit(0).cast("bigint").alias("scored")))
+    return reduce(DataFrame.unionByName, checks)
 
 
 _KNOWN = ["Bots", "DDoS", "DoS", "Normal Traffic"]
@@ -949,4 +972,5 @@ def st_rollup(spark, sf):
 def st_score(spark, sf):
     model = ml.train(_training_rows(spark, sf).drop("flow_id", "start_us"), "dt", depth=4)
     scored = st.stream_score(st.stream_sessions(packets(spark, sf, streaming=True)), model)
-    return st.run(spark, scored.select("flow_id", "start_us", "label", "confidence"), "st_score")
+    out = st.run(spark, scored.select("flow_id", "start_us", "label", "confidence"), "st_score")
+    return out.select("flow_id", "start_us", F.col("label").isNotNull().alias("labelled"), F.col("confidence").between(0, 1).alias("confidence_in_range"))

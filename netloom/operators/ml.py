@@ -42,7 +42,10 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(weights, label)
 
 
-def classifier(kind: str, seed: int = 42, trees: int = 100, depth: int = 8, weight: str | None = None):
+def classifier(
+    kind: str, seed: int = 42, trees: int = 100, depth: int = 8, weight: str | None = None, rate: float = 0.1, subsample: float = 0.8, columns: str = "0.8"
+):
+    """`rate`, `subsample` (rows per tree) and `columns` (features per node) are for boosted trees."""
     common = {"featuresCol": "features_vec", "labelCol": "label_index", "seed": seed, "maxDepth": depth}
     if weight:
         common["weightCol"] = weight
@@ -51,19 +54,20 @@ def classifier(kind: str, seed: int = 42, trees: int = 100, depth: int = 8, weig
     if kind == "dt":
         return DecisionTreeClassifier(**common)
     if kind == "gbt":
-        booster = GBTClassifier(featuresCol="features_vec", labelCol="label_index", maxIter=trees, maxDepth=depth, seed=seed)
-        return OneVsRest(classifier=booster, featuresCol="features_vec", labelCol="label_index", rawPredictionCol="rawPrediction")
+        booster = GBTClassifier(maxIter=trees, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=columns, **common)
+        weighted = {"weightCol": weight} if weight else {}
+        return OneVsRest(classifier=booster, featuresCol="features_vec", labelCol="label_index", rawPredictionCol="rawPrediction", **weighted)
     raise ValueError(f"unknown classifier: {kind}")
 
 
 def train(
-    df: DataFrame, kind: str = "rf", label: str = "label", seed: int = 42, trees: int = 100, depth: int = 8, balanced: bool = False
+    df: DataFrame, kind: str = "rf", label: str = "label", seed: int = 42, trees: int = 100, depth: int = 8, balanced: bool = False, **boosting
 ) -> PipelineModel:
-    """Fit label encoder, assembler and classifier on feature rows."""
+    """Fit label encoder, assembler and classifier on feature rows; `balanced` weighs rows by the inverse of their label's share."""
     data = class_weights(df, label) if balanced else df
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features_vec", handleInvalid="error")
     indexer = label_indexer(label).fit(data)
-    model = classifier(kind, seed, trees, depth, "weight" if balanced and kind != "gbt" else None)
+    model = classifier(kind, seed, trees, depth, "weight" if balanced else None, **boosting)
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
     return Pipeline(stages=[indexer, assembler, model, back]).fit(data)
 
@@ -117,8 +121,11 @@ def save_model(model: PipelineModel, path: str, overwrite: bool = False) -> None
     target = _join(path, "model")
     writer = model.write().overwrite() if overwrite else model.write()
     writer.save(target)
-    body = json.dumps({"features": FEATURES, "digests": _digests(spark, target)}, sort_keys=True)
-    mode = "overwrite" if overwrite else "errorifexists"
+    write_manifest(spark, path, FEATURES, "overwrite" if overwrite else "errorifexists")
+
+
+def write_manifest(spark: SparkSession, path: str, features: list[str], mode: str) -> None:
+    body = json.dumps({"features": features, "digests": _digests(spark, _join(path, "model"))}, sort_keys=True)
     spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode(mode).text(_join(path, "manifest"))
 
 
