@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from netloom.functions.scalars import finite, normalized_label, numeric
 from netloom.schema import BAD_LABELS, FEATURES, LABEL, RAW_LABEL, RAW_MICROS, RAW_TO_FEATURE, WHOLE_FEATURES
@@ -33,8 +34,14 @@ def map_flow_columns(df: DataFrame, extra: tuple = ()) -> DataFrame:
         raise ValueError("missing feature columns: " + ", ".join(missing))
     raw = {feature: name for name, feature in RAW_TO_FEATURE.items()}
     names = {f: raw[f] if raw[f] in df.columns else f for f in FEATURES}
-    ready = seconds_from_micros(df)
-    return ready.select(*[numeric(f"`{names[f]}`").alias(f) for f in FEATURES], *extra)
+    plain = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+
+    def value(name: str) -> Column:
+        """One parse of each column; numbers need none."""
+        v = F.col(f"`{name}`").cast("double") if name in plain else numeric(f"`{name}`")
+        return v / 1e6 if name in RAW_MICROS else v
+
+    return df.select(*[value(names[f]).alias(f) for f in FEATURES], *extra)
 
 
 def finite_rows(df: DataFrame) -> DataFrame:

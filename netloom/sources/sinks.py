@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators.dataset import label_counts, prepare, proportional_targets, stratified_split
 from netloom.schema import FEATURES, LABEL, RAW_LABEL
+from netloom.session import stored
 from netloom.sources.flows import _fs, _join, csv_files, read_raw_flows
 
 # Key column and policy of each stored table.
@@ -143,7 +144,7 @@ def write_dataset(
         raise FileExistsError("outputs exist already: " + ", ".join(present))
     files = csv_files(spark, source)
     raw = read_raw_flows(spark, source)
-    prepared = prepare(raw)
+    prepared = stored(prepare(raw), "prepared")
     if prepared.isEmpty():
         raise ValueError("no valid rows remain")
     prepared.write.mode("overwrite").option("header", True).csv(paths["cleaned"])
