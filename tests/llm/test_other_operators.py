@@ -5,7 +5,7 @@ import random
 
 import duckdb
 import numpy as np
-import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -96,7 +96,7 @@ def test_url_rules_equal_sql(spark):
     want = con.execute(url_filter.SQL.replace("from pages", "from p")).df()
     for limit in (100_000, 0):
         got = url_filter.judge(pages, rules, broadcast_rules=limit).select("page_id", "host", "path", "rule", "verdict").toPandas()
-        key = lambda d: sorted(tuple("-" if x is None or x != x else str(x) for x in r) for r in d[["page_id", "host", "path", "rule", "verdict"]].itertuples(index=False))
+        key = lambda d: sorted(tuple("-" if pd.isna(x) else x if isinstance(x, str) else str(int(x)) for x in r) for r in d[["page_id", "host", "path", "rule", "verdict"]].itertuples(index=False))
         assert key(got) == key(want)
     free = url_filter.judge(pages, [url_filter.Rule("[0-9]$", (), "block")]).filter("verdict = 'block'").select("url").distinct().collect()
     assert {r.url for r in free} == {u for u in urls if u and u[-1].isdigit()}
