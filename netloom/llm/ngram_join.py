@@ -4,7 +4,7 @@ Texts with equal shingle sets are one node. Each node's set is sampled by min-ha
 token with a probability equal to their Jaccard similarity. A run starts with all nodes in one bucket; a bucket splits
 by `branches` sampled tokens into the nodes that share each of them, and so on until it is small, or until splitting
 would keep most pairs together anyway because its nodes are alike. Those last buckets are compared by brute force, in
-blocks, on whole sets. Runs repeat until a pair at the threshold is met with the target probability.
+blocks, on whole sets. Runs repeat until a pair at the threshold is met with the target probability at the last level.
 
 A pair is counted only in the lowest of the buckets that both nodes reached, so degrees need no table of pairs.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from netloom.llm.common import batches, prepare, read, stored, texts
 
 #: Sampled tokens kept of each set.
-SAMPLES = 48
+SAMPLES = 96
 _SEEDS = np.random.default_rng(7)
 _FLIP = _SEEDS.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 _ODD = _SEEDS.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,17 +41,30 @@ class Settings:
     alike: float = 1 / 3  # part of its pairs that stay together in a split, from which a bucket is compared rather than split
     block: int = 1024  # nodes of one side of a comparison task
 
-    @property
-    def runs(self) -> int:
-        """Runs after which a pair at the threshold is met with probability `recall`, however deep the recursion."""
-        p = 1.0
-        for _ in range(1000):
-            p = 1 - (1 - self.similarity * p) ** self.branches
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - p))) if p < 1 else 1
+    def runs_for(self, levels: int) -> int:
+        """Runs after which a pair at the threshold is met with probability `recall` if its buckets split `levels` times.
+
+        All buckets of a level and run split by the same samples, so a level on which none of them agrees ends the run for the pair.
+        """
+        missed = 1 - (1 - (1 - self.similarity) ** self.branches) ** levels
+        return max(1, math.ceil(math.log(1 - self.recall) / math.log(missed))) if 0 < missed < 1 else 1
 
     @property
     def levels(self) -> int:
-        return max(1, SAMPLES // (self.runs * self.branches))
+        """The most levels whose runs the samples suffice for; buckets of the last one are compared, whatever their size."""
+        n = 1
+        while self.runs_for(n + 1) * self.branches * (n + 1) <= SAMPLES:
+            n += 1
+        return n
+
+    @property
+    def runs(self) -> int:
+        return self.runs_for(self.levels)
+
+    def columns(self, level: int, run: int) -> range:
+        """The samples by which a run splits the buckets of a level."""
+        first = (level * self.runs + run) * self.branches
+        return range(first, first + self.branches)
 
     @property
     def agreeing(self) -> int:
@@ -125,7 +138,7 @@ def leaf_buckets(reps: DataFrame, settings: Settings) -> DataFrame:
     opened = reps.select("rep", "sig", roots.alias("run")).select("*", F.col("run").cast("long").alias("parent"), F.lit(total).cast("long").alias("size"))
     found: list[DataFrame] = []
     for level in range(settings.levels):
-        first = level * settings.runs * settings.branches
+        first = settings.columns(level, 0).start
         split = [F.xxhash64("parent", F.lit(j), F.substring("sig", 4 * (first + F.col("run") * settings.branches + j) + 1, F.lit(4))) for j in range(settings.branches)]
         kids = stored(opened.select("rep", "run", "parent", "size", F.explode(F.array(*split)).alias("bucket")), "ngram-split")
         sizes = stored(kids.groupBy("bucket", "parent", "size").agg(F.count("*").alias("n")), "ngram-sizes")

@@ -155,6 +155,21 @@ def test_join_equals_brute_force(spark, settings):
     assert [got[i].n_links for i in range(len(rows))] == degree and [got[i].class_id for i in range(len(rows))] == root
 
 
+def test_recall_holds_at_every_depth():
+    """Pairs at the threshold whose buckets never get small: met after d splits if some run has an agreeing sample on each of d levels."""
+    r, settings, n = np.random.default_rng(11), ngram_join.Settings(), 20_000
+    sets = r.integers(0, 1 << 63, (n, 40), dtype=np.uint64)
+    agree = np.stack([ngram_join.samples(s[:36]) == ngram_join.samples(s[4:]) for s in sets])  # 32 of 40 shared
+    met = np.ones((n, settings.runs), bool)
+    for level in range(settings.levels):
+        met &= np.stack([agree[:, list(settings.columns(level, run))].any(axis=1) for run in range(settings.runs)], axis=1)
+        assert met.any(axis=1).mean() >= 0.9997, level + 1  # 0.9999 is asked; four missed of 20 000 leave room for chance
+    assert settings.levels >= 8 and settings.runs * settings.levels * settings.branches <= ngram_join.SAMPLES
+    for s in (0.3, 0.5, 0.9, 1.0):
+        other = ngram_join.Settings(similarity=s)
+        assert 1 - (1 - (1 - (1 - s) ** other.branches) ** other.levels) ** other.runs >= 0.9999
+
+
 def test_mixing_meets_targets(spark, docs, empty):
     rows = [(k, " ".join([*words(k, 20), "good" if k % 4 else "bad"])) for k in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
