@@ -123,7 +123,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     lengths = np.array([len(scores[i]) for i in order], dtype=np.int64)
     if not len(order) or not lengths[0]:
-        return [np.zeros(0, dtype=np.int8) for _ in scores]
+        return [np.zeros(0, dtype=np.int16) for _ in scores]
     steps = int(lengths[0])
     running = np.searchsorted(-lengths, -np.arange(steps), side="left")  # texts longer than t
     offset = np.concatenate([[0], np.cumsum(running)])  # rows are ordered by step, then by text
@@ -135,14 +135,14 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         n = running[t]
         before, here = best[offset[t - 1] : offset[t - 1] + n], best[offset[t] : offset[t + 1]]
         here += np.maximum(before, before.max(axis=1, keepdims=True) - penalty)
-    top = best.argmax(axis=1).astype(np.int8)
+    top = best.argmax(axis=1).astype(np.int16)
     switched = best < best.max(axis=1, keepdims=True) - penalty
-    back = np.where(switched, top[:, None], np.arange(best.shape[1], dtype=np.int8))
+    back = np.where(switched, top[:, None], np.arange(best.shape[1], dtype=np.int16))
     labels = top  # right for the last step of each text; the others follow from their successors
     for t in range(steps - 2, -1, -1):
         a, n = offset[t], running[t + 1]
         labels[a : a + n] = back[np.arange(a, a + n), labels[offset[t + 1] : offset[t + 2]]]
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(scores)
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.int16)] * len(scores)
     for k, i in enumerate(order):
         out[i] = labels[place[k]]
     return out
@@ -190,32 +190,52 @@ def label_texts(model: LanguageModel, values: list[str], spans: bool = True) ->
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", fit_rows: int = 8000, fit_chars: int = 20_000, buckets: int = 1 << 15, smoothing: float = 0.3, switch: float = 8.0) -> LanguageModel:
-    """Trigram counts by language from labelled rows.
+def fit_sample(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", fit_rows: int = 8000) -> DataFrame:
+    """The labelled rows (text, lang) used by a fit: of each language those of the lowest hashes, about `fit_rows`; all, if it has no more.
 
-    `fit_rows` is the expected number of labelled rows used (chosen by hash; all, if there are fewer) and
-    `fit_chars` bounds the characters of one such row; both concern the fit only. The driver gets languages x `buckets` counts at most.
+    A language always keeps the rows of its least hash. The driver gets the row count of each language beyond `fit_rows`.
     """
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, fit_rows / max(1, rows.select(lang).count()))
-    picked = F.pmod(F.xxhash64(F.col(order), F.length(text)), F.lit(1 << 20)) < round(share * (1 << 20))
-    sample = rows.filter(picked).select(F.substring(text, 1, fit_chars).alias("text"), F.col(lang).cast("string").alias("lang"))
+    whole = 1 << 30
+    name, place = F.col(lang).cast("string"), F.pmod(F.xxhash64(F.col(order), F.col(text)), F.lit(whole))
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), name.alias("lang"), place.alias("place"))
+    large = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).filter(F.col("n") > fit_rows).collect()
+    if not large:
+        return rows.select("text", "lang")
+    most = F.create_map(*[F.lit(x) for r in large for x in (r.lang, max(r.least, whole * fit_rows // r.n))])
+    return rows.filter(F.col("place") <= F.coalesce(most[F.col("lang")], F.lit(whole))).select("text", "lang")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", fit_rows: int = 8000, buckets: int = 1 << 15, smoothing: float = 0.3, switch: float = 8.0, max_chunks: int = 200_000) -> LanguageModel:
+    """Trigram counts by language from labelled rows, over whole texts.
+
+    `fit_rows` is the expected number of labelled rows used of each language (see `fit_sample`); it concerns the fit only.
+    A worker holds `max_chunks` distinct words, and those of one batch, before it counts their trigrams. The driver gets
+    languages x `buckets` counts at most.
+    """
+    sample = fit_sample(docs, text, lang, order, fit_rows)
     names = sorted({s for _, s in SCRIPT_ENDS})
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
-        for batch in parts:
+        found: Counter = Counter()
+
+        def flush() -> None:
+            for name, seen in words.items():
+                known = [(letters, n) for chunk, n in seen.items() if (letters := letters_of(chunk))]
+                for letters, n in known:
+                    found[name, -1 - names.index(script_of(letters[0]))] += n
+                if known:
+                    ids, _ = trigram_buckets([letters for letters, _ in known], buckets)
+                    sums = np.bincount(ids, weights=np.repeat([n for _, n in known], [len(letters) for letters, _ in known]), minlength=buckets)
+                    found.update({(name, int(b)): int(sums[b]) for b in np.flatnonzero(sums)})
+            words.clear()
+
+        for batch in batches(parts):
             for value, name in zip(texts(batch), batch.column("lang").to_pylist(), strict=True):
                 words.setdefault(name, Counter()).update(chunks_of(value))
-        found: Counter = Counter()
-        for name, seen in words.items():
-            known = [(letters, n) for chunk, n in seen.items() if (letters := letters_of(chunk))]
-            for letters, n in known:
-                found[name, -1 - names.index(script_of(letters[0]))] += n
-            if known:
-                ids, _ = trigram_buckets([letters for letters, _ in known], buckets)
-                sums = np.bincount(ids, weights=np.repeat([n for _, n in known], [len(letters) for letters, _ in known]), minlength=buckets)
-                found.update({(name, int(b)): int(sums[b]) for b in np.flatnonzero(sums)})
+            if sum(map(len, words.values())) > max_chunks:
+                flush()
+        flush()
         yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.string()), "b": pa.array([k[1] for k in found], pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
 
     got = sample.mapInArrow(count, "lang string, b long, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).collect()

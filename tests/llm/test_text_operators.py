@@ -50,6 +50,25 @@ def test_language_model_labels_spans(spark):
     assert spans[0]["end"] == spans[1]["start"] and spans[1]["end"] == len(mixed) and mixed[spans[1]["start"] :].split()[0] in words(78, 60, "vwxyz")
 
 
+def test_every_language_is_learnt_from_whole_texts(spark):
+    """A language of two rows beside thousands of another, one whose rows are all alike, and a second script late in a long text."""
+    prepare(spark)
+    rows = [(k, " ".join(words(k, 8, "abcde")), "aa") for k in range(3000)] + [(5000 + k, " ".join(words(5000 + k, 60, "vwxyz")), "vv") for k in range(2)]
+    rows += [(None, " ".join(words(7, 60, "klmno")), "kk")] * 100 + [(6000, " ".join([*words(8, 6000, "fghij"), "привет мир"]), "ff")]
+    rows += [(7000 + k, "only", f"l{k:03}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = {r.lang: r["count"] for r in language_id.fit_sample(docs, fit_rows=50).groupBy("lang").count().collect()}
+    assert 20 < picked["aa"] < 90 and (picked["vv"], picked["kk"], picked["ff"]) == (2, 100, 1) and len(picked) == 154
+    model = language_id.fit(docs, fit_rows=50)
+    assert model.langs == sorted(picked)
+    tests = [" ".join(words(99, 40, letters)) for letters in ("vwxyz", "klmno", "abcde")]
+    assert [g[0] for g in language_id.label_texts(model, tests)] == ["vv", "kk", "aa"]
+    late = language_id.fit(docs.filter("lang = 'ff'").withColumn("text", F.concat(F.substring("text", 1, 20_500), F.lit(" привет" * 200))))
+    assert late.scripts == {"latin": [0], "cyrillic": [0]}
+    some = language_id.fit(docs.filter("doc_id >= 5000"), max_chunks=10)
+    assert (some.log_p == language_id.fit(docs.filter("doc_id >= 5000")).log_p).all()
+
+
 def test_viterbi_equals_brute_force():
     r = np.random.default_rng(3)
     scores = [r.normal(size=(n, 3)).astype(np.float32) for n in (1, 4, 6, 0, 5)]
