@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netloom.llm import exact_topk, fingerprints, kd_shards, language_id, mixing, ngram_join, packing, quality, reply_trees, simhash, url_filter
+from netloom.llm import alignment, exact_topk, fingerprints, kd_shards, language_id, mixing, ngram_join, packing, quality, repair, reply_trees, simhash, url_filter
 
 REGISTRY = {
     "op1_packing": packing.op1,
@@ -15,7 +15,9 @@ REGISTRY = {
     "op7_quality_classifier": quality.op7,
     "op10_exact_topk": exact_topk.op10,
     "op9_language_id": language_id.op9,
+    "op11_alignment": alignment.op11,
     "op12_simhash": simhash.op12,
+    "op13_repair": repair.op13,
 }
 
 SQL: dict[str, str] = {"op5_url_filter": url_filter.SQL}
