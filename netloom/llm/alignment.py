@@ -1,15 +1,16 @@
 """Cross-tokenizer alignment with corpus-wide counts of linked id pairs, by minimal perfect hashing.
 
-Pass one encodes every text with both tokenizers, aligns the tokens by the bytes they end at, and keeps the ids of each
-batch of documents beside the distinct linked pairs of that batch with their counts. Pairs are dealt to shards by their
+Pass one encodes every text with both tokenizers, aligns the tokens by the bytes they end at, and keeps each batch of
+documents beside the distinct linked pairs of that batch with their counts. Pairs are dealt to shards by their
 second id. In each shard the distinct pairs are gathered in a tree of unions, and a minimal perfect hash of them is
 built: levels of bit arrays, in each of which the pairs without a collision get their bit, whose rank is the pair's
 index. Every group of batches then adds up a dense vector of counts, indexed by hash, and the vectors are summed in a
 tree. Keys stored in the order of their index verify each lookup.
 
-Pass two brings each batch the counts of its own pairs, aligns its documents again from their ids, and looks the counts
-up. Nothing that grows with the corpus is broadcast or collected: a shard holds at most the pairs that the vocabularies
-allow, divided by the number of shards, and a batch holds `batch_bytes` of text or one longer text.
+Pass two brings each batch the counts of its own pairs, aligns its documents again, and looks the counts up. (Ids kept
+from pass one would save its encoding, but take more room than the texts.) Nothing that grows with the corpus is
+broadcast or collected: a shard holds at most the pairs that the vocabularies allow, divided by the number of shards, and
+a batch holds `batch_bytes` of text or one longer text.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ class Pieces:
         for word in self.words(" " + text):
             found = known.get(word)
             if found is None:
-                found = self.model.encode(word[1:])
+                found = self.model.encode(word[1:]) if len(word) > 1 else [self.model.piece_to_id("▁")]
                 if len(word) <= 64:
                     if len(known) >= self.most:
                         known.clear()
@@ -211,25 +212,25 @@ HASH = "bits array<binary>, sizes array<long>, keys binary"
 
 
 def encode(docs: DataFrame, a_path: str, b_path: str, shards: int, batch_bytes: int) -> DataFrame:
-    """Pass one: rows (batch, doc_id, a, b) of documents, and rows (batch, shard, keys, counts) of the pairs of a batch."""
+    """Pass one: rows (batch, doc_id, text) of documents, and rows (batch, shard, keys, counts) of the pairs of a batch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner = Aligner(a_path, b_path)
-        lengths = _lengths(aligner.a.bytes), _lengths(aligner.b.bytes)
+        aligner, lengths, _ = _tables(a_path, b_path)
         number = (TaskContext.get().partitionId() << 32) - 1
         for batch in batches(parts, batch_bytes):
             number += 1
-            ids, keys = [aligner.encode(t) for t in texts(batch)], []
-            for a, b in ids:
+            keys = []
+            for text in texts(batch):
+                a, b = aligner.encode(text)
                 at_a, at_b = common_ends(a, b, *lengths)
                 keys.append(pair_keys(a[at_a], b[at_b]))
             found, counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-            n, none = len(ids), pa.nulls
+            n, none = batch.num_rows, pa.nulls
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * n, pa.int64()), batch.column("doc_id"), pa.array([a.tobytes() for a, _ in ids], pa.binary()), pa.array([b.tobytes() for _, b in ids], pa.binary()), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary())], names=names
+                [pa.array([number] * n, pa.int64()), batch.column("doc_id"), pa.array(texts(batch), pa.string()), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary())], names=names
             )
             shard = (_mix(found >> 32, 99) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
@@ -240,8 +241,7 @@ def encode(docs: DataFrame, a_path: str, b_path: str, shards: int, batch_bytes:
                 [
                     pa.array([number] * m, pa.int64()),
                     none(m, batch.column("doc_id").type),
-                    none(m, pa.binary()),
-                    none(m, pa.binary()),
+                    none(m, pa.string()),
                     pa.array([int(shard[p[0]]) for p in held], pa.int64()),
                     pa.array([found[p].tobytes() for p in held], pa.binary()),
                     pa.array([counts[p].astype(np.int64).tobytes() for p in held], pa.binary()),
@@ -249,8 +249,8 @@ def encode(docs: DataFrame, a_path: str, b_path: str, shards: int, batch_bytes:
                 names=names,
             )
 
-    names = ["batch", "doc_id", "a", "b", "shard", "keys", "counts"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"batch long, doc_id {kind}, a binary, b binary, shard long, keys binary, counts binary")
+    names = ["batch", "doc_id", "text", "shard", "keys", "counts"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"batch long, doc_id {kind}, text string, shard long, keys binary, counts binary")
 
 
 def longs(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -370,21 +370,21 @@ def align(docs: DataFrame, a_path: str, b_path: str, batch_bytes: int = 4 << 20,
     schema = pa.schema([("doc_id", _arrow(spark, docs)), *((c, pa.int64()) for c in COUNTS), ("groups_sha256", pa.string())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        aligner_lengths, writer = _tables(a_path, b_path)
+        aligner, lengths, writer = _tables(a_path, b_path)
         keys, counts, best = (np.concatenate(longs(right.column(c))) if right.num_rows else np.zeros(0, np.int64) for c in ("keys", "counts", "best"))
         order = np.argsort(keys)
         keys, counts, best = keys[order], counts[order], best[order]
         columns: dict[str, list] = {c: [] for c in (*COUNTS, "groups_sha256")}
-        for a_blob, b_blob in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
-            a, b = np.frombuffer(a_blob, np.uint32), np.frombuffer(b_blob, np.uint32)
-            at_a, at_b = common_ends(a, b, *aligner_lengths)
+        for text in left.column("text").to_pylist():
+            a, b = aligner.encode(text)
+            at_a, at_b = common_ends(a, b, *lengths)
             at = np.searchsorted(keys, pair_keys(a[at_a], b[at_b]))
             values = (len(a), len(b), len(at_a), len(at_a), int((counts[at] == best[at]).sum()), int(counts[at].sum()), writer.digest(a, b, at_a, at_b))
             for column, value in zip(columns.values(), values, strict=True):
                 column.append(value)
         return pa.Table.from_arrays([left.column("doc_id").combine_chunks() if left.num_rows else pa.array([], schema.field("doc_id").type), *(pa.array(v, schema.field(c).type) for c, v in columns.items())], schema=schema)
 
-    texts_of = first.filter("a is not null").select("batch", "doc_id", "a", "b")
+    texts_of = first.filter("keys is null").select("batch", "doc_id", "text")
     return texts_of.groupBy("batch").cogroup(delivered.groupBy("batch")).applyInArrow(run, f"doc_id {kind.simpleString()}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string")
 
 
@@ -397,11 +397,11 @@ def _arrow(spark, docs: DataFrame) -> pa.DataType:
 _held: dict[tuple[str, str], tuple] = {}
 
 
-def _tables(a_path: str, b_path: str) -> tuple[tuple[np.ndarray, np.ndarray], GroupText]:
-    """Byte lengths of the ids of both vocabularies and the table of decimal ids, once per worker."""
+def _tables(a_path: str, b_path: str) -> tuple[Aligner, tuple[np.ndarray, np.ndarray], GroupText]:
+    """The aligner, byte lengths of the ids of both vocabularies and the table of decimal ids, once per worker."""
     if (a_path, b_path) not in _held:
         aligner = Aligner(a_path, b_path)
-        _held[a_path, b_path] = (_lengths(aligner.a.bytes), _lengths(aligner.b.bytes)), GroupText(max(len(aligner.a.bytes), len(aligner.b.bytes)))
+        _held[a_path, b_path] = aligner, (_lengths(aligner.a.bytes), _lengths(aligner.b.bytes)), GroupText(max(len(aligner.a.bytes), len(aligner.b.bytes)))
     return _held[a_path, b_path]
 
 
