@@ -168,41 +168,60 @@ FACTS = "key string, number long, n long, first string, last string, illegal lon
 GOOD_PAIRS = ("su", "ua", "au")
 
 
-def piece_cells(rows: DataFrame) -> DataFrame:
-    """One row per piece: its cell, its first and last role initial, and the adjacent initials inside that break the pattern."""
+def runs_of(table: pa.Table, by: list[str]) -> Iterator[pa.Table]:
+    """The parts of a sorted table with equal values of some columns."""
+    keys = list(zip(*(table.column(c).to_pylist() for c in by), strict=True))
+    starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+    for a, b in zip(starts, starts[1:], strict=False):
+        if b > a:
+            yield table.slice(a, b - a)
+
+
+def piece_cells(rows: DataFrame, together: int = 256) -> DataFrame:
+    """One row per piece: its cell, its first and last role initial, and the adjacent initials inside that break the pattern.
+
+    Pieces are taken `together` at a time, as most are short.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
+        table = table.sort_by([("piece", "ascending"), ("place", "ascending")])
+        return pa.Table.from_pylist([facts(piece) for piece in runs_of(table, ["piece"])], schema=schema)
+
+    def facts(table: pa.Table) -> dict:
         initials = [r[:1] for r in table.column("role").to_pylist()]
         cell = parse([row_cell(i, f) for i, f in zip(initials, table.column("fault").to_pylist(), strict=True)])
         broken = sum(a + b not in GOOD_PAIRS for a, b in zip(initials, initials[1:], strict=False))
         row = {"key": table.column("key")[0].as_py(), "part": table.column("part")[0].as_py(), "piece": table.column("piece")[0].as_py()}
-        row |= {"n": len(initials), "first": initials[0], "last": initials[-1], "illegal": broken} | _as_row(cell)
-        return pa.Table.from_pylist([row], schema=schema)
+        return row | {"n": len(initials), "first": initials[0], "last": initials[-1], "illegal": broken} | _as_row(cell)
 
     ints = {"piece": pa.int64(), "n": pa.int64(), "illegal": pa.int64(), "part": pa.int32()}
     names = ["key", "part", "piece", "n", "first", "last", "illegal", *(x for p, q in SYMBOLS for x in (f"c{p}{q}", f"a{p}{q}"))]
     schema = pa.schema([(c, ints.get(c, pa.int64() if c[0] == "c" else pa.string())) for c in names])
     fields = rows.select("key", "part", "piece", "place", "role", "fault")
-    return fields.groupBy("key", "part", "piece").applyInArrow(run, f"key string, part int, piece long, n long, first string, last string, illegal long, {CELLS}")
+    return fields.groupBy("part", F.expr(f"piece div {together}").alias("group")).applyInArrow(run, f"key string, part int, piece long, n long, first string, last string, illegal long, {CELLS}")
 
 
 def whole_cells(pieces: DataFrame, fan: int) -> DataFrame:
-    """One row per conversation from its numbered pieces: adjacent cells in groups of `fan`, level by level."""
-    names = [f.name for f in pieces.select("key", "number", "n", "first", "last", "illegal", *(x for p, q in SYMBOLS for x in (f"c{p}{q}", f"a{p}{q}"))).schema.fields]
-    schema = pa.schema([(c, pa.string() if c in ("key", "first", "last") or c[0] == "a" else pa.int64()) for c in names])
+    """One row per conversation from its numbered pieces: adjacent cells in groups of `fan`, level by level.
+
+    Conversations share tasks by `bucket`, a hash of their key.
+    """
+    names = [f.name for f in pieces.select("bucket", "key", "number", "n", "first", "last", "illegal", *(x for p, q in SYMBOLS for x in (f"c{p}{q}", f"a{p}{q}"))).schema.fields]
+    schema = pa.schema([(c, pa.string() if c in ("key", "first", "last") or (c[0] == "a" and len(c) == 3) else pa.int64()) for c in names])
 
     def run(table: pa.Table) -> pa.Table:
-        held = table.sort_by("number").to_pylist()
+        table = table.sort_by([("key", "ascending"), ("number", "ascending")])
+        return pa.Table.from_pylist([joined(part.to_pylist()) for part in runs_of(table, ["key"])], schema=schema)
+
+    def joined(held: list[dict]) -> dict:
         across = sum(a["last"] + b["first"] not in GOOD_PAIRS for a, b in zip(held, held[1:], strict=False))
-        row = {"key": held[0]["key"], "number": held[0]["number"], "n": sum(h["n"] for h in held), "first": held[0]["first"], "last": held[-1]["last"]}
-        row |= {"illegal": across + sum(h["illegal"] for h in held)} | _as_row(parse([_as_cell(h) for h in held]))
-        return pa.Table.from_pylist([row], schema=schema)
+        row = {"bucket": held[0]["bucket"], "key": held[0]["key"], "number": held[0]["number"] // fan, "n": sum(h["n"] for h in held), "first": held[0]["first"], "last": held[-1]["last"]}
+        return row | {"illegal": across + sum(h["illegal"] for h in held)} | _as_row(parse([_as_cell(h) for h in held]))
 
     most = pieces.agg(F.max("number")).first()[0] or 0
     level = pieces.select(*names)
     while True:
-        level = level.withColumn("number", F.expr(f"number div {fan}")).groupBy("key", "number").applyInArrow(run, f"{FACTS}, {CELLS}")
+        level = level.groupBy("bucket", F.expr(f"number div {fan}").alias("group")).applyInArrow(run, f"bucket long, {FACTS}, {CELLS}")
         most //= fan
         if not most:
             return level
@@ -215,40 +234,46 @@ def slices(parsed: DataFrame, pieces: DataFrame) -> DataFrame:
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        audit = left.column("audit")[0].as_py()
-        made = sum(e != DELETE for e in audit)
-        first_s = made % 2 == 1
-        held = right.sort_by("number").to_pylist()
-        at, written, rows = 0, 0, []
-        for k, h in enumerate(held):
-            end, left_rows = at, h["n"]
-            while left_rows:
-                left_rows -= audit[end] != INSERT
-                end += 1
-            edits = audit[at:] if k == len(held) - 1 else audit[at:end]
-            rows.append({"key": h["key"], "part": h["part"], "piece": h["piece"], "number": h["number"], "edits": edits, "written": written, "first_s": first_s})
-            written += sum(e != DELETE for e in edits)
-            at = end
+        audits, rows = dict(zip(left.column("key").to_pylist(), left.column("audit").to_pylist(), strict=True)), []
+        right = right.sort_by([("key", "ascending"), ("number", "ascending")])
+        for part in runs_of(right, ["key"]):
+            held = part.to_pylist()
+            audit = audits[held[0]["key"]]
+            at, written, first_s = 0, 0, sum(e != DELETE for e in audit) % 2 == 1
+            for h in held:
+                end, left_rows = at, h["n"]
+                while left_rows:
+                    left_rows -= audit[end] != INSERT
+                    end += 1
+                edits = audit[at:] if h is held[-1] else audit[at:end]
+                rows.append({"key": h["key"], "part": h["part"], "piece": h["piece"], "number": h["number"], "edits": edits, "written": written, "first_s": first_s})
+                written += sum(e != DELETE for e in edits)
+                at = end
         return pa.Table.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("key", pa.string()), ("part", pa.int32()), ("piece", pa.int64()), ("number", pa.int64()), ("edits", pa.string()), ("written", pa.int64()), ("first_s", pa.bool_())])
-    right = pieces.select("key", "part", "piece", "number", "n")
-    return parsed.select("key", "audit").groupBy("key").cogroup(right.groupBy("key")).applyInArrow(run, "key string, part int, piece long, number long, edits string, written long, first_s boolean")
+    right = pieces.select("bucket", "key", "part", "piece", "number", "n")
+    return parsed.select("bucket", "key", "audit").groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, "key string, part int, piece long, number long, edits string, written long, first_s boolean")
 
 
-def write(rows: DataFrame, edits: DataFrame) -> DataFrame:
+def write(rows: DataFrame, edits: DataFrame, together: int = 256) -> DataFrame:
     """(key, number, place, role, text): the repaired rows in order."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("place")
-        given = list(zip(left.column("role").to_pylist(), left.column("text").to_pylist(), strict=True))
-        e = right.to_pylist()[0]
-        made, _ = apply(e["edits"], given, e["written"], e["first_s"])
-        n = len(made)
-        return pa.table([pa.array([e["key"]] * n, pa.string()), pa.array([e["number"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([r for r, _ in made], pa.string()), pa.array([t for _, t in made], pa.string())], names=["key", "number", "place", "role", "text"])
-
-    by = ["key", "part", "piece"]
-    return rows.select(*by, "place", "role", "text").groupBy(*by).cogroup(edits.groupBy(*by)).applyInArrow(run, "key string, number long, place long, role string, text string")
+        left = left.sort_by([("piece", "ascending"), ("place", "ascending")])
+        wanted = {e["piece"]: e for e in right.to_pylist()}
+        columns: list[list] = [[], [], [], [], []]
+        for part in runs_of(left, ["piece"]):
+            e = wanted[part.column("piece")[0].as_py()]
+            made, _ = apply(e["edits"], list(zip(part.column("role").to_pylist(), part.column("text").to_pylist(), strict=True)), e["written"], e["first_s"])
+            n = len(made)
+            for column, values in zip(columns, ([e["key"]] * n, [e["number"]] * n, range(n), [r for r, _ in made], [t for _, t in made]), strict=True):
+                column.extend(values)
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "number", "place", "role", "text"])
+
+    group = F.expr(f"piece div {together}").alias("group")
+    return rows.select("part", group, "piece", "place", "role", "text").groupBy("part", "group").cogroup(edits.withColumn("group", group).groupBy("part", "group")).applyInArrow(run, "key string, number long, place long, role string, text string")
 
 
 def digests(repaired: DataFrame) -> DataFrame:
@@ -286,16 +311,17 @@ def repair(conversations: DataFrame, piece: int = 512, fan: int = 16) -> tuple[D
     prepare(conversations.sparkSession)
     rows = cut(faulty(conversations), piece)
     cells = stored(piece_cells(rows), "repair-cells")
-    pieces = cells.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("part", "piece")).cast("long") - 1)
+    buckets = max(1, -(-cells.count() // 2000))
+    pieces = cells.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("long")).withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("part", "piece")).cast("long") - 1)
     pieces = stored(pieces, "repair-numbered")
     best = F.least(*(F.when(F.col(f"c0{q}").isNotNull(), F.struct(F.col(f"c0{q}").alias("cost"), F.col(f"a0{q}").alias("audit"))) for q in ENDS))
-    parsed = stored(whole_cells(pieces, fan).select("key", "illegal", best.alias("best")).select("key", "illegal", "best.cost", "best.audit"), "repair-parsed")
+    parsed = stored(whole_cells(pieces, fan).select("bucket", "key", "illegal", best.alias("best")).select("bucket", "key", "illegal", "best.cost", "best.audit"), "repair-parsed")
     repaired = stored(write(rows, slices(parsed, pieces)), "repair-written")
     kinds = [F.count_if(F.col("fault") == f).alias(f) for f in ("blank", "duplicate", "truncated")]
     turns = rows.groupBy("key", "turn").agg(*kinds)
     spans = F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0)).cast("long")
     counts = turns.groupBy("key").agg(spans.alias("gaps"), *(F.sum(f).cast("long").alias(f) for f in ("blank", "duplicate", "truncated")))
-    reports = counts.join(parsed, "key").join(digests(repaired), "key", "left")
+    reports = counts.join(parsed.drop("bucket"), "key").join(digests(repaired), "key", "left")
     reports = reports.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())))
     return reports.select("key", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"), repaired
 
