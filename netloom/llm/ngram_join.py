@@ -2,9 +2,10 @@
 
 Texts with equal shingle sets are one node. Each node's set is sampled by min-hashes, so two sets share a sampled
 token with a probability equal to their Jaccard similarity. A run starts with all nodes in one bucket; a bucket splits
-by `branches` sampled tokens into the nodes that share each of them, and so on until it is small, or until splitting
-would keep most pairs together anyway because its nodes are alike. Those last buckets are compared by brute force, in
-blocks, on whole sets. Runs repeat until a pair at the threshold is met with the target probability at the last level.
+by `branches` sampled tokens of its own into the nodes that share each of them, and so on until it is small, or until
+splitting would keep most pairs together anyway because its nodes are alike: that is measured on one sampled token before
+any split. Of last buckets with the same nodes one stays. They are compared by brute force, in blocks, on whole sets.
+Runs repeat until a pair at the threshold is met with the target probability at every depth.
 
 A pair is counted only in the lowest of the buckets that both nodes reached, so degrees need no table of pairs.
 """
@@ -41,30 +42,32 @@ class Settings:
     alike: float = 1 / 3  # part of its pairs that stay together in a split, from which a bucket is compared rather than split
     block: int = 1024  # nodes of one side of a comparison task
 
-    def runs_for(self, levels: int) -> int:
-        """Runs after which a pair at the threshold is met with probability `recall` if its buckets split `levels` times.
-
-        All buckets of a level and run split by the same samples, so a level on which none of them agrees ends the run for the pair.
-        """
-        missed = 1 - (1 - (1 - self.similarity) ** self.branches) ** levels
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(missed))) if 0 < missed < 1 else 1
+    levels: int = 8  # buckets of the last level are compared, whatever their size
 
     @property
-    def levels(self) -> int:
-        """The most levels whose runs the samples suffice for; buckets of the last one are compared, whatever their size."""
-        n = 1
-        while self.runs_for(n + 1) * self.branches * (n + 1) <= SAMPLES:
-            n += 1
-        return n
+    def options(self) -> int:
+        """Samples among which each of the branches of a bucket chooses; those of another branch or level are others."""
+        return SAMPLES // (self.levels * self.branches)
 
     @property
     def runs(self) -> int:
-        return self.runs_for(self.levels)
+        """Runs after which a pair at the threshold is met with probability `recall` at any depth.
 
-    def columns(self, level: int, run: int) -> range:
-        """The samples by which a run splits the buckets of a level."""
-        first = (level * self.runs + run) * self.branches
-        return range(first, first + self.branches)
+        Buckets choose samples on their own, so the buckets that hold a pair are a branching process. A run loses the pair
+        at some depth with the probability that the process dies out, the least root of q = (1 - s + s q) ** branches.
+        """
+        lost = 0.0
+        for _ in range(200):
+            lost = (1 - self.similarity + self.similarity * lost) ** self.branches
+        needed = math.ceil(math.log(1 - self.recall) / math.log(lost)) if 0 < lost < 1 else 1
+        if needed > self.options:
+            raise ValueError("too few samples for this recall")
+        return needed
+
+    def column(self, level: int, branch: int) -> F.Column:
+        """Which sample a bucket splits by: that of the run at first, then one chosen by the bucket."""
+        option = F.col("parent") if level == 0 else F.pmod(F.xxhash64("parent", F.lit(branch)), F.lit(self.options))
+        return option + F.lit((level * self.branches + branch) * self.options)
 
     @property
     def agreeing(self) -> int:
@@ -132,34 +135,40 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 
 def leaf_buckets(reps: DataFrame, settings: Settings) -> DataFrame:
     """(rep, bucket, n): the buckets of two nodes or more in which the recursion ends."""
-    spark = reps.sparkSession
     total = reps.count()
-    roots = F.explode(F.array(*[F.lit(r) for r in range(settings.runs)]))
-    opened = reps.select("rep", "sig", roots.alias("run")).select("*", F.col("run").cast("long").alias("parent"), F.lit(total).cast("long").alias("size"))
+    roots = F.explode(F.array(*[F.lit(r).cast("long") for r in range(settings.runs)]))
+    opened = reps.select("rep", "sig", roots.alias("parent")).withColumn("size", F.lit(total).cast("long"))
     found: list[DataFrame] = []
     for level in range(settings.levels):
-        first = settings.columns(level, 0).start
-        split = [F.xxhash64("parent", F.lit(j), F.substring("sig", 4 * (first + F.col("run") * settings.branches + j) + 1, F.lit(4))) for j in range(settings.branches)]
-        kids = stored(opened.select("rep", "run", "parent", "size", F.explode(F.array(*split)).alias("bucket")), "ngram-split")
-        sizes = stored(kids.groupBy("bucket", "parent", "size").agg(F.count("*").alias("n")), "ngram-sizes")
-        alike = sizes.groupBy("parent", "size").agg((F.sum(F.col("n").cast("double") * F.col("n")) / (settings.branches * F.col("size").cast("double") * F.col("size"))).alias("kept"))
+        sampled = [F.substring("sig", (4 * settings.column(level, j) + 1).cast("int"), F.lit(4)).alias(f"t{j}") for j in range(settings.branches)]
+        opened = stored(opened.select("rep", "parent", "size", *sampled), "ngram-opened")
         if level:  # the root is all nodes: it is split in any case
-            ended = alike.filter(F.col("kept") >= settings.alike).select("parent", "size")
-            whole = kids.join(ended, ["parent", "size"], "left_semi").select("rep", F.col("parent").alias("bucket"), F.col("size").alias("n")).distinct()
-            found.append(stored(whole, "ngram-leaves"))
-            sizes = sizes.join(ended, ["parent", "size"], "left_anti")
+            shares = opened.groupBy("parent", "size", "t0").agg(F.count("*").cast("double").alias("m"))
+            kept = shares.groupBy("parent", "size").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+            ended = stored(kept.filter(F.col("pairs") >= settings.alike * F.col("size") * F.col("size")).select("parent"), "ngram-ended")
+            found.append(opened.join(ended, "parent", "left_semi").select("rep", F.col("parent").alias("bucket"), F.col("size").alias("n")))
+            opened = opened.join(ended, "parent", "left_anti")
+        split = F.array(*(F.xxhash64("parent", F.lit(j), f"t{j}") for j in range(settings.branches)))
+        kids = stored(opened.select("rep", F.explode(split).alias("bucket")), "ngram-split")
+        shared = kids.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        rows = stored(kids.join(shared, "bucket"), "ngram-shared")
         last = level == settings.levels - 1
-        shared = sizes.filter("n > 1").select("bucket", "n")
-        rows = stored(kids.select("rep", "run", "bucket").join(shared, "bucket"), "ngram-shared")
         leaf = F.lit(True) if last else F.col("n") <= settings.small
         found.append(rows.filter(leaf).select("rep", "bucket", "n"))
         if last or rows.filter(~leaf).isEmpty():
             break
-        opened = rows.filter(~leaf).join(reps.select("rep", "sig"), "rep").select("rep", "sig", "run", F.col("bucket").alias("parent"), F.col("n").alias("size"))
+        opened = rows.filter(~leaf).select("rep", F.col("bucket").alias("parent"), F.col("n").alias("size")).join(reps.select("rep", "sig"), "rep")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out if found else spark.createDataFrame([], "rep string, bucket long, n long")
+    return _without_twins(stored(out, "ngram-leaves"))
+
+
+def _without_twins(leaves: DataFrame) -> DataFrame:
+    """The buckets without those that hold the same nodes as another."""
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    buckets = leaves.groupBy("bucket").agg(F.max("n").alias("n"), *members)
+    return leaves.join(buckets.groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
 
 
 def _tasks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
