@@ -17,11 +17,18 @@ from pyspark.sql import functions as F
 from netloom.llm.common import prepare, read, stored
 
 
+#: Components and scores end here: 2^62.
+LARGEST = float(1 << 62)
+
+
 def scaled(vector: str, factor: int = 64) -> Column:
-    """floor(factor * x) of each component; null for a null vector or one with a null or non-finite component."""
+    """floor(factor * x) of each component; null for a null vector or one with a null or non-finite component.
+
+    Values beyond 2^62 count as 2^62, with their sign.
+    """
     x = F.col(vector).cast("array<double>")
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return F.when(good, F.transform(x, lambda v: F.floor(v * factor).cast("long")))
+    return F.when(good, F.transform(x, lambda v: F.floor(F.greatest(F.least(v * factor, F.lit(LARGEST)), F.lit(-LARGEST))).cast("long")))
 
 
 def rotation(vectors: DataFrame, size: int) -> np.ndarray:
@@ -54,11 +61,19 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return out
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, x_ids: np.ndarray, basis: np.ndarray, k: int, head: int, step: int = 1024) -> list[tuple[np.ndarray, np.ndarray]]:
+def products(x: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
+    """Exact inner products of rows with a vector; beyond 2^62 they are 2^62, with their sign."""
+    if bound < LARGEST:
+        return x @ q
+    whole = x.astype(object) @ q.astype(object)
+    return np.array([max(-(1 << 62), min(1 << 62, int(s))) for s in whole], np.int64)
+
+
+def search_block(q: np.ndarray, q_uids: np.ndarray, floor: np.ndarray, x: np.ndarray, x_uids: np.ndarray, x_ids: np.ndarray, basis: np.ndarray, k: int, head: int, step: int = 1024) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the positions and scores in `x` that may be among its k best, given that scores below `floor` are not."""
     norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
-    order = np.lexsort((x_ids, -norm))
-    x, x_ids, norm = x[order], x_ids[order], norm[order]
+    order = np.lexsort((x_uids, x_ids, -norm))
+    x, x_ids, x_uids, norm = x[order], x_ids[order], x_uids[order], norm[order]
     rx, rq = x @ basis, q @ basis
     rest_x, rest_q = (np.sqrt((r[:, head:] ** 2).sum(axis=1)) for r in (rx, rq))
     q_norm = np.sqrt((rq**2).sum(axis=1))
@@ -72,12 +87,12 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndar
         part = slice(at, at + step)
         bound = rq[live, :head] @ rx[part, :head].T + rest_q[live, None] * rest_x[None, part]
         may = bound + slack[live, None] >= floor[live, None]
-        may &= q_ids[live, None] != x_ids[None, part]
+        may &= q_uids[live, None] != x_uids[None, part]
         for i, row in zip(live, may, strict=True):
             cols = np.flatnonzero(row) + at
             if not len(cols):
                 continue
-            scores = x[cols] @ q[i]
+            scores = products(x[cols], q[i], q_norm[i] * norm[cols[0]] * 1.01)
             good = scores >= floor[i]
             kept[i].append((cols[good], scores[good]))
             have = np.concatenate([s for _, s in kept[i]])
@@ -90,30 +105,32 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndar
     for found in kept:
         cols = np.concatenate([c for c, _ in found]) if found else np.zeros(0, np.int64)
         scores = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.int64)
-        best = np.lexsort((x_ids[cols], -scores))[:k]
+        best = np.lexsort((x_uids[cols], x_ids[cols], -scores))[:k]
         out.append((order[cols[best]], scores[best]))
     return out
 
 
 def _search(pairs: DataFrame, basis, size: int, k: int, head: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each (query block, candidate block) pair, whose rows arrive in one group."""
+    """(query_uid, query_id, vec_id, uid, score): the k best of each (query block, candidate block) pair, whose rows arrive in one group."""
 
     def run(table: pa.Table) -> pa.Table:
         is_query = table.column("is_query").to_numpy().astype(bool)
         x = _matrix(table.column("v"), size)
-        ids, floor = table.column("vec_id").to_numpy(), table.column("floor").to_numpy()
+        ids, uids, floor = (table.column(c).to_numpy() for c in ("vec_id", "uid", "floor"))
         q_at, x_at = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-        found = search_block(x[q_at], ids[q_at], floor[q_at], x[x_at], ids[x_at], basis.value, k, head)
+        found = search_block(x[q_at], uids[q_at], floor[q_at], x[x_at], uids[x_at], ids[x_at], basis.value, k, head)
         n = [len(c) for c, _ in found]
         cols = np.concatenate([c for c, _ in found]) if found else np.zeros(0, np.int64)
         scores = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"query_id": pa.array(np.repeat(ids[q_at], n), pa.int64()), "vec_id": pa.array(ids[x_at][cols], pa.int64()), "score": pa.array(scores.astype(np.int64), pa.int64())})
+        asked, hit = {"query_uid": uids, "query_id": ids}, {"vec_id": ids, "uid": uids}
+        columns = {c: pa.array(np.repeat(a[q_at], n), pa.int64()) for c, a in asked.items()} | {c: pa.array(a[x_at][cols], pa.int64()) for c, a in hit.items()}
+        return pa.table(columns | {"score": pa.array(scores.astype(np.int64), pa.int64())})
 
-    return pairs.groupBy("qb", "cb").applyInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.groupBy("qb", "cb").applyInArrow(run, "query_uid long, query_id long, vec_id long, uid long, score long")
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "vec_id", "uid")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -121,16 +138,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = 4096,
     """query_id, rank, vec_id, score: the k largest inner products of each query with all rows but its own.
 
     `vectors` has vec_id and v (integers; a null leaves the row out). Ties go to the smaller vec_id. Rows with a null vec_id
-    take no part; a repeated vec_id counts as the same row, so none of its rows is a candidate of itself, and its first vector
-    stands for it. Shorter vectors end with zeros. An empty table, or one without queries, gives an empty result.
+    take no part. Rows of a repeated vec_id are rows of their own: each is a candidate of the others, and asks for itself if it
+    is a query. Shorter vectors end with zeros. Scores beyond 2^62 are 2^62, with their sign. An empty table, or one without queries, gives an empty result.
 
     The first, longest block gives each query a floor; the other blocks are then searched only by query blocks they can
     still serve. Query blocks and candidate blocks meet as groups of bounded size, whatever their numbers.
     """
     spark = prepare(vectors.sparkSession)
-    given = vectors.filter("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double"))
-    rows = stored(given.select("vec_id", "v", norm.alias("norm"), is_query.alias("is_query")), "topk-rows")
+    given = vectors.filter("vec_id is not null and v is not null").withColumn("uid", F.monotonically_increasing_id())
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    rows = stored(given.select("vec_id", "uid", "v", norm.alias("norm"), is_query.alias("is_query")), "topk-rows")
     stats = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size"), F.count_if("is_query").alias("queries")).first()
     if not stats["n"] or not stats["queries"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -145,24 +162,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = 4096,
     counts = rows.select(ring.alias("ring")).groupBy("ring").count()
     parts = F.ceil(F.col("count") / block).alias("parts")
     placed = rows.withColumn("ring", ring).join(F.broadcast(counts.select("ring", parts)), "ring")  # a row for each cut
-    cb = F.concat_ws("-", "ring", F.pmod(F.xxhash64("vec_id"), "parts"))
-    placed = stored(placed.select("vec_id", "v", "norm", "is_query", "ring", cb.alias("cb")), "topk-blocks")
+    cb = F.concat_ws("-", "ring", F.pmod(F.xxhash64("uid"), "parts"))
+    placed = stored(placed.select("vec_id", "uid", "v", "norm", "is_query", "ring", cb.alias("cb")), "topk-blocks")
     lead = placed.orderBy("ring", "cb").select("cb").first()[0]
     query_blocks = max(1, -(-stats["queries"] // query_block))
-    queries = placed.filter("is_query").select("vec_id", "v", "norm", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).alias("qb"))
+    queries = placed.filter("is_query").select("vec_id", "uid", "v", "norm", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(query_blocks)).alias("qb"))
 
     low = F.lit(-(1 << 62)).cast("long")
-    shape = ["qb", "cb", "vec_id", "v", "floor", "is_query"]
+    shape = ["qb", "cb", "vec_id", "uid", "v", "floor", "is_query"]
 
     def meet(asking: DataFrame, there: DataFrame, met: DataFrame) -> DataFrame:
-        left = asking.join(met, "qb").select("qb", "cb", "vec_id", "v", "floor", F.lit(True).alias("is_query"))
-        right = there.join(met, "cb").select("qb", "cb", "vec_id", "v", low.alias("floor"), F.lit(False).alias("is_query"))
+        left = asking.join(met, "qb").select("qb", "cb", "vec_id", "uid", "v", "floor", F.lit(True).alias("is_query"))
+        right = there.join(met, "cb").select("qb", "cb", "vec_id", "uid", "v", low.alias("floor"), F.lit(False).alias("is_query"))
         return left.select(*shape).unionByName(right.select(*shape))
 
     every = spark.range(query_blocks).select(F.col("id").alias("qb"))
     first = stored(_search(meet(queries.withColumn("floor", low), placed.filter(F.col("cb") == lead), every.withColumn("cb", F.lit(lead))), basis, size, k, head), "topk-first")
-    floors = _best(first, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    asking = stored(queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", low)), "topk-queries")
+    floors = _best(first, k).filter(F.col("rank") == k).select(F.col("query_uid").alias("uid"), F.col("score").alias("floor"))
+    asking = stored(queries.join(floors, "uid", "left").withColumn("floor", F.coalesce("floor", low)), "topk-queries")
     reach = placed.filter(F.col("cb") != lead).groupBy("cb").agg(F.max("norm").alias("longest"))
     # a query block needs no longer vectors than this to reach the floor of one of its queries
     need = asking.groupBy("qb").agg(F.min(F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).otherwise(F.when(F.col("floor") <= 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))).alias("need"))

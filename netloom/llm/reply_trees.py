@@ -72,9 +72,15 @@ def _jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def choose_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """The messages of the best `branches` root-to-leaf paths of each tree, with `leaf` and `step` (0 at the root).
 
-    `messages` has tree, node, parent, score and any other columns. A path ranks by its mean score, then by length, then
+    `messages` has tree, node, parent, score and any other columns; those named leaf or step get a `_` after their name. Of
+    rows with the same tree and node one stays, the first by a hash of its columns. Rows without a node are left out. A path ranks by its mean score, then by length, then
     by its leaf. Paths share messages near their root. Only chosen paths are ever expanded.
     """
+    prepare(messages.sparkSession)
+    messages = messages.toDF(*(f"{c}_" if c.lower() in ("leaf", "step") else c for c in messages.columns)).filter("node is not null")
+    plain = [c for c in messages.columns if messages.schema[c].dataType.typeName() not in ("map", "variant")]
+    once = Window.partitionBy("tree", "node").orderBy(F.xxhash64(*plain), *plain)
+    messages = messages.withColumn("__copy", F.row_number().over(once)).filter("__copy = 1").drop("__copy")
     nodes = messages.select("tree", "node", "parent", "score")
     rooted, jumps = _jumps(nodes)
     inner = nodes.filter("parent is not null and parent <> node").select("tree", F.col("parent").alias("node")).distinct()
@@ -88,7 +94,11 @@ def choose_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def format_paths(paths: DataFrame, trained: str = "assistant") -> DataFrame:
-    """(tree, leaf, formatted, loss): one row for each path; null roles and texts are empty. One conversation at a time is in memory."""
+    """(tree, leaf, formatted, loss): one row for each path; null roles and texts are empty. One conversation at a time is in memory.
+
+    A tree is a text; (tree, leaf, step) is expected once, as `choose_paths` gives it, and other columns are ignored.
+    """
+    prepare(paths.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, turns = None, []
@@ -121,7 +131,8 @@ def format_paths(paths: DataFrame, trained: str = "assistant") -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(tree, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the formatted text and its mask alone."""
+    """(tree, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the formatted text and its mask alone; one row for each row."""
+    prepare(formatted.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:

@@ -150,4 +150,4 @@ def test_pipeline_on_an_empty_table(spark):
 
 
 def test_registered_names():
-    assert len(queries.REGISTRY) == 10 and set(queries.SQL) <= set(queries.REGISTRY) and 4 <= len(corpus_pipeline.STAGES) <= 5
+    assert len(queries.REGISTRY) == 13 and set(queries.SQL) <= set(queries.REGISTRY) and 4 <= len(corpus_pipeline.STAGES) <= 5
