@@ -22,8 +22,9 @@ from netloom.operators import telemetry as tel
 from netloom.schema import FEATURES, LABEL, PREPARED_FILES, RAW_TO_FEATURE, SECOND
 from netloom.session import scratch, stored
 from netloom.sources import derived, flows, sinks
-from netloom.sources.packets import EPOCH_2024_US, packets
+from netloom.sources.packets import EPOCH_2024_US, packet_feed, packets
 from netloom.streaming import queries as st
+from netloom.streaming.state import ACTIVE, CLOSING
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -924,29 +925,45 @@ def ev_report(spark, sf):
 # --- streams: run over the input available now -------------------------------------
 
 
+def _drained(spark, sf):
+    """The packets as a stream of several files, with an end that lets every row come out."""
+    return st.with_end(packet_feed(spark, sf))
+
+
 @query
 def st_sessions(spark, sf):
-    out = st.run(spark, st.stream_sessions(packets(spark, sf, streaming=True)), "st_sessions")
+    p, finish = _drained(spark, sf)
+    out = st.run(spark, st.stream_sessions(p), "st_sessions", finish=finish)
     return out.select("flow_id", "start_us", "start_packet", "end_us", F.col("n").alias("packet_count"), F.col("bytes").alias("byte_count"), "reason")
 
 
+@query
+def st_live(spark, sf):
+    """Features of every session up to each of its scoring points, from the stream."""
+    p, finish = _drained(spark, sf)
+    points = feat.to_features(st.stream_sessions(p, live=True).filter(F.col("reason").isin(ACTIVE, CLOSING)))
+    return st.run(spark, points.select("flow_id", "start_us", "packet_id", *FEATURES), "st_live", finish=finish)
+
+
 @query
 def st_sessions_simple(spark, sf):
-    return st.run(spark, st.stream_sessions_simple(packets(spark, sf, streaming=True)), "st_sessions_simple")
+    p, finish = _drained(spark, sf)
+    return st.run(spark, st.stream_sessions_simple(p), "st_sessions_simple", finish=finish)
 
 
 @query
 def st_detect(spark, sf):
-    p = packets(spark, sf, streaming=True)
-    found = st.run(spark, st.stream_detect(p), "st_detect")
-    tries = st.run(spark, st.stream_bruteforce(p), "st_bruteforce").select("packet_id", "bruteforce")
+    p, finish = _drained(spark, sf)
+    found = st.run(spark, st.stream_detect(p), "st_detect", finish=finish)
+    p, finish = _drained(spark, sf)
+    tries = st.run(spark, st.stream_bruteforce(p), "st_bruteforce", finish=finish).select("packet_id", "bruteforce")
     return found.select("packet_id", "scan_burst", "port_sweep", "syn_only_surge").join(tries, "packet_id", "left")
 
 
 @query
 def st_block_state(spark, sf):
-    scored = derived.scored_packets(packets(spark, sf, streaming=True))
-    out = st.run(spark, st.stream_blocks(resp.ml_requests(scored)), "st_block_state")
+    requests, finish = st.with_end(resp.ml_requests(derived.scored_packets(packet_feed(spark, sf))), ip="192.0.2.1")
+    out = st.run(spark, st.stream_blocks(requests), "st_block_state", finish=finish)
     return out.select("ip", "at_us", "seq", "status", F.when(F.col("until_us") >= 0, F.col("until_us")).alias("until_us"))
 
 
@@ -959,7 +976,8 @@ def st_dedup(spark, sf):
 
 @query
 def st_telemetry(spark, sf):
-    return st.run(spark, st.stream_telemetry(packets(spark, sf, streaming=True)), "st_telemetry")
+    p, finish = _drained(spark, sf)
+    return st.run(spark, st.stream_telemetry(p), "st_telemetry", finish=finish)
 
 
 @query
@@ -970,7 +988,8 @@ def st_rollup(spark, sf):
 
 @query
 def st_score(spark, sf):
+    """Label and confidence of every scoring point and of every ended session, scored in flight."""
     model = ml.train(_training_rows(spark, sf).drop("flow_id", "start_us"), "dt", depth=4)
-    scored = st.stream_score(st.stream_sessions(packets(spark, sf, streaming=True)), model)
-    out = st.run(spark, scored.select("flow_id", "start_us", "label", "confidence"), "st_score")
-    return out.select("flow_id", "start_us", F.col("label").isNotNull().alias("labelled"), F.col("confidence").between(0, 1).alias("confidence_in_range"))
+    p, finish = _drained(spark, sf)
+    scored = st.stream_score(st.stream_sessions(p, live=True), model)
+    return st.run(spark, scored.select("flow_id", "start_us", "packet_id", "reason", "label", "confidence"), "st_score", finish=finish)

@@ -89,7 +89,7 @@ def to_features(measured: DataFrame) -> DataFrame:
     for flag in TCP_FLAG_BITS:
         values[f"{flag}_flag_count"] = F.col(flag)
     keep = [c for c in measured.columns if c in ("flow_id", "start_us", "start_packet", "src_ip", "dst_ip", "src_port",
-                                                 "t_us", "packet_id", "is_final", "end_us", "n", "bytes")]
+                                                 "t_us", "packet_id", "is_final", "end_us", "n", "bytes", "reason")]
     # Integer measures and guarded divisions leave nothing to sanitize.
     return measured.select(*keep, *[values[name].cast("double").alias(name) for name in FEATURES])
 

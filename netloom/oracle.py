@@ -843,35 +843,31 @@ select sum(n) filter (predicted='Normal Traffic') as fp, sum(n) filter (predicte
 sum(f1*support)/sum(support) as f1_weighted, cast(sum(support) as bigint) as support from metrics1""",
     )
 
-    # Streams: what a watermark of ten seconds lets them emit.
-    wm = "((select max(t_us) from packets)//1000-10000)*1000"
+    # Streams: their finite input is drained, so every row comes out.
     q["st_sessions"] = _sql(
         "sess",
-        f"""select flow_id, start_us, start_packet, end_us, packet_count, byte_count, closed as reason from (
-select *, case when finished then 'flow_end' when end_us+30000000<=start_us+120000000 then 'idle_timeout' else 'max_duration' end as closed,
- lead(start_us) over (partition by flow_id order by start_us, start_packet) as nxt from sess)
-where (finished and end_us<={wm}) or nxt<={wm} or least(end_us+30000000,start_us+120000000)<={wm}""",
+        """select flow_id, start_us, start_packet, end_us, packet_count, byte_count,
+ case when finished then 'flow_end' when end_us+30000000<=start_us+120000000 then 'idle_timeout' else 'max_duration' end as reason from sess""",
     )
-    q["st_score"] = _sql("sess", q["st_sessions"][q["st_sessions"].rindex("select flow_id, start_us, start_packet, end_us, packet_count"):].replace("select flow_id, start_us, start_packet, end_us, packet_count, byte_count, closed as reason", "select flow_id, start_us, true as labelled, true as confidence_in_range"))
+    q["st_live"] = q["feat_live"]
     q["st_sessions_simple"] = _sql(
         "seqd",
-        f"""select flow_id, start_us, end_us, packet_count, byte_count from (
-select flow_id, min(t_us) as start_us, max(t_us) as end_us, count(*) as packet_count, cast(sum(packet_size) as bigint) as byte_count from (
+        """select flow_id, min(t_us) as start_us, max(t_us) as end_us, count(*) as packet_count, cast(sum(packet_size) as bigint) as byte_count from (
  select *, sum(case when prev is null or t_us-prev>=30000000 then 1 else 0 end) over (partition by flow_id order by t_us, packet_id) as s from (
-  select *, lag(t_us) over (partition by flow_id order by t_us, packet_id) as prev from seqd)) group by flow_id, s) where end_us+30000000<={wm}""",
+  select *, lag(t_us) over (partition by flow_id order by t_us, packet_id) as prev from seqd)) group by flow_id, s""",
     )
-    q["st_detect"] = _sql("win brute", f"select w.packet_id, w.scan_burst, w.port_sweep, w.syn_only_surge, b.bruteforce from win w join packets p using (packet_id) left join brute b using (packet_id) where p.t_us<={wm}")
+    q["st_detect"] = _sql("win brute", "select w.packet_id, w.scan_burst, w.port_sweep, w.syn_only_surge, b.bruteforce from win w left join brute b using (packet_id)")
     q["st_block_state"] = _sql(
         "mldec",
-        f"""select ip, t_us as at_us, seq, status, case when status<>'cooldown_active' then until end as until_us from mldec where t_us<={wm}
+        """select ip, t_us as at_us, seq, status, case when status<>'cooldown_active' then until end as until_us from mldec
 union all select ip, until, -1, 'unblocked', null from (select *, lead(t_us) over (partition by ip order by t_us, seq) as nxt from mldec where status<>'cooldown_active')
-where until<={wm} and (nxt is null or nxt>=until)""",
+where nxt is null or nxt>=until""",
     )
     q["st_dedup"] = _sql("evts", "select distinct event_id, ts_us, prediction from evts")
     q["st_telemetry"] = _sql(
         "packets",
-        f"""select e as snapshot_us, count(*) as received, count(*) filter (packet_size=0) as dropped, count(*) filter (packet_size=0)>0 as packet_loss_detected from (
-select packet_size, unnest([(((t_us-1)//5000000)+k)*5000000 for k in [1,2,3,4,5,6]]) as e from packets where t_us>0) where e<=((select max(t_us)-1 from packets)//1000-10000)*1000 group by e""",
+        """select e as snapshot_us, count(*) as received, count(*) filter (packet_size=0) as dropped, count(*) filter (packet_size=0)>0 as packet_loss_detected from (
+select packet_size, unnest([(((t_us-1)//5000000)+k)*5000000 for k in [1,2,3,4,5,6]]) as e from packets where t_us>0) group by e""",
     )
     q["st_rollup"] = _sql(
         "evts",

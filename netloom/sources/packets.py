@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.schema import EVENTS_SCHEMA, PACKET_SCHEMA
+from netloom.session import scratch
 
 EPOCH_2024_US = 1_704_067_200_000_000
 DAY_US = 86_400_000_000
@@ -99,5 +100,19 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def packet_feed(spark: SparkSession, sf_dir: str, files_per_batch: int = 1, rows_per_file: int = 1_000_000) -> DataFrame:
+    """The packets as a stream of files in order of time, as a collector would drop them: four files or more, each bounded."""
+    path = scratch(spark, "packet-feed")
+    rows = packets(spark, sf_dir)
+    files = max(4, -(-rows.count() // rows_per_file))
+    cuts = [int(c) for c in rows.approxQuantile("t_us", [k / files for k in range(1, files)], 0.001)]
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        inside = F.lit(True) if low is None else F.col("t_us") > low
+        part = rows.filter(inside if high is None else inside & (F.col("t_us") <= high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
 def packets(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     return packets_from_events(read_events(spark, sf_dir, streaming))

@@ -38,15 +38,51 @@ def with_event_time(df: DataFrame, t: str = "t_us", delay: str = "10 seconds") -
     return df.withColumn("ts", F.timestamp_micros(t)).withWatermark("ts", delay)
 
 
-def stream_sessions(packets: DataFrame, delay: str = "10 seconds", idle_s: float = 30, max_s: float = 120) -> DataFrame:
-    """Finished sessions with all their measures."""
+#: Event time of the end marker of a finite input: later than any deadline.
+FAR_US = 4_102_444_800_000_000
+
+
+def with_end(stream: DataFrame, t: str = "t_us", **values) -> tuple[DataFrame, Callable[[], None]]:
+    """A finite stream that can be drained, and what drains it.
+
+    The stream also reads a folder that stays empty until the returned function puts one row there: an end marker far
+    later than all rows, so that the watermark passes them. `run` calls it when the input is used up and lets the query go
+    on from its checkpoint. The marker itself waits behind the watermark, so keyed operators never emit it. Columns of
+    the marker are 0, false or `values`, texts say `end of input`.
+    """
+    spark = stream.sparkSession
+    folder = scratch(spark, "end-of-input")
+    spark.createDataFrame([], stream.schema).write.parquet(folder)
+
+    def value(field):
+        if field.name == t:
+            return F.lit(FAR_US)
+        if field.name in values:
+            return F.lit(values[field.name])
+        return F.lit("end of input" if field.dataType.typeName() == "string" else False if field.dataType.typeName() == "boolean" else 0)
+
+    def finish() -> None:
+        row = [value(f).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+        spark.range(1, numPartitions=1).select(*row).write.mode("append").parquet(folder)
+
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder)), finish
+
+
+def stream_sessions(packets: DataFrame, delay: str = "10 seconds", idle_s: float = 30, max_s: float = 120, live: bool = False, **points) -> DataFrame:
+    """Ended sessions with all their measures; with `live`, also the measures so far at every scoring point.
+
+    `reason` tells them apart: `active` and `closing` (the packet that ends the flow) are scoring points, and `packet_id`
+    is the last packet measured.
+    """
+    # Numbers are texts in the key: a number beside nulls of other keys would reach the worker as a float, and be another key.
+    number = {c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("src_port", "dst_port", "protocol")}
     keyed = with_event_time(packets, delay=delay).select(
-        session_id().alias("flow_id"), "src_ip", "dst_ip", "src_port", "dst_port", F.col("protocol").cast("bigint").alias("protocol"),
+        session_id().alias("flow_id"), "src_ip", "dst_ip", *number.values(),
         "ts", "t_us", "packet_id", "packet_size", "payload_size", "tcp_window_size", "transport_header_length",
         F.col("tcp_flags").cast("bigint").alias("tcp_flags"),
     )
     return keyed.groupBy("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol").transformWithStateInPandas(
-        SessionState(idle_s, max_s), SESSION_OUT, "append", "EventTime"
+        SessionState(idle_s, max_s, live, **points), SESSION_OUT, "append", "EventTime"
     )
 
 
@@ -117,7 +153,7 @@ def stream_rollup(events: DataFrame, t: str = "ts_us", delay: str = "10 seconds"
 
 
 def stream_score(sessions: DataFrame, primary: PipelineModel, secondary: PipelineModel | None = None) -> DataFrame:
-    """Score finished sessions in flight."""
+    """Score sessions, or scoring points, in flight."""
     return score(to_features(sessions), primary, secondary)
 
 
@@ -154,13 +190,16 @@ def late_rows(query: StreamingQuery) -> int:
     )
 
 
-def run(spark: SparkSession, stream: DataFrame, name: str, start: Callable[..., StreamingQuery] = start_append, **options) -> DataFrame:
-    """Run a stream over the available input and read its table."""
+def run(spark: SparkSession, stream: DataFrame, name: str, start: Callable[..., StreamingQuery] = start_append, finish: Callable[[], None] | None = None, **options) -> DataFrame:
+    """Run a stream over the available input and read its table. With `finish`, of `with_end`, all rows come out."""
     root = scratch(spark, name)
-    query = start(stream, f"{root}/out", f"{root}/checkpoint", **options)
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
+    for end in (None, finish) if finish else (None,):
+        if end:
+            end()
+        query = start(stream, f"{root}/out", f"{root}/checkpoint", **options)
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
     if start is start_upsert:
         return read_table(spark, f"{root}/out")
     return spark.read.schema(stream.schema).parquet(f"{root}/out")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (
     ArrayType,
+    BinaryType,
     BooleanType,
     LongType,
     StringType,
@@ -29,20 +30,35 @@ def _alarm(handle: StatefulProcessorHandle, at_us: int | None) -> None:
         handle.registerTimer(-(-at_us // 1000))
 
 
+_NULL = np.iinfo(np.int64).min
+
+
+def _packed(frame: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """The columns as one matrix of longs, with a fixed value for null."""
+    return np.stack([frame[c].astype("Int64").fillna(_NULL).to_numpy(np.int64) for c in columns], axis=1)
+
+
+def _unpacked(rows: np.ndarray, columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.arrays.IntegerArray(rows[:, k].copy(), rows[:, k] == _NULL) for k, c in enumerate(columns)})
+
+
 class InOrder(StatefulProcessor):
     """Hands the rows of a key on in the order of event time.
 
-    Rows wait in list state until the watermark passes them, so rows that arrive late within the delay, in any file or
-    micro-batch, take their place. Subclasses name the columns they need (`t_us` and a tie-breaker first), process sorted
-    rows in `take`, and act in `due` on deadlines that the watermark has passed.
+    Rows wait in map state by slice of event time, as one packed value for each arrival, until the watermark passes the end
+    of the slice; so rows that arrive late within the delay, in any file or micro-batch, take their place. One slice of a
+    key is in memory at a time, however many rows of a hot key wait. Subclasses name the columns they need (`t_us` and a
+    tie-breaker first), process sorted rows in `take`, and act in `due` on deadlines before the last slice taken.
     """
 
     COLUMNS: list[str] = []
     CHUNK = 50_000
+    SLICE = SECOND
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", StructType(_longs(*self.COLUMNS)))
+        self.waiting = handle.getMapState("waiting", StructType(_longs("slice", "arrival")), StructType([StructField("rows", BinaryType())]))
+        self.arrivals = handle.getValueState("arrivals", StructType(_longs("n")))
         self.setup(handle)
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
@@ -60,32 +76,44 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         first = None
+        arrival = self.arrivals.get()[0] if self.arrivals.exists() else 0
         for frame in rows:
-            columns = [frame[c].astype("Int64").astype(object).where(frame[c].notna(), None) for c in self.COLUMNS]
-            self.waiting.appendList([tuple(None if v is None else int(v) for v in r) for r in zip(*columns, strict=True)])
-            least = int(frame["t_us"].min())
-            first = least if first is None else min(first, least)
+            packed = _packed(frame, self.COLUMNS)
+            slices = packed[:, 0] // self.SLICE
+            order = np.argsort(slices, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(slices[order])) + 1):
+                at = int(slices[part[0]])
+                self.waiting.updateValue((at, arrival), (packed[part].tobytes(),))
+                first = at if first is None else min(first, at)
+            arrival += 1
+        self.arrivals.update((arrival,))
         timers = list(self.handle.listTimers())
-        at = None if first is None else -(-first // 1000)
-        if at is not None and (not timers or at < min(timers)):
-            _alarm(self.handle, first)
+        if first is not None:
+            end = (first + 1) * self.SLICE
+            if not timers or -(-end // 1000) < min(timers):
+                _alarm(self.handle, end)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, rest = [], []
-        for row in self.waiting.get():
-            (ready if row[0] <= now_us else rest).append(tuple(row))
-        if ready:
-            ready.sort(key=lambda r: r[:2])
-            for at in range(0, len(ready), self.CHUNK):
-                yield from self.take(key, pd.DataFrame(ready[at : at + self.CHUNK], columns=self.COLUMNS))
-            if rest:
-                self.waiting.put(rest)
+        settled = timerValues.getCurrentWatermarkInMs() * 1000 // self.SLICE
+        ready: dict[int, list[tuple]] = {}
+        rest = None
+        for at, arrival in self.waiting.keys():
+            if at < settled:
+                ready.setdefault(at, []).append((at, arrival))
             else:
-                self.waiting.clear()
-        yield from self.due(key, now_us)
-        times = [t for t in (self.deadline(), min((r[0] for r in rest), default=None)) if t is not None]
+                rest = at if rest is None else min(rest, at)
+        for at in sorted(ready):
+            parts = [np.frombuffer(self.waiting.getValue(k)[0], np.int64).reshape(-1, len(self.COLUMNS)) for k in sorted(ready[at])]
+            for k in ready[at]:
+                self.waiting.removeKey(k)
+            packed = np.concatenate(parts)
+            packed = packed[np.lexsort((packed[:, 1], packed[:, 0]))]
+            for cut in range(0, len(packed), self.CHUNK):
+                yield from self.take(key, _unpacked(packed[cut : cut + self.CHUNK], self.COLUMNS))
+        yield from self.due(key, settled * self.SLICE)
+        due = self.deadline()
+        times = [t for t in (None if due is None else -(-due // self.SLICE) * self.SLICE, None if rest is None else (rest + 1) * self.SLICE) if t is not None]
         _alarm(self.handle, min(times) if times else None)
 
     def close(self) -> None:
@@ -95,7 +123,7 @@ class InOrder(StatefulProcessor):
 # --- sessions ----------------------------------------------------------------------
 
 MEASURES = [
-    "start_us", "start_packet", "end_us", "n", "bytes", "bytes_sq", "size_min", "size_max", "gaps", "gap_sum", "gap_sq",
+    "start_us", "start_packet", "end_us", "packet_id", "n", "bytes", "bytes_sq", "size_min", "size_max", "gaps", "gap_sum", "gap_sq",
     "gap_min", "gap_max", "header", "data_packets", "payload_min", "window0", *TCP_FLAG_BITS,
 ]
 SESSION_OUT = StructType(
@@ -107,8 +135,11 @@ SESSION_OUT = StructType(
         *_longs(*MEASURES),
         StructField("finished", BooleanType()),
         StructField("reason", StringType()),
+        StructField("is_final", BooleanType()),
     ]
 )
+#: Reasons of rows that measure a session up to a scoring point; all other rows measure an ended session.
+ACTIVE, CLOSING = "active", "closing"
 _UNSET = -1
 
 
@@ -121,6 +152,7 @@ def _measure(part: dict[str, np.ndarray], a: int, b: int) -> dict[str, int]:
         "start_us": int(t[0]),
         "start_packet": int(part["packet_id"][a]),
         "end_us": int(t[-1]),
+        "packet_id": int(part["packet_id"][b - 1]),
         "n": b - a,
         "bytes": int(size.sum()),
         "bytes_sq": int((size * size).sum()),
@@ -142,7 +174,7 @@ def _measure(part: dict[str, np.ndarray], a: int, b: int) -> dict[str, int]:
 def _merge(old: dict[str, int], new: dict[str, int]) -> dict[str, int]:
     """Measures of a session continued by further rows."""
     joint = max(0, new["start_us"] - old["end_us"])
-    out = {"start_us": old["start_us"], "start_packet": old["start_packet"], "end_us": max(old["end_us"], new["end_us"])}
+    out = {"start_us": old["start_us"], "start_packet": old["start_packet"], "end_us": max(old["end_us"], new["end_us"]), "packet_id": new["packet_id"]}
     for k in ("n", "bytes", "bytes_sq", "header", "data_packets", *TCP_FLAG_BITS):
         out[k] = old[k] + new[k]
     for k, pick in (("size_min", min), ("size_max", max), ("payload_min", min)):
@@ -158,21 +190,28 @@ def _merge(old: dict[str, int], new: dict[str, int]) -> dict[str, int]:
 
 
 class SessionState(InOrder):
-    """Open session of one flow; emits a session when it ends. Key: the flow text and its parts."""
+    """Open session of one flow; emits a session when it ends, and its measures so far at scoring points if asked for.
+
+    A packet is a scoring point if it ends the flow, or if the session is old and large enough and `every_n` packets or
+    `every_s` seconds have passed since the last one. Measures between points are merged, never taken again.
+    Key: the flow text and its parts, numbers as text and empty for null.
+    """
 
     COLUMNS = ["t_us", "packet_id", "packet_size", "payload_size", "tcp_window_size", "transport_header_length", "tcp_flags"]
 
-    def __init__(self, idle_s: float = 30, max_s: float = 120):
-        self.idle, self.limit = int(idle_s * SECOND), int(max_s * SECOND)
+    def __init__(self, idle_s: float = 30, max_s: float = 120, live: bool = False, min_age_s: float = 1, min_packets: int = 5, every_n: int = 5, every_s: float = 1):
+        self.idle, self.limit, self.live = int(idle_s * SECOND), int(max_s * SECOND), live
+        self.min_age, self.min_packets, self.every_n, self.every = int(min_age_s * SECOND), min_packets, every_n, int(every_s * SECOND)
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", StructType(_longs(*MEASURES)))
+        self.open = handle.getValueState("open", StructType(_longs(*MEASURES, "scored_n", "scored_us")))
 
     def _row(self, key: tuple, m: dict[str, int], finished: bool, reason: str) -> dict:
-        flow, src, dst, sport, dport, proto = key
+        flow, src, dst = key[:3]
+        sport, dport, proto = (int(x) if x else None for x in key[3:])
         shown = {k: (None if m[k] == _UNSET and k in ("gap_min", "gap_max", "payload_min", "window0") else m[k]) for k in MEASURES}
         return {"flow_id": flow, "src_ip": src, "dst_ip": dst, "src_port": sport, "dst_port": dport, "protocol": proto, **shown,
-                "finished": finished, "reason": reason}
+                "finished": finished, "reason": reason, "is_final": finished}
 
     def _expired(self, m: dict[str, int]) -> str:
         return "idle_timeout" if m["end_us"] + self.idle <= m["start_us"] + self.limit else "max_duration"
@@ -184,48 +223,71 @@ class SessionState(InOrder):
                 frame[f.name] = frame[f.name].astype("Int64")
         return frame
 
-    def _current(self) -> dict[str, int] | None:
-        return dict(zip(MEASURES, self.open.get(), strict=True)) if self.open.exists() else None
+    def _load(self) -> tuple[dict[str, int] | None, tuple[int, int]]:
+        """The open session, and the packet count and time of its last scoring point (a count of 0: none yet)."""
+        if not self.open.exists():
+            return None, (0, 0)
+        held = tuple(self.open.get())
+        return dict(zip(MEASURES, held, strict=False)), held[len(MEASURES) :]
+
+    def _points(self, t: np.ndarray, at: int, stop: int, start_us: int, before: int, scored: tuple[int, int]) -> list[int]:
+        """Scoring points among rows at..stop of a session that has `before` rows already, without a closing one."""
+        first = max(at + self.min_packets - 1 - before, int(np.searchsorted(t, start_us + self.min_age, "left")), at)
+        if scored[0]:
+            first = max(min(at + scored[0] + self.every_n - before - 1, int(np.searchsorted(t, scored[1] + self.every, "left"))), at)
+        found = []
+        while first < stop:
+            found.append(first)
+            first = min(first + self.every_n, int(np.searchsorted(t, t[first] + self.every, "left")))
+        return found
 
     def take(self, key, frame):
-        part = {c: frame[c].astype("Int64").fillna(-1 if c == "tcp_window_size" else 0).to_numpy(np.int64) for c in self.COLUMNS}
+        part = {c: frame[c].fillna(-1 if c == "tcp_window_size" else 0).to_numpy(np.int64) for c in self.COLUMNS}
         t = part["t_us"]
         fins = np.flatnonzero(part["tcp_flags"] & 5)
         gaps = np.flatnonzero(np.diff(t) >= self.idle) + 1
-        current = self._current()
+        current, scored = self._load()
         out, at, n = [], 0, len(t)
         while at < n:
             if current is not None and (
                 t[at] - current["end_us"] >= self.idle or t[at] - current["start_us"] >= self.limit
             ):
                 out.append(self._row(key, current, False, self._expired(current)))
-                current = None
+                current, scored = None, (0, 0)
             start = current["start_us"] if current is not None else int(t[at])
             fin = fins[np.searchsorted(fins, at)] + 1 if np.searchsorted(fins, at) < len(fins) else n
             gap = gaps[np.searchsorted(gaps, at, "right")] if np.searchsorted(gaps, at, "right") < len(gaps) else n
             old = int(np.searchsorted(t, start + self.limit, "left"))
             stop = int(min(fin, gap, max(old, at + 1), n))
-            piece = _measure(part, at, stop)
-            current = piece if current is None else _merge(current, piece)
-            if part["tcp_flags"][stop - 1] & 5:
+            ends = bool(part["tcp_flags"][stop - 1] & 5)
+            points = self._points(t, at, stop - ends, start, current["n"] if current is not None else 0, scored) if self.live else []
+            for cut in [*(i + 1 for i in points), *([] if points and points[-1] + 1 == stop else [stop])]:
+                piece = _measure(part, at, cut)
+                current = piece if current is None else _merge(current, piece)
+                if points and cut <= points[-1] + 1:
+                    out.append(self._row(key, current, False, ACTIVE))
+                    scored = (current["n"], current["end_us"])
+                at = cut
+            if ends:
+                if self.live:
+                    out.append(self._row(key, current, True, CLOSING))
                 out.append(self._row(key, current, True, "flow_end"))
-                current = None
-            at = stop
+                current, scored = None, (0, 0)
         if current is None:
             self.open.clear()
         else:
-            self.open.update(tuple(current[k] for k in MEASURES))
+            self.open.update((*(current[k] for k in MEASURES), *scored))
         if out:
             yield self._frame(out)
 
     def deadline(self):
-        current = self._current()
+        current, _ = self._load()
         return None if current is None else min(current["end_us"] + self.idle, current["start_us"] + self.limit)
 
     def due(self, key, now_us):
         at = self.deadline()
         if at is not None and at <= now_us:
-            current = self._current()
+            current, _ = self._load()
             self.open.clear()
             yield self._frame([self._row(key, current, False, self._expired(current))])
 
@@ -305,7 +367,7 @@ class DetectorState(InOrder):
             )
         )
         yield pd.DataFrame(
-            {"packet_id": frame["packet_id"], "t_us": t, "src_ip": key[0], "scan_burst": burst, "port_sweep": sweep, "syn_only_surge": surge}
+            {"packet_id": frame["packet_id"].to_numpy(np.int64), "t_us": t, "src_ip": key[0], "scan_burst": burst, "port_sweep": sweep, "syn_only_surge": surge}
         )
 
     def deadline(self):
@@ -339,7 +401,7 @@ class GuessState(InOrder):
         t = frame["t_us"].to_numpy(np.int64)
         hit = reached(past, t, self.n, self.width)
         self.tries.update(([int(v) for v in np.concatenate([past, t])[-(self.n - 1):]],))
-        yield pd.DataFrame({"packet_id": frame["packet_id"], "t_us": t, "bruteforce": hit})
+        yield pd.DataFrame({"packet_id": frame["packet_id"].to_numpy(np.int64), "t_us": t, "bruteforce": hit})
 
     def deadline(self):
         return self.tries.get()[0][-1] + self.width + 1000 if self.tries.exists() else None

@@ -1,12 +1,15 @@
-"""Streams over several files, one micro-batch each, against the batch operators."""
+"""Streams over several files, one micro-batch each, drained to the last row, against the batch operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import detectors, response, sessions
+from netloom.operators import detectors, features, response, sessions
+from netloom.schema import FEATURES
 from netloom.sources.derived import scored_packets
 from netloom.sources.packets import packets, read_packets
 from netloom.streaming import queries as st
+from netloom.streaming.state import ACTIVE, CLOSING, SessionState
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,12 +27,8 @@ def feed(spark, tmp_path_factory):
     return f"{root}/p"
 
 
-@pytest.fixture(scope="module")
-def settled(spark):
-    """The packets that the last watermark has passed, and that watermark."""
-    p = packets(spark, SF)
-    newest = (p.agg(F.max("t_us")).first()[0] // 1000 - 10_000) * 1000
-    return p.filter(F.col("t_us") <= newest), newest
+def drained(spark, feed):
+    return st.with_end(stream(spark, feed))
 
 
 def stream(spark, feed):
@@ -44,13 +43,64 @@ def test_packet_source_modes(spark, feed):
     assert read_packets(spark, feed, streaming=True).isStreaming
 
 
-def test_sessions_equal_batch(spark, feed, settled):
-    out = st.run(spark, st.stream_sessions(stream(spark, feed)), "t_sessions")
-    cols = ["flow_id", "start_us", "start_packet", "end_us", "packet_count", "byte_count", "reason"]
-    got = {tuple(r) for r in out.withColumns({"packet_count": F.col("n"), "byte_count": F.col("bytes")}).select(*cols).collect()}
-    p, newest = settled
-    batch = sessions.session_summary(sessions.assign_sessions(p), newest)
-    assert got == {tuple(r) for r in batch.filter("reason <> 'active'").select(*cols).collect()} and len(got) > 100
+SESSION_COLUMNS = ["flow_id", "start_us", "start_packet", "end_us", "packet_count", "byte_count", "reason"]
+
+
+def test_sessions_equal_batch(spark, feed):
+    p, finish = drained(spark, feed)
+    out = st.run(spark, st.stream_sessions(p), "t_sessions", finish=finish)
+    got = [tuple(r) for r in out.withColumns({"packet_count": F.col("n"), "byte_count": F.col("bytes")}).select(*SESSION_COLUMNS).collect()]
+    batch = sessions.session_summary(sessions.assign_sessions(packets(spark, SF)), F.lit(st.FAR_US))
+    assert sorted(got) == sorted(tuple(r) for r in batch.select(*SESSION_COLUMNS).collect()) and len(got) > 400
+
+
+def test_scoring_points_equal_batch(spark, feed):
+    """Measures at every scoring point, and of every ended session, as features."""
+    p, finish = drained(spark, feed)
+    out = features.to_features(st.run(spark, st.stream_sessions(p, live=True), "t_live", finish=finish))
+    columns = ["flow_id", "start_us", "packet_id", "n", *FEATURES]
+    assigned = sessions.assign_sessions(packets(spark, SF))
+    points = features.live_features(assigned, sessions.predict_triggers(assigned))
+    live = F.col("reason").isin(ACTIVE, CLOSING)
+    got = sorted(tuple(r) for r in out.filter(live).select(*columns, "is_final").collect())
+    assert got == sorted(tuple(r) for r in points.select(*columns, "is_final").collect()) and len(got) > 100
+    ended = ["flow_id", "start_us", "n", *FEATURES]
+    assert sorted(tuple(r) for r in out.filter(~live).select(*ended).collect()) == sorted(tuple(r) for r in features.session_features(assigned).select(*ended).collect())
+
+
+def test_points_follow_the_rule():
+    """Against the rule packet by packet, with sessions cut into arrivals anywhere."""
+    rng = np.random.default_rng(3)
+    state = SessionState(live=True)
+    for _ in range(200):
+        t = np.cumsum(rng.choice([1, 1000, 200_000, 400_000, 1_100_000], rng.integers(1, 40)))
+        want, scored = [], None
+        for i, now in enumerate(t):
+            if i + 1 >= 5 and now - t[0] >= 1_000_000 and (scored is None or i - scored >= 5 or now - t[scored] >= 1_000_000):
+                want.append(i)
+                scored = i
+        got, before = [], 0
+        held = (0, 0)
+        for part in np.split(t, sorted(rng.integers(0, len(t), 3))):
+            for i in state._points(part, 0, len(part), int(t[0]), before, held):
+                got.append(before + i)
+                held = (before + i + 1, int(part[i]))
+            before += len(part)
+        assert got == want
+
+
+def test_hot_flow_waits_in_slices(spark, tmp_path):
+    """One flow with most rows, out of order over files; every state value holds rows of one second."""
+    rows = [(i, 1_000_000 + i * 10_000, None, "10.0.0.1", "10.0.0.2", 17, 60, 1234, 53, None, None, None, 8, 0) for i in range(6000)]
+    rows += [(6000 + i, (i + 1) * 1_000_000, None, f"10.0.1.{i}", "10.0.0.2", 1, 60, None, None, None, None, None, 8, 0) for i in range(40)]
+    from netloom.schema import PACKET_SCHEMA
+
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part[::-1], PACKET_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    p, finish = st.with_end(stream(spark, str(tmp_path / "p")))
+    out = st.run(spark, st.stream_sessions(p, delay="100 seconds"), "t_hot", finish=finish).collect()
+    assert sorted((r.src_ip, r.n, r.gap_sum) for r in out if r.src_ip == "10.0.0.1") == [("10.0.0.1", 6000, 59_990_000)]
+    assert sum(r.src_ip.startswith("10.0.1.") and r.src_port is None for r in out) == 40
 
 
 def test_rows_out_of_order_take_their_place(spark, tmp_path):
@@ -80,28 +130,31 @@ def test_manual_release_and_invalid_addresses(spark, tmp_path):
     }
 
 
-def test_detectors_equal_batch(spark, feed, settled):
+def test_detectors_equal_batch(spark, feed):
     limits = dict(burst=(2, 5), sweep=(5, 4), syn=(3, 3))
     flags = ["packet_id", "scan_burst", "port_sweep", "syn_only_surge"]
-    got = {tuple(r) for r in st.run(spark, st.stream_detect(stream(spark, feed), **limits), "t_detect").select(*flags).collect()}
-    batch = detectors.heuristic_decisions(settled[0], burst_n=5, sweep_n=4, syn_n=3)
+    p, finish = drained(spark, feed)
+    got = {tuple(r) for r in st.run(spark, st.stream_detect(p, **limits), "t_detect", finish=finish).select(*flags).collect()}
+    batch = detectors.heuristic_decisions(packets(spark, SF), burst_n=5, sweep_n=4, syn_n=3)
     assert got == {tuple(r) for r in batch.select(*flags).collect()}
     assert any(r[1] for r in got) and any(r[2] for r in got) and any(r[3] for r in got)
 
 
-def test_bruteforce_equals_batch(spark, feed, settled):
-    out = st.run(spark, st.stream_bruteforce(stream(spark, feed), n=4), "t_brute")
+def test_bruteforce_equals_batch(spark, feed):
+    p, finish = drained(spark, feed)
+    out = st.run(spark, st.stream_bruteforce(p, n=4), "t_brute", finish=finish)
     got = {(r["packet_id"], r["bruteforce"]) for r in out.collect()}
-    assert got == {(r["packet_id"], r["bruteforce"]) for r in detectors.bruteforce(settled[0], n=4).collect()}
+    assert got == {(r["packet_id"], r["bruteforce"]) for r in detectors.bruteforce(packets(spark, SF), n=4).collect()}
 
 
-def test_blocks_equal_batch(spark, feed, settled):
-    out = st.run(spark, st.stream_blocks(response.ml_requests(scored_packets(stream(spark, feed)))), "t_blocks")
+def test_blocks_equal_batch(spark, feed):
+    requests, finish = st.with_end(response.ml_requests(scored_packets(stream(spark, feed))), ip="192.0.2.1")
+    out = st.run(spark, st.stream_blocks(requests), "t_blocks", finish=finish)
     rows = out.collect()
     got = {(r["seq"], r["status"]) for r in rows if r["seq"] >= 0}
-    dec = response.block_decisions(response.ml_requests(scored_packets(settled[0])))
+    dec = response.block_decisions(response.ml_requests(scored_packets(packets(spark, SF))))
     assert got == {(r["seq"], r["status"]) for r in dec.collect()}
-    log = response.block_log(dec, F.lit(settled[1])).filter("status = 'unblocked'")
+    log = response.block_log(dec, F.lit(st.FAR_US)).filter("status = 'unblocked'")
     assert {(r["ip"], r["at_us"]) for r in log.collect()} == {(r["ip"], r["at_us"]) for r in rows if r["seq"] < 0}
 
 
