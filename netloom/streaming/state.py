@@ -314,7 +314,7 @@ def reached(history: np.ndarray, t: np.ndarray, n: int, width: int) -> np.ndarra
 
 
 class DetectorState(InOrder):
-    """Recent times of one source: the last n-1 packets and SYNs, the last time of each recent port."""
+    """Recent times of one source: the last n-1 packets and n SYNs, the last time of each recent port."""
 
     COLUMNS = ["t_us", "packet_id", "dst_port", "tcp_flags"]
 
@@ -361,7 +361,7 @@ class DetectorState(InOrder):
         self.recent.update(
             (
                 [int(v) for v in np.concatenate([times, t])[-(self.burst[1] - 1):]],
-                [int(v) for v in line[-(self.syn[1] - 1):]],
+                [int(v) for v in line[-self.syn[1]:]],  # all n: a packet that is no SYN looks back on as many
                 [int(v) for v in p[by_time]],
                 [int(v) for v in pt[by_time]],
             )

@@ -1,6 +1,7 @@
 """Streams over several files, one micro-batch each, drained to the last row, against the batch operators."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from netloom.schema import FEATURES
 from netloom.sources.derived import scored_packets
 from netloom.sources.packets import packets, read_packets
 from netloom.streaming import queries as st
-from netloom.streaming.state import ACTIVE, CLOSING, SessionState
+from netloom.streaming.state import ACTIVE, CLOSING, DetectorState, SessionState
 
 SF = "/root/testdata/sf0.001"
 
@@ -140,6 +141,36 @@ def test_detectors_equal_batch(spark, feed):
     assert any(r[1] for r in got) and any(r[2] for r in got) and any(r[3] for r in got)
 
 
+class Held:
+    """A value state in memory."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_detectors_do_not_depend_on_slices():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n = 60
+        t = np.sort(rng.integers(0, 20_000_000, n))
+        rows = pd.DataFrame({"t_us": t, "packet_id": np.arange(n), "dst_port": rng.integers(1, 8, n), "tcp_flags": rng.choice([2, 16, 18, 0], n)}).astype("Int64")
+        seen = []
+        for width in (1 << 40, 1_000_000, 100_000):
+            state = DetectorState(burst=(2, 5), sweep=(5, 4), syn=(3, 3))
+            state.recent = Held()
+            found = [x for _, part in rows.groupby(rows.t_us // width) for x in state.take(("a",), part.reset_index(drop=True))]
+            seen.append(pd.concat(found)[["scan_burst", "port_sweep", "syn_only_surge"]].to_numpy().tolist())
+        assert seen[0] == seen[1] == seen[2]
+
+
 def test_bruteforce_equals_batch(spark, feed):
     p, finish = drained(spark, feed)
     out = st.run(spark, st.stream_bruteforce(p, n=4), "t_brute", finish=finish)
