@@ -255,13 +255,13 @@ def threat_by_id(alert_table: DataFrame, threat_id: str) -> DataFrame:
 
 
 def sql_decisions(requests: DataFrame) -> DataFrame:
-    """Decision per screening request; the first decision of an id stays."""
+    """Decision per screening request; the first decision of an id stays (of several at one time, by a hash)."""
     decided = F.struct("ts_us", "source", "query_preview", "detected", "confidence")
     return (
         # The stored preview is cut first, so that no long text enters the shuffle.
         requests.withColumn("query_preview", F.substring("query", 1, 255))
         .groupBy("request_id")
-        .agg(F.min_by(decided, F.col("ts_us")).alias("d"))
+        .agg(F.min_by(decided, F.struct("ts_us", F.xxhash64("source", "query_preview", "detected", "confidence"))).alias("d"))
         .select(
             "request_id",
             "d.ts_us",

@@ -207,10 +207,31 @@ def model_metrics(scored: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def nearest_snapshot(incidents: DataFrame, snapshots: DataFrame, every_us: int, t: str = "last_seen_us") -> DataFrame:
-    """Add the latest snapshot at or before each incident, found by its regular time."""
-    at = (F.floor(F.col(t) / F.lit(every_us)) * every_us).cast("bigint")
-    return incidents.withColumn("snapshot_us", at).join(snapshots, "snapshot_us", "left")
+def nearest_snapshot(incidents: DataFrame, snapshots: DataFrame, slice_us: int, t: str = "last_seen_us") -> DataFrame:
+    """Add the latest snapshot at or before each incident, null if there is none; snapshots may come at any times.
+
+    Incidents and snapshots meet in slices of time, where the last snapshot so far is carried along. An incident without
+    one in its slice takes the last of the slices before it, over a table with one row for each slice. Of snapshots at
+    the same time the one with the greater hash counts.
+    """
+    names, far = snapshots.columns, 4096
+    shot = F.struct(*names)
+    asking = incidents.withColumns({"_slice": F.floor(F.col(t) / F.lit(slice_us)), "_t": F.col(t), "_ask": F.lit(True)})
+    shots = snapshots.filter("snapshot_us is not null").select(
+        F.floor(F.col("snapshot_us") / F.lit(slice_us)).alias("_slice"), F.col("snapshot_us").alias("_t"), F.lit(False).alias("_ask"), F.struct(F.col("snapshot_us").alias("at"), F.xxhash64(*names).alias("tie"), shot.alias("shot")).alias("_shot")
+    )
+    both = asking.unionByName(shots, allowMissingColumns=True)
+    so_far = Window.partitionBy("_slice").orderBy("_t", "_ask", "_shot.tie").rowsBetween(Window.unboundedPreceding, 0)
+    asked = both.withColumn("_near", F.last("_shot", ignorenulls=True).over(so_far)).filter("_ask").drop("_shot", "_t", "_ask")
+    order = F.when(F.col("_shot").isNotNull(), F.struct("_shot.at", "_shot.tie"))
+    ends = both.groupBy("_slice").agg(F.max_by("_shot", order).alias("_end")).withColumn("_far", F.expr(f"_slice div {far}"))
+    before = Window.partitionBy("_far").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    groups = ends.groupBy("_far").agg(F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col("_slice"))).alias("_end"))
+    earlier = Window.orderBy("_far").rowsBetween(Window.unboundedPreceding, -1)  # one row for each 4096 slices
+    groups = groups.select("_far", F.last("_end", ignorenulls=True).over(earlier).alias("_beyond"))
+    ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).join(groups, "_far").select("_slice", "_before", "_beyond")
+    found = asked.join(ends, "_slice", "left").withColumn("_found", F.coalesce("_near", "_before", "_beyond"))
+    return found.select(*incidents.columns, *(F.col(f"_found.shot.{c}").alias(c) for c in names))
 
 
 def incident_sessions(alerts: DataFrame, sessions: DataFrame, incident_id: str) -> DataFrame:
@@ -226,10 +247,10 @@ def incident_audit(alerts: DataFrame, blocks: DataFrame, incident_id: str) -> Da
     return blocks.filter((F.col("session_id") == session) | (F.col("source_ip") == address))
 
 
-def incident_detail(alerts: DataFrame, sessions: DataFrame, blocks: DataFrame, snapshots: DataFrame, incident_id: str, every_us: int) -> DataFrame:
+def incident_detail(alerts: DataFrame, sessions: DataFrame, blocks: DataFrame, snapshots: DataFrame, incident_id: str, slice_us: int) -> DataFrame:
     """One incident with its nearest telemetry, and the numbers of its related sessions and audit rows."""
     hit = alerts.filter(F.col("event_id") == incident_id)
-    return nearest_snapshot(hit, snapshots, every_us).withColumns(
+    return nearest_snapshot(hit, snapshots, slice_us).withColumns(
         {
             "session_count": incident_sessions(alerts, sessions, incident_id).agg(F.count("*")).scalar(),
             "audit_count": incident_audit(alerts, blocks, incident_id).agg(F.count("*")).scalar(),

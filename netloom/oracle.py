@@ -785,8 +785,9 @@ cast(count(*) filter (label<>'Normal Traffic' and shadow_label<>'Normal Traffic'
     q["dash_audit"] = _sql("blocks", _page("event_id, ts_us, source_ip, action_taken", "blocks", "true", "ts_us desc, event_id", 30, 10))
     q["dash_incident_detail"] = _sql(
         "alerts session_rows blocks",
-        f"""select event_id as incident_id, 'incident' as kind, event_id as ref, (last_seen_us//3600000000)*3600000000 as at_us, prediction as detail,
- (select count(*) from packets where wall_us//3600000000=last_seen_us//3600000000) as n from {_INCIDENT}
+        f"""select event_id as incident_id, 'incident' as kind, event_id as ref, s.at as at_us, prediction as detail, s.n from {_INCIDENT} inc
+ left join (select (wall_us//3600000000)*3600000000 as at, count(*) as n from packets group by 1) s on s.at<=inc.last_seen_us
+ qualify row_number() over (order by s.at desc nulls last)=1
 union all select inc.event_id, 'session', s.session_id, s.start_time_us, s.state, s.packet_count from session_rows s join {_INCIDENT} inc on s.session_id=inc.session_id
 union all select inc.event_id, 'audit', b.event_id, b.ts_us, b.action_taken, null from blocks b join {_INCIDENT} inc on b.session_id=inc.session_id or b.source_ip=inc.source_ip""",
     )

@@ -51,3 +51,19 @@ def test_rollup_of_hours_without_traffic(spark):
     got = {r["bucket_start_us"] // h: r for r in dash.rollup(act, events, blocks, snaps).collect()}
     assert (got[0]["threat_rate"], got[0]["active_sessions_peak"], got[0]["packet_loss_event_total"]) == (0.5, 5, 1)
     assert (got[1]["network_activity_total"], got[2]["blocked_event_total"], got[2]["threat_rate"]) == (1, 1, 0.0)
+
+
+def test_latest_snapshot_at_or_before(spark):
+    """Irregular snapshots with gaps, against a search of all of them."""
+    import random
+
+    from netloom.operators.dashboard import nearest_snapshot
+
+    r = random.Random(4)
+    times = sorted(r.sample(range(500, 60_000_000), 40)) + [59_000_000_000]
+    snapshots = [(t, k) for k, t in enumerate(times)]
+    asked = [(f"i{k}", r.choice([*times, r.randint(0, 70_000_000), r.randint(0, 70_000_000_000)])) for k in range(200)] + [("none", None), ("first", 3), ("late", 3_700_000_000)]
+    got = nearest_snapshot(spark.createDataFrame(asked, "event_id string, last_seen_us long"), spark.createDataFrame(snapshots, "snapshot_us long, received long"), 1_000_000)
+    want = {(i, *max((s for s in snapshots if t is not None and s[0] <= t), default=(None, None))) for i, t in asked}
+    assert {(x.event_id, x.snapshot_us, x.received) for x in got.collect()} == want
+    assert nearest_snapshot(got.select("event_id", "last_seen_us"), spark.createDataFrame([], "snapshot_us long, received long"), 1_000_000).filter("snapshot_us is null").count() == len(asked)
