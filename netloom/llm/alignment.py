@@ -16,7 +16,6 @@ a batch holds `batch_bytes` of text or one longer text.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,45 +43,25 @@ class ByteLevel:
         for name in self.encoder.special:
             self.bytes[encoding.encode_single_token(name)] = bytes(map(signs.__getitem__, name))
 
-    def __call__(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.encoder._parts(" " + text):
-            ids += self.encoder.encoding.encode_ordinary(part)
-        return ids
+    def __call__(self, text: str) -> np.ndarray:
+        encode = self.encoder.encoding.encode_to_numpy
+        parts = [encode(part, disallowed_special=()) for part in self.encoder._parts(" " + text)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 class Pieces:
-    """Ids of a text by a sentence-piece vocabulary, which puts a space before it, and the bytes of each id.
-
-    If no piece goes on past the start of a run of spaces, each run with what follows it is encoded on its own, and
-    remembered.
-    """
+    """Ids of a text by a sentence-piece vocabulary, which puts a space before it, and the bytes of each id."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         byte = [self.model.is_byte(k) for k in range(len(names))]
         self.bytes = [bytes([int(n[3:5], 16)]) if b else n.replace("▁", " ").encode() for n, b in zip(names, byte, strict=True)]
-        self.apart = not any("▁" in n.lstrip("▁") for n in names)
-        self.most, self.known = most, {}
-        self.words = re.compile(" +[^ ]*").findall
 
     def __call__(self, text: str) -> list[int]:
-        if not self.apart:
-            return self.model.encode(text)
-        known, ids = self.known, []
-        for word in self.words(" " + text):
-            found = known.get(word)
-            if found is None:
-                found = self.model.encode(word[1:]) if len(word) > 1 else [self.model.piece_to_id("▁")]
-                if len(word) <= 64:
-                    if len(known) >= self.most:
-                        known.clear()
-                    known[word] = found
-            ids += found
-        return ids
+        return self.model.encode(text)
 
 
 def _lengths(table: list[bytes]) -> np.ndarray:
@@ -95,14 +74,16 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both; none for an empty text or one that either spells otherwise."""
+    def encode(self, text: str | None, spelled: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both; none for an empty text or one that either spells otherwise (`spelled`: known not to be one)."""
         if not text:
             return NO_TOKENS, NO_TOKENS
-        a, b, spelled = self.a(text), self.b(text), b" " + text.encode("utf-8", "surrogatepass")
-        if b"".join(map(self.a.bytes.__getitem__, a)) != spelled or b"".join(map(self.b.bytes.__getitem__, b)) != spelled:
-            return NO_TOKENS, NO_TOKENS
-        return np.array(a, np.uint32), np.array(b, np.uint32)
+        a, b = self.a(text), self.b(text)
+        if not spelled:
+            whole = b" " + text.encode("utf-8", "surrogatepass")
+            if b"".join(map(self.b.bytes.__getitem__, b)) != whole or b"".join(map(self.a.bytes.__getitem__, a.tolist())) != whole:
+                return NO_TOKENS, NO_TOKENS
+        return a, np.array(b, np.uint32)
 
 
 def common_ends(a: np.ndarray, b: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +193,7 @@ HASH = "bits array<binary>, sizes array<long>, keys binary"
 
 
 def encode(docs: DataFrame, a_path: str, b_path: str, shards: int, batch_bytes: int) -> DataFrame:
-    """Pass one: rows (batch, doc_id, text) of documents, and rows (batch, shard, keys, counts) of the pairs of a batch."""
+    """Pass one: rows (batch, doc_id, text) of documents, the text null if it has no tokens, and rows (batch, shard, keys, counts) of the pairs of a batch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,15 +203,16 @@ def encode(docs: DataFrame, a_path: str, b_path: str, shards: int, batch_bytes:
         number = (TaskContext.get().partitionId() << 32) - 1
         for batch in batches(parts, batch_bytes):
             number += 1
-            keys = []
+            keys, kept = [], []
             for text in texts(batch):
                 a, b = aligner.encode(text)
+                kept.append(text if len(a) else None)
                 at_a, at_b = common_ends(a, b, *lengths)
                 keys.append(pair_keys(a[at_a], b[at_b]))
             found, counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
             n, none = batch.num_rows, pa.nulls
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * n, pa.int64()), batch.column("doc_id"), pa.array(texts(batch), pa.string()), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary())], names=names
+                [pa.array([number] * n, pa.int64()), batch.column("doc_id"), pa.array(kept, pa.string()), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary())], names=names
             )
             shard = (_mix(found >> 32, 99) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
@@ -376,7 +358,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, batch_bytes: int = 4 << 20,
         keys, counts, best = keys[order], counts[order], best[order]
         columns: dict[str, list] = {c: [] for c in (*COUNTS, "groups_sha256")}
         for text in left.column("text").to_pylist():
-            a, b = aligner.encode(text)
+            a, b = aligner.encode(text, spelled=True)
             at_a, at_b = common_ends(a, b, *lengths)
             at = np.searchsorted(keys, pair_keys(a[at_a], b[at_b]))
             values = (len(a), len(b), len(at_a), len(at_a), int((counts[at] == best[at]).sum()), int(counts[at].sum()), writer.digest(a, b, at_a, at_b))
