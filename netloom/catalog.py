@@ -50,12 +50,14 @@ def _scored(spark, sf):
     return derived.scored_packets(packets(spark, sf))
 
 
-def _decided(spark, sf):
-    return resp.block_decisions(stored(resp.packet_requests(packets(spark, sf)), "requests"))
+def _settled(spark, sf):
+    """Outcomes of commands, and of all block requests: detectors, models at scoring points and operators in one order."""
+    requests = resp.packet_requests(packets(spark, sf)).unionByName(resp.ml_requests(_scored(spark, sf)))
+    return resp.settle(derived.operator_commands(spark, sf), stored(requests, "requests"))
 
 
-def _ml_decided(spark, sf):
-    return resp.block_decisions(resp.ml_requests(_scored(spark, sf)))
+def _decided(spark, sf):
+    return _settled(spark, sf)[1]
 
 
 def _events(spark, sf):
@@ -512,12 +514,12 @@ def alr_bruteforce(spark, sf):
 
 @query
 def alr_ml(spark, sf):
-    return al.alerts(_ml_decided(spark, sf), ["ml_live", "ml_final"]).select(*_ALERT, "is_final")
+    return al.alerts(_decided(spark, sf), ["ml_live", "ml_final"]).select(*_ALERT, "is_final")
 
 
 @query
 def alr_session_dedup(spark, sf):
-    return al.session_alerts(al.alerts(_ml_decided(spark, sf))).select(
+    return al.session_alerts(al.alerts(_decided(spark, sf), ["ml_live", "ml_final"])).select(
         "session_id", "packet_id", "attack_type", "confidence", "blocked", "update_type"
     )
 
@@ -544,35 +546,44 @@ def evt_shadow(spark, sf):
 
 @query
 def evt_block(spark, sf):
-    return resp.request_block_events(_decided(spark, sf))
+    statuses, decided = _settled(spark, sf)
+    return resp.request_block_events(decided).unionByName(resp.command_block_events(statuses))
 
 
 @query
 def blk_state(spark, sf):
-    return _decided(spark, sf).select("ip", "packet_id", "kind", "status", "ok", "until_us")
+    return _decided(spark, sf).select("ip", "t_us", "packet_id", "kind", "status", "ok", "until_us")
 
 
 @query
 def blk_commands(spark, sf):
-    return resp.command_status(derived.operator_commands(spark, sf))
+    return _settled(spark, sf)[0]
 
 
-def _intervals(spark, sf):
-    return resp.block_intervals(_decided(spark, sf))
+@query
+def blk_flag_packets(spark, sf):
+    p = packets(spark, sf)
+    return resp.flag_blocked_packets(p, resp.block_intervals(_decided(spark, sf))).select("packet_id", "src_ip", "t_us")
 
 
 @query
-def blk_flag_packets(spark, sf):
-    return resp.flag_blocked_packets(packets(spark, sf), _intervals(spark, sf)).select("packet_id", "src_ip", "t_us")
+def blk_watch_packets(spark, sf):
+    """Packets of addresses that are on the watch-list when they arrive."""
+    p = packets(spark, sf)
+    watched = resp.watch_intervals(_settled(spark, sf)[0], ses.newest_time(p))
+    return resp.flag_blocked_packets(p, watched).select("packet_id", "src_ip", "t_us")
 
 
 def _feed(spark, sf):
     p = packets(spark, sf)
     decisions = stored(det.heuristic_decisions(p), "decisions")
-    requests = resp.heuristic_requests(decisions).unionByName(resp.bruteforce_requests(det.bruteforce(p)))
-    decided = stored(resp.block_decisions(stored(requests, "requests")), "decided")
-    log = resp.block_log(decided, ses.newest_time(p))
-    return act.activity_feed(decisions, decided, log, resp.flag_blocked_packets(p, resp.block_intervals(decided)))
+    requests = resp.heuristic_requests(decisions).unionByName(resp.bruteforce_requests(det.bruteforce(p))).unionByName(resp.ml_requests(_scored(spark, sf)))
+    statuses, decided = resp.settle(derived.operator_commands(spark, sf), stored(requests, "requests"))
+    newest = ses.newest_time(p)
+    return act.activity_feed(
+        decisions, decided, resp.block_log(decided, newest), resp.flag_blocked_packets(p, resp.block_intervals(decided)),
+        statuses, resp.flag_blocked_packets(p, resp.watch_intervals(statuses, newest)),
+    )
 
 
 @query

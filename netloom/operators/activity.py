@@ -16,23 +16,25 @@ def activity_feed(
     log: DataFrame,
     blocked_packets: DataFrame | None = None,
     commands: DataFrame | None = None,
+    watched_packets: DataFrame | None = None,
 ) -> DataFrame:
     """All producers as (ip, t_us, tie, attack_type, action).
 
     `decisions` are heuristic decisions per packet, `requests` decided block requests,
-    `log` the block log.
+    `log` the block log with its manual releases, `commands` the outcomes of operator commands.
     """
     outcome = F.when(F.col("ok"), "blocked").otherwise("allowed")
     of_log = (
         F.when(F.col("status") == "blocked", "block_action")
         .when(F.col("status") == "already_blocked", "already_blocked_activity")
+        .when(F.col("manual"), "manual_unblock")
         .otherwise("unblock_action")
     )
     feed = _entries(
         decisions.filter("suspicious"), "src_ip", "t_us", F.col("packet_id"), F.col("reason"), F.lit("allowed")
     )
     feed = feed.unionByName(
-        _entries(requests.filter(F.col("kind") != "heuristic"), "ip", "t_us", F.col("packet_id"), F.col("attack_type"), outcome)
+        _entries(requests.filter(~F.col("kind").isin("heuristic", "command")), "ip", "t_us", F.col("packet_id"), F.col("attack_type"), outcome)
     ).unionByName(
         _entries(log, "ip", "at_us", F.lit(-1), of_log, F.when(F.col("duration_s") > 0, "blocked").otherwise("unblocked"))
     )
@@ -40,6 +42,10 @@ def activity_feed(
         feed = feed.unionByName(
             _entries(blocked_packets, "src_ip", "t_us", F.col("packet_id"), F.lit("blocked_ip_activity"), F.lit("blocked"))
         )
+    if watched_packets is not None:
+        feed = feed.unionByName(
+            _entries(watched_packets, "src_ip", "t_us", F.col("packet_id"), F.lit("watchlisted_ip_activity"), F.lit("watchlisted"))
+        )
     if commands is not None:
         watch = commands.filter("ok").filter(F.col("status").isin("watchlisted", "unwatchlisted"))
         feed = feed.unionByName(

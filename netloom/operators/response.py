@@ -15,6 +15,9 @@ BLOCK_SECONDS = {"heuristic": 300, "bruteforce": 600, "ml_live": 900, "ml_final"
 KIND_ORDER = {"heuristic": 0, "bruteforce": 1, "ml_live": 2, "ml_final": 3}
 EVENT_PREFIX = {"heuristic": "heuristic", "bruteforce": "bruteforce", "ml_live": "ml-live", "ml_final": "ml-final"}
 
+#: Commands come before the packets of their moment.
+COMMAND_SEQ = -(1 << 62)
+
 _PACKET = ["packet_id", "src_ip", "src_port", "dst_ip", "dst_port", "protocol"]
 
 
@@ -121,6 +124,7 @@ def block_log(decisions: DataFrame, cutoff) -> DataFrame:
         F.when(F.col("status") == "unblocked", F.lit(0)).otherwise(F.col("duration_s")).cast("bigint").alias("duration_s"),
         "until_us",
         F.col("times_blocked").cast("bigint").alias("times_blocked"),
+        (F.col("status") == "unblocked").alias("manual"),
     )
     expired = acc.filter(F.col("until_us") <= F.coalesce("next_us", cutoff)).select(
         "ip",
@@ -129,6 +133,7 @@ def block_log(decisions: DataFrame, cutoff) -> DataFrame:
         F.lit(0).cast("bigint").alias("duration_s"),
         F.lit(None).cast("bigint").alias("until_us"),
         F.col("times_blocked").cast("bigint").alias("times_blocked"),
+        F.lit(False).alias("manual"),
     )
     return changes.unionByName(expired).withColumn(
         "current_status", F.when(F.col("duration_s") > 0, "blocked").otherwise("unblocked")
@@ -143,7 +148,7 @@ def block_intervals(decisions: DataFrame) -> DataFrame:
 
 
 def flag_blocked_packets(packets: DataFrame, intervals: DataFrame, slice_s: float = 60) -> DataFrame:
-    """Packets whose source was already blocked on arrival.
+    """Packets whose source was already blocked (or watch-listed) on arrival.
 
     Both sides meet on (address, time slice), which spreads one hot address.
     """
@@ -167,14 +172,8 @@ def flag_blocked_packets(packets: DataFrame, intervals: DataFrame, slice_s: floa
     return p.join(spans, inside, "left_semi").drop("_slice", "_first_seq")
 
 
-def command_status(commands: DataFrame, cooldown_s: float = 60) -> DataFrame:
-    """Outcome of each operator command.
-
-    A delivery whose id succeeded before is acknowledged as a duplicate, whatever it asks for. An id that was refused is
-    remembered by nobody: its next delivery is applied. Which deliveries are applied thus depends on what succeeded
-    before them, and that on which were applied: the first successes are found again until they no longer change. Each
-    round is right at least up to the first wrong one of the round before.
-    """
+def _checked_commands(commands: DataFrame) -> DataFrame:
+    """Commands with trimmed fields, `_broken` (their own fault) and `_ident` (null for a blank id, which is never a copy)."""
     c = commands.select(
         F.trim(F.coalesce("command_id", F.lit(""))).alias("command_id"),
         F.lower(F.trim(F.coalesce("action", F.lit("")))).alias("action"),
@@ -191,15 +190,32 @@ def command_status(commands: DataFrame, cooldown_s: float = 60) -> DataFrame:
         .when(F.col("action") == "unwatchlist", F.lit(None))
         .when(~mixed_blockable_ip("ip"), "invalid_or_loopback_ip")
     )
-    # Blank ids are never copies.
     ident = F.when(F.col("command_id") != "", F.col("command_id"))
-    c = stored(c.withColumns({"_broken": broken, "_ident": ident, "_blank": blank}), "commands")
+    return c.withColumns({"_broken": broken, "_ident": ident, "_blank": blank})
 
-    def outcomes(attempts: DataFrame) -> DataFrame:
-        blocks = block_decisions(
-            attempts.filter(F.col("action").isin("block", "unblock")).withColumn("unblock", F.col("action") == "unblock"),
-            cooldown_s,
-        ).select("_ident", "t_us", "seq", "status", "ok")
+
+def settle(commands: DataFrame, requests: DataFrame | None = None, cooldown_s: float = 60) -> tuple[DataFrame, DataFrame]:
+    """Outcome of each operator command, and of each block request, in one order of time per address.
+
+    `requests` are those of all detectors and models; commands come before the packets of their moment. Returns the
+    commands with `ok` and `status`, and the decisions of `block_decisions` over requests and block commands (kind
+    `command`, `seq` shifted by `COMMAND_SEQ`).
+
+    A delivery whose id succeeded before is acknowledged as a duplicate, whatever it asks for. An id that was refused is
+    remembered by nobody: its next delivery is applied. Which deliveries are applied thus depends on what succeeded
+    before them, and that on which were applied: the first successes are found again until they no longer change. Each
+    round is right at least up to the first wrong one of the round before, and only folds addresses again that repeat
+    an id whose first success has moved.
+    """
+    c = stored(_checked_commands(commands).withColumn("seq", F.col("seq") + COMMAND_SEQ), "commands")
+    others = None if requests is None else requests.withColumns({"unblock": F.lit(False), "_ident": F.lit(None).cast("string")})
+
+    def outcomes(attempts: DataFrame, others: DataFrame | None) -> DataFrame:
+        asked = attempts.filter(F.col("action").isin("block", "unblock")).select(
+            "ip", "t_us", "seq", F.lit("command").alias("kind"), "duration_s", (F.col("action") == "unblock").alias("unblock"), "_ident"
+        )
+        if others is not None:
+            asked = asked.unionByName(others, allowMissingColumns=True)
         watches = attempts.filter(F.col("action").isin("watchlist", "unwatchlist"))
         listed = F.coalesce(F.col("_prior") == "watchlist", F.lit(False))
         watches = with_previous(watches, ["ip"], F.col("action"), "_prior", 3600 * SECOND, tie="seq").withColumn(
@@ -208,26 +224,57 @@ def command_status(commands: DataFrame, cooldown_s: float = 60) -> DataFrame:
             .when(listed, "unwatchlisted")
             .otherwise("not_watchlisted"),
         )
-        return blocks.unionByName(watches.select("_ident", "t_us", "seq", "status", (F.col("status") != "not_watchlisted").alias("ok")))
+        watches = watches.select("ip", "t_us", "seq", F.lit("watch").alias("kind"), "_ident", "status", (F.col("status") != "not_watchlisted").alias("ok"))
+        return block_decisions(asked, cooldown_s).unionByName(watches, allowMissingColumns=True)
 
     at = F.struct("t_us", "seq")
-    usable, first, before = c.filter(F.col("_broken").isNull()), None, None
+    usable = c.filter(F.col("_broken").isNull())
+    repeats = stored(
+        usable.join(usable.filter("_ident is not null").groupBy("_ident").count().filter("count > 1").select("_ident"), "_ident", "left_semi").select("_ident", "ip").distinct(),
+        "repeated-commands",
+    )
+
+    def successes(done: DataFrame) -> DataFrame:
+        return stored(done.filter(F.col("ok") & F.col("_ident").isNotNull()).groupBy("_ident").agg(F.min(at).alias("_first")), "first-successes")
+
+    done = stored(outcomes(usable, others), "outcomes")
+    first, old = successes(done), None
     while True:
-        attempts = usable
-        if first is not None:
-            attempts = usable.join(first, "_ident", "left").filter(F.col("_first").isNull() | (at <= F.col("_first"))).drop("_first")
-        done = stored(outcomes(attempts), "outcomes")
-        first = stored(done.filter(F.col("ok") & F.col("_ident").isNotNull()).groupBy("_ident").agg(F.min(at).alias("_first")), "first-successes")
-        now = first.agg(F.count("*"), F.sum(F.xxhash64("_ident", "_first").cast("decimal(38,0)"))).first()
-        if now == before:
+        moved = first.select("_ident", F.col("_first").alias("_now"))
+        if old is not None:
+            moved = moved.join(old, "_ident", "full").filter(~F.col("_now").eqNullSafe(F.col("_first")))
+        ips = stored(repeats.join(moved, "_ident", "left_semi").select("ip").distinct(), "moved-addresses")
+        if ips.isEmpty():
             break
-        before = now
+        attempts = usable.join(ips, "ip", "left_semi").join(first, "_ident", "left").filter(F.col("_first").isNull() | (at <= F.col("_first"))).drop("_first")
+        again = outcomes(attempts, None if others is None else others.join(ips, "ip", "left_semi"))
+        done = stored(done.join(ips, "ip", "left_anti").unionByName(again), "outcomes")
+        first, old = successes(done), first
+
+    copy = ~F.col("_blank") & F.coalesce(at > F.col("_first"), F.lit(False))
+    status = F.when(copy, "duplicate_command").otherwise(F.coalesce("_broken", "_outcome"))
+    out = c.join(first, "_ident", "left").join(done.filter(F.col("kind").isin("command", "watch")).select("seq", F.col("status").alias("_outcome"), F.col("ok").alias("_ok")), "seq", "left")
+    out = out.withColumns({"status": status, "ok": copy | F.coalesce("_ok", F.lit(False)), "seq": F.col("seq") - COMMAND_SEQ})
+    decided = done.filter(F.col("kind") != "watch").drop("_ident")
+    return out.select("command_id", "action", "ip", "duration_s", "t_us", "seq", "ok", "status"), decided
+
 
-    again = ~F.col("_blank") & F.coalesce(at > F.col("_first"), F.lit(False))
-    status = F.when(again, "duplicate_command").otherwise(F.coalesce("_broken", "_outcome"))
-    out = c.join(first, "_ident", "left").join(done.select("seq", F.col("status").alias("_outcome"), F.col("ok").alias("_ok")), "seq", "left")
-    out = out.withColumns({"status": status, "ok": again | F.coalesce("_ok", F.lit(False))})
-    return out.select("command_id", "action", "ip", "duration_s", "t_us", "seq", "ok", "status")
+def command_status(commands: DataFrame, cooldown_s: float = 60) -> DataFrame:
+    """Outcome of each operator command, where no detector asks for blocks."""
+    return settle(commands, None, cooldown_s)[0]
+
+
+def watch_intervals(statuses: DataFrame, until: Column) -> DataFrame:
+    """Spans in which an address is watch-listed, up to `until` where it stays so; as `block_intervals`."""
+    by_ip = Window.partitionBy("ip").orderBy("t_us", "seq")
+    took = statuses.filter(F.col("status").isin("watchlisted", "unwatchlisted") & F.col("ok"))
+    return (
+        took.select("ip", F.col("t_us").alias("from_us"), (F.col("seq") + COMMAND_SEQ).alias("from_seq"), "status", F.lead("t_us").over(by_ip).alias("next_us"), (F.lead("seq").over(by_ip) + COMMAND_SEQ).alias("next_seq"))
+        .filter(F.col("status") == "watchlisted")
+        .withColumn("until_us", F.coalesce(F.col("next_us") + 1, until + 1))
+        .filter(F.col("from_us") < F.col("until_us"))
+        .drop("status")
+    )
 
 
 def command_block_events(statuses: DataFrame) -> DataFrame:
@@ -261,8 +308,8 @@ def command_block_events(statuses: DataFrame) -> DataFrame:
 
 
 def request_block_events(decisions: DataFrame) -> DataFrame:
-    """Block-event records of accepted detector requests."""
-    took = decisions.filter("ok")
+    """Block-event records of accepted requests of detectors and models."""
+    took = decisions.filter(F.col("ok") & F.col("kind").isin(*EVENT_PREFIX))
     event, reason, method = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for kind, prefix in EVENT_PREFIX.items():
         here = F.col("kind") == kind

@@ -228,15 +228,17 @@ def _req(kind, dur, order, attack, conf, source, cond):
     )
 
 
+_ML = _req("case when is_final then 'ml_final' else 'ml_live' end", 900, "(case when is_final then 3 else 2 end)", "label", "confidence", "scored",
+           "label<>'Normal Traffic' and confidence>=0.8")
+# All producers in one order per address; commands come before the packets of their moment.
 CTE["reqs"] = _requests(
     _req("'heuristic'", 300, 0, "'Heuristic Suspicious Activity'", "least(0.99, cast(score as double)/10)", "heur", "score>=3")
     + " union all "
     + _req("'bruteforce'", 600, 1, "'Brute Force'", "0.9", "brute", "bruteforce")
+    + f" union all {_ML} union all by name "
+    + "select ip, t_us, seq-4611686018427387904 as seq, 'command' as kind, duration_s, command_id, action, broken from cmds"
 )
-CTE["mlreqs"] = _requests(
-    _req("case when is_final then 'ml_final' else 'ml_live' end", 900, "(case when is_final then 3 else 2 end)", "label", "confidence", "scored",
-         "label<>'Normal Traffic' and confidence>=0.8")
-)
+CTE["mlreqs"] = _requests(_ML)
 
 
 def _fold(src):
@@ -257,22 +259,7 @@ select n.*, {s}, case when {s}='cooldown_active' then s.lastb else n.t_us end,
 from {{me}} s join {src} n on n.ip=s.ip and n.rn=s.rn+1"""
 
 
-CTE["dec"] = _fold("reqs").format(me="dec")
 CTE["mldec"] = _fold("mlreqs").format(me="mldec")
-CTE["acc"] = """
-select *, lead(t_us) over (partition by ip order by rn) as next_us, lead(seq) over (partition by ip order by rn) as next_seq
-from dec where status<>'cooldown_active'"""
-CTE["flagged"] = """
-select p.packet_id, p.src_ip, p.t_us from packets p where exists (
- select 1 from acc a where a.ip=p.src_ip and p.t_us<a.until and (p.t_us>a.t_us or (p.t_us=a.t_us and p.packet_id*4>a.seq))
- and (a.next_us is null or p.t_us<a.next_us or (p.t_us=a.next_us and p.packet_id*4<=a.next_seq)))"""
-CTE["feed"] = """
-select src_ip as ip, t_us, packet_id as tie, reason as attack_type, 'allowed' as action from heur where suspicious
-union all select ip, t_us, packet_id, attack_type, case when status='cooldown_active' then 'allowed' else 'blocked' end from dec where kind<>'heuristic'
-union all select ip, t_us, -1, case when status='blocked' then 'block_action' else 'already_blocked_activity' end, 'blocked' from acc
-union all select ip, until, -1, 'unblock_action', 'unblocked' from acc where until<=coalesce(next_us,(select max(t_us) from packets))
-union all select src_ip, t_us, packet_id, 'blocked_ip_activity', 'blocked' from flagged"""
-
 _ACT = "case o_orderpriority when '1-URGENT' then 'block' when '2-HIGH' then 'unblock' when '3-MEDIUM' then 'watchlist' when '4-NOT SPECIFIED' then 'unwatchlist' else 'reboot' end"
 _FIRST = "(o_orderkey - case when o_orderkey%10=1 then 1 when o_orderkey%10=2 and (o_orderkey//640)%2=1 then 640 else 0 end)"
 _CIP = f"case when {_FIRST}%29=0 then '' when {_FIRST}%23=0 then 'not-an-ip' when {_FIRST}%19=0 then '127.0.0.1' else '10.0.0.'||(1+{_FIRST}%12) end"
@@ -280,7 +267,7 @@ CTE["commands"] = f"""
 select 'c-'||{_FIRST} as command_id, o_orderkey as seq, o_orderkey*100000 as t_us, {_ACT} as action,
  {_CIP} as ip, case when o_custkey%3=0 then 300+o_custkey%50 end as duration_seconds from orders"""
 CTE["cmds"] = """
-select command_id, seq, t_us, action, ip, coalesce(duration_seconds,300) as duration_s, row_number() over (partition by ip order by seq) as rn,
+select command_id, seq, t_us, action, ip, coalesce(duration_seconds,300) as duration_s,
  case when ip='' then 'invalid_command' when action='reboot' then 'unsupported_action' when action='unwatchlist' then null
   when ip in ('not-an-ip','127.0.0.1') then 'invalid_or_loopback_ip' end as broken from commands"""
 
@@ -297,16 +284,37 @@ def _cmd_step(a, t, lb, un, w):
 # One command after the other, with the ids that succeeded so far: a known id first, then the command's own faults, then its outcome.
 _S1 = f"case when broken='invalid_command' then broken when list_contains(done, command_id) then 'duplicate_command' when broken is not null then broken else {_cmd_step('action', 't_us', 'lastb', 'until', 'watched')} end"
 _FAILED = "('invalid_command','unsupported_action','invalid_or_loopback_ip','cooldown_active','not_watchlisted')"
-CTE["cmdfold"] = f"""
-select cast(0 as bigint) as seq, ip, cast(0 as bigint) as rn, '' as status, cast(null as bigint) as lastb, cast(null as bigint) as until, false as watched, cast([] as varchar[]) as done from (select distinct ip from cmds)
+_AUTO = _cmd_step("'block'", "t_us", "lastb", "until", "watched")
+CTE["fold"] = f"""
+select ip, cast(0 as bigint) as rn, '' as status, cast(null as bigint) as lastb, cast(null as bigint) as until, false as watched, cast([] as varchar[]) as done from (select distinct ip from reqs)
 union all
-select seq, ip, rn, status,
+select ip, rn, status,
  case when status='unblocked' then null when status in ('blocked','already_blocked') then t_us else lastb end,
  case when status='unblocked' then null when status in ('blocked','already_blocked') then t_us+duration_s*1000000 else until end,
  case status when 'watchlisted' then true when 'unwatchlisted' then false else watched end,
- case when status in {_FAILED} or status='duplicate_command' then done else list_append(done, command_id) end
-from (select n.seq, n.ip, n.rn, n.command_id, n.t_us, n.duration_s, s.lastb, s.until, s.watched, s.done, {_S1} as status
- from cmdfold s join cmds n on n.ip=s.ip and n.rn=s.rn+1)"""
+ case when kind<>'command' or status in {_FAILED} or status='duplicate_command' then done else list_append(done, command_id) end
+from (select n.ip, n.rn, n.kind, n.command_id, n.t_us, n.duration_s, s.lastb, s.until, s.watched, s.done, case when kind='command' then {_S1} else {_AUTO} end as status
+ from fold s join reqs n on n.ip=s.ip and n.rn=s.rn+1)"""
+CTE["settled"] = "select r.*, f.status, f.until from reqs r join fold f using (ip, rn)"
+CTE["dec"] = "select * from settled where status in ('blocked','already_blocked','unblocked','cooldown_active')"
+CTE["acc"] = """
+select *, lead(t_us) over (partition by ip order by rn) as next_us, lead(seq) over (partition by ip order by rn) as next_seq
+from dec where status<>'cooldown_active'"""
+CTE["flagged"] = """
+select p.packet_id, p.src_ip, p.t_us from packets p where exists (
+ select 1 from acc a where a.ip=p.src_ip and p.t_us<a.until and (p.t_us>a.t_us or (p.t_us=a.t_us and p.packet_id*4>a.seq))
+ and (a.next_us is null or p.t_us<a.next_us or (p.t_us=a.next_us and p.packet_id*4<=a.next_seq)))"""
+CTE["watched"] = """
+select p.packet_id, p.src_ip, p.t_us from packets p asof join (select ip, t_us, arg_max(status, seq) as status from settled where status in ('watchlisted','unwatchlisted') group by ip, t_us) w
+on p.src_ip=w.ip and p.t_us>=w.t_us where w.status='watchlisted'"""
+CTE["feed"] = """
+select src_ip as ip, t_us, packet_id as tie, reason as attack_type, 'allowed' as action from heur where suspicious
+union all select ip, t_us, packet_id, attack_type, case when status='cooldown_active' then 'allowed' else 'blocked' end from dec where kind not in ('heuristic','command')
+union all select ip, t_us, -1, case status when 'blocked' then 'block_action' when 'unblocked' then 'manual_unblock' else 'already_blocked_activity' end, case status when 'unblocked' then 'unblocked' else 'blocked' end from acc
+union all select ip, until, -1, 'unblock_action', 'unblocked' from acc where until<=coalesce(next_us,(select max(t_us) from packets))
+union all select src_ip, t_us, packet_id, 'blocked_ip_activity', 'blocked' from flagged
+union all select src_ip, t_us, packet_id, 'watchlisted_ip_activity', 'watchlisted' from watched
+union all select ip, t_us, seq+4611686018427387904, 'watchlist_action', status from settled where status in ('watchlisted','unwatchlisted')"""
 
 CTE["blocks"] = """
 select 'b-'||o_orderkey as event_id, 1704067200000000+o_orderkey*173000000%2592000000000 as ts_us, '10.0.0.'||(1+o_custkey%12) as source_ip,
@@ -450,16 +458,18 @@ _DEPENDS = {
     "stateless": ["packets"],
     "heur": ["win"],
     "brute": ["packets"],
-    "reqs": ["heur", "brute"],
+    "reqs": ["heur", "brute", "scored", "cmds"],
     "mlreqs": ["scored"],
-    "dec": ["reqs"],
+    "fold": ["reqs"],
+    "settled": ["fold"],
+    "dec": ["settled"],
     "mldec": ["mlreqs"],
     "acc": ["dec"],
     "flagged": ["acc"],
-    "feed": ["flagged", "heur"],
+    "watched": ["settled"],
+    "feed": ["flagged", "watched", "heur"],
     "commands": [],
     "cmds": ["commands"],
-    "cmdfold": ["cmds"],
     "blocks": [],
     "last_block": ["blocks"],
     "control": ["last_block"],
@@ -478,7 +488,7 @@ _DEPENDS = {
     "metrics": ["conf"],
     "metrics1": ["metrics"],
 }
-_RECURSIVE = {"st", "trig", "dec", "mldec", "cmdfold"}
+_RECURSIVE = {"st", "trig", "fold", "mldec"}
 
 
 def _sql(names: str, body: str) -> str:
@@ -657,12 +667,12 @@ union all select 'finalized', reason, flow_id, start_us, end_us, packet_count, b
 
     q["alr_heuristic"] = _sql("dec", f"select * exclude (kind) from (select {_TYPES}, {_ALERT_OUT} from dec where kind='heuristic')")
     q["alr_bruteforce"] = _sql("dec", f"select * exclude (kind) from (select {_TYPES}, {_ALERT_OUT} from dec where kind='bruteforce')")
-    q["alr_ml"] = _sql("mldec", f"select * exclude (kind) from (select {_TYPES}, {_ALERT_OUT}, kind='ml_final' as is_final from mldec)")
+    q["alr_ml"] = _sql("dec", f"select * exclude (kind) from (select {_TYPES}, {_ALERT_OUT}, kind='ml_final' as is_final from dec where kind in ('ml_live','ml_final'))")
     q["alr_session_dedup"] = _sql(
-        "mldec",
+        "dec",
         f"""select session_id, packet_id, attack_type, confidence, blocked, case when fin then 'final' when pa is not null and not pf then 'updated' else 'new' end as update_type
 from (select *, lag(attack_type) over w as pa, lag(confidence) over w as pc, lag(blocked) over w as pb, lag(fin) over w as pf
- from (select *, {SID} as session_id, status<>'cooldown_active' as blocked, kind='ml_final' as fin from mldec) window w as (partition by session_id order by t_us, seq))
+ from (select *, {SID} as session_id, status<>'cooldown_active' as blocked, kind='ml_final' as fin from dec where kind in ('ml_live','ml_final')) window w as (partition by session_id order by t_us, seq))
 where fin or pa is null or pf or not (pa=attack_type and pc=confidence and pb=blocked)""",
     )
     q["alr_upsert"] = _sql("alerts", "select * from alerts")
@@ -685,17 +695,20 @@ shadow_confidence as confidence, shadow_confidence as confidence_score, {SEV.for
     )
     q["evt_block"] = _sql(
         "acc",
-        f"""select kind||'-'||ip||'-'||(t_us//1000) as event_id, t_us as ts_us, ip as source_ip, 'blocked' as action_taken,
-case kind when 'heuristic' then 'heuristic_high_confidence' else 'bruteforce_detected' end as reason, 'heuristic' as detection_method, {SID} as session_id,
-src_port as source_port, dst_ip as destination_ip, dst_port as destination_port, protocol, until as expires_us from acc""",
-    )
-    q["blk_state"] = _sql("dec", "select ip, packet_id, kind, status, status<>'cooldown_active' as ok, case when status<>'cooldown_active' then until end as until_us from dec")
+        f"""select replace(kind,'_','-')||'-'||ip||'-'||(t_us//1000) as event_id, t_us as ts_us, ip as source_ip, 'blocked' as action_taken,
+case kind when 'heuristic' then 'heuristic_high_confidence' when 'bruteforce' then 'bruteforce_detected' else attack_type end as reason,
+case when kind like 'ml%' then 'ml' else 'heuristic' end as detection_method, {SID} as session_id,
+src_port as source_port, dst_ip as destination_ip, dst_port as destination_port, protocol, until as expires_us from acc where kind<>'command'
+union all select 'cmd-'||command_id, t_us, ip, case action when 'block' then 'blocked' when 'unblock' then 'unblocked' else action||'ed' end, 'manual_'||action, 'manual', null, null, null, null, null,
+case when action='block' then t_us+duration_s*1000000 end from settled where kind='command' and status in ('blocked','already_blocked','unblocked','watchlisted','unwatchlisted')""",
+    )
+    q["blk_state"] = _sql("dec", "select ip, t_us, packet_id, kind, status, status<>'cooldown_active' as ok, case when status in ('blocked','already_blocked') then until end as until_us from dec")
     q["blk_commands"] = _sql(
-        "cmdfold",
-        f"""select c.command_id, c.action, c.ip, c.duration_s, c.t_us, c.seq, f.status not in {_FAILED} as ok, f.status
-from cmds c join cmdfold f on f.ip=c.ip and f.rn=c.rn""",
+        "settled",
+        f"select command_id, action, ip, duration_s, t_us, seq+4611686018427387904 as seq, status not in {_FAILED} as ok, status from settled where kind='command'",
     )
     q["blk_flag_packets"] = _sql("flagged", "select * from flagged")
+    q["blk_watch_packets"] = _sql("watched", "select * from watched")
     q["ip_activity_feed"] = _sql("feed", "select ip, attack_type, action, count(*) as entries, min(t_us) as first_us, max(t_us) as last_us from feed group by all")
     q["ip_activity"] = _sql(
         "feed",
