@@ -50,14 +50,19 @@ def _scored(spark, sf):
     return derived.scored_packets(packets(spark, sf))
 
 
-def _settled(spark, sf):
-    """Outcomes of commands, and of all block requests: detectors, models at scoring points and operators in one order."""
-    requests = resp.packet_requests(packets(spark, sf)).unionByName(resp.ml_requests(_scored(spark, sf)))
-    return resp.settle(derived.operator_commands(spark, sf), stored(requests, "requests"))
+def _requests(spark, sf):
+    """Block requests of detectors, and of models at scoring points."""
+    return stored(resp.packet_requests(packets(spark, sf)).unionByName(resp.ml_requests(_scored(spark, sf))), "requests")
 
 
 def _decided(spark, sf):
-    return _settled(spark, sf)[1]
+    """Decisions where no operator acts."""
+    return resp.block_decisions(_requests(spark, sf))
+
+
+def _settled(spark, sf):
+    """Outcomes of commands, and decisions of all block requests, commands included, in one order."""
+    return resp.settle(derived.operator_commands(spark, sf), _requests(spark, sf))
 
 
 def _events(spark, sf):
@@ -555,6 +560,12 @@ def blk_state(spark, sf):
     return _decided(spark, sf).select("ip", "t_us", "packet_id", "kind", "status", "ok", "until_us")
 
 
+@query
+def blk_settled(spark, sf):
+    """Block state of detectors, models and operators together."""
+    return _settled(spark, sf)[1].select("ip", "t_us", "packet_id", "kind", "status", "ok", "until_us")
+
+
 @query
 def blk_commands(spark, sf):
     return _settled(spark, sf)[0]
@@ -828,39 +839,58 @@ def ml_label_index(spark, sf):
     return out.groupBy("label", F.col("label_index").cast("bigint").alias("label_index")).agg(F.count("*").alias("rows"))
 
 
-def _trained(spark, sf, **kw):
+# The boosted primary model, its alternative and the secondary one.
+_MODELS = {
+    "primary": {"kind": "gbt", "trees": 4, "depth": 4, "rate": 0.3, "balanced": True},
+    "alternative": {"kind": "rf", "trees": 20, "depth": 6, "balanced": True},
+    "secondary": {"kind": "dt", "depth": 6},
+}
+
+
+def _trained(spark, sf, *names):
+    """(actual, predicted) of the held-out rows by each named model, all from one split."""
     rows = _training_rows(spark, sf)
-    split = ds.stratified_split(rows.drop("flow_id", "start_us"), "label", 0.25)
-    train_rows = split.filter(~F.col("is_test")).drop("is_test")
-    model = ml.train(train_rows, **kw)
-    tested = ml.score(split.filter("is_test").drop("is_test").withColumnRenamed("label", "actual"), model)
-    pairs = tested.select("actual", F.col("label").alias("predicted"))
-    return model, pairs
+    split = stored(ds.stratified_split(rows.drop("flow_id", "start_us"), "label", 0.25), "split")
+    held_out = split.filter("is_test").drop("is_test").withColumnRenamed("label", "actual")
+    for name in names:
+        model = ml.train(split.filter(~F.col("is_test")).drop("is_test"), **_MODELS[name])
+        yield ml.score(held_out, model).select(F.lit(name).alias("model"), "actual", F.col("label").alias("predicted"))
 
 
-def _model_quality(spark, sf, **kw):
+def _model_quality(spark, sf, name):
     """Rows of each label in the test part, how many of all were scored, and whether the model beats the most frequent label."""
-    _, pairs = _trained(spark, sf, **kw)
-    pairs = stored(pairs, "predicted")
+    pairs = stored(next(_trained(spark, sf, name)), "predicted")
     per = pairs.groupBy(F.col("actual").alias("label")).agg(F.count("*").alias("support"))
     total = pairs.agg(F.count("*").alias("n"), F.count("predicted").alias("scored"), F.sum((F.col("actual") == F.col("predicted")).cast("bigint")).alias("hits"))
     most = per.agg(F.max("support").alias("most"))
-    return per.join(F.broadcast(total.join(most))).select("label", "support", "scored", (F.col("hits") >= F.col("most")).alias("learned"))  # one row of totals
+    return per.join(F.broadcast(total.join(most))).select("label", "support", "scored", (F.col("hits") > F.col("most")).alias("learned"))  # one row of totals
 
 
 @query
 def ml_train_primary(spark, sf):
-    return _model_quality(spark, sf, kind="gbt", trees=4, depth=4, rate=0.3, balanced=True)
+    return _model_quality(spark, sf, "primary")
 
 
 @query
 def ml_train_alt(spark, sf):
-    return _model_quality(spark, sf, kind="rf", trees=20, depth=6, balanced=True)
+    return _model_quality(spark, sf, "alternative")
 
 
 @query
 def ml_train_secondary(spark, sf):
-    return _model_quality(spark, sf, kind="dt", depth=6)
+    return _model_quality(spark, sf, "secondary")
+
+
+@query
+def ml_metrics(spark, sf):
+    """Precision, recall and F1 of each label on held-out rows, by model."""
+    out = []
+    for pairs in _trained(spark, sf, *_MODELS):
+        pairs = stored(pairs, "predicted")
+        known = pairs.select(F.col("actual").alias("label")).union(pairs.select("predicted")).distinct()
+        metrics = ev.class_metrics(ev.confusion(pairs, known)).select("label", "precision", "recall", "f1", "support", "tp")
+        out.append(pairs.select("model").limit(1).join(metrics))  # one row of the model's name
+    return reduce(DataFrame.unionByName, out)
 
 
 def _two_models(spark, sf):

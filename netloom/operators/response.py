@@ -228,7 +228,11 @@ def settle(commands: DataFrame, requests: DataFrame | None = None, cooldown_s: f
         return block_decisions(asked, cooldown_s).unionByName(watches, allowMissingColumns=True)
 
     at = F.struct("t_us", "seq")
+    # Releases and entries in the watch-list always succeed: what repeats their ids later is known as a duplicate at once.
+    sure = F.min(F.when(F.col("action").isin("unblock", "watchlist"), at)).over(Window.partitionBy("_ident"))
     usable = c.filter(F.col("_broken").isNull())
+    named = usable.filter("_ident is not null").withColumn("_sure", sure).filter(F.col("_sure").isNull() | (at <= F.col("_sure"))).drop("_sure")
+    usable = stored(usable.filter("_ident is null").unionByName(named), "attempts")
     repeats = stored(
         usable.join(usable.filter("_ident is not null").groupBy("_ident").count().filter("count > 1").select("_ident"), "_ident", "left_semi").select("_ident", "ip").distinct(),
         "repeated-commands",

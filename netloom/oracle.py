@@ -230,13 +230,16 @@ def _req(kind, dur, order, attack, conf, source, cond):
 
 _ML = _req("case when is_final then 'ml_final' else 'ml_live' end", 900, "(case when is_final then 3 else 2 end)", "label", "confidence", "scored",
            "label<>'Normal Traffic' and confidence>=0.8")
-# All producers in one order per address; commands come before the packets of their moment.
-CTE["reqs"] = _requests(
+_AUTO_REQS = (
     _req("'heuristic'", 300, 0, "'Heuristic Suspicious Activity'", "least(0.99, cast(score as double)/10)", "heur", "score>=3")
     + " union all "
     + _req("'bruteforce'", 600, 1, "'Brute Force'", "0.9", "brute", "bruteforce")
-    + f" union all {_ML} union all by name "
-    + "select ip, t_us, seq-4611686018427387904 as seq, 'command' as kind, duration_s, command_id, action, broken from cmds"
+    + f" union all {_ML}"
+)
+CTE["autoreqs"] = _requests(_AUTO_REQS)
+# All producers in one order per address; commands come before the packets of their moment.
+CTE["reqs"] = _requests(
+    f"{_AUTO_REQS} union all by name select ip, t_us, seq-4611686018427387904 as seq, 'command' as kind, duration_s, command_id, action, broken from cmds"
 )
 CTE["mlreqs"] = _requests(_ML)
 
@@ -259,6 +262,7 @@ select n.*, {s}, case when {s}='cooldown_active' then s.lastb else n.t_us end,
 from {{me}} s join {src} n on n.ip=s.ip and n.rn=s.rn+1"""
 
 
+CTE["dec"] = _fold("autoreqs").format(me="dec")
 CTE["mldec"] = _fold("mlreqs").format(me="mldec")
 _ACT = "case o_orderpriority when '1-URGENT' then 'block' when '2-HIGH' then 'unblock' when '3-MEDIUM' then 'watchlist' when '4-NOT SPECIFIED' then 'unwatchlist' else 'reboot' end"
 _FIRST = "(o_orderkey - case when o_orderkey%10=1 then 1 when o_orderkey%10=2 and (o_orderkey//640)%2=1 then 640 else 0 end)"
@@ -296,23 +300,24 @@ select ip, rn, status,
 from (select n.ip, n.rn, n.kind, n.command_id, n.t_us, n.duration_s, s.lastb, s.until, s.watched, s.done, case when kind='command' then {_S1} else {_AUTO} end as status
  from fold s join reqs n on n.ip=s.ip and n.rn=s.rn+1)"""
 CTE["settled"] = "select r.*, f.status, f.until from reqs r join fold f using (ip, rn)"
-CTE["dec"] = "select * from settled where status in ('blocked','already_blocked','unblocked','cooldown_active')"
-CTE["acc"] = """
+CTE["all_dec"] = "select * from settled where status in ('blocked','already_blocked','unblocked','cooldown_active')"
+for _all in ("", "all_"):
+    CTE[_all + "acc"] = f"""
 select *, lead(t_us) over (partition by ip order by rn) as next_us, lead(seq) over (partition by ip order by rn) as next_seq
-from dec where status<>'cooldown_active'"""
-CTE["flagged"] = """
+from {_all}dec where status<>'cooldown_active'"""
+    CTE[_all + "flagged"] = f"""
 select p.packet_id, p.src_ip, p.t_us from packets p where exists (
- select 1 from acc a where a.ip=p.src_ip and p.t_us<a.until and (p.t_us>a.t_us or (p.t_us=a.t_us and p.packet_id*4>a.seq))
+ select 1 from {_all}acc a where a.ip=p.src_ip and p.t_us<a.until and (p.t_us>a.t_us or (p.t_us=a.t_us and p.packet_id*4>a.seq))
  and (a.next_us is null or p.t_us<a.next_us or (p.t_us=a.next_us and p.packet_id*4<=a.next_seq)))"""
 CTE["watched"] = """
 select p.packet_id, p.src_ip, p.t_us from packets p asof join (select ip, t_us, arg_max(status, seq) as status from settled where status in ('watchlisted','unwatchlisted') group by ip, t_us) w
 on p.src_ip=w.ip and p.t_us>=w.t_us where w.status='watchlisted'"""
 CTE["feed"] = """
 select src_ip as ip, t_us, packet_id as tie, reason as attack_type, 'allowed' as action from heur where suspicious
-union all select ip, t_us, packet_id, attack_type, case when status='cooldown_active' then 'allowed' else 'blocked' end from dec where kind not in ('heuristic','command')
-union all select ip, t_us, -1, case status when 'blocked' then 'block_action' when 'unblocked' then 'manual_unblock' else 'already_blocked_activity' end, case status when 'unblocked' then 'unblocked' else 'blocked' end from acc
-union all select ip, until, -1, 'unblock_action', 'unblocked' from acc where until<=coalesce(next_us,(select max(t_us) from packets))
-union all select src_ip, t_us, packet_id, 'blocked_ip_activity', 'blocked' from flagged
+union all select ip, t_us, packet_id, attack_type, case when status='cooldown_active' then 'allowed' else 'blocked' end from all_dec where kind not in ('heuristic','command')
+union all select ip, t_us, -1, case status when 'blocked' then 'block_action' when 'unblocked' then 'manual_unblock' else 'already_blocked_activity' end, case status when 'unblocked' then 'unblocked' else 'blocked' end from all_acc
+union all select ip, until, -1, 'unblock_action', 'unblocked' from all_acc where until<=coalesce(next_us,(select max(t_us) from packets))
+union all select src_ip, t_us, packet_id, 'blocked_ip_activity', 'blocked' from all_flagged
 union all select src_ip, t_us, packet_id, 'watchlisted_ip_activity', 'watchlisted' from watched
 union all select ip, t_us, seq+4611686018427387904, 'watchlist_action', status from settled where status in ('watchlisted','unwatchlisted')"""
 
@@ -462,12 +467,16 @@ _DEPENDS = {
     "mlreqs": ["scored"],
     "fold": ["reqs"],
     "settled": ["fold"],
-    "dec": ["settled"],
+    "autoreqs": ["heur", "brute", "scored"],
+    "dec": ["autoreqs"],
+    "all_dec": ["settled"],
+    "all_acc": ["all_dec"],
+    "all_flagged": ["all_acc"],
     "mldec": ["mlreqs"],
     "acc": ["dec"],
     "flagged": ["acc"],
     "watched": ["settled"],
-    "feed": ["flagged", "watched", "heur"],
+    "feed": ["all_flagged", "watched", "heur"],
     "commands": [],
     "cmds": ["commands"],
     "blocks": [],
@@ -488,7 +497,7 @@ _DEPENDS = {
     "metrics": ["conf"],
     "metrics1": ["metrics"],
 }
-_RECURSIVE = {"st", "trig", "fold", "mldec"}
+_RECURSIVE = {"st", "trig", "fold", "dec", "mldec"}
 
 
 def _sql(names: str, body: str) -> str:
@@ -694,15 +703,16 @@ shadow_confidence as confidence, shadow_confidence as confidence_score, {SEV.for
 {shadow_kind} as detection_method, session_id, shadow_confidence as risk_score, is_final, shadow_label as ml_prediction from scored""",
     )
     q["evt_block"] = _sql(
-        "acc",
+        "all_acc",
         f"""select replace(kind,'_','-')||'-'||ip||'-'||(t_us//1000) as event_id, t_us as ts_us, ip as source_ip, 'blocked' as action_taken,
 case kind when 'heuristic' then 'heuristic_high_confidence' when 'bruteforce' then 'bruteforce_detected' else attack_type end as reason,
 case when kind like 'ml%' then 'ml' else 'heuristic' end as detection_method, {SID} as session_id,
-src_port as source_port, dst_ip as destination_ip, dst_port as destination_port, protocol, until as expires_us from acc where kind<>'command'
+src_port as source_port, dst_ip as destination_ip, dst_port as destination_port, protocol, until as expires_us from all_acc where kind<>'command'
 union all select 'cmd-'||command_id, t_us, ip, case action when 'block' then 'blocked' when 'unblock' then 'unblocked' else action||'ed' end, 'manual_'||action, 'manual', null, null, null, null, null,
 case when action='block' then t_us+duration_s*1000000 end from settled where kind='command' and status in ('blocked','already_blocked','unblocked','watchlisted','unwatchlisted')""",
     )
     q["blk_state"] = _sql("dec", "select ip, t_us, packet_id, kind, status, status<>'cooldown_active' as ok, case when status in ('blocked','already_blocked') then until end as until_us from dec")
+    q["blk_settled"] = _sql("all_dec", "select ip, t_us, packet_id, kind, status, status<>'cooldown_active' as ok, case when status in ('blocked','already_blocked') then until end as until_us from all_dec")
     q["blk_commands"] = _sql(
         "settled",
         f"select command_id, action, ip, duration_s, t_us, seq+4611686018427387904 as seq, status not in {_FAILED} as ok, status from settled where kind='command'",

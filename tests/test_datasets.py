@@ -169,3 +169,15 @@ def test_upsert_policies_and_bounded_log(spark, scratch):
     for _ in range(2):
         sinks.append_activity_jsonl(log, f"{scratch}/log", keep=3)
     assert sorted(r["last_detected_us"] for r in sinks.read_activity_jsonl(spark, f"{scratch}/log", log.schema).collect()) == [3, 4, 4]
+
+
+def test_models_find_their_labels(spark):
+    """Held-out recall of every label that the training part has enough rows of."""
+    from netloom.catalog import ml_metrics
+
+    rows = ml_metrics(spark, "/root/testdata/sf0.01").collect()
+    assert {r["model"] for r in rows} == {"primary", "alternative", "secondary"}
+    for r in rows:
+        assert r["tp"] <= r["support"]
+        if r["support"] >= 20:
+            assert r["recall"] >= 0.6 and r["precision"] >= 0.6, r

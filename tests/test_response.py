@@ -83,6 +83,26 @@ def test_refused_commands_may_come_again(spark):
     assert got == {0: "blocked", 30: "cooldown_active", 90: "already_blocked", 140: "cooldown_active", 141: "unblocked", 150: "blocked", 160: "duplicate_command", 200: "duplicate_command", 201: "duplicate_command", 202: "invalid_command"}
 
 
+def test_commands_and_detectors_share_one_block_state(spark):
+    """A detector's block refuses a command for the cooldown, a command's block refuses a detector, a release frees both."""
+    commands = spark.createDataFrame(
+        [("a", "block", "10.0.0.1", 300, 30 * S, 1), ("a", "block", "10.0.0.1", 300, 100 * S, 2), ("b", "unblock", "10.0.0.1", 1, 130 * S, 3),
+         ("b", "block", "10.0.0.1", 300, 131 * S, 4), ("w", "watchlist", "10.0.0.1", 1, 10 * S, 5), ("x", "unwatchlist", "10.0.0.1", 1, 20 * S, 6)],
+        "command_id string, action string, ip_address string, duration_seconds long, t_us long, seq long",
+    )
+    columns = "ip string, t_us long, seq long, kind string, duration_s long, attack_type string"
+    requests = spark.createDataFrame([("10.0.0.1", t * S, 4 * t, "heuristic", 300, "x") for t in (0, 120, 130, 150)], columns)
+    statuses, decided = response.settle(commands, requests)
+    got = {r["seq"]: r["status"] for r in statuses.collect()}
+    assert got == {1: "cooldown_active", 2: "already_blocked", 3: "unblocked", 4: "duplicate_command", 5: "watchlisted", 6: "unwatchlisted"}
+    auto = {r["t_us"] // S: r["status"] for r in decided.filter("kind = 'heuristic'").collect()}
+    assert auto == {0: "blocked", 120: "cooldown_active", 130: "blocked", 150: "cooldown_active"}
+    spans = response.watch_intervals(statuses, F.lit(200 * S)).collect()
+    assert [(r["from_us"] // S, r["next_us"] // S) for r in spans] == [(10, 20)]
+    log = response.block_log(decided, F.lit(200 * S))
+    assert [r["at_us"] // S for r in log.filter("manual").collect()] == [130]
+
+
 def test_session_alerts_drop_repeats(spark):
     rows = [(1, "DoS", 0.9, True, False), (2, "DoS", 0.90001, True, False), (3, "DoS", 0.9, False, False), (4, "DoS", 0.9, False, True), (5, "DoS", 0.9, False, True), (6, "DoS", 0.9, False, False)]
     df = spark.createDataFrame(
