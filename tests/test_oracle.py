@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "src_packets", "snk_upsert", "flt_capture", "fn_event_id", "cln_prepared", "ds_split", "qry_list_alerts", "vw_threats", "ses_summary",
     "ses_predict_trigger", "feat_session", "det_heuristic", "det_bruteforce", "alr_upsert", "alr_session_dedup", "blk_state", "blk_commands",
-    "blk_flag_packets", "ip_control_state", "tel_rates", "tel_exchanges", "dash_rollup", "dash_summary", "dash_incident_detail", "chk_orphans",
+    "blk_flag_packets", "blk_settled", "blk_watch_packets", "ip_control_state", "tel_rates", "tel_exchanges", "dash_rollup", "dash_summary", "dash_incident_detail", "chk_orphans",
     "ev_metrics", "st_telemetry", "st_rollup", "st_sessions", "st_detect", "st_block_state", "evt_ids", "snk_fanout", "dash_incident_report", "ml_artifact_guard",
 ]
 
