@@ -162,33 +162,51 @@ def snk_upsert(spark, sf):
     )
 
 
-@query
-def snk_activity_jsonl(spark, sf):
-    p = packets(spark, sf)
-    feed = det.stateless_decisions(p).select(
+def _stateless_feed(spark, sf):
+    return det.stateless_decisions(packets(spark, sf)).select(
         F.col("src_ip").alias("ip"), "t_us", F.col("packet_id").alias("tie"), F.col("reason").alias("attack_type"), F.lit("allowed").alias("action")
     )
-    rows = act.ip_activity(feed)
+
+
+@query
+def snk_activity_jsonl(spark, sf):
+    """A line per activity with its address so far, appended in two parts; the log keeps the last 1000."""
+    rows = stored(act.running_activity(_stateless_feed(spark, sf)), "running")
     path = scratch(spark, "activity")
-    for _ in range(2):
-        sinks.append_activity_jsonl(rows, path, keep=12)
+    even = F.col("total_attack_attempts") % 2 == 0
+    for part in (rows.filter(even), rows.filter(~even)):
+        sinks.append_activity_jsonl(part, path, keep=1000)
     back = sinks.read_activity_jsonl(spark, path, rows.schema)
-    return back.select("ip", "first_detected_us", "last_detected_us", "total_attack_attempts", F.size("action_history").cast("bigint").alias("history"))
+    return back.select(
+        "ip", "first_detected_us", "last_detected_us", "total_attack_attempts", "attempt_pattern",
+        F.concat_ws(";", "attack_types_used").alias("attack_types_used"),
+        F.concat_ws(";", F.transform("action_history", lambda e: e["t_us"].cast("string"))).alias("history_times"),
+    )
 
 
 @query
 def snk_fanout(spark, sf):
-    """All five kinds of records in two batches; the second one is delivered twice."""
+    """All five kinds of records come in one stream of files, and go to five tables."""
     def records(df, kind, ts, label):
         return df.select(F.col(ts).alias("ts_us"), F.col(label).alias("label"), F.lit(kind).alias("kind"))
 
     hours = packets(spark, sf).groupBy((F.floor(F.col("wall_us") / F.lit(3600 * SECOND)) * 3600 * SECOND).cast("bigint").alias("ts_us")).agg(F.lit("snapshot").alias("label"))
-    first = [records(_events(spark, sf), "ids-events", "ts_us", "prediction"), records(_alerts(spark, sf), "alerts", "last_seen_us", "severity"), records(hours, "telemetry", "ts_us", "label")]
-    second = [records(derived.recorded_block_events(spark, sf), "block-events", "ts_us", "reason"), records(_session_rows(spark, sf), "session-updates", "start_time_us", "state")]
-    root = scratch(spark, "fanout")
-    for number, parts in ((0, first), (1, second), (1, second)):
-        sinks.fan_out(reduce(DataFrame.unionByName, parts), root, ["ids-events", "block-events", "alerts", "session-updates", "telemetry"], number)
-    return spark.read.parquet(root).groupBy("kind", "label").agg(F.count("*").alias("rows"), F.max("ts_us").alias("newest_us"))
+    parts = [
+        records(_events(spark, sf), "ids-events", "ts_us", "prediction"),
+        records(_alerts(spark, sf), "alerts", "last_seen_us", "severity"),
+        records(hours, "telemetry", "ts_us", "label"),
+        records(derived.recorded_block_events(spark, sf), "block-events", "ts_us", "reason"),
+        records(_session_rows(spark, sf), "session-updates", "start_time_us", "state"),
+    ]
+    feed, root = scratch(spark, "records"), scratch(spark, "fanout")
+    all_records = reduce(DataFrame.unionByName, parts)
+    all_records.write.parquet(feed)
+    stream = spark.readStream.schema(all_records.schema).option("maxFilesPerTrigger", 16).parquet(feed)
+    tables = {k: lambda batch, k=k: batch.filter(F.col("kind") == k) for k in ("ids-events", "block-events", "alerts", "session-updates", "telemetry")}
+    written = st.start_fan_out(stream, f"{root}/out", f"{root}/checkpoint", tables)
+    written.awaitTermination()
+    back = reduce(DataFrame.unionByName, [spark.read.schema(all_records.schema).parquet(f"{root}/out/{k}/batch=*") for k in tables])
+    return back.groupBy("kind", "label").agg(F.count("*").alias("rows"), F.max("ts_us").alias("newest_us"))
 
 
 @query
@@ -619,6 +637,18 @@ def _blocks(spark, sf):
     return derived.recorded_block_events(spark, sf)
 
 
+@query
+def ip_activity_running(spark, sf):
+    """The record of its address as of every activity."""
+    rows = act.running_activity(stored(_feed(spark, sf), "feed"))
+    return rows.select(
+        "ip", "first_detected_us", "last_detected_us", "total_attack_attempts", "attempt_pattern",
+        F.concat_ws(";", "attack_types_used").alias("attack_types_used"),
+        F.size("action_history").cast("bigint").alias("history"),
+        F.col("action_history")[0]["t_us"].alias("oldest_us"),
+    )
+
+
 @query
 def ip_control_state(spark, sf):
     return resp.ip_control_state(_blocks(spark, sf))

@@ -1,8 +1,11 @@
 """Activity of addresses: the feed of all producers and the record per address."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.plans.slices import slice_of
+from netloom.schema import SECOND
+
 
 def _entries(df: DataFrame, ip, t, tie, attack_type, action) -> DataFrame:
     return df.select(
@@ -74,8 +77,61 @@ def ip_activity(feed: DataFrame, history: int = 25) -> DataFrame:
         F.count("*").alias("total_attack_attempts"),
         F.array_sort(F.collect_set("attack_type")).alias("attack_types_used"),
     )
-    pattern = F.when(F.col("total_attack_attempts") > 1, "repeated_attempts").otherwise("single_attempt")
-    return totals.withColumn("attempt_pattern", pattern).join(last, "ip")
+    return totals.withColumn("attempt_pattern", _pattern()).join(last, "ip")
+
+
+def _pattern() -> Column:
+    return F.when(F.col("total_attack_attempts") > 1, "repeated_attempts").otherwise("single_attempt")
+
+
+def running_activity(feed: DataFrame, history: int = 25, slice_us: int = 60 * SECOND) -> DataFrame:
+    """One record per activity: what is known of its address at that moment, itself included.
+
+    Activities of an address follow each other by time, tie, kind and action; equal ones count each. Those without an
+    address are left out. An address is cut into slices of time. Counts, kinds and the last actions run inside a slice;
+    a table with one row per (address, slice) carries what earlier slices held: their count, the kinds first seen there
+    and their last `history` actions, which lie in the last `history` slices.
+    """
+    keyed = feed.filter(F.col("ip") != "").withColumn("_slice", slice_of("t_us", slice_us))
+    inside = Window.partitionBy("ip", "_slice").orderBy("t_us", "tie", "attack_type", "action")
+    entry = F.struct("t_us", "action", "attack_type")
+    rows = keyed.select(
+        "ip", "_slice", "t_us",
+        F.row_number().over(inside).alias("_n"),
+        F.collect_set("attack_type").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_kinds"),
+        F.collect_list(entry).over(inside.rowsBetween(1 - history, 0)).alias("_last"),
+    )
+    ends = rows.groupBy("ip", "_slice").agg(
+        F.max("_n").alias("_rows"), F.min("t_us").alias("_first"), F.max_by(F.struct("_kinds", "_last"), "_n").alias("_end")
+    )
+    sighted = ends.select("ip", "_slice", F.explode("_end._kinds").alias("kind")).groupBy("ip", "kind").agg(F.min("_slice").alias("since"))
+    kinds = sighted.groupBy("ip").agg(F.collect_list(F.struct("since", "kind")).alias("_seen"))
+    along = Window.partitionBy("ip").orderBy("_slice")
+    carried = ends.select(
+        "ip", "_slice",
+        F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.min("_first").over(along).alias("first_detected_us"),
+        F.flatten(F.collect_list("_end._last").over(along.rowsBetween(-history, -1))).alias("_earlier"),
+    ).join(kinds, "ip", "left")
+    carried = carried.withColumn(
+        "_known", F.transform(F.filter(F.coalesce("_seen", F.array()), lambda s: s["since"] < F.col("_slice")), lambda s: s["kind"])
+    ).withColumn("_earlier", _newest("_earlier", history))
+    out = rows.join(carried.drop("_seen"), ["ip", "_slice"]).select(
+        "ip",
+        "first_detected_us",
+        F.col("t_us").alias("last_detected_us"),
+        (F.col("_before") + F.col("_n")).alias("total_attack_attempts"),
+        F.array_sort(F.array_union("_known", "_kinds")).alias("attack_types_used"),
+        F.concat("_earlier", "_last").alias("action_history"),
+    )
+    return out.select(
+        "ip", "first_detected_us", "last_detected_us", "total_attack_attempts", "attack_types_used",
+        _pattern().alias("attempt_pattern"), _newest("action_history", history).alias("action_history"),
+    )
+
+
+def _newest(name: str, n: int) -> Column:
+    return F.when(F.size(name) > n, F.slice(name, -n, n)).otherwise(F.col(name))
 
 
 def latest_tracked(activity: DataFrame, keep: int = 10_000) -> DataFrame:

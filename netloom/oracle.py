@@ -536,6 +536,16 @@ _SESS_ORDER = "start_time_us desc, session_id||'@'||start_time_us"
 _FIVE_DAYS = 1_704_067_200_000_000 + 5 * 86_400_000_000
 
 
+def _running(feed: str) -> str:
+    """The record of an address as of each of its activities: plain frames over the whole address."""
+    so_far = "(partition by ip order by t_us, tie, attack_type, action rows unbounded preceding)"
+    return f"""select ip, min(t_us) over {so_far} as first_detected_us, t_us as last_detected_us, count(*) over {so_far} as total_attack_attempts,
+case when count(*) over {so_far}>1 then 'repeated_attempts' else 'single_attempt' end as attempt_pattern,
+array_to_string(list_sort(list(attack_type) filter (sight=1) over {so_far}),';') as attack_types_used,
+list(t_us) over (partition by ip order by t_us, tie, attack_type, action rows 24 preceding) as times
+from (select *, row_number() over (partition by ip, attack_type order by t_us, tie, action) as sight from ({feed}))"""
+
+
 def statements() -> dict[str, str]:
     q: dict[str, str] = {}
     q["src_packets"] = _sql("packets", "select * from packets")
@@ -555,10 +565,11 @@ select label, rows, rows*t//n + case when rank<=t-sum(rows*t//n) over () then 1
 union all select 'ids_events', event_id, reason from blocks""",
     )
     q["snk_activity_jsonl"] = _sql(
-        "packets",
-        """select ip, first_detected_us, last_detected_us, total_attack_attempts, history from (
-select a.*, row_number() over (order by last_detected_us desc, ip) as rn from (select src_ip as ip, min(t_us) as first_detected_us, max(t_us) as last_detected_us,
- count(*) as total_attack_attempts, least(count(*),25) as history from packets group by src_ip) a, (select unnest([1,2])) b) where rn<=12""",
+        "stateless",
+        f"""select ip, first_detected_us, last_detected_us, total_attack_attempts, attempt_pattern, attack_types_used,
+array_to_string([cast(x as varchar) for x in times],';') as history_times
+from (select *, row_number() over (order by last_detected_us desc, ip, total_attack_attempts desc) as place from ({_running("select src_ip as ip, t_us, packet_id as tie, reason as attack_type, 'allowed' as action from stateless")}))
+where place<=1000""",
     )
     q["snk_fanout"] = _sql(
         "evts blocks alerts session_rows packets",
@@ -726,6 +737,11 @@ case when action='block' then t_us+duration_s*1000000 end from settled where kin
 array_to_string(list_sort(list(distinct attack_type)),';') as attack_types_used, case when count(*)>1 then 'repeated_attempts' else 'single_attempt' end as attempt_pattern,
 array_to_string([cast(x as varchar) for x in list(t_us order by rn desc) filter (rn<=25)],';') as history_times
 from (select *, row_number() over (partition by ip order by t_us desc, tie desc, attack_type desc, action desc) as rn from feed) group by ip""",
+    )
+    q["ip_activity_running"] = _sql(
+        "feed",
+        f"""select ip, first_detected_us, last_detected_us, total_attack_attempts, attempt_pattern, attack_types_used, cast(len(times) as bigint) as history, times[1] as oldest_us
+from ({_running("select * from feed")})""",
     )
     q["ip_control_state"] = _sql("control", "select * from control")
     q["ip_blocked_summary"] = _sql(

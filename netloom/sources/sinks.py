@@ -2,9 +2,12 @@
 
 import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from netloom.operators.dataset import label_counts, prepare, proportional_targets, stratified_split
 from netloom.schema import FEATURES, LABEL, RAW_LABEL
@@ -32,19 +35,15 @@ def _row_hash(df: DataFrame):
     return F.xxhash64(*[f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")])
 
 
-def merged(current: DataFrame | None, incoming: DataFrame, key: str, policy: str, order: str) -> DataFrame:
-    """The table after writing `incoming`: one row per key, the first or the last by `order`; equal times go by a hash of the row.
+def merged(rows: DataFrame, key: str, policy: str, order: str) -> DataFrame:
+    """One row per key of writes numbered by `_gen`: the first or the last by `_gen` and `order`; equal times go by a hash of the row.
 
     Copies of a key reduce by partial aggregation, so a key that repeats without end
-    never gathers in one task.
+    never gathers in one task. Merging a run of adjacent writes first changes no result.
     """
-    rows = incoming.withColumn("_gen", F.lit(1))
-    if current is not None:
-        rows = current.withColumn("_gen", F.lit(0)).unionByName(rows, allowMissingColumns=True)
-    value = F.struct(*[c for c in rows.columns if c != "_gen"])
-    rank = F.struct("_gen", order, _row_hash(rows))
-    pick = F.min_by(value, rank) if policy == "first" else F.max_by(value, rank)
-    return rows.groupBy(key).agg(pick.alias("_v")).select("_v.*")
+    rank = F.struct("_gen", order, _row_hash(rows.drop("_gen")))
+    pick = F.min_by if policy == "first" else F.max_by
+    return rows.groupBy(F.col(key).alias("_key")).agg(pick(F.struct(*rows.columns), rank).alias("_v")).select("_v.*")
 
 
 def _pointers(spark: SparkSession, path: str) -> list[str]:
@@ -61,60 +60,167 @@ def _current(spark: SparkSession, path: str) -> str | None:
     return spark.read.text(_join(path, names[-1])).first()[0] if names else None
 
 
-def publish(spark: SparkSession, path: str, generation: str, keep: int = 2) -> None:
-    """Make a written generation current.
+def _advance(spark: SparkSession, path: str, value: str, keep: int) -> tuple[list[str], list[str]]:
+    """Point to `value`, and give the values of the pointers that stay and of those that went.
 
     Pointers are numbered and never overwritten; readers take the highest complete one. A job that dies before its
-    pointer is complete leaves the table as it was. Generations beyond the last `keep` go.
+    pointer is complete leaves the table as it was.
     """
     names = _pointers(spark, path)
     fs, _ = _fs(spark, path)
     number = int(names[-1].rpartition("-")[2]) + 1 if names else 0
-    pointer = _join(path, f"current-{number:012d}")
-    spark.createDataFrame([(generation,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
-    for old in [*names, pointer.rsplit("/", 1)[1]][:-keep]:
-        stale = spark.read.text(_join(path, old)).first()[0]
-        for target in (_join(path, old), stale):
-            fs.delete(_fs(spark, target)[1], True)
-
+    pointer = f"current-{number:012d}"
+    spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(_join(path, pointer))
+    values = {n: spark.read.text(_join(path, n)).first()[0] for n in names} | {pointer: value}
+    gone = list(values)[:-keep]
+    for name in gone:
+        fs.delete(_fs(spark, _join(path, name))[1], True)
+    return [v for n, v in values.items() if n not in gone], [values[n] for n in gone]
 
-def upsert(incoming: DataFrame, path: str, key: str, policy: str = "last", order: str = "ts_us") -> str:
-    """Idempotent keyed write to a parquet table of generations.
 
-    A new generation is written beside the current one and then published, so that a
-    lost executor or a retried batch leaves the table whole.
+def publish(spark: SparkSession, path: str, generation: str, keep: int = 2) -> None:
+    """Make a written generation current. Generations beyond the last `keep` go."""
+    fs, _ = _fs(spark, path)
+    for stale in _advance(spark, path, generation, keep)[1]:
+        fs.delete(_fs(spark, stale)[1], True)
+
+
+def _tail(sizes: list[int], fan_in: int) -> int:
+    """How many of the newest runs of a bucket to merge: as many as each are no larger than all newer ones together, or none below `fan_in`."""
+    take, total = 1, sizes[-1]
+    while take < len(sizes) and sizes[-take - 1] <= total:
+        total += sizes[-take - 1]
+        take += 1
+    return take if take >= fan_in else 0
+
+
+def _write_run(rows: DataFrame, path: str, key: str, buckets: int) -> dict[str, list]:
+    """Write rows by bucket of their key to a new folder: [folder, bytes] of each bucket that has rows."""
+    spark = rows.sparkSession
+    folder = _join(path, f"gen-{uuid.uuid4().hex}")
+    # Adaptive execution brings a bucket into few files and splits a large one.
+    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).hint("rebalance", "_bucket")
+    bucketed.write.partitionBy("_bucket").parquet(folder)
+    fs, p = _fs(spark, folder)
+    found = {}
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        if name.startswith("_bucket="):
+            found[name.partition("=")[2]] = [_join(folder, name), fs.getContentSummary(status.getPath()).getLength()]
+    return found
+
+
+def _with_new(old: StructType, new: StructType) -> StructType:
+    """The old columns, then the new ones; a column never changes its type."""
+    known = {f.name: f.dataType for f in old.fields}
+    for field in new.fields:
+        if known.setdefault(field.name, field.dataType) != field.dataType:
+            raise ValueError(f"column {field.name} is {known[field.name].simpleString()} in the table, not {field.dataType.simpleString()}")
+    return StructType([StructField(n, t) for n, t in known.items()])
+
+
+def _run_rows(spark: SparkSession, table: dict, folders: list[str]) -> DataFrame:
+    schema = StructType.fromJson(table["schema"]).add("_gen", "long")
+    return spark.read.schema(schema).parquet(*folders)
+
+
+def upsert(
+    incoming: DataFrame, path: str, key: str, policy: str = "last", order: str = "ts_us", buckets: int = 16, fan_in: int = 4, keep: int = 2
+) -> None:
+    """Idempotent keyed write to a table of hash buckets; what is written follows the batch, not the table.
+
+    A batch is reduced to one row per key and added to its buckets as a new run. The newest runs of a touched bucket are
+    merged once `fan_in` of them are each no larger than all newer ones together, so a row is rewritten a number of times
+    that grows with the logarithm of the table. Buckets without new rows are never touched. The list of runs is published
+    as one pointer: a lost executor or a retried batch leaves the table whole. Runs that none of the last `keep` pointers
+    name go. One writer at a time. `buckets` counts for a new table only; take one for about 1 GB of final rows. Columns
+    that come later are null in earlier rows. The names `_gen`, `_bucket`, `_key` and `_v` are reserved.
     """
     spark = incoming.sparkSession
-    generation = _join(path, f"gen-{uuid.uuid4().hex}")
-    merged(read_table(spark, path), incoming, key, policy, order).write.parquet(generation)
-    publish(spark, path, generation)
-    return generation
+    table = _manifest(spark, path) or {"key": key, "policy": policy, "order": order, "buckets": buckets, "number": 0, "schema": {"type": "struct", "fields": []}, "runs": {}}
+    if (table["key"], table["policy"], table["order"]) != (key, policy, order):
+        raise ValueError(f"the table keeps the {table['policy']} row of {table['key']} by {table['order']}")
+    table["schema"] = _with_new(StructType.fromJson(table["schema"]), incoming.schema).jsonValue()
+    table["number"] += 1
+    added = _write_run(merged(incoming.withColumn("_gen", F.lit(table["number"]).cast("bigint")), key, policy, order), path, key, table["buckets"])
+    runs = table["runs"]
+    for bucket, run in added.items():
+        runs.setdefault(bucket, []).append(run)
+    due = {b: n for b in added if (n := _tail([size for _, size in runs[b]], fan_in))}
+    if due:
+        old = [folder for b, n in due.items() for folder, _ in runs[b][-n:]]
+        compact = _write_run(merged(_run_rows(spark, table, old), key, policy, order), path, key, table["buckets"])
+        for b, n in due.items():
+            runs[b][-n:] = [compact[b]]
+    kept, _ = _advance(spark, path, json.dumps(table), keep)
+    _drop_unnamed(spark, path, {folder for value in kept for named in json.loads(value)["runs"].values() for folder, _ in named})
+
+
+def _drop_unnamed(spark: SparkSession, path: str, named: set[str]) -> None:
+    """Delete runs that no pointer names, also those a dead writer left."""
+    fs, p = _fs(spark, path)
+    for status in fs.listStatus(p):
+        generation = status.getPath().getName()
+        if not generation.startswith("gen-"):
+            continue
+        folder = _join(path, generation)
+        inside = [_join(folder, s.getPath().getName()) for s in fs.listStatus(status.getPath()) if s.getPath().getName().startswith("_bucket=")]
+        stale = [f for f in inside if f not in named]
+        for target in [folder] if len(stale) == len(inside) else stale:
+            fs.delete(_fs(spark, target)[1], True)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    generation = _current(spark, path)
-    return None if generation is None else spark.read.parquet(generation)
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    value = _current(spark, path)
+    return None if value is None else json.loads(value)
 
 
-def upsert_table(incoming: DataFrame, root: str, table: str, order: str = "ts_us") -> str:
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current rows of a keyed table. Buckets of one run are read as they are, only others are merged."""
+    table = _manifest(spark, path)
+    if table is None:
+        return None
+    single = [named[0][0] for named in table["runs"].values() if len(named) == 1]
+    several = [folder for named in table["runs"].values() if len(named) > 1 for folder, _ in named]
+    parts = []
+    if single:
+        parts.append(_run_rows(spark, table, single))
+    if several:
+        parts.append(merged(_run_rows(spark, table, several), table["key"], table["policy"], table["order"]))
+    if not parts:
+        return spark.createDataFrame([], StructType.fromJson(table["schema"]))
+    return reduce(DataFrame.unionByName, parts).drop("_gen")
+
+
+def upsert_table(incoming: DataFrame, root: str, table: str, order: str = "ts_us") -> None:
     key, policy = TABLE_POLICY[table]
-    return upsert(incoming, _join(root, table), key, policy, order)
+    upsert(incoming, _join(root, table), key, policy, order)
+
 
+def fan_out(batch: DataFrame, root: str, tables: dict[str, Callable[[DataFrame], DataFrame]], batch_id: int) -> None:
+    """Write every table that a (micro-)batch feeds: a name, and what takes its rows from the batch.
 
-def fan_out(batch: DataFrame, root: str, kinds: list[str], batch_id: int, kind: str = "kind") -> None:
-    """Write each kind of record of a (micro-)batch to its own folder in one pass. A batch id written again replaces its rows."""
-    batch.filter(F.col(kind).isin(kinds)).write.mode("overwrite").partitionBy(kind).parquet(_join(root, f"batch={batch_id}"))
+    The batch is cached, so that its source is read once. Each table takes a batch id once: written again, it replaces
+    its rows. A writer that dies between two tables therefore writes the same rows when the batch comes again.
+    """
+    batch.persist()
+    try:
+        for name, rows_of in tables.items():
+            rows_of(batch).write.mode("overwrite").parquet(_join(_join(root, name), f"batch={batch_id}"))
+    finally:
+        batch.unpersist()
 
 
 def append_activity_jsonl(activity: DataFrame, path: str, keep: int = 50_000, t: str = "last_detected_us") -> None:
-    """Append records as JSON lines and keep the newest `keep`."""
+    """Append records as JSON lines and keep the newest `keep`; of equal times the lowest addresses and their highest counts."""
     spark = activity.sparkSession
     rows = activity
     generation = _join(path, f"gen-{uuid.uuid4().hex}")
     current = _current(spark, path)
     if current is not None:
         rows = spark.read.schema(activity.schema).json(current).unionByName(rows)
-    rows.orderBy(F.desc(t), "ip", _row_hash(rows)).limit(keep).select(*activity.columns).write.json(generation)
+    counts = [F.desc(c) for c in rows.columns if c == "total_attack_attempts"]
+    rows.orderBy(F.desc(t), "ip", *counts, _row_hash(rows)).limit(keep).select(*activity.columns).write.json(generation)
     publish(spark, path, generation)
 
 

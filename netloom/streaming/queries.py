@@ -13,7 +13,7 @@ from netloom.operators.features import to_features
 from netloom.operators.ml import score
 from netloom.schema import LOGIN_PORTS, NORMAL
 from netloom.session import scratch
-from netloom.sources.sinks import read_table, upsert
+from netloom.sources.sinks import fan_out, read_table, upsert
 from netloom.streaming import state
 from netloom.streaming.state import (
     BLOCK_OUT,
@@ -183,6 +183,16 @@ def start_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, order:
     )
 
 
+def start_fan_out(stream: DataFrame, path: str, checkpoint: str, tables: dict[str, Callable[[DataFrame], DataFrame]]) -> StreamingQuery:
+    """Feed several tables from one stream, each batch once in every table, also across restarts."""
+    _rocksdb(stream.sparkSession)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fan_out(batch, path, tables, batch_id)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows dropped behind the watermark so far."""
     return sum(

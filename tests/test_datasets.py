@@ -3,6 +3,7 @@ import json
 import os
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from netloom.operators import dataset as ds
@@ -10,6 +11,7 @@ from netloom.operators import evaluate as ev
 from netloom.operators import ml
 from netloom.schema import FEATURES, LABEL, PREPARED_FILES, RAW_TO_FEATURE
 from netloom.sources import flows, sinks
+from netloom.streaming import queries as st
 
 LABELS = ["Benign", "DDOS attack-HOIC", "FTP-BruteForce", "Bot"]
 
@@ -161,16 +163,88 @@ def test_upsert_policies_and_bounded_log(spark, scratch):
     os.makedirs(f"{scratch}/y/current-000000000099")
     assert {r["event_id"] for r in sinks.read_table(spark, f"{scratch}/y").collect()} == {"k1", "k2", "k3"}
     sinks.upsert(spark.createDataFrame([("k4", 1, "x")], a.schema), f"{scratch}/y", "event_id", "last")
-    assert sinks.read_table(spark, f"{scratch}/y").count() == 4 and sum(n.startswith("gen-") for n in os.listdir(f"{scratch}/y")) == 2
+    assert sinks.read_table(spark, f"{scratch}/y").count() == 4
+    with pytest.raises(ValueError, match="keeps the last"):
+        sinks.upsert(a, f"{scratch}/y", "event_id", "first")
     for number in (0, 1, 1):
-        sinks.fan_out(a.withColumn("kind", F.lit("ids-events")), f"{scratch}/fan", ["ids-events"], number)
-    assert spark.read.parquet(f"{scratch}/fan").count() == 4
+        sinks.fan_out(a, f"{scratch}/fan", {"ids-events": lambda rows: rows, "alerts": lambda rows: rows.filter("v = 'none'")}, number)
+    assert spark.read.parquet(f"{scratch}/fan/ids-events").count() == 4 and spark.read.parquet(f"{scratch}/fan/alerts").count() == 0
     log = spark.createDataFrame([(f"10.0.0.{i}", i) for i in range(5)], "ip string, last_detected_us long")
     for _ in range(2):
         sinks.append_activity_jsonl(log, f"{scratch}/log", keep=3)
     assert sorted(r["last_detected_us"] for r in sinks.read_activity_jsonl(spark, f"{scratch}/log", log.schema).collect()) == [3, 4, 4]
 
 
+def run_folders(path):
+    return {f"{g}/{b}" for g in os.listdir(path) if g.startswith("gen-") for b in os.listdir(f"{path}/{g}") if b.startswith("_bucket=")}
+
+
+def test_upsert_writes_only_touched_buckets(spark, scratch):
+    path = f"{scratch}/t"
+    whole = spark.range(4000).select(F.col("id").cast("string").alias("k"), F.lit(0).cast("bigint").alias("ts_us"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    sinks.upsert(whole, path, "k", buckets=8)
+    before = run_folders(path)
+    assert len(before) == 8
+    for n in range(1, 8):
+        one = spark.createDataFrame([("7", n, f"v{n}")], whole.schema)
+        sinks.upsert(one, path, "k", keep=100)
+        after = run_folders(path)
+        # one run of one bucket, and at times a merge of small runs: never the large first one
+        assert before <= after and len(after - before) <= 2 and len({f.split("/")[1] for f in after - before}) == 1
+        before = after
+        assert sinks.read_table(spark, path).filter("k = '7'").collect() == one.collect()
+    assert sinks.read_table(spark, path).count() == 4000
+    sinks.upsert(spark.createDataFrame([("7", 9, "v9")], whole.schema), path, "k", keep=2)
+    assert len(run_folders(path)) <= 8 + 8, "runs that no pointer names are gone"
+    os.makedirs(f"{path}/gen-dead/_bucket=1")
+    wider = whole.limit(1).withColumn("more", F.lit(1))
+    sinks.upsert(wider, path, "k")
+    assert not os.path.exists(f"{path}/gen-dead") and sinks.read_table(spark, path).filter("more = 1").count() == 1
+    with pytest.raises(ValueError, match="column v"):
+        sinks.upsert(whole.withColumn("v", F.lit(1)), path, "k")
+    sinks.upsert(whole.limit(0), f"{scratch}/empty", "k")
+    assert sinks.read_table(spark, f"{scratch}/empty").schema.names == ["k", "ts_us", "v"] and sinks.read_table(spark, f"{scratch}/empty").isEmpty()
+
+
+@pytest.mark.parametrize("policy", ["first", "last"])
+def test_upsert_equals_a_dictionary(spark, scratch, policy):
+    schema, want = "k string, ts_us long, v long", {}
+    for n in range(12):
+        batch = [(None if i == 3 else f"k{(i * 7 + n) % 9}", (i * 5 + n) % 4, 100 * n + i) for i in range(n % 5)]
+        sinks.upsert(spark.createDataFrame(batch, schema), f"{scratch}/t", "k", policy, buckets=2)
+        for k in {r[0] for r in batch}:
+            mine = [r for r in batch if r[0] == k]
+            if policy == "last" or k not in want:
+                times = [r[1] for r in mine]
+                want[k] = {r[2] for r in mine if r[1] == (min(times) if policy == "first" else max(times))}
+        got = {r["k"]: r["v"] for r in sinks.read_table(spark, f"{scratch}/t").collect()}
+        assert got.keys() == want.keys() and all(got[k] in want[k] for k in got)
+
+
+def test_fan_out_restarts_between_two_tables(spark, scratch):
+    rows = spark.range(40).select("id", F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("kind"))
+    rows.repartition(4).write.parquet(f"{scratch}/in")
+    calls = []
+
+    def odd(batch):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost between two tables")
+        return batch.filter("kind = 'odd'")
+
+    def start():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/in")
+        return st.start_fan_out(stream, f"{scratch}/out", f"{scratch}/check", {"even": lambda b: b.filter("kind = 'even'"), "odd": odd})
+
+    with pytest.raises(StreamingQueryException):
+        start().awaitTermination()
+    start().awaitTermination()
+    for kind in ("even", "odd"):
+        got = sorted(r["id"] for r in spark.read.parquet(f"{scratch}/out/{kind}").collect())
+        assert got == list(range(kind == "odd", 40, 2))
+    assert len(calls) == 5, "four batches, one of them twice"
+
+
 def test_models_find_their_labels(spark):
     """Held-out recall of every label that the training part has enough rows of."""
     from netloom.catalog import ml_metrics

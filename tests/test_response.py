@@ -154,3 +154,19 @@ def test_addresses_and_labels(spark):
     }
     df = spark.createDataFrame([(k,) for k in labels], "l string")
     assert {r[0]: r[1] for r in df.select("l", normalized_label("l")).collect()} == labels
+
+
+def test_running_activity_equals_a_walk(spark):
+    rnd = random.Random(5)
+    rows = [("a" if rnd.random() < 0.7 else rnd.choice("bc"), rnd.randrange(30) * 20_000_000, rnd.randrange(3), rnd.choice("xyz"), "allowed") for _ in range(150)]
+    rows += rows[:5] + [(None, 1, 1, "x", "allowed"), ("", 1, 1, "x", "allowed")]
+    feed = spark.createDataFrame(rows, "ip string, t_us long, tie long, attack_type string, action string")
+    want = []
+    for ip in "abc":
+        mine = sorted(r[1:] for r in rows if r[0] == ip)
+        for n in range(1, len(mine) + 1):
+            kinds = sorted({r[2] for r in mine[:n]})
+            want.append((ip, mine[0][0], mine[n - 1][0], n, kinds, "repeated_attempts" if n > 1 else "single_attempt", [(r[0], r[3], r[2]) for r in mine[max(0, n - 4) : n]]))
+    got = [(*r[:6], [tuple(e) for e in r[6]]) for r in activity.running_activity(feed, history=4).collect()]
+    assert sorted(got) == sorted(want)
+    assert activity.running_activity(feed.limit(0)).count() == 0
