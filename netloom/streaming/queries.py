@@ -20,6 +20,7 @@ from netloom.streaming.state import (
     BRUTE_OUT,
     DETECT_OUT,
     SESSION_OUT,
+    SHIFT_US,
     BlockState,
     DetectorState,
     GuessState,
@@ -38,6 +39,11 @@ def with_event_time(df: DataFrame, t: str = "t_us", delay: str = "10 seconds") -
     return df.withColumn("ts", F.timestamp_micros(t)).withWatermark("ts", delay)
 
 
+def with_shifted_time(df: DataFrame, t: str = "t_us", delay: str = "10 seconds") -> DataFrame:
+    """As `with_event_time`, ahead of `t` by the shift of keyed state, so that rows at or before the epoch count too."""
+    return df.withColumn("ts", F.timestamp_micros(F.col(t) + F.lit(SHIFT_US))).withWatermark("ts", delay)
+
+
 #: Event time of the end marker of a finite input: later than any deadline.
 FAR_US = 4_102_444_800_000_000
 
@@ -76,7 +82,7 @@ def stream_sessions(packets: DataFrame, delay: str = "10 seconds", idle_s: float
     """
     # Numbers are texts in the key: a number beside nulls of other keys would reach the worker as a float, and be another key.
     number = {c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("src_port", "dst_port", "protocol")}
-    keyed = with_event_time(packets, delay=delay).select(
+    keyed = with_shifted_time(packets, delay=delay).select(
         session_id().alias("flow_id"), "src_ip", "dst_ip", *number.values(),
         "ts", "t_us", "packet_id", "packet_size", "payload_size", "tcp_window_size", "transport_header_length",
         F.col("tcp_flags").cast("bigint").alias("tcp_flags"),
@@ -89,7 +95,7 @@ def stream_sessions(packets: DataFrame, delay: str = "10 seconds", idle_s: float
 def stream_sessions_simple(packets: DataFrame, delay: str = "10 seconds", idle: str = "30 seconds") -> DataFrame:
     """Sessions by idle gap alone, for cheap rollups."""
     return (
-        with_event_time(packets, delay=delay)
+        with_shifted_time(packets, delay=delay)
         .groupBy(session_id().alias("flow_id"), F.session_window("ts", idle))
         .agg(F.min("t_us").alias("start_us"), F.max("t_us").alias("end_us"), F.count("*").alias("packet_count"), F.sum("packet_size").alias("byte_count"))
         .drop("session_window")
@@ -98,13 +104,13 @@ def stream_sessions_simple(packets: DataFrame, delay: str = "10 seconds", idle:
 
 def stream_detect(packets: DataFrame, delay: str = "10 seconds", **limits) -> DataFrame:
     """Window findings per packet; state per source is bounded by the thresholds."""
-    rows = with_event_time(packets, delay=delay).select("src_ip", "ts", "t_us", "packet_id", "dst_port", "tcp_flags")
+    rows = with_shifted_time(packets, delay=delay).select("src_ip", "ts", "t_us", "packet_id", "dst_port", "tcp_flags")
     return rows.groupBy("src_ip").transformWithStateInPandas(DetectorState(**limits), DETECT_OUT, "append", "EventTime")
 
 
 def stream_bruteforce(packets: DataFrame, delay: str = "10 seconds", ports: list[int] = LOGIN_PORTS, **limits) -> DataFrame:
     # All packets move the watermark: naming `ts` keeps the filter above it.
-    rows = with_event_time(packets, delay=delay).filter(F.when(F.col("ts").isNotNull(), F.col("dst_port").isin(ports)))
+    rows = with_shifted_time(packets, delay=delay).filter(F.when(F.col("ts").isNotNull(), F.col("dst_port").isin(ports)))
     rows = rows.select("src_ip", "dst_ip", "dst_port", "ts", "t_us", "packet_id")
     return rows.groupBy("src_ip", "dst_ip", "dst_port").transformWithStateInPandas(
         GuessState(**limits), BRUTE_OUT, "append", "EventTime"
@@ -115,19 +121,21 @@ def stream_blocks(requests: DataFrame, delay: str = "10 seconds", cooldown_s: fl
     """Outcomes of block requests and expiries, per address. Needs ip, t_us, seq, duration_s; `unblock` marks manual releases."""
     frame = requests if "unblock" in requests.columns else requests.withColumn("unblock", F.lit(False))
     good = mixed_blockable_ip("ip")
-    rows = with_event_time(frame.filter(good), delay=delay).select("ip", "ts", "t_us", "seq", F.col("duration_s").cast("bigint").alias("duration_s"), F.coalesce("unblock", F.lit(False)).cast("bigint").alias("unblock"))
+    rows = with_shifted_time(frame.filter(good), delay=delay).select("ip", "ts", "t_us", "seq", F.col("duration_s").cast("bigint").alias("duration_s"), F.coalesce("unblock", F.lit(False)).cast("bigint").alias("unblock"))
     none = F.lit(-1).cast("bigint")
     refused = frame.filter(~good).select("ip", F.col("t_us").alias("at_us"), "seq", F.lit("invalid_or_loopback_ip").alias("status"), none.alias("until_us"), F.lit(0).cast("bigint").alias("times_blocked"))
     return rows.groupBy("ip").transformWithStateInPandas(BlockState(cooldown_s), BLOCK_OUT, "append", "EventTime").unionByName(refused)
 
 
-def stream_dedup(events: DataFrame, key: str = "event_id", t: str = "ts_us", delay: str = "10 seconds") -> DataFrame:
-    """One row per key among rows within the watermark delay of each other."""
-    return with_event_time(events, t, delay).dropDuplicatesWithinWatermark([key]).drop("ts")
+def stream_dedup(events: DataFrame, key: str | list[str] = "event_id", t: str = "ts_us", delay: str = "10 seconds") -> DataFrame:
+    """One row per key, of one column or several, among rows within the watermark delay of each other."""
+    return with_event_time(events, t, delay).dropDuplicatesWithinWatermark([key] if isinstance(key, str) else key).drop("ts")
 
 
 def stream_telemetry(packets: DataFrame, delay: str = "10 seconds", window_s: int = 30, every_s: int = 5) -> DataFrame:
-    """Received and dropped packets of the trailing window, every few seconds."""
+    """Received and dropped packets of the trailing window, every few seconds; of packets after the epoch, as in `with_event_time`."""
+    # The watermark starts at the epoch: a packet there would miss the windows that end there, yet count in the later ones.
+    packets = packets.filter(F.col("t_us") > 0)
     # A row exactly as old as the window is out, one at the snapshot is in: shift by 1 us.
     shifted = with_event_time(packets.withColumn("_t", F.col("t_us") - 1), "_t", delay)
     return (

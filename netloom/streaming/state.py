@@ -22,12 +22,21 @@ def _longs(*names: str) -> list[StructField]:
     return [StructField(n, LongType()) for n in names]
 
 
+#: The event time of keyed state runs this far ahead of `t_us`: a watermark starts at the epoch and drops what is not later.
+SHIFT_US = 4_000_000_000_000_000
+
+
+def _timer(at_us: int) -> int:
+    """The timer (milliseconds of event time) that fires not before `at_us`."""
+    return -(-(at_us + SHIFT_US) // 1000)
+
+
 def _alarm(handle: StatefulProcessorHandle, at_us: int | None) -> None:
-    """Keep exactly one timer per key (milliseconds, not before `at_us`)."""
+    """Keep exactly one timer per key."""
     for old in list(handle.listTimers()):
         handle.deleteTimer(old)
     if at_us is not None:
-        handle.registerTimer(-(-at_us // 1000))
+        handle.registerTimer(_timer(at_us))
 
 
 _NULL = np.iinfo(np.int64).min
@@ -90,12 +99,12 @@ class InOrder(StatefulProcessor):
         timers = list(self.handle.listTimers())
         if first is not None:
             end = (first + 1) * self.SLICE
-            if not timers or -(-end // 1000) < min(timers):
+            if not timers or _timer(end) < min(timers):
                 _alarm(self.handle, end)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        settled = timerValues.getCurrentWatermarkInMs() * 1000 // self.SLICE
+        settled = (timerValues.getCurrentWatermarkInMs() * 1000 - SHIFT_US) // self.SLICE
         ready: dict[int, list[tuple]] = {}
         rest = None
         for at, arrival in self.waiting.keys():

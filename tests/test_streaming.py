@@ -193,3 +193,39 @@ def test_dedup_across_batches(spark, feed):
     rows = stream(spark, feed).select(F.col("t_us").alias("ts_us"), F.floor(F.col("packet_id") / 2).cast("string").alias("event_id"))
     out = st.run(spark, st.stream_dedup(rows, delay="3000 seconds"), "t_dedup")
     assert out.count() == 500
+
+
+def _events_at(spark, folder, micros):
+    """A driver's folder whose events lie so many microseconds after 2024-01-01, in turn of two users."""
+    rows = [(30 * i + 2, 1_704_067_200_000_000 + us, 2 * (i % 2), "view", 10.0, "") for i, us in enumerate(micros)]
+    frame = spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double, props string")
+    frame = frame.select("event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+    frame.toPandas().to_parquet(f"{folder}/events.parquet", coerce_timestamps="us")
+    return folder
+
+
+def test_events_of_one_millisecond_are_no_copies(spark, tmp_path):
+    """Ids count milliseconds: two events of a session in one share an id, and only their own copies go."""
+    from netloom.catalog import REGISTRY
+
+    out = REGISTRY["st_dedup"](spark, _events_at(spark, str(tmp_path), [5_000_000, 6_000_000, 5_000_400])).collect()
+    assert len(out) == 3 and len({r.event_id for r in out}) == 2
+
+
+def test_telemetry_starts_after_the_epoch(spark, tmp_path):
+    from netloom.catalog import REGISTRY
+
+    out = REGISTRY["st_telemetry"](spark, _events_at(spark, str(tmp_path), [0, 10, 90_000, 180_000])).collect()
+    assert sorted((r.snapshot_us, r.received) for r in out) == [(k * 5_000_000, 2) for k in range(1, 7)]
+
+
+def test_keyed_state_takes_packets_at_and_before_the_epoch(spark, tmp_path):
+    rows = [(i, t, None, "10.0.0.1", "10.0.0.2", 6, 100, 1234, 80, 2, 1024, 20, 20, 0) for i, t in enumerate([-90_000_000, -89_500_001, 0, 1, 2_000_000])]
+    from netloom.schema import PACKET_SCHEMA
+
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, PACKET_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    for form in (st.stream_sessions, st.stream_sessions_simple):
+        p, finish = st.with_end(stream(spark, str(tmp_path / "p")))
+        out = st.run(spark, form(p), "t_epoch", finish=finish).filter("end_us < 100000000").collect()
+        assert sorted((r.start_us, r.end_us) for r in out) == [(-90_000_000, -89_500_001), (0, 2_000_000)]
