@@ -170,3 +170,50 @@ def test_running_activity_equals_a_walk(spark):
     got = [(*r[:6], [tuple(e) for e in r[6]]) for r in activity.running_activity(feed, history=4).collect()]
     assert sorted(got) == sorted(want)
     assert activity.running_activity(feed.limit(0)).count() == 0
+
+
+def plain_settle(rows, requests):
+    """All commands and requests of all addresses, one by one."""
+    done, blocks, listed, out = set(), {}, set(), {}
+    for t, _, seq, kind, ident, action, ip in sorted([(t, 0, s, "c", i, a, ip) for i, a, ip, _, t, s in rows] + [(t, 1, s, "r", "", "block", ip) for ip, t, s in requests]):
+        last, until = blocks.get(ip, (None, None))
+        if until is not None and t >= until:
+            last = until = None
+        if kind == "c" and ident in done:
+            status = "duplicate_command"
+        elif action == "unblock":
+            status, last, until = "unblocked", None, None
+        elif action == "watchlist":
+            status = "watchlisted"
+            listed.add(ip)
+        elif action == "unwatchlist":
+            status = "unwatchlisted" if ip in listed else "not_watchlisted"
+            listed.discard(ip)
+        elif last is not None and t - last < 60 * S:
+            status = "cooldown_active"
+        else:
+            status, last, until = "already_blocked" if until is not None else "blocked", t, t + 300 * S
+        blocks[ip] = (last, until)
+        if kind == "c" and status not in ("cooldown_active", "not_watchlisted"):
+            done.add(ident)
+        out[kind, seq] = status
+    return out
+
+
+def test_settled_parts_equal_a_walk(spark):
+    """Walked parts, and parts taken as long ones; ids repeat over addresses, and some commands share their moment with a release."""
+    rnd = random.Random(7)
+    actions = ["block"] * 5 + ["unblock", "watchlist", "unwatchlist", "unwatchlist"]
+    rows, t = [], 0
+    for seq in range(240):
+        t += 0 if rnd.random() < 0.2 else rnd.randrange(1, 25) * S
+        rows.append((f"i{rnd.randrange(140)}", rnd.choice(actions), f"10.0.0.{rnd.randrange(3)}", 300, t, seq))
+    requests = [(f"10.0.0.{rnd.randrange(3)}", rnd.randrange(0, t), k) for k in range(80)]
+    rows += [(f"x{k}", a, "10.0.0.1", 300, t + 1000 * S, 240 + k) for k, a in enumerate(["block", "unblock", "block"])]
+    want = plain_settle(rows, requests)
+    commands = spark.createDataFrame(rows, "command_id string, action string, ip_address string, duration_seconds long, t_us long, seq long")
+    asked = spark.createDataFrame([(*r, "heuristic", 300) for r in requests], "ip string, t_us long, seq long, kind string, duration_s long")
+    for long_rows in (1_000_000, 0):
+        statuses, decided = response.settle(commands, asked, long_rows=long_rows)
+        got = {("c", r.seq): r.status for r in statuses.collect()} | {("r", r.seq): r.status for r in decided.filter("kind = 'heuristic'").collect()}
+        assert got == want
