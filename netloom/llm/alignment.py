@@ -7,8 +7,9 @@ built: levels of bit arrays, in each of which the pairs without a collision get
 index. Every group of batches then adds up a dense vector of counts, indexed by hash, and the vectors are summed in a
 tree. Keys stored in the order of their index verify each lookup.
 
-Pass two brings each batch the counts of its own pairs, aligns its documents again, and looks the counts up. (Ids kept
-from pass one would save its encoding, but take more room than the texts.) Nothing that grows with the corpus is
+Pass two brings each batch the counts of its own pairs, aligns its documents again, and looks the counts up. Ids kept
+from pass one would take more room than the texts, so it keeps where tokens end, a bit for each byte and tokenizer: the
+bytes between two ends name the id. Nothing that grows with the corpus is
 broadcast or collected: a shard holds at most the pairs that the vocabularies allow, divided by the number of shards, and
 a batch holds `batch_bytes` of text or one longer text.
 """
@@ -73,6 +74,7 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
+        self.named = [Named(t.bytes) for t in (self.a, self.b)]
 
     def encode(self, text: str | None, spelled: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both; none for an empty text or one that either spells otherwise (`spelled`: known not to be one)."""
@@ -85,6 +87,55 @@ class Aligner:
                 return NO_TOKENS, NO_TOKENS
         return a, np.array(b, np.uint32)
 
+    def marks(self, ids: tuple[np.ndarray, np.ndarray], lengths: tuple[np.ndarray, np.ndarray]) -> bytes | None:
+        """Where tokens of both end, a bit for each byte of space + text; null if the bytes of a token name another id, or nothing."""
+        if not all(len(i) and named.sure[i].all() for i, named in zip(ids, self.named, strict=True)):
+            return None
+        ends = [np.cumsum(n[i]) for i, n in zip(ids, lengths, strict=True)]
+        bits = np.zeros((2, int(ends[0][-1])), bool)
+        for row, at in zip(bits, ends, strict=True):
+            row[at - 1] = True
+        return np.packbits(bits, axis=1).tobytes()
+
+    def marked(self, text: str | None, marks: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of `encode` for a text that both spell, read from its marks; encoded again if it has none."""
+        if not text or marks is None:
+            return self.encode(text, spelled=True)
+        whole = b" " + text.encode("utf-8", "surrogatepass")
+        bits = np.unpackbits(np.frombuffer(marks, np.uint8).reshape(2, -1), axis=1, count=len(whole))
+        windows = np.ndarray((len(whole),), "<u8", whole + bytes(8), strides=(1,))
+        return tuple(named(whole, windows, np.flatnonzero(row) + 1) for row, named in zip(bits, self.named, strict=True))
+
+
+class Named:
+    """The id of the bytes of a token. Up to seven bytes are one number, looked up in a table of hashes; the rest in a dictionary."""
+
+    BITS, FACTOR = 20, np.uint64(0x9E3779B97F4A7C15)
+    MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
+
+    def __init__(self, table: list[bytes]):
+        self.ids = {t: k for k, t in enumerate(table)}
+        #: whether the bytes of a token name that token
+        self.sure = np.array([bool(t) and self.ids[t] == k for k, t in enumerate(table)])
+        self.keys = np.array([int.from_bytes(t, "little") | len(t) << 56 if len(t) < 8 else 0 for t in table], np.uint64)
+        self.places = np.zeros(1 << self.BITS, np.int64)
+        short = np.flatnonzero(self.sure & (self.keys > 0))
+        self.places[self._hash(self.keys[short])] = short
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * self.FACTOR) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def __call__(self, text: bytes, windows: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ids of the tokens of `text` that end there; `windows` are the eight bytes from each place on, as a number."""
+        starts = np.concatenate([[0], ends[:-1]])
+        lengths = ends - starts
+        short = np.minimum(lengths, 7)
+        keys = (windows[starts] & self.MASKS[short]) | (short.astype(np.uint64) << np.uint64(56))
+        out = self.places[self._hash(keys)]
+        rest = np.flatnonzero((self.keys[out] != keys) | (lengths > 7))
+        out[rest] = [self.ids[text[i:j]] for i, j in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        return out.astype(np.uint32)
+
 
 def common_ends(a: np.ndarray, b: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in both of the tokens that end together: their links, in order."""
@@ -193,7 +244,7 @@ HASH = "bits array<binary>, sizes array<long>, keys binary"
 
 
 def encode(docs: DataFrame, a_path: str, b_path: str, shards: int, batch_bytes: int) -> DataFrame:
-    """Pass one: rows (batch, doc_id, text) of documents, the text null if it has no tokens, and rows (batch, shard, keys, counts) of the pairs of a batch."""
+    """Pass one: rows (batch, doc_id, text, marks) of documents, the text null if it has no tokens, and rows (batch, shard, keys, counts) of the pairs of a batch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,16 +254,17 @@ def encode(docs: DataFrame, a_path: str, b_path: str, shards: int, batch_bytes:
         number = (TaskContext.get().partitionId() << 32) - 1
         for batch in batches(parts, batch_bytes):
             number += 1
-            keys, kept = [], []
+            keys, kept, marks = [], [], []
             for text in texts(batch):
                 a, b = aligner.encode(text)
                 kept.append(text if len(a) else None)
+                marks.append(aligner.marks((a, b), lengths))
                 at_a, at_b = common_ends(a, b, *lengths)
                 keys.append(pair_keys(a[at_a], b[at_b]))
             found, counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
             n, none = batch.num_rows, pa.nulls
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * n, pa.int64()), batch.column("doc_id"), pa.array(kept, pa.string()), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary())], names=names
+                [pa.array([number] * n, pa.int64()), batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(marks, pa.binary()), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary())], names=names
             )
             shard = (_mix(found >> 32, 99) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
@@ -224,6 +276,7 @@ def encode(docs: DataFrame, a_path: str, b_path: str, shards: int, batch_bytes:
                     pa.array([number] * m, pa.int64()),
                     none(m, batch.column("doc_id").type),
                     none(m, pa.string()),
+                    none(m, pa.binary()),
                     pa.array([int(shard[p[0]]) for p in held], pa.int64()),
                     pa.array([found[p].tobytes() for p in held], pa.binary()),
                     pa.array([counts[p].astype(np.int64).tobytes() for p in held], pa.binary()),
@@ -231,8 +284,8 @@ def encode(docs: DataFrame, a_path: str, b_path: str, shards: int, batch_bytes:
                 names=names,
             )
 
-    names = ["batch", "doc_id", "text", "shard", "keys", "counts"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"batch long, doc_id {kind}, text string, shard long, keys binary, counts binary")
+    names = ["batch", "doc_id", "text", "marks", "shard", "keys", "counts"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"batch long, doc_id {kind}, text string, marks binary, shard long, keys binary, counts binary")
 
 
 def longs(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -357,8 +410,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, batch_bytes: int = 4 << 20,
         order = np.argsort(keys)
         keys, counts, best = keys[order], counts[order], best[order]
         columns: dict[str, list] = {c: [] for c in (*COUNTS, "groups_sha256")}
-        for text in left.column("text").to_pylist():
-            a, b = aligner.encode(text, spelled=True)
+        for text, marks in zip(left.column("text").to_pylist(), left.column("marks").to_pylist(), strict=True):
+            a, b = aligner.marked(text, marks)
             at_a, at_b = common_ends(a, b, *lengths)
             at = np.searchsorted(keys, pair_keys(a[at_a], b[at_b]))
             values = (len(a), len(b), len(at_a), len(at_a), int((counts[at] == best[at]).sum()), int(counts[at].sum()), writer.digest(a, b, at_a, at_b))
@@ -366,7 +419,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, batch_bytes: int = 4 << 20,
                 column.append(value)
         return pa.Table.from_arrays([left.column("doc_id").combine_chunks() if left.num_rows else pa.array([], schema.field("doc_id").type), *(pa.array(v, schema.field(c).type) for c, v in columns.items())], schema=schema)
 
-    texts_of = first.filter("keys is null").select("batch", "doc_id", "text")
+    texts_of = first.filter("keys is null").select("batch", "doc_id", "text", "marks")
     return texts_of.groupBy("batch").cogroup(delivered.groupBy("batch")).applyInArrow(run, f"doc_id {kind.simpleString()}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string")
 
 

@@ -121,6 +121,26 @@ def test_encoders_spell_as_the_tokenizers(spark):
         assert a.tolist() == want[0] and b.tolist() == want[1], repr(text)
 
 
+def test_ids_are_read_from_the_ends_of_tokens():
+    """The second pass takes ids from the bytes between token ends, also where bytes name two ids (`a`, `<0x61>`), and else encodes."""
+    aligner, r = alignment.Aligner(*paths()), random.Random(3)
+    lengths = tuple(np.array([len(t) for t in side.bytes], np.int64) for side in (aligner.a, aligner.b))
+    signs_of = ["a", "B", "the", " ", "\n", "é", "漢", "😀", "<|endoftext|>", "<0x0A>", "12", "\x00", "internationalization", "!?", "\r\n", "\x01\x02"]
+    texts, kept = ["".join(r.choice(signs_of) for _ in range(r.randint(1, 40))) for _ in range(500)], 0
+    for text in texts:
+        a, b = aligner.encode(text)
+        marks = aligner.marks((a, b), lengths)
+        kept += marks is not None
+        if len(a):
+            got = aligner.marked(text, marks)
+            assert got[0].tolist() == a.tolist() and got[1].tolist() == b.tolist(), repr(text)
+    assert kept > 300
+    marks = aligner.marks(aligner.encode("the end"), lengths)
+    aligner.a = aligner.b = None  # nothing is encoded again
+    assert len(aligner.marked("the end", marks)[0]) == 2
+    assert aligner.marks((np.zeros(0, np.uint32), np.zeros(0, np.uint32)), lengths) is None
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000))
     made = alignment.PerfectHash(keys)
