@@ -217,3 +217,20 @@ def test_settled_parts_equal_a_walk(spark):
         statuses, decided = response.settle(commands, asked, long_rows=long_rows)
         got = {("c", r.seq): r.status for r in statuses.collect()} | {("r", r.seq): r.status for r in decided.filter("kind = 'heuristic'").collect()}
         assert got == want
+
+
+def test_repeats_within_a_chunk_need_no_round(spark, monkeypatch):
+    """Ids that come again at their address within a chunk are settled by the first fold; short chunks and mixed parts give the same."""
+    rnd = random.Random(8)
+    rows, t = [("u", "unblock", "10.0.0.1", 300, 0, 1000), ("w", "watchlist", "10.0.0.1", 300, 0, 1001)], 0
+    for seq in range(120):
+        t += rnd.randrange(1, 12) * S
+        rows.append((f"i{seq // 3}", rnd.choice(["block", "block", "unblock", "watchlist", "unwatchlist"]), "10.0.0.1", 300, t, seq))
+    want = {k[1]: v for k, v in plain_settle(rows, []).items()}
+    commands = spark.createDataFrame(rows, "command_id string, action string, ip_address string, duration_seconds long, t_us long, seq long")
+    names, kept = [], response.stored
+    monkeypatch.setattr(response, "stored", lambda df, name: names.append(name) or kept(df, name))
+    got = {r["seq"]: r["status"] for r in response.settle(commands, chunk_s=1e6)[0].collect()}
+    assert got == want and sum(n.startswith("outcomes") for n in names) == 1
+    for options in ({"chunk_s": 20}, {"chunk_s": 1e6, "long_rows": 3}):
+        assert {r["seq"]: r["status"] for r in response.settle(commands, **options)[0].collect()} == want
