@@ -229,3 +229,32 @@ def test_keyed_state_takes_packets_at_and_before_the_epoch(spark, tmp_path):
         p, finish = st.with_end(stream(spark, str(tmp_path / "p")))
         out = st.run(spark, form(p), "t_epoch", finish=finish).filter("end_us < 100000000").collect()
         assert sorted((r.start_us, r.end_us) for r in out) == [(-90_000_000, -89_500_001), (0, 2_000_000)]
+
+
+def test_feed_reads_its_table_a_fixed_number_of_times(spark, monkeypatch):
+    """However many files the feed has; they hold every packet once, in the order of time in which they were written."""
+    from pathlib import Path
+
+    from netloom.sources import packets as source
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        reads.add(1)
+        return t
+
+    table, scratch, folders = source.packets, source.scratch, []
+
+    def noted(*a):
+        folders.append(scratch(*a))
+        return folders[-1]
+
+    monkeypatch.setattr(source, "packets", lambda *a: table(*a).withColumn("t_us", F.udf(seen, "long")("t_us")))
+    monkeypatch.setattr(source, "scratch", noted)
+    source.packet_feed(spark, SF, rows_per_file=50)
+    assert 0 < reads.value <= 3000
+    files = sorted(Path(folders[-1]).glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert len(files) > 10
+    parts = [pd.read_parquet(f) for f in files]
+    assert all(a.t_us.max() < b.t_us.min() for a, b in zip(parts, parts[1:], strict=False))
+    assert sorted(pd.concat(parts).packet_id) == sorted(r.packet_id for r in packets(spark, SF).select("packet_id").collect())
