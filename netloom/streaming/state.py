@@ -1,5 +1,6 @@
 """Keyed state of the streaming operators: sessions, detector windows, blocks."""
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,9 +56,10 @@ class InOrder(StatefulProcessor):
     """Hands the rows of a key on in the order of event time.
 
     Rows wait in map state by slice of event time, as one packed value for each arrival, until the watermark passes the end
-    of the slice; so rows that arrive late within the delay, in any file or micro-batch, take their place. One slice of a
-    key is in memory at a time, however many rows of a hot key wait. Subclasses name the columns they need (`t_us` and a
-    tie-breaker first), process sorted rows in `take`, and act in `due` on deadlines before the last slice taken.
+    of the slice; so rows that arrive late within the delay, in any file or micro-batch, take their place. Slices are taken
+    together up to CHUNK rows, so that thin ones cost little, and no more of a key than that or one slice is in memory, however
+    many rows of a hot key wait. Subclasses name the columns they need (`t_us` and a tie-breaker first), process sorted rows
+    in `take`, and act in `due` on deadlines before the last slice taken.
     """
 
     COLUMNS: list[str] = []
@@ -112,19 +114,29 @@ class InOrder(StatefulProcessor):
                 ready.setdefault(at, []).append((at, arrival))
             else:
                 rest = at if rest is None else min(rest, at)
+        held, size = [], 0
         for at in sorted(ready):
             parts = [np.frombuffer(self.waiting.getValue(k)[0], np.int64).reshape(-1, len(self.COLUMNS)) for k in sorted(ready[at])]
             for k in ready[at]:
                 self.waiting.removeKey(k)
             packed = np.concatenate(parts)
-            packed = packed[np.lexsort((packed[:, 1], packed[:, 0]))]
-            for cut in range(0, len(packed), self.CHUNK):
-                yield from self.take(key, _unpacked(packed[cut : cut + self.CHUNK], self.COLUMNS))
+            if held and size + len(packed) > self.CHUNK:
+                yield from self._taken(key, held)
+                held, size = [], 0
+            held.append(packed[np.lexsort((packed[:, 1], packed[:, 0]))])
+            size += len(packed)
+        if held:
+            yield from self._taken(key, held)
         yield from self.due(key, settled * self.SLICE)
         due = self.deadline()
         times = [t for t in (None if due is None else -(-due // self.SLICE) * self.SLICE, None if rest is None else (rest + 1) * self.SLICE) if t is not None]
         _alarm(self.handle, min(times) if times else None)
 
+    def _taken(self, key: tuple, slices: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        packed = np.concatenate(slices)
+        for cut in range(0, len(packed), self.CHUNK):
+            yield from self.take(key, _unpacked(packed[cut : cut + self.CHUNK], self.COLUMNS))
+
     def close(self) -> None:
         pass
 
@@ -152,49 +164,82 @@ ACTIVE, CLOSING = "active", "closing"
 _UNSET = -1
 
 
-def _measure(part: dict[str, np.ndarray], a: int, b: int) -> dict[str, int]:
-    """Measures of rows a..b of one session; gaps count from the second row on."""
-    t, size, payload, win = (part[c][a:b] for c in ("t_us", "packet_size", "payload_size", "tcp_window_size"))
-    gap, data, seen = np.diff(t), payload[payload > 0], win[win >= 0]
-    flags = part["tcp_flags"][a:b]
-    return {
-        "start_us": int(t[0]),
-        "start_packet": int(part["packet_id"][a]),
-        "end_us": int(t[-1]),
-        "packet_id": int(part["packet_id"][b - 1]),
-        "n": b - a,
-        "bytes": int(size.sum()),
-        "bytes_sq": int((size * size).sum()),
-        "size_min": int(size.min()),
-        "size_max": int(size.max()),
-        "gaps": len(gap),
-        "gap_sum": int(gap.sum()),
-        "gap_sq": int((gap * gap).sum()),
-        "gap_min": int(gap.min()) if len(gap) else _UNSET,
-        "gap_max": int(gap.max()) if len(gap) else _UNSET,
-        "header": int(part["transport_header_length"][a:b].sum()),
-        "data_packets": len(data),
-        "payload_min": int(data.min()) if len(data) else _UNSET,
-        "window0": int(seen[0]) if len(seen) else _UNSET,
-        **{k: int(((flags & bit) != 0).sum()) for k, bit in TCP_FLAG_BITS.items()},
-    }
+_HIGH = np.iinfo(np.int64).max
+
 
+def _running(pick: np.ufunc, values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Running extreme inside sessions, of values of their pieces; `place` counts the earlier pieces of the same session."""
+    step = 1
+    while step <= place.max():
+        later = np.flatnonzero(place >= step)
+        values[later] = pick(values[later], values[later - step])
+        step *= 2
+    return values
 
-def _merge(old: dict[str, int], new: dict[str, int]) -> dict[str, int]:
-    """Measures of a session continued by further rows."""
-    joint = max(0, new["start_us"] - old["end_us"])
-    out = {"start_us": old["start_us"], "start_packet": old["start_packet"], "end_us": max(old["end_us"], new["end_us"]), "packet_id": new["packet_id"]}
-    for k in ("n", "bytes", "bytes_sq", "header", "data_packets", *TCP_FLAG_BITS):
-        out[k] = old[k] + new[k]
-    for k, pick in (("size_min", min), ("size_max", max), ("payload_min", min)):
-        known = [v for v in (old[k], new[k]) if v != _UNSET]
-        out[k] = pick(known) if known else _UNSET
-    gaps = [v for v in (old["gap_min"], old["gap_max"], new["gap_min"], new["gap_max"], joint) if v != _UNSET]
-    out["gaps"] = old["gaps"] + new["gaps"] + 1
-    out["gap_sum"] = old["gap_sum"] + new["gap_sum"] + joint
-    out["gap_sq"] = old["gap_sq"] + new["gap_sq"] + joint * joint
-    out["gap_min"], out["gap_max"] = min(gaps), max(gaps)
-    out["window0"] = old["window0"] if old["window0"] != _UNSET else new["window0"]
+
+def _measures(part: dict[str, np.ndarray], ends: np.ndarray, starts: np.ndarray, before: dict[str, int] | None) -> dict[str, np.ndarray]:
+    """Measures of sessions from their first row up to the end of each of their pieces.
+
+    Piece k ends before row `ends[k]` and belongs to the session that begins in row `starts[k]`; pieces cover all rows. The
+    first session continues the one of measures `before`, if there are any. Gaps count from the second row of a session on.
+    """
+    t, size, payload, win = (part[c] for c in ("t_us", "packet_size", "payload_size", "tcp_window_size"))
+    n = ends - starts
+    heads = np.concatenate([[0], ends[:-1]])
+    new = np.concatenate([[True], starts[1:] != starts[:-1]])
+    place = np.arange(len(ends)) - np.maximum.accumulate(np.where(new, np.arange(len(ends)), 0))
+    gap = np.diff(t, prepend=t[0])
+    gap[starts] = 0
+    counted = np.ones(len(t), bool)
+    counted[starts] = False
+    if before is not None:
+        gap[0], counted[0] = max(0, int(t[0]) - before["end_us"]), True
+
+    def total(values: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return sums[ends] - sums[starts]
+
+    def extreme(pick: np.ufunc, values: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        none = _HIGH if pick is np.minimum else _UNSET
+        found = _running(pick, pick.reduceat(values if known is None else np.where(known, values, none), heads), place)
+        return found if known is None else np.where(found == none, _UNSET, found)
+
+    seen = np.flatnonzero(win >= 0)
+    first = np.append(seen, len(win))[np.searchsorted(seen, starts)]
+    flags = part["tcp_flags"]
+    out = {
+        "start_us": t[starts],
+        "start_packet": part["packet_id"][starts],
+        "end_us": t[ends - 1],
+        "packet_id": part["packet_id"][ends - 1],
+        "n": n,
+        "bytes": total(size),
+        "bytes_sq": total(size * size),
+        "size_min": extreme(np.minimum, size),
+        "size_max": extreme(np.maximum, size),
+        "gaps": total(counted),
+        "gap_sum": total(gap),
+        "gap_sq": total(gap * gap),
+        "gap_min": extreme(np.minimum, gap, counted),
+        "gap_max": extreme(np.maximum, gap, counted),
+        "header": total(part["transport_header_length"]),
+        "data_packets": total(payload > 0),
+        "payload_min": extreme(np.minimum, payload, payload > 0),
+        "window0": np.where(first < ends, np.append(win, _UNSET)[first], _UNSET),
+        **{k: total((flags & bit) != 0) for k, bit in TCP_FLAG_BITS.items()},
+    }
+    if before is not None:
+        own = slice(0, int(np.searchsorted(starts, 0, "right")))
+        for k in ("start_us", "start_packet"):
+            out[k][own] = before[k]
+        out["end_us"][own] = np.maximum(out["end_us"][own], before["end_us"])
+        for k in ("n", "bytes", "bytes_sq", "gaps", "gap_sum", "gap_sq", "header", "data_packets", *TCP_FLAG_BITS):
+            out[k][own] += before[k]
+        for k, pick in (("size_min", np.minimum), ("size_max", np.maximum), ("gap_min", np.minimum), ("gap_max", np.maximum), ("payload_min", np.minimum)):
+            if before[k] != _UNSET:
+                out[k][own] = np.where(out[k][own] == _UNSET, before[k], pick(out[k][own], before[k]))
+        if before["window0"] != _UNSET:
+            out["window0"][own] = before["window0"]
     return out
 
 
@@ -215,22 +260,26 @@ class SessionState(InOrder):
     def setup(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", StructType(_longs(*MEASURES, "scored_n", "scored_us")))
 
-    def _row(self, key: tuple, m: dict[str, int], finished: bool, reason: str) -> dict:
-        flow, src, dst = key[:3]
-        sport, dport, proto = (int(x) if x else None for x in key[3:])
-        shown = {k: (None if m[k] == _UNSET and k in ("gap_min", "gap_max", "payload_min", "window0") else m[k]) for k in MEASURES}
-        return {"flow_id": flow, "src_ip": src, "dst_ip": dst, "src_port": sport, "dst_port": dport, "protocol": proto, **shown,
-                "finished": finished, "reason": reason, "is_final": finished}
+    def _expired(self, start_us: np.ndarray, end_us: np.ndarray) -> np.ndarray:
+        return np.where(end_us + self.idle <= start_us + self.limit, "idle_timeout", "max_duration")
+
+    def _frame(self, key: tuple, m: dict[str, np.ndarray], reason: np.ndarray) -> pd.DataFrame:
+        size = len(reason)
+
+        def number(text: str) -> pd.arrays.IntegerArray:
+            return pd.arrays.IntegerArray(np.full(size, int(text or 0), np.int64), np.full(size, not text))
 
-    def _expired(self, m: dict[str, int]) -> str:
-        return "idle_timeout" if m["end_us"] + self.idle <= m["start_us"] + self.limit else "max_duration"
+        finished = np.isin(reason, [CLOSING, "flow_end"])
+        shown = {k: pd.arrays.IntegerArray(m[k], m[k] == _UNSET) if k in ("gap_min", "gap_max", "payload_min", "window0") else m[k] for k in MEASURES}
+        columns = {**dict(zip(("flow_id", "src_ip", "dst_ip"), key[:3], strict=True)),
+                   **{c: number(text) for c, text in zip(("src_port", "dst_port", "protocol"), key[3:], strict=True)},
+                   **shown, "finished": finished, "reason": reason, "is_final": finished}
+        return pd.DataFrame(columns, index=range(size))
 
-    def _frame(self, rows: list[dict]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=SESSION_OUT.fieldNames())
-        for f in SESSION_OUT.fields:
-            if isinstance(f.dataType, LongType):
-                frame[f.name] = frame[f.name].astype("Int64")
-        return frame
+    def _ended(self, key: tuple, m: dict[str, int]) -> pd.DataFrame:
+        """The row of the open session, which ends by a deadline."""
+        one = {k: np.array([v], np.int64) for k, v in m.items()}
+        return self._frame(key, one, self._expired(one["start_us"], one["end_us"]))
 
     def _load(self) -> tuple[dict[str, int] | None, tuple[int, int]]:
         """The open session, and the packet count and time of its last scoring point (a count of 0: none yet)."""
@@ -241,53 +290,70 @@ class SessionState(InOrder):
 
     def _points(self, t: np.ndarray, at: int, stop: int, start_us: int, before: int, scored: tuple[int, int]) -> list[int]:
         """Scoring points among rows at..stop of a session that has `before` rows already, without a closing one."""
-        first = max(at + self.min_packets - 1 - before, int(np.searchsorted(t, start_us + self.min_age, "left")), at)
+        first = max(at + self.min_packets - 1 - before, bisect_left(t, start_us + self.min_age), at)
         if scored[0]:
-            first = max(min(at + scored[0] + self.every_n - before - 1, int(np.searchsorted(t, scored[1] + self.every, "left"))), at)
+            first = max(min(at + scored[0] + self.every_n - before - 1, bisect_left(t, scored[1] + self.every)), at)
         found = []
         while first < stop:
             found.append(first)
-            first = min(first + self.every_n, int(np.searchsorted(t, t[first] + self.every, "left")))
+            first = bisect_left(t, t[first] + self.every, first + 1, min(first + self.every_n, len(t)))
         return found
 
+    def _cuts(self, part: dict[str, np.ndarray], start_us: int) -> list[int]:
+        """Where sessions end: after a packet that ends the flow, before an idle gap, and at the age limit."""
+        t = part["t_us"]
+        ends = np.flatnonzero(part["tcp_flags"] & 5) + 1
+        known = np.union1d(np.union1d(ends, np.flatnonzero(np.diff(t) >= self.idle) + 1), [len(t)])
+        begins = t[np.concatenate([[0], known[:-1]])]
+        begins[0] = start_us
+        old = known[t[known - 1] - begins >= self.limit]
+        found = known.tolist()
+        for stop, start in zip(old.tolist(), begins[np.searchsorted(known, old)].tolist(), strict=True):
+            while (at := int(np.searchsorted(t, start + self.limit, "left"))) < stop:
+                found.append(at)
+                start = int(t[at])
+        return sorted(found)
+
     def take(self, key, frame):
         part = {c: frame[c].fillna(-1 if c == "tcp_window_size" else 0).to_numpy(np.int64) for c in self.COLUMNS}
         t = part["t_us"]
-        fins = np.flatnonzero(part["tcp_flags"] & 5)
-        gaps = np.flatnonzero(np.diff(t) >= self.idle) + 1
         current, scored = self._load()
-        out, at, n = [], 0, len(t)
-        while at < n:
-            if current is not None and (
-                t[at] - current["end_us"] >= self.idle or t[at] - current["start_us"] >= self.limit
-            ):
-                out.append(self._row(key, current, False, self._expired(current)))
-                current, scored = None, (0, 0)
-            start = current["start_us"] if current is not None else int(t[at])
-            fin = fins[np.searchsorted(fins, at)] + 1 if np.searchsorted(fins, at) < len(fins) else n
-            gap = gaps[np.searchsorted(gaps, at, "right")] if np.searchsorted(gaps, at, "right") < len(gaps) else n
-            old = int(np.searchsorted(t, start + self.limit, "left"))
-            stop = int(min(fin, gap, max(old, at + 1), n))
-            ends = bool(part["tcp_flags"][stop - 1] & 5)
-            points = self._points(t, at, stop - ends, start, current["n"] if current is not None else 0, scored) if self.live else []
-            for cut in [*(i + 1 for i in points), *([] if points and points[-1] + 1 == stop else [stop])]:
-                piece = _measure(part, at, cut)
-                current = piece if current is None else _merge(current, piece)
-                if points and cut <= points[-1] + 1:
-                    out.append(self._row(key, current, False, ACTIVE))
-                    scored = (current["n"], current["end_us"])
-                at = cut
-            if ends:
-                if self.live:
-                    out.append(self._row(key, current, True, CLOSING))
-                out.append(self._row(key, current, True, "flow_end"))
-                current, scored = None, (0, 0)
-        if current is None:
+        if current is not None and (t[0] - current["end_us"] >= self.idle or t[0] - current["start_us"] >= self.limit):
+            yield self._ended(key, current)
+            current, scored = None, (0, 0)
+        stops = self._cuts(part, current["start_us"] if current is not None else int(t[0]))
+        closed = (part["tcp_flags"][np.array(stops) - 1] & 5) != 0
+        times = t.tolist()
+        ends, starts, active, at = [], [], [], 0
+        for stop, final in zip(stops, closed.tolist(), strict=True):
+            fresh = at > 0 or current is None
+            points = [] if not self.live else self._points(times, at, stop - final, times[at], 0, (0, 0)) if fresh else self._points(times, at, stop - final, current["start_us"], current["n"], scored)
+            cuts = [i + 1 for i in points]
+            active += range(len(ends), len(ends) + len(cuts))
+            if not cuts or cuts[-1] < stop:
+                cuts.append(stop)
+            ends += cuts
+            starts += [at] * len(cuts)
+            at = stop
+        ends, starts, active = (np.array(x, np.int64) for x in (ends, starts, active))
+        m = _measures(part, ends, starts, current)
+        last = np.searchsorted(ends, stops)
+        over = last if closed[-1] else last[:-1]
+        final = last[closed]
+        how = np.where(closed[: len(over)], "flow_end", self._expired(m["start_us"][over], m["end_us"][over]))
+        shown = np.concatenate([active, final if self.live else final[:0], over])
+        if len(shown):
+            reason = np.concatenate([np.full(len(active), ACTIVE), np.full(len(final) if self.live else 0, CLOSING), how]).astype(object)
+            yield self._frame(key, {k: v[shown] for k, v in m.items()}, reason)
+        if closed[-1]:
             self.open.clear()
-        else:
-            self.open.update((*(current[k] for k in MEASURES), *scored))
-        if out:
-            yield self._frame(out)
+            return
+        points = active[starts[active] == starts[-1]]
+        if len(points):
+            scored = int(m["n"][points[-1]]), int(m["end_us"][points[-1]])
+        elif starts[-1] > 0:
+            scored = 0, 0
+        self.open.update((*(int(m[k][-1]) for k in MEASURES), *scored))
 
     def deadline(self):
         current, _ = self._load()
@@ -298,7 +364,7 @@ class SessionState(InOrder):
         if at is not None and at <= now_us:
             current, _ = self._load()
             self.open.clear()
-            yield self._frame([self._row(key, current, False, self._expired(current))])
+            yield self._ended(key, current)
 
 
 # --- detectors ---------------------------------------------------------------------

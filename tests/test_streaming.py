@@ -258,3 +258,64 @@ def test_feed_reads_its_table_a_fixed_number_of_times(spark, monkeypatch):
     parts = [pd.read_parquet(f) for f in files]
     assert all(a.t_us.max() < b.t_us.min() for a, b in zip(parts, parts[1:], strict=False))
     assert sorted(pd.concat(parts).packet_id) == sorted(r.packet_id for r in packets(spark, SF).select("packet_id").collect())
+
+
+class HeldMap(dict):
+    """A map state in memory."""
+
+    updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__
+
+
+class Passed:
+    """Timer values of a watermark later than every deadline."""
+
+    def getCurrentWatermarkInMs(self):
+        return (st.FAR_US + st.SHIFT_US) // 1000
+
+
+class Handle:
+    """Timers in memory."""
+
+    def __init__(self):
+        self.timers = []
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_thin_slices_are_taken_together():
+    """Seconds with few packets cost no frame each, and the measures at points are those of all packets up to there."""
+    rng = np.random.default_rng(5)
+    n = 400
+    t = np.cumsum(rng.choice([200_000, 900_000, 31_000_000], n, p=[0.5, 0.48, 0.02]))
+    rows = pd.DataFrame({"t_us": t, "packet_id": np.arange(n), "packet_size": rng.integers(0, 1500, n), "payload_size": rng.integers(0, 3, n), "tcp_window_size": rng.integers(1, 9, n),
+                         "transport_header_length": 20, "tcp_flags": rng.choice([16, 2, 17], n, p=[0.8, 0.18, 0.02])}).astype("Int64")
+    seen = {}
+    for chunk in (50_000, 40):
+        state = SessionState(live=True)
+        state.CHUNK = chunk
+        state.handle, state.waiting, state.arrivals, state.open = Handle(), HeldMap(), Held(), Held()
+        state.open.clear = lambda held=state.open: held.update(None)
+        key = ("a", "10.0.0.1", "10.0.0.2", "1234", "", "6")
+        # Arrivals out of order.
+        list(state.handleInputRows(key, iter([rows[1::2], rows[::2]]), None))
+        frames = list(state.handleExpiredTimer(key, Passed(), None))
+        assert len(frames) <= (2 if chunk > n else 2 * n // chunk + 20)
+        seen[chunk] = sorted(map(str, pd.concat(frames).itertuples(index=False, name=None)))
+    assert seen[50_000] == seen[40] and len(seen[40]) > 60
+    # Every measured row again, packet by packet.
+    for r in pd.concat(frames).itertuples():
+        part = rows[r.start_packet : r.packet_id + 1]
+        gap = np.diff(part.t_us.to_numpy(np.int64))
+        data = part.payload_size[part.payload_size > 0]
+        assert (r.n, r.bytes, r.bytes_sq, r.size_min, r.size_max) == (len(part), part.packet_size.sum(), (part.packet_size**2).sum(), part.packet_size.min(), part.packet_size.max())
+        assert (r.gaps, r.gap_sum, r.gap_sq) == (len(gap), gap.sum(), (gap * gap).sum())
+        assert len(gap) == 0 or (r.gap_min, r.gap_max) == (gap.min(), gap.max())
+        assert r.data_packets == len(data) and (len(data) == 0 or r.payload_min == data.min()) and r.window0 == part.tcp_window_size.iloc[0]
+        assert r.syn == (part.tcp_flags & 2 > 0).sum() and r.fin == (part.tcp_flags & 1).sum() and r.header == 20 * r.n
