@@ -18,13 +18,18 @@ from netloom.streaming import state
 from netloom.streaming.state import (
     BLOCK_OUT,
     BRUTE_OUT,
+    CLOSING,
     DETECT_OUT,
+    MAY_LACK,
+    MEASURES,
     SESSION_OUT,
+    SESSION_RECORD,
     SHIFT_US,
+    UNSET,
     BlockState,
     DetectorState,
     GuessState,
-    SessionState,
+    SessionRecords,
 )
 
 # The driver-side worker that starts a stateful query sees no shipped files, hence the
@@ -87,9 +92,18 @@ def stream_sessions(packets: DataFrame, delay: str = "10 seconds", idle_s: float
         "ts", "t_us", "packet_id", "packet_size", "payload_size", "tcp_window_size", "transport_header_length",
         F.col("tcp_flags").cast("bigint").alias("tcp_flags"),
     )
-    return keyed.groupBy("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol").transformWithStateInPandas(
-        SessionState(idle_s, max_s, live, **points), SESSION_OUT, "append", "EventTime"
+    records = keyed.groupBy("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol").transformWithStateInPandas(
+        SessionRecords(idle_s, max_s, live, **points), SESSION_RECORD, "append", "EventTime"
     )
+    measures = {k: F.col("measures")[i] for i, k in enumerate(MEASURES)}
+    final = F.col("reason").isin(CLOSING, "flow_end")
+    columns = {
+        **{c: F.when(F.col(c) != "", F.col(c)).cast("bigint") for c in number},
+        **{k: F.when(v != UNSET, v) if k in MAY_LACK else v for k, v in measures.items()},
+        "finished": final,
+        "is_final": final,
+    }
+    return records.withColumns(columns).select(SESSION_OUT.fieldNames())
 
 
 def stream_sessions_simple(packets: DataFrame, delay: str = "10 seconds", idle: str = "30 seconds") -> DataFrame:

@@ -45,7 +45,9 @@ _NULL = np.iinfo(np.int64).min
 
 def _packed(frame: pd.DataFrame, columns: list[str]) -> np.ndarray:
     """The columns as one matrix of longs, with a fixed value for null."""
-    return np.stack([frame[c].astype("Int64").fillna(_NULL).to_numpy(np.int64) for c in columns], axis=1)
+    # Longs without nulls need no copy with a mask.
+    plain = [frame[c].dtype == np.int64 for c in columns]
+    return np.stack([frame[c].to_numpy() if p else frame[c].astype("Int64").fillna(_NULL).to_numpy(np.int64) for c, p in zip(columns, plain, strict=True)], axis=1)
 
 
 def _unpacked(rows: np.ndarray, columns: list[str]) -> pd.DataFrame:
@@ -159,9 +161,19 @@ SESSION_OUT = StructType(
         StructField("is_final", BooleanType()),
     ]
 )
+#: The same rows as a processor hands them over: key parts as they are, measures as one array, with a fixed value for null.
+SESSION_RECORD = StructType(
+    [
+        *[StructField(c, StringType()) for c in ("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol")],
+        StructField("measures", ArrayType(LongType())),
+        StructField("reason", StringType()),
+    ]
+)
+#: Measures that may be null.
+MAY_LACK = ("gap_min", "gap_max", "payload_min", "window0")
 #: Reasons of rows that measure a session up to a scoring point; all other rows measure an ended session.
 ACTIVE, CLOSING = "active", "closing"
-_UNSET = -1
+UNSET = -1
 
 
 _HIGH = np.iinfo(np.int64).max
@@ -200,9 +212,9 @@ def _measures(part: dict[str, np.ndarray], ends: np.ndarray, starts: np.ndarray,
         return sums[ends] - sums[starts]
 
     def extreme(pick: np.ufunc, values: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
-        none = _HIGH if pick is np.minimum else _UNSET
+        none = _HIGH if pick is np.minimum else UNSET
         found = _running(pick, pick.reduceat(values if known is None else np.where(known, values, none), heads), place)
-        return found if known is None else np.where(found == none, _UNSET, found)
+        return found if known is None else np.where(found == none, UNSET, found)
 
     seen = np.flatnonzero(win >= 0)
     first = np.append(seen, len(win))[np.searchsorted(seen, starts)]
@@ -225,7 +237,7 @@ def _measures(part: dict[str, np.ndarray], ends: np.ndarray, starts: np.ndarray,
         "header": total(part["transport_header_length"]),
         "data_packets": total(payload > 0),
         "payload_min": extreme(np.minimum, payload, payload > 0),
-        "window0": np.where(first < ends, np.append(win, _UNSET)[first], _UNSET),
+        "window0": np.where(first < ends, np.append(win, UNSET)[first], UNSET),
         **{k: total((flags & bit) != 0) for k, bit in TCP_FLAG_BITS.items()},
     }
     if before is not None:
@@ -236,9 +248,9 @@ def _measures(part: dict[str, np.ndarray], ends: np.ndarray, starts: np.ndarray,
         for k in ("n", "bytes", "bytes_sq", "gaps", "gap_sum", "gap_sq", "header", "data_packets", *TCP_FLAG_BITS):
             out[k][own] += before[k]
         for k, pick in (("size_min", np.minimum), ("size_max", np.maximum), ("gap_min", np.minimum), ("gap_max", np.maximum), ("payload_min", np.minimum)):
-            if before[k] != _UNSET:
-                out[k][own] = np.where(out[k][own] == _UNSET, before[k], pick(out[k][own], before[k]))
-        if before["window0"] != _UNSET:
+            if before[k] != UNSET:
+                out[k][own] = np.where(out[k][own] == UNSET, before[k], pick(out[k][own], before[k]))
+        if before["window0"] != UNSET:
             out["window0"][own] = before["window0"]
     return out
 
@@ -270,7 +282,7 @@ class SessionState(InOrder):
             return pd.arrays.IntegerArray(np.full(size, int(text or 0), np.int64), np.full(size, not text))
 
         finished = np.isin(reason, [CLOSING, "flow_end"])
-        shown = {k: pd.arrays.IntegerArray(m[k], m[k] == _UNSET) if k in ("gap_min", "gap_max", "payload_min", "window0") else m[k] for k in MEASURES}
+        shown = {k: pd.arrays.IntegerArray(m[k], m[k] == UNSET) if k in MAY_LACK else m[k] for k in MEASURES}
         columns = {**dict(zip(("flow_id", "src_ip", "dst_ip"), key[:3], strict=True)),
                    **{c: number(text) for c, text in zip(("src_port", "dst_port", "protocol"), key[3:], strict=True)},
                    **shown, "finished": finished, "reason": reason, "is_final": finished}
@@ -367,6 +379,15 @@ class SessionState(InOrder):
             yield self._ended(key, current)
 
 
+class SessionRecords(SessionState):
+    """As `SessionState`, with rows of few columns: every frame is an Arrow batch, and one costs by its columns, not by its rows."""
+
+    def _frame(self, key: tuple, m: dict[str, np.ndarray], reason: np.ndarray) -> pd.DataFrame:
+        size = len(reason)
+        parts = {c: np.full(size, text, object) for c, text in zip(SESSION_RECORD.fieldNames(), key, strict=False)}
+        return pd.DataFrame({**parts, "measures": list(np.stack([m[k] for k in MEASURES], axis=1)), "reason": reason}, index=range(size))
+
+
 # --- detectors ---------------------------------------------------------------------
 
 DETECT_OUT = StructType(

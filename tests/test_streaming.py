@@ -10,7 +10,7 @@ from netloom.schema import FEATURES
 from netloom.sources.derived import scored_packets
 from netloom.sources.packets import packets, read_packets
 from netloom.streaming import queries as st
-from netloom.streaming.state import ACTIVE, CLOSING, DetectorState, SessionState
+from netloom.streaming.state import ACTIVE, CLOSING, MEASURES, DetectorState, SessionRecords, SessionState
 
 SF = "/root/testdata/sf0.001"
 
@@ -319,3 +319,52 @@ def test_thin_slices_are_taken_together():
         assert len(gap) == 0 or (r.gap_min, r.gap_max) == (gap.min(), gap.max())
         assert r.data_packets == len(data) and (len(data) == 0 or r.payload_min == data.min()) and r.window0 == part.tcp_window_size.iloc[0]
         assert r.syn == (part.tcp_flags & 2 > 0).sum() and r.fin == (part.tcp_flags & 1).sum() and r.header == 20 * r.n
+
+
+def test_feed_batches_of_several_files(spark, monkeypatch):
+    """A larger table comes in few batches of equally many files; no file of a batch is later than one of the next."""
+    from pathlib import Path
+
+    from netloom.sources import packets as source
+
+    table, scratch, folders = source.packets, source.scratch, []
+
+    def noted(*a):
+        folders.append(scratch(*a))
+        return folders[-1]
+
+    monkeypatch.setattr(source, "scratch", noted)
+    monkeypatch.setattr(source, "SHARED_ROWS", 20)
+    # As they are, and with most packets at one time, which leaves ranges without rows.
+    for t in (F.col("t_us"), F.when(F.col("packet_id") % 10 > 0, 50_000_000).otherwise(F.col("t_us"))):
+        monkeypatch.setattr(source, "packets", lambda *a, t=t: table(*a).withColumn("t_us", t))
+        feed = source.packet_feed(spark, SF, files_per_batch=4, rows_per_file=50)
+        files = sorted(Path(folders[-1]).glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+        parts = [pd.read_parquet(f) for f in files]
+        batches = [pd.concat(parts[i : i + 4]) for i in range(0, len(parts), 4)]
+        assert len(parts) % 4 == 0 and 1 < len(batches) <= 6 and min(map(len, parts)) > 0
+        assert all(a.t_us.max() < b.t_us.min() for a, b in zip(batches, batches[1:], strict=False))
+        assert sorted(pd.concat(parts).packet_id) == list(range(1000))
+        query = feed.writeStream.format("memory").queryName("feed_batches").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [len(b) for b in batches]
+
+
+def test_session_records_hold_the_measures_of_sessions():
+    """Records of few columns, which cost little to hand over, say the same as the wide rows."""
+    rng = np.random.default_rng(6)
+    n = 300
+    rows = pd.DataFrame({"t_us": np.cumsum(rng.choice([300_000, 31_000_000], n, p=[0.95, 0.05])), "packet_id": np.arange(n), "packet_size": rng.integers(0, 1500, n), "payload_size": rng.integers(0, 2, n),
+                         "tcp_window_size": pd.array([None if i % 3 else i for i in range(n)], "Int64"), "transport_header_length": 20, "tcp_flags": rng.choice([16, 17], n, p=[0.9, 0.1])})
+    found = []
+    for kind in (SessionState, SessionRecords):
+        state = kind(live=True)
+        state.handle, state.waiting, state.arrivals, state.open = Handle(), HeldMap(), Held(), Held()
+        state.open.clear = lambda held=state.open: held.update(None)
+        key = ("a", "10.0.0.1", "10.0.0.2", "1234", "", "6")
+        list(state.handleInputRows(key, iter([rows]), None))
+        found.append(pd.concat(list(state.handleExpiredTimer(key, Passed(), None))))
+    wide, records = found
+    assert len(records.columns) == 8 and len(records) == len(wide) > 50
+    assert wide[MEASURES].astype("Int64").fillna(-1).to_numpy(np.int64).tolist() == np.stack(records.measures.to_list()).tolist()
+    assert wide.reason.tolist() == records.reason.tolist() and set(records.dst_port) == {""} and wide.dst_port.isna().all()
